@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.functions.urls import url_decode
+from clicktrail.operators.joins import fits, null_safe_join
 
 # The two wiki hosts whose traffic is traced.
 TRACED_HOSTS = ("en.wikipedia.org", "en.m.wikipedia.org")
@@ -69,7 +70,7 @@ def resolve_redirects(df: DataFrame, redirects: DataFrame, broadcast_max_rows: i
     its row count is checked, otherwise both sides are shuffled on the title.
     """
     r = redirects.select(F.col("rd_from"), F.col("rd_to"))
-    if redirects_fit(r, broadcast_max_rows):
+    if fits(r, broadcast_max_rows):
         r = F.broadcast(r)
     joined = df.join(r, df["raw_title"] == r["rd_from"], "left")
     title = F.when(~F.col("is_pageview"), F.lit(None).cast("string")).otherwise(
@@ -78,10 +79,6 @@ def resolve_redirects(df: DataFrame, redirects: DataFrame, broadcast_max_rows: i
     return joined.withColumn("title", title).drop("rd_from", "rd_to")
 
 
-def redirects_fit(redirects: DataFrame, max_rows: int) -> bool:
-    return redirects.limit(max_rows + 1).count() <= max_rows
-
-
 def pack_request(df: DataFrame, decode: bool = True) -> DataFrame:
     """P5: request struct; NULL when any field is NULL (like the original CONCAT), so collect_list drops it."""
     fields = {
@@ -128,9 +125,7 @@ def build_traces(
     small = (
         keyed.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < max_requests).drop("_n")
     )
-    from clicktrail.operators.sessions import _null_safe_join
-
-    kept = _null_safe_join(keyed, small, key_cols, "left_semi")
+    kept = null_safe_join(keyed, small, key_cols, "left_semi")
     traces = kept.groupBy(*group, "uri_host", "year", "month", "day").agg(
         F.sort_array(F.collect_list("request")).alias("requests")
     )

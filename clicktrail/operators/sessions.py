@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clicktrail.operators.joins import null_safe_join
+
 SEARCH_REFERER = "external (search engine)"  # fixed value of the request log's referer_class
 
 
@@ -24,15 +26,6 @@ def _bucket(ts: str, gap_us: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(gap_us)).cast("bigint")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def _session_buckets(
     buckets: DataFrame, client_cols: Sequence[str], gap_us: int, session_col: str
 ) -> DataFrame:
@@ -63,7 +56,7 @@ def sessionize(
     numbered = _session_buckets(buckets, client_cols, gap_us, session_col).select(
         *client_cols, "_bucket", session_col
     )
-    return _null_safe_join(keyed, numbered, client_cols + ["_bucket"]).drop("_bucket")
+    return null_safe_join(keyed, numbered, client_cols + ["_bucket"]).drop("_bucket")
 
 
 def session_metrics(

@@ -1,0 +1,73 @@
+"""Composed jobs (X1-X11): each is a lazy DataFrame plan over the operators."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from clicktrail.operators import clicks as C
+from clicktrail.operators import requests as R
+from clicktrail.operators import survey as SV
+
+
+def build_trace_table(
+    log: DataFrame,
+    redirects: DataFrame,
+    hosts: Sequence[str] = R.TRACED_HOSTS,
+    hour: int | None = None,
+    max_requests: int = 500,
+) -> DataFrame:
+    """X1 up to the per-day table: S1 -> P1 -> P3 -> J1 -> P4 -> P5 -> A1 -> A2."""
+    r = R.filter_traffic(log, hosts, hour)
+    r = R.raw_title(r)
+    r = R.resolve_redirects(r, redirects)
+    r = R.pack_request(r)
+    return R.build_traces(r, max_requests=max_requests)
+
+
+def build_merged_traces(
+    log: DataFrame,
+    redirects: DataFrame,
+    hosts: Sequence[str] = R.TRACED_HOSTS,
+    hour: int | None = None,
+    max_requests: int = 500,
+    year: int | None = None,
+) -> DataFrame:
+    """Per-day traces merged into one trace per client (A3)."""
+    return R.merge_traces(build_trace_table(log, redirects, hosts, hour, max_requests), year=year)
+
+
+def click_traces(traces: DataFrame, responses: DataFrame, pages: DataFrame) -> DataFrame:
+    """Yes clicks (P8, J3, F8, W1, P9, F7, F6) joined to traces on the client key."""
+    return C.join_traces_clicks(traces, C.prepared_clicks(responses, pages))
+
+
+def survey_in_el(raw_survey: DataFrame, responses: DataFrame, cutoff: str = SV.LAUNCH_CUTOFF) -> DataFrame:
+    """X8 + J4: cleaned answers that have a yes click in the event log."""
+    return SV.join_survey_clicks(SV.clean_responses(raw_survey, cutoff), responses)
+
+
+def responses_with_traces(
+    raw_survey: DataFrame,
+    responses: DataFrame,
+    pages: DataFrame,
+    traces: DataFrame,
+    cutoff: str = SV.LAUNCH_CUTOFF,
+    max_seconds: float = 3600,
+) -> DataFrame:
+    """X4 end to end: answers -> clicks -> click traces -> the request the click came from."""
+    return SV.responses_with_traces(
+        survey_in_el(raw_survey, responses, cutoff), click_traces(traces, responses, pages), max_seconds
+    )
+
+
+def flat_trace_summary(traces: DataFrame) -> DataFrame:
+    """Scalar view of a trace table: request count, first/last request time and the title sequence."""
+    req = F.col("requests")
+    return traces.select(
+        "*",
+        F.size(req).cast("bigint").alias("n_requests"),
+        F.when(F.size(req) > 0, F.array_join(F.transform(req, lambda r: r["title"]), ",")).alias("titles"),
+    )

@@ -80,3 +80,120 @@ rec AS (
 nodes AS (SELECT e.*, r.root, r.depth, r.path FROM edges e JOIN rec r USING (node))
 """
     )
+
+
+def trace_ctes(cap: int) -> str:
+    """CTEs after ``request_log, redirects``: traffic -> titles -> completeness -> day groups under the cap
+    (``day_groups``), their complete requests (``day_reqs``), merged client traces (``merged``) and the
+    numbered requests of each merged trace (``reqs``)."""
+    complete = " AND ".join(
+        f"{c} IS NOT NULL"
+        for c in (
+            "ts", "referer", "title", "uri_path", "uri_query", "is_pageview", "access_method", "referer_class",
+            "project_class", "project",
+        )
+    )
+    grp = "client_ip, user_agent, timezone, country, browser_family"
+    return f""",
+traffic AS ({TRAFFIC}),
+titled AS (
+  SELECT t.*, CASE WHEN NOT t.is_pageview THEN NULL ELSE coalesce(r.rd_to, t.page_title) END AS title
+  FROM traffic t LEFT JOIN redirects r ON (CASE WHEN t.is_pageview THEN t.page_title END) = r.rd_from),
+packed AS (SELECT *, ({complete}) AS complete FROM titled),
+day_groups AS (
+  SELECT {grp}, uri_host, year, month, day FROM packed
+  GROUP BY {grp}, uri_host, year, month, day HAVING count(*) < {cap}),
+day_reqs AS (
+  SELECT p.* FROM packed p SEMI JOIN day_groups g USING ({grp}, uri_host, year, month, day) WHERE p.complete),
+merged AS (
+  SELECT {grp}, client_ip || user_agent AS key, count(*) AS n_requests,
+         string_agg(title, ',' ORDER BY ts, referer, title) AS titles
+  FROM day_reqs GROUP BY {grp}),
+reqs AS (
+  SELECT {grp}, ts, title,
+         row_number() OVER (PARTITION BY {grp} ORDER BY ts, referer, title) - 1 AS id
+  FROM day_reqs)
+"""
+
+
+CLICKS = f"""
+ev AS (
+  SELECT s.webHost, p.page_title AS title, s.event_surveyInstanceToken AS survey_token, s.clientIp, s.userAgent,
+         try_strptime(s.timestamp, '%Y%m%d%H%M%S') AS ts
+  FROM responses_log s JOIN page p ON p.page_id = s.event_pageId
+  WHERE s.event_surveyResponseValue = 'ext-quicksurveys-external-survey-yes-button'),
+first_ev AS (
+  SELECT *, row_number() OVER (PARTITION BY survey_token
+             ORDER BY ts NULLS LAST, webHost NULLS LAST, title NULLS LAST, clientIp NULLS LAST,
+                      userAgent NULLS LAST) AS rn
+  FROM ev),
+clicks AS (
+  SELECT clientIp || substr(userAgent, 2, greatest(length(userAgent) - 2, 0)) AS key, survey_token, title, ts
+  FROM first_ev WHERE rn = 1 AND clientIp IS NOT NULL AND userAgent IS NOT NULL),
+pairs AS (
+  SELECT m.client_ip, m.user_agent, m.timezone, m.country, m.browser_family, m.key, m.n_requests,
+         c.survey_token, c.title AS click_title, c.ts AS click_ts
+  FROM merged m JOIN clicks c USING (key)),
+hits AS (
+  SELECT p.key, p.timezone, p.country, p.browser_family, p.survey_token,
+         arg_max(r.id, struct_pack(t := epoch_us(r.ts), n := -r.id)) AS id, max(epoch_us(r.ts)) AS req_us
+  FROM pairs p JOIN reqs r
+    ON r.client_ip = p.client_ip AND r.user_agent = p.user_agent AND r.timezone = p.timezone
+   AND r.country = p.country AND r.browser_family = p.browser_family
+   AND r.title = p.click_title AND r.ts <= p.click_ts
+  GROUP BY p.key, p.timezone, p.country, p.browser_family, p.survey_token),
+click_asof AS (
+  SELECT p.*, h.id AS click_request_id, (epoch_us(p.click_ts) - h.req_us) / 1e6 AS time_to_click
+  FROM pairs p LEFT JOIN hits h USING (key, timezone, country, browser_family, survey_token))
+"""
+
+
+def survey_ctes(cutoff: str) -> str:
+    """CTEs after ``raw_survey, responses_log``: cleaned answers (``clean``) and those with a yes click
+    on the two wikis (``survey_in_el``)."""
+    from clicktrail.functions import recode as RC
+    from clicktrail.sources import adapters as A
+
+    def lit(s):
+        return "'" + s.replace("'", "''") + "'"
+
+    def lookup(col, d):
+        arms = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in d.items())
+        return f"CASE {col} {arms} ELSE 'other' END"
+
+    x = "raw_motivation"
+    for text, code in RC.MOTIVATION_CODES:
+        x = f"replace({x}, {lit(text)}, {lit(code)})"
+    levels = ", ".join(lit(v) for v in RC.MOTIVATION_LEVELS)
+    motivation = (
+        f"list_sort(list_distinct(list_transform(string_split({x}, ', '), "
+        f"lambda p: CASE WHEN p IN ({levels}) THEN p ELSE 'other' END)))"
+    )
+    q = {k: '"' + k + '"' for k in RC.RAW_COLUMNS}
+    return f""",
+filled AS (
+  SELECT try_strptime(coalesce({q[A.Q_TIMESTAMP]}, 'no_response'), '%m/%d/%Y %H:%M:%S') AS submit_timestamp,
+         coalesce({q[A.Q_DEPTH]}, 'no_response') AS raw_information_depth,
+         coalesce({q[A.Q_PRIOR]}, 'no_response') AS raw_prior_knowledge,
+         coalesce({q[A.Q_MOTIVATION]}, 'no_response') AS raw_motivation,
+         coalesce({q[A.Q_TOKEN]}, 'no_response') AS token
+  FROM raw_survey
+  WHERE try_strptime({q[A.Q_TIMESTAMP]}, '%m/%d/%Y %H:%M:%S') > TIMESTAMP '{cutoff}'),
+coded AS (
+  SELECT *, {lookup('raw_information_depth', RC.DEPTH_CODES)} AS information_depth,
+            {lookup('raw_prior_knowledge', RC.PRIOR_CODES)} AS prior_knowledge,
+            {motivation} AS motivation_list
+  FROM filled),
+clean AS (
+  SELECT * EXCLUDE (rn), array_to_string(motivation_list, '|') AS motivation FROM (
+    SELECT *, row_number() OVER (PARTITION BY token ORDER BY submit_timestamp NULLS LAST,
+               raw_information_depth, raw_prior_knowledge, raw_motivation) AS rn
+    FROM coded) WHERE rn = 1),
+yes_tokens AS (
+  SELECT CASE webHost WHEN 'en.m.wikipedia.org' THEN 'mobile' WHEN 'en.wikipedia.org' THEN 'desktop' END AS host,
+         event_surveyInstanceToken AS token
+  FROM responses_log
+  WHERE event_surveyResponseValue = 'ext-quicksurveys-external-survey-yes-button'
+    AND webHost IN ('en.wikipedia.org', 'en.m.wikipedia.org')),
+survey_in_el AS (SELECT c.*, y.host FROM clean c JOIN yes_tokens y USING (token))
+"""
