@@ -30,4 +30,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the two dicts
-    from clicktrail.registry import pipeline_queries, sessions, trees  # noqa: F401
+    from clicktrail.registry import pipeline_queries, sessions, stats_queries, trees  # noqa: F401
