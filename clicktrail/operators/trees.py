@@ -28,6 +28,7 @@ def resolve_ancestors(edges: DataFrame, node: str = "node", parent: str = "paren
     """Pointer doubling: add ``ancestors`` (nearest first), ``root`` and ``depth`` to an edge table."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
+    edges = edges.checkpoint(eager=True)  # every later step reads the materialised edges
     state = edges.select(
         F.col(node).alias("_n"),
         F.col(parent).alias("_hop"),
@@ -148,7 +149,7 @@ def tree_metrics(forest: DataFrame, node: str = "node", ts: str = "ts", with_dfs
         (F.col("timediff_sum") / F.greatest(F.lit(1), F.col("degree_sum"))).cast("double").alias("mean_time_diff"),
     )
     if with_dfsness:
-        m = m.join(dfsness(forest, node=node, ts=ts), "root", "left")
+        m = m.join(dfsness(forest, node=node, ts=ts, stats=stats), "root", "left")
     return m
 
 
@@ -197,14 +198,52 @@ def _dfsness_one(nodes: pd.DataFrame) -> float | None:
     return float(np.mean(positions)) if positions else None
 
 
-def dfsness(forest: DataFrame, node: str = "node", ts: str = "ts") -> DataFrame:
-    """T21 per tree with ``applyInPandas`` (Arrow batches, one tree per call)."""
+def dfsness(forest: DataFrame, node: str = "node", ts: str = "ts", stats: DataFrame | None = None) -> DataFrame:
+    """T21 per tree (``root``, ``dfsness``); NULL where the navigator never had a choice.
+
+    A choice needs two nodes with children and a node with two or more
+    children, so only such trees are sent to Python; the others are NULL
+    without leaving the JVM. The chosen trees are hash-partitioned by root
+    and sorted, and ``mapInPandas`` walks each partition's Arrow batches,
+    carrying a tree that straddles two batches into the next one - one
+    Python call per batch, not per tree, and no tree split across tasks.
+    """
+    if stats is None:
+        stats = _closure_stats(forest, node)
+    per_node = forest.select("root", node).join(stats, node, "left")
+    choice = per_node.groupBy("root").agg(
+        F.count_if(F.col("n_children") > 0).alias("_internal"), F.max("n_children").alias("_deg")
+    )
+    roots = choice.where((F.col("_internal") >= 2) & (F.col("_deg") >= 2)).select("root")
     slim = forest.select(
         "root", F.col(node).cast("bigint").alias("node"), F.col("parent").cast("bigint").alias("parent"),
         F.unix_micros(F.col(ts)).alias("us"),
-    )
-
-    def per_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"root": [int(pdf["root"].iloc[0])], "dfsness": [_dfsness_one(pdf)]})
-
-    return slim.groupBy("root").applyInPandas(per_tree, schema=DFS_SCHEMA)
+    ).join(roots, "root", "left_semi")
+    parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = slim.repartition(parts, "root").sortWithinPartitions("root", "us", "node")
+
+    def per_partition(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["root"].iloc[-1]
+            tail = pdf["root"].to_numpy() == last
+            carry, ready = pdf[tail], pdf[~tail]
+            if len(ready):
+                yield _dfsness_frame(ready)
+        if carry is not None and len(carry):
+            yield _dfsness_frame(carry)
+
+    scored = ordered.mapInPandas(per_partition, schema=DFS_SCHEMA)
+    return choice.select("root").join(scored, "root", "left")
+
+
+def _dfsness_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+    roots, values = [], []
+    for root, g in pdf.groupby("root", sort=False):
+        roots.append(int(root))
+        values.append(_dfsness_one(g))
+    return pd.DataFrame({"root": pd.Series(roots, dtype="int64"), "dfsness": pd.Series(values, dtype="float64")})
