@@ -137,7 +137,7 @@ FROM {_EV} e WHERE k % 3 = 2
 """
 
 
-_TOKEN = "CASE WHEN k = 4 THEN 'dup' || cast(user_id % 3 AS string) ELSE 't' || cast(event_id AS string) END"
+_TOKEN = "CASE WHEN k = 4 THEN 'dup' || cast(user_id AS string) ELSE 't' || cast(event_id AS string) END"
 
 
 def responses_log_sql(d: Dialect) -> str:
