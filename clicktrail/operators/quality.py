@@ -77,23 +77,32 @@ def answer_matches(
     imp = _tokens(initiation, "impression").withColumnRenamed(TOKEN, "_tok")
     el = _tokens(initiation, "eligible").withColumnRenamed(TOKEN, "_tok")
     inside = (F.col("_ts") > F.to_timestamp(F.lit(slice_start))) & (F.col("_ts") < F.to_timestamp(F.lit(slice_stop)))
-    sc = s.join(clicks, "_tok")
-    counts = [
-        s.agg(F.count(F.lit(1)).alias("n_answers"), F.count_if(inside).alias("n_in_slice")),
-        sc.agg(F.count(F.lit(1)).alias("n_with_click"), F.count_if(inside).alias("n_click_in_slice")),
-        s.join(imp, "_tok").agg(F.count(F.lit(1)).alias("n_with_impression")),
-        s.join(el, "_tok").agg(F.count(F.lit(1)).alias("n_with_eligible")),
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.crossJoin(c)  # one-row aggregates side by side
-    return out
+    tagged = (
+        s.select(F.lit("answer").alias("_tag"), "_ts")
+        .unionByName(s.join(clicks, "_tok").select(F.lit("click").alias("_tag"), "_ts"))
+        .unionByName(s.join(imp, "_tok").select(F.lit("impression").alias("_tag"), "_ts"))
+        .unionByName(s.join(el, "_tok").select(F.lit("eligible").alias("_tag"), "_ts"))
+    )
+    tag = F.col("_tag")
+    return tagged.agg(
+        F.count_if(tag == "answer").alias("n_answers"),
+        F.count_if(tag == "click").alias("n_with_click"),
+        F.count_if(tag == "impression").alias("n_with_impression"),
+        F.count_if(tag == "eligible").alias("n_with_eligible"),
+        F.count_if((tag == "answer") & inside).alias("n_in_slice"),
+        F.count_if((tag == "click") & inside).alias("n_click_in_slice"),
+    )
 
 
 def funnel_rates(matches: DataFrame, funnel: DataFrame) -> DataFrame:
     """Yes clicks per eligible view, tracked answers per yes click, share of answers tracked."""
-    f = funnel.groupBy().pivot("metric", ["eligible", "yes"]).agg(F.first("n"))
-    return matches.crossJoin(f).select(
+    long = funnel.select("metric", F.col("n").cast("bigint").alias("n")).unionByName(
+        matches.unpivot([], ["n_answers", "n_with_click"], "metric", "n").select(
+            "metric", F.col("n").cast("bigint").alias("n")
+        )
+    )
+    wide = long.groupBy().pivot("metric", ["eligible", "yes", "n_answers", "n_with_click"]).agg(F.first("n"))
+    return wide.select(
         (F.col("yes") / F.col("eligible")).alias("yes_per_eligible"),
         (F.col("n_with_click") / F.col("yes")).alias("answers_per_yes"),
         (F.col("n_with_click") / F.col("n_answers")).alias("tracked_share"),

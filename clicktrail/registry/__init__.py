@@ -30,4 +30,11 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the two dicts
-    from clicktrail.registry import pipeline_queries, quality_queries, sessions, stats_queries, trees  # noqa: F401
+    from clicktrail.registry import (  # noqa: F401
+        pipeline_queries,
+        quality_queries,
+        sessions,
+        stats_queries,
+        text_queries,
+        trees,
+    )
