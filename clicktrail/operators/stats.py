@@ -167,29 +167,69 @@ def expand_bernoulli(props: DataFrame, x: str, hue: str, normx: bool = True) ->
 # ---------------------------------------------------------------------------
 # Beta credible intervals
 # ---------------------------------------------------------------------------
-def md5_uniform(seed: Column) -> Column:
-    """Uniform in (0, 1) from the first 32 bits of md5(seed)."""
-    bits = F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("double")
+def md5_uniform(seed: Column, slot: int = 0) -> Column:
+    """Uniform in (0, 1) from 32 bits of md5(seed): ``slot`` 0-3 picks which quarter of the digest."""
+    return _hex_uniform(F.md5(seed), slot)
+
+
+def _hex_uniform(digest: Column, slot: int) -> Column:
+    bits = F.conv(F.substring(digest, 8 * slot + 1, 8), 16, 10).cast("double")
     return (bits + F.lit(0.5)) / F.lit(4294967296.0)
 
 
-def _gamma_attempt(shape: Column, seed: Column) -> Column:
-    """One Marsaglia-Tsang proposal for Gamma(shape >= 1); NULL when rejected."""
-    d = shape - F.lit(1.0 / 3.0)
-    c = F.lit(1.0) / F.sqrt(F.lit(9.0) * d)
-    u1 = md5_uniform(F.concat(seed, F.lit(":a")))
-    u2 = md5_uniform(F.concat(seed, F.lit(":b")))
-    u3 = md5_uniform(F.concat(seed, F.lit(":c")))
-    z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-    t = F.lit(1.0) + c * z
-    v = t * t * t
-    accept = (v > 0) & (F.log(u3) < F.lit(0.5) * z * z + d - d * v + d * F.log(F.when(v > 0, v)))
-    return F.when(accept, d * v)
+GAMMA_ATTEMPTS = 6  # Marsaglia-Tsang accepts >= 95% for shape >= 1, so 6 rejections in a row are ~1e-8
 
 
-def gamma_draw(shape: Column, seed: Column, attempts: int = 12) -> Column:
-    """Gamma(shape >= 1) draw: the first accepted of ``attempts`` seeded proposals."""
-    return F.coalesce(*[_gamma_attempt(shape, F.concat(seed, F.lit(f":{a}"))) for a in range(attempts)])
+def with_gamma_draw(df: DataFrame, out: str, shape: Column, seed: Column, attempts: int = GAMMA_ATTEMPTS) -> DataFrame:
+    """Add ``out`` ~ Gamma(shape >= 1): the first accepted of ``attempts`` seeded Marsaglia-Tsang proposals.
+
+    Each attempt hashes once (md5 of seed:attempt) and takes its three
+    uniforms from separate 32-bit slices of the digest. The proposals are
+    built in staged projections so every intermediate is computed once.
+    """
+    p = f"_{out}"
+    d = df.withColumns({f"{p}d": shape - F.lit(1.0 / 3.0)})
+    d = d.withColumns(
+        {f"{p}c": F.lit(1.0) / F.sqrt(F.lit(9.0) * F.col(f"{p}d"))}
+        | {f"{p}h{a}": F.md5(F.concat(seed, F.lit(f":{a}"))) for a in range(attempts)}
+    )
+    stage = {}
+    for a in range(attempts):
+        h = F.col(f"{p}h{a}")
+        stage[f"{p}z{a}"] = F.sqrt(F.lit(-2.0) * F.log(_hex_uniform(h, 0))) * F.cos(
+            F.lit(2.0 * math.pi) * _hex_uniform(h, 1)
+        )
+        stage[f"{p}u{a}"] = _hex_uniform(h, 2)
+    d = d.withColumns(stage)
+    d = d.withColumns({f"{p}t{a}": F.lit(1.0) + F.col(f"{p}c") * F.col(f"{p}z{a}") for a in range(attempts)})
+    d = d.withColumns({f"{p}v{a}": F.col(f"{p}t{a}") * F.col(f"{p}t{a}") * F.col(f"{p}t{a}") for a in range(attempts)})
+    vals = []
+    for a in range(attempts):
+        dd, z, v, u = F.col(f"{p}d"), F.col(f"{p}z{a}"), F.col(f"{p}v{a}"), F.col(f"{p}u{a}")
+        accept = (v > 0) & (F.log(u) < F.lit(0.5) * z * z + dd - dd * v + dd * F.log(F.when(v > 0, v)))
+        vals.append(F.when(accept, dd * v))
+    d = d.withColumns({out: F.coalesce(*vals)})
+    return d.drop(*[c for c in d.columns if c.startswith(p)])
+
+
+def _spread_draws(cells: DataFrame, draws: int) -> DataFrame:
+    """One row per (cell, draw 1..draws), spread over the cluster.
+
+    The cell table is tiny, so adaptive execution would put it in one
+    partition and every draw in one task. Each cell is first cut into
+    chunks that go round-robin to an explicit number of partitions (which
+    adaptive coalescing leaves alone); draws are generated inside the chunks.
+    """
+    chunks = max(1, min(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), draws))
+    per = -(-draws // chunks)
+    spread = (
+        cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_c"))
+        .where(F.col("_c") * per < draws)
+        .repartition(chunks)
+    )
+    first = F.col("_c") * per + 1
+    last = F.least((F.col("_c") + 1) * per, F.lit(draws))
+    return spread.select(*cells.columns, F.explode(F.sequence(first, last)).alias("_d"))
 
 
 def beta_interval(
@@ -210,12 +250,9 @@ def beta_interval(
     cells = counts.select(F.col(k).cast("bigint").alias("_k"), F.col(n).cast("bigint").alias("_nn")).distinct()
     base = F.concat(F.lit(seed), F.lit("/"), F.col("_k").cast("string"), F.lit("/"), F.col("_nn").cast("string"),
                     F.lit("/"), F.col("_d").cast("string"))
-    drawn = cells.select("_k", "_nn", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d")).select(
-        "_k",
-        "_nn",
-        gamma_draw((F.col("_k") + 1).cast("double"), F.concat(base, F.lit("/x"))).alias("_x"),
-        gamma_draw((F.col("_nn") - F.col("_k") + 1).cast("double"), F.concat(base, F.lit("/y"))).alias("_y"),
-    )
+    drawn = _spread_draws(cells, draws)
+    drawn = with_gamma_draw(drawn, "_x", (F.col("_k") + 1).cast("double"), F.concat(base, F.lit("/x")))
+    drawn = with_gamma_draw(drawn, "_y", (F.col("_nn") - F.col("_k") + 1).cast("double"), F.concat(base, F.lit("/y")))
     q = drawn.groupBy("_k", "_nn").agg(
         F.percentile(F.col("_x") / (F.col("_x") + F.col("_y")), F.array(F.lit(lo), F.lit(hi))).alias("_q")
     )

@@ -35,6 +35,7 @@ def load_all() -> None:
         quality_queries,
         sessions,
         stats_queries,
+        temporal_queries,
         text_queries,
         trees,
     )
