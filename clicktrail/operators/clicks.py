@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktrail.functions.keys import client_key, event_log_ts, strip_quotes
-from clicktrail.operators.joins import broadcast_if_small
+from clicktrail.operators.joins import adaptive
 from clicktrail.sources.adapters import YES_BUTTON
 
 
@@ -67,8 +67,9 @@ def prepared_clicks(responses: DataFrame, pages: DataFrame) -> DataFrame:
 def join_traces_clicks(traces: DataFrame, clicks: DataFrame) -> DataFrame:
     """Inner equi-join of traces and clicks on the client key.
 
-    Clicks are few next to traces, so the click side is broadcast when its
-    checked row count allows; traces then stream through without a shuffle.
+    Clicks are few next to traces: adaptive execution broadcasts the click
+    side once its real size is known to be small, so traces stream through
+    without a shuffle; otherwise both sides are shuffled on the key.
     """
     t = traces.select(
         client_key(F.col("ip"), F.col("ua")).alias("key"),
@@ -76,7 +77,7 @@ def join_traces_clicks(traces: DataFrame, clicks: DataFrame) -> DataFrame:
         F.col("geocoded_data").alias("geo_data"),
         F.col("user_agent_map").alias("ua_data"),
     )
-    joined = t.join(broadcast_if_small(clicks), "key", "inner")
+    joined = t.join(adaptive(clicks), "key", "inner")
     return joined.select("key", "requests", "click_data", "geo_data", "ua_data")
 
 

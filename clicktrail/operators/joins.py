@@ -12,13 +12,23 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1 rows)."""
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1 rows).
+
+    This runs a job over ``df``; use it only on cheap inputs (a table scan),
+    never on a derived plan, which it would compute twice.
+    """
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a row-count check; otherwise leave the choice to the planner (shuffle join)."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def adaptive(df: DataFrame) -> DataFrame:
+    """Join side whose size is only known at run time.
+
+    No hint: adaptive execution measures the shuffled side and switches the
+    sort-merge join to a broadcast hash join only when it is below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` - a size check made on
+    real data, with the shuffle join as the way beyond it, and no extra job.
+    """
+    return df
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.functions.keys import form_ts, strip_quotes
 from clicktrail.operators import stats as ST
-from clicktrail.operators.joins import broadcast_if_small
+from clicktrail.operators.joins import adaptive
 from clicktrail.sources.adapters import NO_BUTTON, Q_TIMESTAMP, Q_TOKEN, YES_BUTTON
 
 TOKEN = "event_surveyInstanceToken"
@@ -137,7 +137,7 @@ def ua_share_delta(ua_counts_df: DataFrame, initiation: DataFrame, top: int = 10
     top_agents = ST.top_k(ua_counts_df, [F.desc("n"), F.asc("user_agent")], top)
     web = ST.share_of_external(top_agents, "n", total).withColumnRenamed("proportion", "proportion_web")
     el = ua_shares(initiation).select(F.col("user_agent").alias("_ua"), F.col("proportion").alias("proportion_el"))
-    merged = web.join(broadcast_if_small(el), web["user_agent"] == el["_ua"], "left").drop("_ua").fillna(
+    merged = web.join(adaptive(el), web["user_agent"] == el["_ua"], "left").drop("_ua").fillna(
         0.0, subset=["proportion_el"]
     )
     merged = merged.withColumn("delta", F.col("proportion_web") - F.col("proportion_el"))

@@ -63,14 +63,18 @@ def raw_title(df: DataFrame) -> DataFrame:
     )
 
 
-def resolve_redirects(df: DataFrame, redirects: DataFrame, broadcast_max_rows: int = 5_000_000) -> DataFrame:
+def resolve_redirects(df: DataFrame, redirects: DataFrame, broadcast_max_rows: int | None = None) -> DataFrame:
     """J1 + P4: left join on the raw title; canonical title = redirect target, else raw title, NULL for non-page views.
 
-    The redirect table is one row per source title; it is broadcast only after
-    its row count is checked, otherwise both sides are shuffled on the title.
+    The redirect table is one row per source title. Pass ``broadcast_max_rows``
+    when it is a plain table: it is then broadcast only after its row count
+    is checked. Otherwise adaptive execution picks broadcast or shuffle from
+    the measured size; the NULL titles of non-page views never match, so a
+    shuffled join sends them to one reducer only to be split by AQE's skew
+    handling.
     """
     r = redirects.select(F.col("rd_from"), F.col("rd_to"))
-    if fits(r, broadcast_max_rows):
+    if broadcast_max_rows is not None and fits(r, broadcast_max_rows):
         r = F.broadcast(r)
     joined = df.join(r, df["raw_title"] == r["rd_from"], "left")
     title = F.when(~F.col("is_pageview"), F.lit(None).cast("string")).otherwise(

@@ -146,3 +146,30 @@ def pick_session(sessions: DataFrame, client_cols: Sequence[str], seed: str, ses
 def session_host(first_access_method: Column) -> Column:
     """host of a session from its first request; 'unknown' if missing."""
     return F.coalesce(first_access_method, F.lit("unknown"))
+
+
+def session_summary(rows: DataFrame, key_cols: Sequence[str], ts: str = "ts") -> DataFrame:
+    """T4-T6 (+ F24) over rows that already form one session per key: page views, length in
+    minutes (whole seconds, 0 below two requests), search-referred requests, and the host of
+    the first request."""
+    us = F.unix_micros(F.col(ts))
+    first = F.min_by(F.col("access_method"), F.struct(us, F.col("id") if "id" in rows.columns else us))
+    out = rows.groupBy(*key_cols).agg(
+        F.count(F.lit(1)).alias("n_requests"),
+        F.count_if(F.col("is_pageview")).alias("num_pageviews"),
+        F.floor(F.min(us) / F.lit(1_000_000)).alias("_first"),
+        F.floor(F.max(us) / F.lit(1_000_000)).alias("_last"),
+        F.count_if(F.col("referer_class") == SEARCH_REFERER).alias("external_searches"),
+        first.alias("_first_access"),
+    )
+    length = F.when(F.col("n_requests") < 2, F.lit(0.0)).otherwise(
+        ((F.col("_last") - F.col("_first")) / F.lit(60.0)).cast("double")
+    )
+    return out.select(
+        *key_cols,
+        F.col("n_requests").cast("bigint").alias("n_requests"),
+        F.col("num_pageviews").cast("bigint").alias("num_pageviews"),
+        length.alias("session_length"),
+        F.col("external_searches").cast("bigint").alias("external_searches"),
+        session_host(F.col("_first_access")).alias("host"),
+    )

@@ -257,9 +257,7 @@ def beta_interval(
         F.percentile(F.col("_x") / (F.col("_x") + F.col("_y")), F.array(F.lit(lo), F.lit(hi))).alias("_q")
     )
     q = q.select("_k", "_nn", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"))
-    joined = counts.join(
-        F.broadcast(q), (counts[k].cast("bigint") == q["_k"]) & (counts[n].cast("bigint") == q["_nn"]), "left"
-    )
+    joined = counts.join(q, (counts[k].cast("bigint") == q["_k"]) & (counts[n].cast("bigint") == q["_nn"]), "left")
     return joined.drop("_k", "_nn")
 
 
@@ -352,7 +350,7 @@ def box_summary(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
         F.percentile(_c(y).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
     ).select(*dims, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     rows = df.select(*dcols, _c(y).cast("double").alias("_y"))
-    j = null_safe_join(rows, F.broadcast(q), list(dims), "inner")
+    j = null_safe_join(rows, q, list(dims), "inner")
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col("_y") >= F.col("q1") - 1.5 * iqr) & (F.col("_y") <= F.col("q3") + 1.5 * iqr)
     return j.groupBy(*dims, "q1", "median", "q3").agg(

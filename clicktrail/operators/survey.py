@@ -11,7 +11,7 @@ from clicktrail.functions import recode as RC
 from clicktrail.functions.keys import form_ts
 from clicktrail.operators.asof import asof_click_request
 from clicktrail.operators.clicks import yes_clicks
-from clicktrail.operators.joins import broadcast_if_small, keep_unique
+from clicktrail.operators.joins import adaptive, keep_unique
 from clicktrail.sources import adapters as A
 
 LAUNCH_CUTOFF = "2016-02-29 16:17:00"  # fixed value: survey launch, answers before it are tests
@@ -76,7 +76,7 @@ def responses_with_traces(
     """P10 -> J5 -> P11 -> W6/J6 -> P13 -> W2 -> W3 -> P20 (this order changes results)."""
     ct = lift_click(click_traces)
     s = survey_in_el
-    df = s.join(broadcast_if_small(ct), s["token"] == ct["survey_token"], "inner").drop("token")  # J5
+    df = s.join(adaptive(ct), s["token"] == ct["survey_token"], "inner").drop("token")  # J5
     df = df.withColumnsRenamed(
         {"submit_timestamp": "survey_submit_dt", "key": "client_token", "requests": "trace_data"}
     )

@@ -1,13 +1,15 @@
 """Referer forests (T2, T3), the tree holding a click (J9), tree picks (F27) and tree metrics.
 
-A forest is an edge table, one row per request: ``node`` (unique request
-id), ``parent`` (NULL for a root), plus ``root``, ``depth`` and ``path``
-(node ids from the root down to the node). Spark has no recursive types, so
-root, depth and path come from pointer doubling over the edge table: in
-round k every node follows its 2^k-th ancestor and appends that ancestor's
-list, so a tree of depth d needs ceil(log2(d + 1)) rounds, each one
-distributed equi-join. Every round is checkpointed to the session's shared
-checkpoint folder, which keeps the plan short and survives lost executors.
+A forest is an edge table, one row per request: ``node`` (request id,
+unique within its group - a session), ``parent`` (NULL for a root), plus
+``root``, ``depth`` and ``path`` (node ids from the root down to the node).
+A tree is identified by (group columns, root). Spark has no recursive
+types, so root, depth and path come from pointer doubling over the edge
+table: in round k every node follows its 2^k-th ancestor and appends that
+ancestor's list, so a tree of depth d needs ceil(log2(d + 1)) rounds, each
+one distributed equi-join on (group, node). Every round is checkpointed to
+the session's shared checkpoint folder, which keeps the plan short and
+survives lost executors.
 """
 
 from __future__ import annotations
@@ -21,17 +23,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clicktrail.operators.asof import assign_parents
+from clicktrail.operators.joins import null_safe_join
 from clicktrail.session import ensure_checkpoint_dir
 
 
-def resolve_ancestors(edges: DataFrame, node: str = "node", parent: str = "parent", max_rounds: int = 64) -> DataFrame:
+def _eq(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]):
+    cond = None
+    for a, b in pairs:
+        c = left[a].eqNullSafe(right[b])
+        cond = c if cond is None else cond & c
+    return cond
+
+
+def _and(cond, extra):
+    return extra if cond is None else cond & extra
+
+
+def resolve_ancestors(
+    edges: DataFrame,
+    group_cols: Sequence[str] = (),
+    node: str = "node",
+    parent: str = "parent",
+    max_rounds: int = 64,
+) -> DataFrame:
     """Pointer doubling: add ``ancestors`` (nearest first), ``root`` and ``depth`` to an edge table."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    g = list(group_cols)
+    ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.checkpoint(eager=True)  # every later step reads the materialised edges
     state = edges.select(
-        F.col(node).alias("_n"),
-        F.col(parent).alias("_hop"),
+        *g,
+        F.col(node).cast("bigint").alias("_n"),
+        F.col(parent).cast("bigint").alias("_hop"),
         F.when(F.col(parent).isNull(), F.array().cast("array<bigint>"))
         .otherwise(F.array(F.col(parent).cast("bigint")))
         .alias("_anc"),
@@ -41,20 +63,28 @@ def resolve_ancestors(edges: DataFrame, node: str = "node", parent: str = "paren
         if active.isEmpty():
             break
         done = state.where(F.col("_hop").isNull())
-        target = state.select(F.col("_n").alias("_t"), F.col("_hop").alias("_thop"), F.col("_anc").alias("_tanc"))
-        stepped = active.join(target, active["_hop"] == target["_t"], "inner").select(
-            "_n", F.col("_thop").alias("_hop"), F.concat("_anc", "_tanc").alias("_anc")
+        target = state.select(
+            *[F.col(c).alias(f"_g_{c}") for c in g],
+            F.col("_n").alias("_t"),
+            F.col("_hop").alias("_thop"),
+            F.col("_anc").alias("_tanc"),
+        )
+        cond = _and(_eq(active, target, [(c, f"_g_{c}") for c in g]), active["_hop"] == target["_t"])
+        stepped = active.join(target, cond, "inner").select(
+            *g, "_n", F.col("_thop").alias("_hop"), F.concat("_anc", "_tanc").alias("_anc")
         )
         state = done.unionByName(stepped).checkpoint(eager=True)
     else:
         raise RuntimeError("parent pointers did not converge: the edge table has a cycle")
     resolved = state.select(
-        F.col("_n").alias(node),
+        *[F.col(c).alias(f"_g_{c}") for c in g],
+        F.col("_n").alias("_rn"),
         F.col("_anc").alias("ancestors"),
         F.coalesce(F.try_element_at("_anc", F.lit(-1)), F.col("_n")).alias("root"),
         F.size("_anc").cast("int").alias("depth"),
     )
-    return edges.join(resolved, on=node, how="inner")
+    cond = _and(_eq(edges, resolved, [(c, f"_g_{c}") for c in g]), edges[node].cast("bigint") == resolved["_rn"])
+    return edges.join(resolved, cond, "inner").drop("_rn", *[f"_g_{c}" for c in g])
 
 
 def build_forest(
@@ -66,40 +96,57 @@ def build_forest(
 ) -> DataFrame:
     """T2 + T3: referer forest of each group (a session); needs ``page_key`` and ``referer_key`` columns."""
     with_parents = assign_parents(rows, group_cols, node=node, ts=ts, ambiguity=ambiguity)
-    forest = resolve_ancestors(with_parents, node=node, parent="parent")
+    forest = resolve_ancestors(with_parents, group_cols, node=node, parent="parent")
     return forest.withColumn(
         "path", F.concat(F.reverse(F.col("ancestors")), F.array(F.col(node).cast("bigint")))
     )
 
 
-def click_tree(forest: DataFrame, clicks: DataFrame, node: str = "node", click_node: str = "click_node") -> DataFrame:
-    """The nodes of the tree that contains each click request (inner: clicks outside any tree drop out)."""
-    roots = clicks.join(forest.select(F.col(node).alias(click_node), F.col("root").alias("_click_root")), click_node)
-    return forest.join(roots.select(click_node, "_click_root"), forest["root"] == roots["_click_root"]).drop(
-        "_click_root"
+def click_tree(
+    forest: DataFrame, clicks: DataFrame, group_cols: Sequence[str], node: str = "node", click_node: str = "click_node"
+) -> DataFrame:
+    """Forest rows of the tree that holds each click's request (clicks outside any tree drop out).
+
+    ``clicks`` has the group columns and ``click_node``.
+    """
+    g = list(group_cols)
+    c = clicks.select(*g, F.col(click_node).cast("bigint").alias("_cn"))
+    f_nodes = forest.select(
+        *[F.col(x).alias(f"_f_{x}") for x in g], F.col(node).cast("bigint").alias("_fn"), F.col("root").alias("_fr")
     )
+    cond = _and(_eq(c, f_nodes, [(x, f"_f_{x}") for x in g]), c["_cn"] == f_nodes["_fn"])
+    click_roots = c.join(f_nodes, cond).select(*g, F.col("_fr").alias("root")).distinct()
+    return null_safe_join(forest, click_roots, g + ["root"], "left_semi")
 
 
 def pick_tree(forest: DataFrame, group_cols: Sequence[str], seed: str) -> DataFrame:
     """one tree per group, chosen by a seeded md5 rank over the roots; returns that tree's nodes."""
-    roots = forest.where(F.col("parent").isNull()).select(*group_cols, "root")
-    w = Window.partitionBy(*group_cols).orderBy(F.md5(F.concat(F.col("root").cast("string"), F.lit(seed))), "root")
-    chosen = roots.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("root")
-    return forest.join(chosen, "root", "left_semi")
+    g = list(group_cols)
+    roots = forest.where(F.col("parent").isNull()).select(*g, "root")
+    w = Window.partitionBy(*g).orderBy(F.md5(F.concat(F.col("root").cast("string"), F.lit(seed))), "root")
+    chosen = roots.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*g, "root")
+    return null_safe_join(forest, chosen, g + ["root"], "left_semi")
 
 
-def _closure_stats(forest: DataFrame, node: str) -> DataFrame:
+def _closure_stats(forest: DataFrame, group_cols: Sequence[str], node: str) -> DataFrame:
     """Per node: children, descendants and height, from the ancestor lists (one row per ancestor link)."""
-    links = forest.select(F.posexplode("ancestors").alias("_pos", "_anc"))
-    return links.groupBy(F.col("_anc").alias(node)).agg(
+    g = list(group_cols)
+    links = forest.select(*g, F.posexplode("ancestors").alias("_pos", "_anc"))
+    return links.groupBy(*g, F.col("_anc").cast("bigint").alias(node)).agg(
         F.count_if(F.col("_pos") == 0).alias("n_children"),
         F.count(F.lit(1)).alias("n_desc"),
         (F.max("_pos") + 1).alias("height"),
     )
 
 
-def tree_metrics(forest: DataFrame, node: str = "node", ts: str = "ts", with_dfsness: bool = True) -> DataFrame:
-    """One row of metrics per tree (``root``).
+def tree_metrics(
+    forest: DataFrame,
+    group_cols: Sequence[str] = (),
+    node: str = "node",
+    ts: str = "ts",
+    with_dfsness: bool = True,
+) -> DataFrame:
+    """One row of metrics per tree (group columns + ``root``).
 
     size, size_sum (sum of subtree sizes = sum of depth + 1), size_sq_sum,
     num_leafs, depth_max, depth_sum (sum of subtree heights), degree_max,
@@ -107,10 +154,14 @@ def tree_metrics(forest: DataFrame, node: str = "node", ts: str = "ts", with_dfs
     root's own children (NULL for a single node), ambiguous_max/sum,
     mean_time_diff = timediff_sum / max(1, degree_sum) and dfsness.
     Subtree sizes and heights come from the closure (ancestor links), which
-    is aggregated map-side per ancestor before the shuffle.
+    is aggregated map-side per ancestor before the shuffle. Time sums are
+    exact integer microseconds, turned into seconds once.
     """
-    stats = _closure_stats(forest, node)
-    n = forest.join(stats, node, "left").select(
+    g = list(group_cols)
+    stats = _closure_stats(forest, g, node)
+    base = forest.withColumn(node, F.col(node).cast("bigint"))
+    n = null_safe_join(base, stats, g + [node], "left").select(
+        *g,
         "root",
         node,
         "depth",
@@ -120,7 +171,7 @@ def tree_metrics(forest: DataFrame, node: str = "node", ts: str = "ts", with_dfs
         (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("parent_ts"))).alias("dt_us"),
         F.col("parent_ambiguous").cast("int").alias("amb"),
     )
-    m = n.groupBy("root").agg(
+    m = n.groupBy(*g, "root").agg(
         F.count(F.lit(1)).alias("size"),
         F.sum(F.col("depth") + 1).alias("size_sum"),
         F.sum(F.col("subtree") * F.col("subtree")).alias("size_sq_sum"),
@@ -129,31 +180,34 @@ def tree_metrics(forest: DataFrame, node: str = "node", ts: str = "ts", with_dfs
         F.sum("height").alias("depth_sum"),
         F.max("n_children").alias("degree_max"),
         F.count("dt_us").alias("degree_sum"),
-        # whole microseconds are summed exactly; seconds are derived once at the end
         (F.coalesce(F.sum("dt_us"), F.lit(0)).cast("double") / F.lit(1e6)).alias("timediff_sum"),
         (F.min(F.when(F.col("depth") == 1, F.col("dt_us"))).cast("double") / F.lit(1e6)).alias("timediff_min"),
         (F.max(F.when(F.col("depth") == 1, F.col("dt_us"))).cast("double") / F.lit(1e6)).alias("timediff_max"),
         F.max("amb").alias("ambiguous_max"),
         F.sum("amb").alias("ambiguous_sum"),
+        F.count_if(F.col("n_children") > 0).alias("_internal"),
     )
     m = m.select(
+        *g,
         "root",
         *[F.col(c).cast("bigint").alias(c) for c in (
             "size", "size_sum", "size_sq_sum", "num_leafs", "depth_max", "depth_sum", "degree_max", "degree_sum",
         )],
-        F.col("timediff_sum").cast("double").alias("timediff_sum"),
-        F.col("timediff_min").cast("double").alias("timediff_min"),
-        F.col("timediff_max").cast("double").alias("timediff_max"),
+        "timediff_sum",
+        "timediff_min",
+        "timediff_max",
         F.col("ambiguous_max").cast("bigint").alias("ambiguous_max"),
         F.col("ambiguous_sum").cast("bigint").alias("ambiguous_sum"),
         (F.col("timediff_sum") / F.greatest(F.lit(1), F.col("degree_sum"))).cast("double").alias("mean_time_diff"),
+        "_internal",
     )
-    if with_dfsness:
-        m = m.join(dfsness(forest, node=node, ts=ts, stats=stats), "root", "left")
-    return m
-
-
-DFS_SCHEMA = T.StructType([T.StructField("root", T.LongType()), T.StructField("dfsness", T.DoubleType())])
+    if not with_dfsness:
+        return m.drop("_internal")
+    # a choice needs two nodes with children and a node with two or more children;
+    # other trees stay NULL without leaving the JVM
+    choice = m.where((F.col("_internal") >= 2) & (F.col("degree_max") >= 2)).select(*g, "root")
+    scored = dfsness(forest, g, node=node, ts=ts, trees=choice)
+    return null_safe_join(m.drop("_internal"), scored, g + ["root"], "left")
 
 
 def _dfsness_one(nodes: pd.DataFrame) -> float | None:
@@ -198,29 +252,46 @@ def _dfsness_one(nodes: pd.DataFrame) -> float | None:
     return float(np.mean(positions)) if positions else None
 
 
-def dfsness(forest: DataFrame, node: str = "node", ts: str = "ts", stats: DataFrame | None = None) -> DataFrame:
-    """T21 per tree (``root``, ``dfsness``); NULL where the navigator never had a choice.
+def dfsness(
+    forest: DataFrame,
+    group_cols: Sequence[str] = (),
+    node: str = "node",
+    ts: str = "ts",
+    trees: DataFrame | None = None,
+) -> DataFrame:
+    """(group columns, root, dfsness) for the trees in ``trees`` (default: all trees).
 
-    A choice needs two nodes with children and a node with two or more
-    children, so only such trees are sent to Python; the others are NULL
-    without leaving the JVM. The chosen trees are hash-partitioned by root
-    and sorted, and ``mapInPandas`` walks each partition's Arrow batches,
-    carrying a tree that straddles two batches into the next one - one
-    Python call per batch, not per tree, and no tree split across tasks.
+    The trees are hash-partitioned by their key and sorted, and
+    ``mapInPandas`` walks each partition's Arrow batches, carrying a tree
+    that straddles two batches into the next one - one Python call per
+    batch, not per tree, and no tree split across tasks.
     """
-    if stats is None:
-        stats = _closure_stats(forest, node)
-    per_node = forest.select("root", node).join(stats, node, "left")
-    choice = per_node.groupBy("root").agg(
-        F.count_if(F.col("n_children") > 0).alias("_internal"), F.max("n_children").alias("_deg")
-    )
-    roots = choice.where((F.col("_internal") >= 2) & (F.col("_deg") >= 2)).select("root")
+    g = list(group_cols)
+    key = g + ["root"]
     slim = forest.select(
-        "root", F.col(node).cast("bigint").alias("node"), F.col("parent").cast("bigint").alias("parent"),
+        *g, "root", F.col(node).cast("bigint").alias("node"), F.col("parent").cast("bigint").alias("parent"),
         F.unix_micros(F.col(ts)).alias("us"),
-    ).join(roots, "root", "left_semi")
+    )
+    if trees is not None:
+        slim = null_safe_join(slim, trees.select(*key), key, "left_semi")
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.repartition(parts, "root").sortWithinPartitions("root", "us", "node")
+    ordered = slim.repartition(parts, *key).sortWithinPartitions(*key, "us", "node")
+    out_schema = T.StructType([slim.schema[c] for c in key] + [T.StructField("dfsness", T.DoubleType())])
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for k, grp in pdf.groupby(key, sort=False, dropna=False):
+            k = k if isinstance(k, tuple) else (k,)
+            rows.append((*k, _dfsness_one(grp)))
+        return pd.DataFrame(rows, columns=key + ["dfsness"])
+
+    def same_as_last(pdf: pd.DataFrame) -> np.ndarray:
+        last = pdf.iloc[-1]
+        tail = np.ones(len(pdf), dtype=bool)
+        for c in key:
+            col = pdf[c]
+            tail &= (col == last[c]).to_numpy() | (col.isna().to_numpy() & bool(pd.isna(last[c])))
+        return tail
 
     def per_partition(batches):
         carry = None
@@ -229,21 +300,11 @@ def dfsness(forest: DataFrame, node: str = "node", ts: str = "ts", stats: DataFr
                 pdf = pd.concat([carry, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            last = pdf["root"].iloc[-1]
-            tail = pdf["root"].to_numpy() == last
+            tail = same_as_last(pdf)
             carry, ready = pdf[tail], pdf[~tail]
             if len(ready):
-                yield _dfsness_frame(ready)
+                yield score(ready)
         if carry is not None and len(carry):
-            yield _dfsness_frame(carry)
-
-    scored = ordered.mapInPandas(per_partition, schema=DFS_SCHEMA)
-    return choice.select("root").join(scored, "root", "left")
-
+            yield score(carry)
 
-def _dfsness_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    roots, values = [], []
-    for root, g in pdf.groupby("root", sort=False):
-        roots.append(int(root))
-        values.append(_dfsness_one(g))
-    return pd.DataFrame({"root": pd.Series(roots, dtype="int64"), "dfsness": pd.Series(values, dtype="float64")})
+    return ordered.mapInPandas(per_partition, schema=out_schema)

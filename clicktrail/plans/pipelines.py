@@ -71,3 +71,95 @@ def flat_trace_summary(traces: DataFrame) -> DataFrame:
         F.size(req).cast("bigint").alias("n_requests"),
         F.when(F.size(req) > 0, F.array_join(F.transform(req, lambda r: r["title"]), ",")).alias("titles"),
     )
+
+
+# ---------------------------------------------------------------- sessions and trees of responses
+def trace_rows(df: DataFrame, key_cols: Sequence[str], trace_col: str = "trace_data") -> DataFrame:
+    """One row per request of each nested trace, with its position ``id``."""
+    exploded = df.select(*key_cols, F.posexplode(trace_col).alias("_pos", "_r"))
+    fields = [f.name for f in df.schema[trace_col].dataType.elementType.fields if f.name != "id"]
+    return exploded.select(*key_cols, F.col("_pos").cast("int").alias("id"), *[F.col("_r")[f].alias(f) for f in fields])
+
+
+def sessions_and_trees(
+    responses: DataFrame, key: str = "survey_token", gap_minutes: float = 60, ambiguity: str = "reference"
+) -> tuple[DataFrame, DataFrame]:
+    """W5 -> J7 -> T2 -> J9 for each response: (rows of the click session, nodes of the click tree).
+
+    Sessions, the session holding the click request, its referer forest and
+    the tree holding the click are all relational steps on exploded trace
+    rows keyed by the response.
+    """
+    from clicktrail.functions.urls import page_key, referer_key
+    from clicktrail.operators import sessions as SS
+    from clicktrail.operators import trees as TR
+    from clicktrail.operators.joins import null_safe_join
+
+    # responses feed three branches below; materialise them once
+    responses = responses.checkpoint(eager=True)
+    rows = trace_rows(responses, [key])
+    s = SS.sessionize(rows, [key], gap_minutes=gap_minutes)
+    clicks = responses.select(key, F.col("click_request.id").cast("int").alias("click_id"))
+    hit = s.join(clicks, [key]).where(F.col("id") == F.col("click_id")).select(key, "session_id", "click_id")
+    session_rows = null_safe_join(s, hit.select(key, "session_id"), [key, "session_id"], "left_semi")  # J7
+    keyed = session_rows.withColumn("page_key", page_key(F.col("uri_path"), F.col("uri_query"))).withColumn(
+        "referer_key", referer_key(F.col("referer"))
+    )
+    forest = TR.build_forest(keyed, [key, "session_id"], node="id", ambiguity=ambiguity)  # T2
+    tree = TR.click_tree(forest, hit, [key, "session_id"], node="id", click_node="click_id")  # J9
+    return session_rows, tree
+
+
+def metric_report(
+    responses: DataFrame, key: str = "survey_token", gap_minutes: float = 60
+) -> tuple[DataFrame, DataFrame]:
+    """Per response, click-session metrics (T4-T6) and click-tree metrics (T7-T22), joined to the
+    answers with a 'single motivation' column (P18)."""
+    from clicktrail.functions.recode import single_motivation
+    from clicktrail.operators import sessions as SS
+    from clicktrail.operators import trees as TR
+
+    responses = responses.checkpoint(eager=True)
+    session_rows, tree = sessions_and_trees(responses, key, gap_minutes)
+    answers = responses.select(
+        key, F.col("host").alias("response_host"), "`information depth`", "`prior knowledge`",
+        single_motivation(F.col("motivation")).alias("single motivation"),
+    )
+    sess = SS.session_summary(session_rows, [key]).drop("host").join(answers, key)
+    trees = TR.tree_metrics(tree, [key, "session_id"], node="id").drop("session_id").join(answers, key)
+    return sess, trees
+
+
+def click_vs_sample(
+    responses: DataFrame,
+    sample_traces: DataFrame,
+    key: str = "survey_token",
+    gap_minutes: float = 60,
+    seed: str = "sample",
+) -> DataFrame:
+    """X7 data: click sessions of responses and one random session per sampled trace, labelled by
+    condition (U2), with host from the first request (F24), known hosts only (P21), and T4/T5."""
+    from clicktrail.operators import sessions as SS
+    from clicktrail.operators.joins import null_safe_join
+    from clicktrail.sources.io import load_sample
+
+    responses = responses.checkpoint(eager=True)
+    click_rows, _ = sessions_and_trees(responses, key, gap_minutes)
+    click = SS.session_summary(click_rows, [key]).withColumn("condition", F.lit("click"))
+    trace_id = F.concat_ws("\t", "ip", "ua", F.to_json("geocoded_data"), F.to_json("user_agent_map"))
+    sample = load_sample(sample_traces.withColumn("_trace_id", trace_id))
+    srows = trace_rows(sample, ["_trace_id"])
+    s = SS.sessionize(srows, ["_trace_id"], gap_minutes=gap_minutes)
+    picked = SS.pick_session(s.select("_trace_id", "session_id").distinct(), ["_trace_id"], seed)  # F26
+    s = null_safe_join(s, picked, ["_trace_id", "session_id"], "left_semi")
+    samp = SS.session_summary(s, ["_trace_id"]).withColumn("condition", F.lit("sample"))
+    cols = ["n_requests", "num_pageviews", "session_length", "external_searches", "host", "condition"]
+    both = click.select(*cols).unionByName(samp.select(*cols))  # U2 + P24
+    return both.where(F.col("host") != "unknown")  # P21
+
+
+def compare_conditions(df: DataFrame, metric: str) -> DataFrame:
+    """Mean of a metric per host and condition, with counts."""
+    return df.groupBy("host", "condition").agg(
+        F.avg(metric).cast("double").alias("mean"), F.count(F.lit(1)).alias("n")
+    )

@@ -33,6 +33,7 @@ def load_all() -> None:
     from clicktrail.registry import (  # noqa: F401
         pipeline_queries,
         quality_queries,
+        report_queries,
         sessions,
         stats_queries,
         temporal_queries,

@@ -145,7 +145,8 @@ RWT_SQL = (
     ALL + survey_ctes(CUTOFF) + "," + CLICKS
     + f""",
 joined AS (
-  SELECT s.*, a.key AS client_token, a.survey_token, a.click_request_id, a.time_to_click
+  SELECT s.*, a.key AS client_token, a.survey_token, a.click_request_id, a.time_to_click,
+         a.client_ip, a.user_agent, a.timezone, a.country, a.browser_family
   FROM survey_in_el s JOIN click_asof a ON a.survey_token = s.token
   WHERE a.click_request_id IS NOT NULL),
 w2 AS (SELECT * FROM joined WHERE survey_token IN
@@ -157,6 +158,10 @@ SELECT survey_token, client_token, host, click_request_id, time_to_click, inform
 FROM w3 WHERE time_to_click < {MAX_SECONDS}
 """
 )
+# CTE 'rwt': the responses with traces, keeping the trace identity for the request rows
+RWT_CTES = RWT_SQL[: RWT_SQL.rindex("SELECT survey_token, client_token")] .rstrip() + f""",
+rwt AS (SELECT * FROM w3 WHERE time_to_click < {MAX_SECONDS})
+"""
 
 
 @register("responses_with_traces", RWT_SQL)

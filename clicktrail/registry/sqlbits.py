@@ -39,21 +39,67 @@ def referer_key(url: str = "referer") -> str:
     return join_path(referer_path(url), referer_query(url))
 
 
-def sessionized(source: str, gap_us: int, name: str = "sessionized") -> str:
-    """CTEs ``{name}_lag`` and ``{name}`` numbering gap sessions of ``source`` per client."""
+def sessionized(
+    source: str, gap_us: int, name: str = "sessionized", key: str = "client_ip, user_agent", order: str = "ts, req_id"
+) -> str:
+    """CTEs ``{name}_lag`` and ``{name}`` numbering gap sessions of ``source`` per ``key``."""
     return f"""
 {name}_lag AS (
   SELECT *, epoch_us(ts) AS us,
-         lag(epoch_us(ts)) OVER (PARTITION BY client_ip, user_agent ORDER BY ts, req_id) AS prev_us
+         lag(epoch_us(ts)) OVER (PARTITION BY {key} ORDER BY {order}) AS prev_us
   FROM {source}),
 {name} AS (
   SELECT *, cast(sum(CASE WHEN prev_us IS NULL OR us - prev_us > {gap_us} THEN 1 ELSE 0 END)
-              OVER (PARTITION BY client_ip, user_agent ORDER BY ts, req_id
+              OVER (PARTITION BY {key} ORDER BY {order}
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS INTEGER) AS session_id
   FROM {name}_lag)
 """
 
 
+def forest_sql(src: str, group: list[str], p: str) -> str:
+    """CTEs ``{p}_cand``, ``{p}_edges``, ``{p}_rec`` and ``{p}_nodes`` over ``src`` (columns: group...,
+    node, us, page_key, referer_key). Needs WITH RECURSIVE."""
+    on = " AND ".join(f"pp.{g} = v.{g}" for g in group)
+    using = ", ".join(group)
+    gsel = ", ".join(f"e.{g}" for g in group)
+    return f"""
+{p}_cand AS (
+  SELECT {", ".join(f"v.{g}" for g in group)}, v.node,
+         arg_max(pp.node, struct_pack(u := pp.us, n := pp.node)) AS parent, max(pp.us) AS parent_us
+  FROM {src} v JOIN {src} pp
+    ON {on} AND pp.page_key = v.referer_key AND (pp.us < v.us OR (pp.us = v.us AND pp.node < v.node))
+  GROUP BY {", ".join(f"v.{g}" for g in group)}, v.node),
+{p}_edges AS (SELECT k.*, c.parent, c.parent_us FROM {src} k LEFT JOIN {p}_cand c USING ({using}, node)),
+{p}_rec AS (
+  SELECT {using}, node, node AS root, 0 AS depth FROM {p}_edges WHERE parent IS NULL
+  UNION ALL
+  SELECT {gsel}, e.node, r.root, r.depth + 1
+  FROM {p}_edges e JOIN {p}_rec r ON {" AND ".join(f"e.{g} = r.{g}" for g in group)} AND e.parent = r.node),
+{p}_nodes AS (SELECT e.*, r.root, r.depth FROM {p}_edges e JOIN {p}_rec r USING ({using}, node))
+"""
+
+
+def tree_metric_sql(p: str, group: list[str]) -> str:
+    """CTEs ``{p}_clo``, ``{p}_st``, ``{p}_n`` and ``{p}_metrics`` (size, num_leafs, degree_max, depth_max,
+    mean_time_diff per group + root) over ``{p}_nodes`` / ``{p}_edges``."""
+    using = ", ".join(group)
+    return f"""
+{p}_clo AS (
+  SELECT {using}, node AS anc, node AS des, 0 AS dist FROM {p}_edges
+  UNION ALL
+  SELECT {", ".join(f"c.{g}" for g in group)}, c.anc, e.node, c.dist + 1
+  FROM {p}_clo c JOIN {p}_edges e ON {" AND ".join(f"e.{g} = c.{g}" for g in group)} AND e.parent = c.des),
+{p}_st AS (
+  SELECT {using}, anc AS node, count(*) FILTER (WHERE dist = 1) AS n_children FROM {p}_clo GROUP BY {using}, anc),
+{p}_n AS (SELECT x.*, s.n_children, us - parent_us AS dt FROM {p}_nodes x JOIN {p}_st s USING ({using}, node)),
+{p}_metrics AS (
+  SELECT {using}, root, count(*) AS size, count(*) FILTER (WHERE n_children = 0) AS num_leafs,
+         cast(max(n_children) AS BIGINT) AS degree_max, cast(max(depth) AS BIGINT) AS depth_max,
+         (cast(coalesce(sum(dt), 0) AS DOUBLE) / 1e6) / greatest(1, count(dt)) AS mean_time_diff
+  FROM {p}_n GROUP BY {using}, root)
+"""
+
+
 def forest_ctes(gap_us: int) -> str:
     """Page views of human traffic -> sessions -> referer parents -> root/depth/path (recursive)."""
     return (
@@ -110,7 +156,7 @@ merged AS (
          string_agg(title, ',' ORDER BY ts, referer, title) AS titles
   FROM day_reqs GROUP BY {grp}),
 reqs AS (
-  SELECT {grp}, ts, title,
+  SELECT {grp}, ts, title, referer, uri_path, uri_query, is_pageview, referer_class, access_method,
          row_number() OVER (PARTITION BY {grp} ORDER BY ts, referer, title) - 1 AS id
   FROM day_reqs)
 """

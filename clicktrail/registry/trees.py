@@ -89,4 +89,4 @@ GROUP BY n.root
 
 @register("tree_metrics", TREE_METRICS_SQL)
 def tree_metrics(spark, sf_dir):
-    return TR.tree_metrics(forest(spark, sf_dir))
+    return TR.tree_metrics(forest(spark, sf_dir), GROUP).drop(*GROUP)
