@@ -159,7 +159,7 @@ FROM w3 WHERE time_to_click < {MAX_SECONDS}
 """
 )
 # CTE 'rwt': the responses with traces, keeping the trace identity for the request rows
-RWT_CTES = RWT_SQL[: RWT_SQL.rindex("SELECT survey_token, client_token")] .rstrip() + f""",
+RWT_CTES = RWT_SQL[: RWT_SQL.rindex("SELECT survey_token, client_token")].rstrip() + f""",
 rwt AS (SELECT * FROM w3 WHERE time_to_click < {MAX_SECONDS})
 """
 

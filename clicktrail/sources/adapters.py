@@ -188,7 +188,7 @@ def raw_survey_sql(d: Dialect) -> str:
     """
     depth = _case("k % 4", [A_FACT, A_OVERVIEW, A_INDEPTH, None])
     prior = _case("k % 3", [A_FAMILIAR, A_UNFAMILIAR, "Something else entirely"])
-    first = _case("k % 8", MOTIVATION_TEXTS + ["my own reason"])
+    first = _case("(k + 5) % 8", MOTIVATION_TEXTS + ["my own reason"])
     second = _case("(k + 3) % 7", MOTIVATION_TEXTS)
     motivation = f"CASE WHEN k % 3 = 0 THEN {first} || ', ' || {second} ELSE {first} END"
     ts = f"cast(ts AS timestamp) + {d.minutes(5)}"
