@@ -163,3 +163,105 @@ def compare_conditions(df: DataFrame, metric: str) -> DataFrame:
     return df.groupBy("host", "condition").agg(
         F.avg(metric).cast("double").alias("mean"), F.count(F.lit(1)).alias("n")
     )
+
+
+# ---------------------------------------------------------------- reports
+def hash_traces(lines: DataFrame, key: str) -> DataFrame:
+    """Text trace lines -> typed traces (S7, F2, F3) with the ip replaced by its keyed HMAC.
+
+    Write the result with :func:`clicktrail.sources.io.write_hashed` (S8).
+    """
+    from clicktrail.functions.privacy import hmac_sha1
+    from clicktrail.functions.textparse import parse_trace_lines
+
+    return parse_trace_lines(lines).withColumn("ip", hmac_sha1(F.col("ip"), key))
+
+
+def qa_report(
+    initiation: DataFrame,
+    responses: DataFrame,
+    survey: DataFrame,
+    requests: DataFrame,
+    pages: DataFrame,
+    slice_start: str,
+    slice_stop: str,
+) -> dict[str, DataFrame]:
+    """The tracking quality report as named DataFrames (nothing runs until each is used)."""
+    from clicktrail.operators import clicks as C
+    from clicktrail.operators import quality as Q
+    from clicktrail.operators import stats as ST
+    from clicktrail.sources.adapters import Q_TOKEN
+
+    funnel = Q.survey_funnel(initiation, responses)
+    matches = Q.answer_matches(survey, responses, initiation, slice_start, slice_stop)
+    return {
+        "funnel": funnel,  # A4
+        "distinct_tokens": Q.distinct_tokens(initiation),  # A5
+        "distinct_clients": Q.distinct_clients(initiation),  # A6-A8
+        "matched_tokens": Q.matched_tokens(initiation),  # J10
+        "responses_with_impression": Q.responses_with_impression(responses, initiation),  # J11
+        "answer_matches": matches,  # J12-J14, P22
+        "funnel_rates": Q.funnel_rates(matches, funnel),  # A33
+        "unmatched_answers": Q.unmatched_answers(survey, responses, initiation),  # J15, O6
+        "token_lengths": ST.length_distribution(survey, Q_TOKEN),  # A12
+        "ua_shares": Q.ua_shares(initiation),  # A9
+        "ua_share_delta": Q.ua_share_delta(Q.ua_counts(requests), initiation),  # A10, O2, J16, O3
+        "client_freq_of_freq": Q.client_freq_of_freq(C.click_events(responses, pages)),  # A11
+    }
+
+
+def temporal_report(
+    responses: DataFrame, zones: list[str], hue: str = "single motivation", draws: int = 5000
+) -> dict[str, DataFrame]:
+    """Answers by client-local weekday/weekend, day of week and 4-hour bucket (weekdays only),
+    each as proportions with Beta intervals (F14-F18, P13, P18, P19, A22, A23)."""
+    from clicktrail.functions import temporal as TM
+    from clicktrail.functions.recode import single_motivation
+    from clicktrail.operators import stats as ST
+
+    d = responses
+    if "single motivation" not in d.columns:
+        d = d.withColumn("single motivation", single_motivation(F.col("motivation")))
+    d = TM.with_local_time(d, "click_dt_utc", F.col("geo_data")["timezone"], zones)
+    d = d.where(F.col(f"`{hue}`").isNotNull())
+    weekdays = d.where(F.col("local_day_type") == 0)
+    return {
+        "day_type": ST.proportions_over_time(d, "local_day_type", hue, draws=draws),
+        "day_of_week": ST.proportions_over_time(d, "local_day_of_week", hue, draws=draws),
+        "hour_div4": ST.proportions_over_time(weekdays, "local_hour_of_day_div4", hue, draws=draws),
+    }
+
+
+def distribution_report(survey_in_el_df: DataFrame) -> dict[str, DataFrame]:
+    """X11: answer distributions (J4 output in, P18, P25, P26, A14-A20, U3)."""
+    from clicktrail.functions import recode as RC
+    from clicktrail.operators import stats as ST
+    from clicktrail.operators import survey as SV
+
+    d = SV.with_single_motivation(survey_in_el_df)
+    single = d.where(F.col("`single motivation`").isNotNull())
+    desktop, mobile = SV.host_slices(d)
+    pairs = ST.pair_counts(SV.n_motivations(d, 2))
+    return {
+        "depth_by_host": ST.proportions(d, "information depth", "host"),  # A20
+        "prior_by_host": ST.proportions(d, "prior knowledge", "host"),
+        "n_motivations": ST.n_motivations_distribution(d),  # A14
+        "single_motivation": ST.single_motivation_distribution(d),  # A15
+        "single_motivation_by_host": ST.proportions(single, "single motivation", "host"),
+        "mentions": ST.mention_counts(d, RC.MENTION_LEVELS).orderBy(F.desc("count"), "motivation"),  # A16, O5
+        "pair_counts": pairs,  # A17
+        "cooccurrence": ST.cooccurrence_matrix(pairs, RC.MENTION_LEVELS),  # U3, A18
+        "pair_conditional": ST.pair_conditional(pairs),  # A19
+        "prior_given_depth": ST.proportions(d, "information depth", "prior knowledge", normx=False),
+        "depth_given_prior": ST.proportions(d, "prior knowledge", "information depth", normx=False),
+        "prior_given_motivation": ST.proportions(single, "single motivation", "prior knowledge", normx=False),
+        "depth_given_motivation": ST.proportions(single, "single motivation", "information depth", normx=False),
+        "host_counts": ST.value_counts(d, "host"),
+        "desktop_rows": desktop,
+        "mobile_rows": mobile,
+    }
+
+
+def peek(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows in a fixed order (deterministic, unlike take on an unordered plan)."""
+    return df.orderBy(*order).limit(n)
