@@ -27,8 +27,6 @@ REQUEST_FIELDS = (
     "lang",
 )
 
-CLIENT_GROUP = ("client_ip", "user_agent", "geocoded_data", "user_agent_map")
-
 
 def filter_traffic(
     df: DataFrame, hosts: Sequence[str] = TRACED_HOSTS, hour: int | None = None
@@ -112,26 +110,40 @@ def _canon_map(c: str) -> Column:
 def build_traces(
     df: DataFrame,
     max_requests: int = 500,
-    group: Sequence[str] = CLIENT_GROUP,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """A1 + A2: one trace per client, day and host; groups with ``max_requests`` or more rows are dropped.
 
     The count covers every row of the group (page views or not), while the
-    trace keeps only complete requests. The count runs first as a partial
-    aggregate, so a hot client is reduced map-side and never collected;
-    only groups under the cap are collected, which bounds every array.
+    trace keeps only complete requests. Plan:
+
+    * rows per group are counted with a partial aggregate (only keys and
+      counts are shuffled) - on ``count_from`` when given, i.e. the rows
+      before the redirect join, which the count does not need;
+    * the *heavy* groups (count >= cap) are few, so the anti-join against
+      them is normally broadcast by adaptive execution (a map-side filter);
+      a hot client is dropped before anything is collected;
+    * the remaining rows are grouped once on canonical keys (maps are not
+      hashable join keys, so they are keyed by their sorted JSON text and
+      carried with ``first``), which bounds every collected array by the cap.
+
     Requests are sorted by (ts, other fields), which fixes the order of ties.
     """
-    group = list(group)
-    keys = ["client_ip", "user_agent", "uri_host", "year", "month", "day"]
-    keyed = df.withColumn("_geo", _canon_map("geocoded_data")).withColumn("_uam", _canon_map("user_agent_map"))
-    key_cols = keys + ["_geo", "_uam"]
-    small = (
-        keyed.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < max_requests).drop("_n")
+    keys = ["client_ip", "user_agent", "uri_host", "year", "month", "day", "_geo", "_uam"]
+
+    def keyed(d: DataFrame) -> DataFrame:
+        return d.withColumn("_geo", _canon_map("geocoded_data")).withColumn("_uam", _canon_map("user_agent_map"))
+
+    rows = keyed(df)
+    counted = keyed(count_from) if count_from is not None else rows
+    heavy = (
+        counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_requests).drop("_n")
     )
-    kept = null_safe_join(keyed, small, key_cols, "left_semi")
-    traces = kept.groupBy(*group, "uri_host", "year", "month", "day").agg(
-        F.sort_array(F.collect_list("request")).alias("requests")
+    kept = null_safe_join(rows, heavy, keys, "left_anti")
+    traces = kept.groupBy(*keys).agg(
+        F.first("geocoded_data").alias("geocoded_data"),
+        F.first("user_agent_map").alias("user_agent_map"),
+        F.sort_array(F.collect_list("request")).alias("requests"),
     )
     return traces.select(
         F.col("client_ip").alias("ip"),

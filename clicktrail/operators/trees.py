@@ -3,13 +3,14 @@
 A forest is an edge table, one row per request: ``node`` (request id,
 unique within its group - a session), ``parent`` (NULL for a root), plus
 ``root``, ``depth`` and ``path`` (node ids from the root down to the node).
-A tree is identified by (group columns, root). Spark has no recursive
-types, so root, depth and path come from pointer doubling over the edge
-table: in round k every node follows its 2^k-th ancestor and appends that
-ancestor's list, so a tree of depth d needs ceil(log2(d + 1)) rounds, each
-one distributed equi-join on (group, node). Every round is checkpointed to
-the session's shared checkpoint folder, which keeps the plan short and
-survives lost executors.
+A tree is identified by (group columns, root). Spark has no recursive types,
+so root, depth and path are computed two ways, chosen per group by size:
+small groups are collected once and resolved by a single ordered fold
+(parents precede children); large groups are never collected but resolved
+by pointer doubling - in round k every node follows its 2^k-th ancestor and
+appends that ancestor's list, so depth d needs ceil(log2(d + 1)) rounds of
+distributed equi-joins on (group, node), each checkpointed to the session's
+shared checkpoint folder (short plans, survives lost executors).
 """
 
 from __future__ import annotations
@@ -39,17 +40,84 @@ def _and(cond, extra):
     return extra if cond is None else cond & extra
 
 
+SMALL_GROUP = 512  # groups up to this many nodes are resolved by one fold over their sorted rows
+
+
 def resolve_ancestors(
     edges: DataFrame,
     group_cols: Sequence[str] = (),
     node: str = "node",
     parent: str = "parent",
+    order_cols: Sequence[str] | None = None,
+    small_group: int = SMALL_GROUP,
     max_rounds: int = 64,
 ) -> DataFrame:
-    """Pointer doubling: add ``ancestors`` (nearest first), ``root`` and ``depth`` to an edge table."""
+    """Add ``ancestors`` (nearest first), ``root`` and ``depth`` to an edge table.
+
+    Groups (sessions) are split by size with a partial-aggregate count. Small
+    groups - almost all of them - are collected once and resolved by a single
+    ``aggregate`` fold, since parents precede children in ``order_cols`` order.
+    Groups above ``small_group`` nodes are never collected: they go through
+    pointer doubling, one distributed join per round. Without ``order_cols``
+    every group takes the doubling path.
+    """
     g = list(group_cols)
     ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.checkpoint(eager=True)  # every later step reads the materialised edges
+    edges = edges.checkpoint(eager=True)  # both paths read the materialised edges
+    if order_cols is None or not g:
+        return _double(edges, g, node, parent, max_rounds)
+    sizes = edges.groupBy(*g).agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.where(F.col("_size") > small_group).select(*g)
+    small_part = _fold(null_safe_join(edges, large, g, "left_anti"), g, node, parent, list(order_cols))
+    large_edges = null_safe_join(edges, large, g, "left_semi")
+    if large.isEmpty():
+        return small_part
+    return small_part.unionByName(_double(large_edges, g, node, parent, max_rounds))
+
+
+_ENTRY = "struct<n:bigint,r:bigint,d:int,a:array<bigint>>"
+
+
+def _fold(edges: DataFrame, g: list[str], node: str, parent: str, order_cols: list[str]) -> DataFrame:
+    """Root, depth and ancestors of every node of small groups, in one pass per group."""
+    others = [c for c in edges.columns if c not in g]
+    items = edges.groupBy(*g).agg(
+        F.sort_array(
+            F.collect_list(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
+                                    F.struct(*others).alias("_row")))
+        ).alias("_items")
+    )
+
+    def step(acc, x):
+        n = x["_row"][node].cast("bigint")
+        p = x["_row"][parent].cast("bigint")
+        pe = F.get(F.filter(acc, lambda e: e["n"] == p), 0)
+        entry = F.struct(
+            n.alias("n"),
+            F.when(p.isNull(), n).otherwise(pe["r"]).alias("r"),
+            F.when(p.isNull(), F.lit(0)).otherwise(pe["d"] + 1).alias("d"),
+            F.when(p.isNull(), F.array().cast("array<bigint>")).otherwise(F.concat(F.array(p), pe["a"])).alias("a"),
+        )
+        return F.array_append(acc, entry)
+
+    folded = items.select(
+        *g,
+        F.arrays_zip(
+            F.transform("_items", lambda x: x["_row"]).alias("row"),
+            F.aggregate("_items", F.array().cast(f"array<{_ENTRY}>"), step).alias("res"),
+        ).alias("_z"),
+    )
+    return folded.select(*g, F.explode("_z").alias("_e")).select(
+        *g,
+        *[F.col("_e.row")[c].alias(c) for c in others],
+        F.col("_e.res.a").alias("ancestors"),
+        F.col("_e.res.r").alias("root"),
+        F.col("_e.res.d").cast("int").alias("depth"),
+    )
+
+
+def _double(edges: DataFrame, g: list[str], node: str, parent: str, max_rounds: int) -> DataFrame:
+    """Pointer doubling: every round each node jumps to its 2^k-th ancestor, appending that ancestor's list."""
     state = edges.select(
         *g,
         F.col(node).cast("bigint").alias("_n"),
@@ -93,10 +161,13 @@ def build_forest(
     node: str = "node",
     ts: str = "ts",
     ambiguity: str = "reference",
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """T2 + T3: referer forest of each group (a session); needs ``page_key`` and ``referer_key`` columns."""
     with_parents = assign_parents(rows, group_cols, node=node, ts=ts, ambiguity=ambiguity)
-    forest = resolve_ancestors(with_parents, group_cols, node=node, parent="parent")
+    forest = resolve_ancestors(
+        with_parents, group_cols, node=node, parent="parent", order_cols=[ts, node], small_group=small_group
+    )
     return forest.withColumn(
         "path", F.concat(F.reverse(F.col("ancestors")), F.array(F.col(node).cast("bigint")))
     )

@@ -20,11 +20,11 @@ def build_trace_table(
     max_requests: int = 500,
 ) -> DataFrame:
     """X1 up to the per-day table: S1 -> P1 -> P3 -> J1 -> P4 -> P5 -> A1 -> A2."""
-    r = R.filter_traffic(log, hosts, hour)
-    r = R.raw_title(r)
+    traffic = R.filter_traffic(log, hosts, hour)
+    r = R.raw_title(traffic)
     r = R.resolve_redirects(r, redirects)
     r = R.pack_request(r)
-    return R.build_traces(r, max_requests=max_requests)
+    return R.build_traces(r, max_requests=max_requests, count_from=traffic)
 
 
 def build_merged_traces(

@@ -124,3 +124,16 @@ def test_intended_ambiguity(spark):
     assert all(m["ambiguous_sum"] == 0 for m in ref.values())
     intended = _metrics(spark, nodes, ambiguity="intended")
     assert sum(m["ambiguous_sum"] for m in intended.values()) == 1
+
+
+def test_fold_and_doubling_agree(spark):
+    rng = random.Random(5)
+    nodes = _random_tree(rng, 40) + [(100 + i, 1000 + i, f"q{i}", f"q{i - 1}") for i in range(12)]
+    data = [("c", "u", 0, n, T0 + dt.timedelta(seconds=s), pk, rk) for n, s, pk, rk in nodes]
+    df = spark.createDataFrame(
+        data,
+        "client_ip string, user_agent string, session_id int, node long, ts timestamp, page_key string, referer_key string",
+    )
+    a = {r.node: (r.root, r.depth, list(r.ancestors)) for r in TR.build_forest(df).collect()}
+    b = {r.node: (r.root, r.depth, list(r.ancestors)) for r in TR.build_forest(df, small_group=3).collect()}
+    assert a == b and len(a) == len(nodes)
