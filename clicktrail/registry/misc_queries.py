@@ -185,8 +185,14 @@ def url_keys(spark, sf):
     )
 
 
-@register("trace_span", None)
+@register(
+    "trace_span",
+    duckdb_with("request_log", "redirects")
+    + SB.trace_ctes(4)
+    + """SELECT client_ip AS ip, user_agent AS ua, year, month, day, uri_host AS host FROM day_groups
+WHERE make_date(year, month, day) BETWEEN DATE '2024-01-03' AND DATE '2024-01-09'""",
+)
 def trace_span(spark, sf):
-    """S11 + U1 over the per-day traces: all (day, host) partitions in a span, as one DataFrame (rows-only)."""
+    """S11 + U1 over the per-day traces: all (day, host) partitions in a span, as one DataFrame."""
     t = P.build_trace_table(T.request_log(spark, sf), T.redirects(spark, sf), max_requests=4)
     return t.where(IO.day_span("2024-01-03", "2024-01-09")).select("ip", "ua", "year", "month", "day", "host")
