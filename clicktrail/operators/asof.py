@@ -55,36 +55,62 @@ def assign_parents(
     page_key: str = "page_key",
     referer_key: str = "referer_key",
     ambiguity: str = "reference",
+    bucket_minutes: float = 60,
 ) -> DataFrame:
     """Parent of each request = the latest strictly earlier page view in its group whose
     page key equals the request's referer key; none -> a root.
 
     Written as a union of "page" rows (key = page key) and "referer" rows
-    (key = referer key) and one window per (group, key) that carries the
-    last page view forward; at equal (ts, node) the referer row sorts first,
-    so a request never becomes its own parent. ``ambiguity='intended'`` flags
-    requests whose referer page was seen more than once before; the original
-    never updated its counter, so ``'reference'`` flags none.
+    (key = referer key); a window carries the last page view forward, and at
+    equal (ts, node) the referer row sorts first, so a request never becomes
+    its own parent. The window runs per (group, key, time bucket), so one
+    page viewed a huge number of times in one session is spread over its
+    buckets; the last page view of each earlier bucket comes from a small
+    per-bucket table (one row per group, key and bucket) whose own window
+    carries it forward, and it is joined back on the same keys the big window
+    is partitioned by. ``ambiguity='intended'`` flags requests whose referer
+    page was seen more than once before; the original never updated its
+    counter, so ``'reference'`` flags none.
     """
-    group_cols = list(group_cols)
-    # referer rows carry every column of the request; page rows only what the window needs
-    refs = rows.withColumn("_key", F.col(referer_key)).withColumn("_kind", F.lit(0))
-    pages = rows.select(*group_cols, F.col(page_key).alias("_key"), ts, node, F.lit(1).alias("_kind"))
+    from clicktrail.operators.joins import null_safe_join
+
+    g = list(group_cols)
+    width = int(round(bucket_minutes * 60_000_000))
+    bucket = F.floor(F.unix_micros(F.col(ts)) / F.lit(width)).cast("bigint")
+    # referer rows carry every column of the request; page rows only what the windows need
+    refs = rows.withColumn("_key", F.col(referer_key)).withColumn("_kind", F.lit(0)).withColumn("_b", bucket)
+    pages = rows.select(*g, F.col(page_key).alias("_key"), ts, node, F.lit(1).alias("_kind"), bucket.alias("_b"))
     w = (
-        Window.partitionBy(*group_cols, "_key")
+        Window.partitionBy(*g, "_key", "_b")
         .orderBy(ts, node, "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     page_hit = F.when(F.col("_kind") == 1, F.struct(F.col(node).alias("n"), F.col(ts).alias("t")))
-    return (
-        refs.unionByName(pages, allowMissingColumns=True)
-        .withColumn("_parent", F.last(page_hit, ignorenulls=True).over(w))
-        .withColumn("_seen", F.count(page_hit).over(w))
+    union = refs.unionByName(pages, allowMissingColumns=True)
+    within = (
+        union.withColumn("_in", F.last(page_hit, ignorenulls=True).over(w))
+        .withColumn("_seen_in", F.count(page_hit).over(w))
         .where(F.col("_kind") == 0)
-        .withColumn("parent", F.col("_parent.n"))
-        .withColumn("parent_ts", F.col("_parent.t"))
-        .withColumn(
-            "parent_ambiguous", (F.col("_seen") > 1) if ambiguity == "intended" else F.lit(False)
+    )
+    # one row per (group, key, bucket) where the key occurs at all, so every referer bucket finds its carry
+    earlier = Window.partitionBy(*g, "_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    is_page = F.col("_kind") == 1
+    per_bucket = (
+        union.groupBy(*g, "_key", "_b")
+        .agg(
+            F.max_by(page_hit, F.when(is_page, F.struct(ts, node))).alias("_last"),
+            F.count_if(is_page).alias("_n"),
         )
-        .drop("_key", "_kind", "_parent", "_seen")
+        .withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier))
+        .withColumn("_carry_n", F.sum("_n").over(earlier))
+        .select(*g, "_key", "_b", "_carry", "_carry_n")
+    )
+    joined = null_safe_join(within, per_bucket, g + ["_key", "_b"], "left")
+    par = F.coalesce(F.col("_in"), F.col("_carry"))
+    seen = F.col("_seen_in") + F.coalesce(F.col("_carry_n"), F.lit(0))
+    return (
+        joined.withColumn("parent", par["n"])
+        .withColumn("parent_ts", par["t"])
+        .withColumn("parent_ambiguous", (seen > 1) if ambiguity == "intended" else F.lit(False))
+        .drop("_key", "_kind", "_b", "_in", "_seen_in", "_carry", "_carry_n")
     )

@@ -137,3 +137,21 @@ def test_fold_and_doubling_agree(spark):
     a = {r.node: (r.root, r.depth, list(r.ancestors)) for r in TR.build_forest(df).collect()}
     b = {r.node: (r.root, r.depth, list(r.ancestors)) for r in TR.build_forest(df, small_group=3).collect()}
     assert a == b and len(a) == len(nodes)
+
+
+def test_parents_across_time_buckets(spark):
+    # page A at 0 s, referrals at 30 min, 3 h and 3 h + 1 s (another A view in between at 2 h)
+    nodes = [(1, 0, "A", "-"), (2, 1800, "B", "A"), (3, 7200, "A", "-"), (4, 10800, "C", "A"), (5, 10801, "D", "A")]
+    data = [("c", "u", 0, n, T0 + dt.timedelta(seconds=s), pk, rk) for n, s, pk, rk in nodes]
+    df = spark.createDataFrame(
+        data,
+        "client_ip string, user_agent string, session_id int, node long, ts timestamp, page_key string, referer_key string",
+    )
+    from clicktrail.operators.asof import assign_parents
+
+    for minutes in (1, 60, 100_000):
+        got = {r.node: r.parent for r in assign_parents(df, ["client_ip", "user_agent", "session_id"], bucket_minutes=minutes).collect()}
+        assert got == {1: None, 2: 1, 3: None, 4: 3, 5: 3}
+    amb = {r.node: r.parent_ambiguous for r in assign_parents(
+        df, ["client_ip", "user_agent", "session_id"], ambiguity="intended", bucket_minutes=1).collect()}
+    assert amb == {1: False, 2: False, 3: False, 4: True, 5: True}
