@@ -86,17 +86,18 @@ def assign_parents(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     page_hit = F.when(F.col("_kind") == 1, F.struct(F.col(node).alias("n"), F.col(ts).alias("t")))
-    union = refs.unionByName(pages, allowMissingColumns=True)
-    within = (
-        union.withColumn("_in", F.last(page_hit, ignorenulls=True).over(w))
+    windowed = (
+        refs.unionByName(pages, allowMissingColumns=True)
+        .withColumn("_in", F.last(page_hit, ignorenulls=True).over(w))
         .withColumn("_seen_in", F.count(page_hit).over(w))
-        .where(F.col("_kind") == 0)
     )
-    # one row per (group, key, bucket) where the key occurs at all, so every referer bucket finds its carry
+    within = windowed.where(F.col("_kind") == 0)
+    # one row per (group, key, bucket) where the key occurs at all, so every referer bucket finds its
+    # carry; aggregated from the windowed rows, it shares their shuffle and needs none of its own
     earlier = Window.partitionBy(*g, "_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     is_page = F.col("_kind") == 1
     per_bucket = (
-        union.groupBy(*g, "_key", "_b")
+        windowed.groupBy(*g, "_key", "_b")
         .agg(
             F.max_by(page_hit, F.when(is_page, F.struct(ts, node))).alias("_last"),
             F.count_if(is_page).alias("_n"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.functions.keys import client_key, event_log_ts, strip_quotes
@@ -40,10 +40,20 @@ def click_events(responses: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def first_click(clicks: DataFrame, token: str = "survey_token") -> DataFrame:
-    """Earliest click per token; ties broken by the remaining fields so the pick is deterministic."""
+    """Earliest click per token; ties broken by the remaining fields so the pick is deterministic.
+
+    An aggregate (``min_by`` on the ordering struct), not a window: partial
+    aggregation keeps a token shared by many rows (or a NULL token) from
+    landing in one task.
+    """
     others = [c for c in clicks.columns if c not in (token, "timestamp")]
-    w = Window.partitionBy(token).orderBy(F.col("timestamp").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in others])
-    return clicks.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # NULLs sort last, like the original sort; (is_null, value) pairs order that way
+    order = F.struct(
+        *[x for c in ["timestamp", *others] for x in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(c))]
+    )
+    row = F.struct(*[F.col(c) for c in clicks.columns if c != token])
+    picked = clicks.groupBy(token).agg(F.min_by(row, order).alias("_r"))
+    return picked.select(token, "_r.*").select(*clicks.columns)
 
 
 def valid_clicks(clicks: DataFrame) -> DataFrame:

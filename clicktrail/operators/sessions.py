@@ -136,11 +136,15 @@ def sessions_nested(
 
 
 def pick_session(sessions: DataFrame, client_cols: Sequence[str], seed: str, session_col: str = "session_id") -> DataFrame:
-    """one session per client, chosen by a seeded md5 rank (same choice in any engine)."""
-    w = Window.partitionBy(*client_cols).orderBy(
-        F.md5(F.concat(F.col(session_col).cast("string"), F.lit(seed))), F.col(session_col)
-    )
-    return sessions.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """one session per client, chosen by a seeded md5 rank (same choice in any engine).
+
+    ``sessions`` holds one row per (client, session); the pick is a ``min_by``
+    aggregate, reduced map-side however many sessions a client has.
+    """
+    rank = F.struct(F.md5(F.concat(F.col(session_col).cast("string"), F.lit(seed))), F.col(session_col))
+    row = F.struct(*[F.col(c) for c in sessions.columns if c not in client_cols])
+    picked = sessions.groupBy(*client_cols).agg(F.min_by(row, rank).alias("_r"))
+    return picked.select(*client_cols, "_r.*").select(*sessions.columns)
 
 
 def session_host(first_access_method: Column) -> Column:

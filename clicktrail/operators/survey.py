@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.functions import recode as RC
@@ -24,10 +24,20 @@ def after_launch(raw: DataFrame, cutoff: str = LAUNCH_CUTOFF, ts_col: str = A.Q_
 
 
 def first_response(df: DataFrame, token: str = "token") -> DataFrame:
-    """One answer per token: the earliest submission, ties by the answer fields."""
-    others = [F.col(f"`{c}`") for c in df.columns if c not in (token, "submit_timestamp")]
-    w = Window.partitionBy(token).orderBy(F.col("submit_timestamp").asc_nulls_last(), *others)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """One answer per token: the earliest submission, ties by the answer fields.
+
+    An aggregate (``min_by``) rather than a window, so a token held by many
+    rows - all missing tokens become one - is reduced map-side.
+    """
+    others = [c for c in df.columns if c not in (token, "submit_timestamp")]
+    order = F.struct(
+        F.col("submit_timestamp").isNull().alias("_null_ts"),
+        F.col("submit_timestamp").alias("_ts"),
+        *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(others)],
+    )
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != token])
+    picked = df.groupBy(token).agg(F.min_by(row, order).alias("_r"))
+    return picked.select(token, "_r.*").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def clean_responses(raw: DataFrame, cutoff: str = LAUNCH_CUTOFF) -> DataFrame:

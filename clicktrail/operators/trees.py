@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,8 +194,8 @@ def pick_tree(forest: DataFrame, group_cols: Sequence[str], seed: str) -> DataFr
     """one tree per group, chosen by a seeded md5 rank over the roots; returns that tree's nodes."""
     g = list(group_cols)
     roots = forest.where(F.col("parent").isNull()).select(*g, "root")
-    w = Window.partitionBy(*g).orderBy(F.md5(F.concat(F.col("root").cast("string"), F.lit(seed))), "root")
-    chosen = roots.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*g, "root")
+    rank = F.struct(F.md5(F.concat(F.col("root").cast("string"), F.lit(seed))), F.col("root"))
+    chosen = roots.groupBy(*g).agg(F.min_by("root", rank).alias("root"))
     return null_safe_join(forest, chosen, g + ["root"], "left_semi")
 
 
