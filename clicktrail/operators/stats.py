@@ -30,8 +30,19 @@ def share_within(df: DataFrame, n: str, by: Sequence[str], out: str = "proportio
 
 
 def share_total(df: DataFrame, n: str, out: str = "proportion") -> DataFrame:
-    """``n / sum(n)`` over all rows (use on aggregated counts; the window is one partition)."""
-    return df.withColumn(out, (_c(n) / F.sum(_c(n)).over(Window.partitionBy())).cast("double"))
+    """``n / sum(n)`` over all rows.
+
+    The total is a global aggregate - exactly one row, so broadcasting it is
+    safe - joined back on a constant key; the rows themselves stay where
+    they are (a window without partitioning would move them all to one task).
+    """
+    total = df.agg(F.sum(_c(n)).alias("_total")).withColumn("_k", F.lit(1))
+    return (
+        df.withColumn("_k", F.lit(1))
+        .join(F.broadcast(total), "_k")
+        .withColumn(out, (_c(n) / F.col("_total")).cast("double"))
+        .drop("_k", "_total")
+    )
 
 
 def value_counts(df: DataFrame, col: Column | str, name: str | None = None) -> DataFrame:
@@ -336,9 +347,49 @@ def group_mean_ci(
     return null_safe_join(means, ci, list(dims), "left")
 
 
+def exact_quantiles(df: DataFrame, dims: Sequence[str], y: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact linear-interpolation quantiles of ``y`` per group (same definition as ``percentile``).
+
+    Bounded memory at any group size: rows are first counted per (group,
+    value) with a partial aggregate, which spreads a hot group's values over
+    the cluster; a window over each group's sorted *distinct* values (which
+    spills to disk rather than holding a map in memory) gives running
+    counts; the two order statistics around ``p * (n - 1)`` are picked by
+    range and interpolated.
+    """
+    from clicktrail.operators.joins import null_safe_join
+
+    g = list(dims)
+    vals = df.select(*[_c(d).alias(d) for d in g], _c(y).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    totals = counts.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    ranked = null_safe_join(ranked, totals, g, "inner")
+    aggs = []
+    for p, name in zip(probs, names):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        lo_i, hi_i = F.floor(pos), F.ceil(pos)
+        at_lo = (F.col("_lo") <= lo_i) & (lo_i < F.col("_hi"))
+        at_hi = (F.col("_lo") <= hi_i) & (hi_i < F.col("_hi"))
+        aggs += [
+            F.max(F.when(at_lo, F.col("_v"))).alias(f"_{name}_a"),
+            F.max(F.when(at_hi, F.col("_v"))).alias(f"_{name}_b"),
+            F.max(pos - lo_i).alias(f"_{name}_f"),
+        ]
+    out = ranked.groupBy(*g).agg(*aggs)
+    return out.select(
+        *g,
+        *[
+            (F.col(f"_{n}_a") + F.col(f"_{n}_f") * (F.col(f"_{n}_b") - F.col(f"_{n}_a"))).cast("double").alias(n)
+            for n in names
+        ],
+    )
+
+
 def group_median(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
     """Exact median of ``y`` per group."""
-    return df.groupBy(*[_c(d).alias(d) for d in dims]).agg(F.median(_c(y)).cast("double").alias("median"))
+    return exact_quantiles(df, dims, y, [0.5], ["median"])
 
 
 def box_summary(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
@@ -346,9 +397,7 @@ def box_summary(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
     from clicktrail.operators.joins import null_safe_join
 
     dcols = [_c(d).alias(d) for d in dims]
-    q = df.groupBy(*dcols).agg(
-        F.percentile(_c(y).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
-    ).select(*dims, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(df, dims, y, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     rows = df.select(*dcols, _c(y).cast("double").alias("_y"))
     j = null_safe_join(rows, q, list(dims), "inner")
     iqr = F.col("q3") - F.col("q1")
@@ -391,19 +440,20 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def metric_breakdowns(df: DataFrame, metric: str, dims: Sequence[str]) -> DataFrame:
-    """Mean and median of ``metric`` per value of each dimension, in one GROUPING SETS pass.
+    """Count, mean and median of ``metric`` per value of each dimension.
 
-    Output: dimension name, its value, n, mean, median. 'no response' values
-    are dropped per dimension (like the plots).
+    Count and mean come from one GROUPING SETS pass (one set per dimension);
+    the exact median from :func:`exact_quantiles` over the same rows in long
+    form (dimension, value). 'no response' values are dropped per dimension,
+    like the plots.
     """
+    from clicktrail.operators.joins import null_safe_join
+
     names = list(dims)
     aliases = [f"_d{i}" for i in range(len(names))]
     d = df.select(*[_c(n).cast("string").alias(a) for n, a in zip(names, aliases)], _c(metric).cast("double").alias("_y"))
     gs = d.groupingSets([[a] for a in aliases], *aliases).agg(
-        F.grouping_id().alias("_gid"),
-        F.count(F.lit(1)).alias("n"),
-        F.avg("_y").alias("mean"),
-        F.median("_y").alias("median"),
+        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean")
     )
     k = len(aliases)
     dim_name = None
@@ -412,8 +462,14 @@ def metric_breakdowns(df: DataFrame, metric: str, dims: Sequence[str]) -> DataFr
         gid = (1 << k) - 1 - (1 << (k - 1 - i))  # only column i is grouped
         dim_name = F.when(F.col("_gid") == gid, F.lit(n)) if dim_name is None else dim_name.when(F.col("_gid") == gid, F.lit(n))
         value = F.when(F.col("_gid") == gid, F.col(a)) if value is None else value.when(F.col("_gid") == gid, F.col(a))
-    out = gs.select(dim_name.alias("dimension"), value.alias("value"), "n", "mean", "median")
-    return out.where(F.col("value").isNotNull() & (F.col("value") != NO_RESPONSE))
+    stats = gs.select(dim_name.alias("dimension"), value.alias("value"), "n", "mean")
+    stats = stats.where(F.col("value").isNotNull() & (F.col("value") != NO_RESPONSE))
+    long = d.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(a).alias("value")) for n, a in zip(names, aliases)])).alias("_dv"),
+        "_y",
+    ).select("_dv.dimension", "_dv.value", "_y").where(F.col("value").isNotNull() & (F.col("value") != NO_RESPONSE))
+    med = exact_quantiles(long, ["dimension", "value"], "_y", [0.5], ["median"])
+    return null_safe_join(stats, med, ["dimension", "value"], "left")
 
 
 def answer_counts(df: DataFrame, questions: Sequence[str]) -> DataFrame:

@@ -82,8 +82,12 @@ def trace_rows(df: DataFrame, key_cols: Sequence[str], trace_col: str = "trace_d
 
 
 def sessions_and_trees(
-    responses: DataFrame, key: str = "survey_token", gap_minutes: float = 60, ambiguity: str = "reference"
-) -> tuple[DataFrame, DataFrame]:
+    responses: DataFrame,
+    key: str = "survey_token",
+    gap_minutes: float = 60,
+    ambiguity: str = "reference",
+    trees: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
     """W5 -> J7 -> T2 -> J9 for each response: (rows of the click session, nodes of the click tree).
 
     Sessions, the session holding the click request, its referer forest and
@@ -102,6 +106,8 @@ def sessions_and_trees(
     clicks = responses.select(key, F.col("click_request.id").cast("int").alias("click_id"))
     hit = s.join(clicks, [key]).where(F.col("id") == F.col("click_id")).select(key, "session_id", "click_id")
     session_rows = null_safe_join(s, hit.select(key, "session_id"), [key, "session_id"], "left_semi")  # J7
+    if not trees:  # the forest checkpoints eagerly; skip it when only sessions are wanted
+        return session_rows, None
     keyed = session_rows.withColumn("page_key", page_key(F.col("uri_path"), F.col("uri_query"))).withColumn(
         "referer_key", referer_key(F.col("referer"))
     )
@@ -111,8 +117,8 @@ def sessions_and_trees(
 
 
 def metric_report(
-    responses: DataFrame, key: str = "survey_token", gap_minutes: float = 60
-) -> tuple[DataFrame, DataFrame]:
+    responses: DataFrame, key: str = "survey_token", gap_minutes: float = 60, trees: bool = True
+) -> tuple[DataFrame, DataFrame | None]:
     """Per response, click-session metrics (T4-T6) and click-tree metrics (T7-T22), joined to the
     answers with a 'single motivation' column (P18)."""
     from clicktrail.functions.recode import single_motivation
@@ -120,14 +126,16 @@ def metric_report(
     from clicktrail.operators import trees as TR
 
     responses = responses.checkpoint(eager=True)
-    session_rows, tree = sessions_and_trees(responses, key, gap_minutes)
+    session_rows, tree = sessions_and_trees(responses, key, gap_minutes, trees=trees)
     answers = responses.select(
         key, F.col("host").alias("response_host"), "`information depth`", "`prior knowledge`",
         single_motivation(F.col("motivation")).alias("single motivation"),
     )
     sess = SS.session_summary(session_rows, [key]).drop("host").join(answers, key)
-    trees = TR.tree_metrics(tree, [key, "session_id"], node="id").drop("session_id").join(answers, key)
-    return sess, trees
+    if tree is None:
+        return sess, None
+    tm = TR.tree_metrics(tree, [key, "session_id"], node="id").drop("session_id").join(answers, key)
+    return sess, tm
 
 
 def click_vs_sample(
@@ -144,7 +152,7 @@ def click_vs_sample(
     from clicktrail.sources.io import load_sample
 
     responses = responses.checkpoint(eager=True)
-    click_rows, _ = sessions_and_trees(responses, key, gap_minutes)
+    click_rows, _ = sessions_and_trees(responses, key, gap_minutes, trees=False)
     click = SS.session_summary(click_rows, [key]).withColumn("condition", F.lit("click"))
     trace_id = F.concat_ws("\t", "ip", "ua", F.to_json("geocoded_data"), F.to_json("user_agent_map"))
     sample = load_sample(sample_traces.withColumn("_trace_id", trace_id))

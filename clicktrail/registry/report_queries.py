@@ -56,7 +56,7 @@ click_root AS (
 @register("click_session_metrics", _BASE + "SELECT * FROM click_summary")
 def click_session_metrics(spark, sf):
     """X5 + T4-T6: the session holding each response's click request."""
-    rows, _ = P.sessions_and_trees(responses(spark, sf), gap_minutes=GAP_MINUTES)
+    rows, _ = P.sessions_and_trees(responses(spark, sf), gap_minutes=GAP_MINUTES, trees=False)
     return SS.session_summary(rows, ["survey_token"])
 
 
@@ -94,7 +94,7 @@ _DIMS = {
 )
 def metric_report(spark, sf):
     """X6 + A28: page views of the click session broken down by host and each answer."""
-    sess, _ = P.metric_report(responses(spark, sf), gap_minutes=GAP_MINUTES)
+    sess, _ = P.metric_report(responses(spark, sf), gap_minutes=GAP_MINUTES, trees=False)
     m = ST.metric_breakdowns(sess, "num_pageviews", list(_DIMS))
     return m.withColumn("mean", F.round("mean", 6))
 
