@@ -84,3 +84,18 @@ def test_pick_session_is_deterministic(spark):
     p1 = rows(S.pick_session(df, ["client_ip"], "seed"))
     p2 = rows(S.pick_session(df.repartition(3), ["client_ip"], "seed"))
     assert p1 == p2 and len(p1) == 2
+
+
+def test_agrees_with_session_window(spark):
+    """Two implementations: our bucketed sessions vs Spark's session_window (no gap exactly at the boundary)."""
+    rng = random.Random(19)
+    ev = []
+    for c in "pqr":
+        t = 0
+        for _ in range(80):
+            t += rng.choice([rng.randrange(1, 3000), rng.randrange(3700, 20000)])
+            ev.append((c, t, True, "internal"))
+    df = _df(spark, ev)
+    ours = S.sessionize(df, gap_minutes=60).groupBy("client_ip").agg(F.countDistinct("session_id").alias("n"))
+    theirs = df.groupBy("client_ip", F.session_window("ts", "60 minutes")).count().groupBy("client_ip").count()
+    assert rows(ours) == rows(theirs)
