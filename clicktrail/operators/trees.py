@@ -17,16 +17,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clicktrail.operators import dfs_worker
 from clicktrail.operators.asof import assign_parents
 from clicktrail.operators.joins import null_safe_join
 from clicktrail.session import ensure_checkpoint_dir
 
+# executors get the dfsness code with the task, not from an installed package
+cloudpickle.register_pickle_by_value(dfs_worker)
+
 
 def _eq(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]):
     cond = None
@@ -281,48 +284,6 @@ def tree_metrics(
     return null_safe_join(m.drop("_internal"), scored, g + ["root"], "left")
 
 
-def _dfsness_one(nodes: pd.DataFrame) -> float | None:
-    """Replay of the navigator's fringe for one tree.
-
-    Visit order is a heap over (ts, phase rank, tie-breaker): each visited
-    node pushes its children (in trace order) as the newest phase. The
-    position of a visited node is the rank of its phase among the phases on
-    the fringe divided by (phases - 1); visits with a single phase have no
-    position. dfsness = mean position (0 breadth-first, 1 depth-first), None
-    if no visit ever had a choice.
-    """
-    import heapq
-
-    order = nodes.sort_values(["us", "node"])
-    ids = order["node"].to_numpy()
-    us = order["us"].to_numpy()
-    parents = order["parent"].to_numpy()
-    children: dict[int, list[int]] = {}
-    root_idx = None
-    index = {int(n): i for i, n in enumerate(ids)}
-    for i, p in enumerate(parents):
-        if pd.isna(p):
-            root_idx = i
-        else:
-            children.setdefault(index[int(p)], []).append(i)
-    if root_idx is None:
-        return None
-    heap = [(int(us[root_idx]), 0, 0, root_idx)]
-    positions = []
-    while heap:
-        phases = sorted({h[1] for h in heap})
-        rank = {p: r for r, p in enumerate(phases)}
-        heap = [(h[0], rank[h[1]], h[2], h[3]) for h in heap]
-        heapq.heapify(heap)
-        count = len(phases)
-        _, ph, _, idx = heapq.heappop(heap)
-        if count > 1:
-            positions.append(ph / (count - 1.0))
-        for tb, ch in enumerate(children.get(idx, [])):
-            heapq.heappush(heap, (int(us[ch]), count, tb, ch))
-    return float(np.mean(positions)) if positions else None
-
-
 def dfsness(
     forest: DataFrame,
     group_cols: Sequence[str] = (),
@@ -348,34 +309,4 @@ def dfsness(
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = slim.repartition(parts, *key).sortWithinPartitions(*key, "us", "node")
     out_schema = T.StructType([slim.schema[c] for c in key] + [T.StructField("dfsness", T.DoubleType())])
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for k, grp in pdf.groupby(key, sort=False, dropna=False):
-            k = k if isinstance(k, tuple) else (k,)
-            rows.append((*k, _dfsness_one(grp)))
-        return pd.DataFrame(rows, columns=key + ["dfsness"])
-
-    def same_as_last(pdf: pd.DataFrame) -> np.ndarray:
-        last = pdf.iloc[-1]
-        tail = np.ones(len(pdf), dtype=bool)
-        for c in key:
-            col = pdf[c]
-            tail &= (col == last[c]).to_numpy() | (col.isna().to_numpy() & bool(pd.isna(last[c])))
-        return tail
-
-    def per_partition(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            tail = same_as_last(pdf)
-            carry, ready = pdf[tail], pdf[~tail]
-            if len(ready):
-                yield score(ready)
-        if carry is not None and len(carry):
-            yield score(carry)
-
-    return ordered.mapInPandas(per_partition, schema=out_schema)
+    return ordered.mapInPandas(dfs_worker.partition_scorer(key), schema=out_schema)
