@@ -72,3 +72,29 @@ def test_local_time(spark):
     assert (r.local_hour_of_day, r.local_hour_of_day_div4, r.local_day_of_week, r.local_day_type) == (8, 8, 6, 1)
     lab = df.select(TM.hour_bucket_label(F.lit(13), 4), TM.day_name(F.col("ts"))).first()
     assert lab[0] == "12-16" and lab[1] == "Saturday"
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(23)
+    data = [(g, float(rng.choice([rng.randrange(0, 50), rng.random() * 100]))) for g in "abc" for _ in range(rng.randrange(1, 60))]
+    df = spark.createDataFrame(data, "g string, y double")
+    got = {r.g: (r.q1, r.med, r.q3) for r in ST.exact_quantiles(df, ["g"], "y", [0.25, 0.5, 0.75], ["q1", "med", "q3"]).collect()}
+    for g in "abc":
+        ys = [y for gg, y in data if gg == g]
+        want = tuple(float(np.percentile(ys, p)) for p in (25, 50, 75))
+        assert got[g] == pytest.approx(want)
+    # the built-in exact percentile agrees as well
+    builtin = {r.g: r.m for r in df.groupBy("g").agg(F.median("y").alias("m")).collect()}
+    assert {g: v[1] for g, v in got.items()} == pytest.approx(builtin)
+
+
+def test_bootstrap_interval_brackets_mean(spark):
+    rows_ = [(i, "a" if i % 2 else "b", float(i % 17)) for i in range(400)]
+    df = spark.createDataFrame(rows_, "id long, g string, y double")
+    out = {r.g: r for r in ST.group_mean_ci(df, ["g"], "y", "id", boot=200).collect()}
+    for r in out.values():
+        assert r.ci_lower < r.mean < r.ci_upper and r.n == 200
