@@ -111,6 +111,7 @@ def build_traces(
     df: DataFrame,
     max_requests: int = 500,
     count_from: DataFrame | None = None,
+    partition_by: Sequence[str] | None = ("client_ip", "user_agent"),
 ) -> DataFrame:
     """A1 + A2: one trace per client, day and host; groups with ``max_requests`` or more rows are dropped.
 
@@ -125,7 +126,10 @@ def build_traces(
       a hot client is dropped before anything is collected;
     * the remaining rows are grouped once on canonical keys (maps are not
       hashable join keys, so they are keyed by their sorted JSON text and
-      carried with ``first``), which bounds every collected array by the cap.
+      carried with ``first``), which bounds every collected array by the cap;
+    * that single row shuffle is on ``partition_by`` (the client): after the
+      anti-join a client has at most cap x days x hosts rows, and the output
+      stays partitioned by client, so merging days (A3) needs no shuffle.
 
     Requests are sorted by (ts, other fields), which fixes the order of ties.
     """
@@ -140,6 +144,8 @@ def build_traces(
         counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_requests).drop("_n")
     )
     kept = null_safe_join(rows, heavy, keys, "left_anti")
+    if partition_by:
+        kept = kept.repartition(*partition_by)
     traces = kept.groupBy(*keys).agg(
         F.first("geocoded_data").alias("geocoded_data"),
         F.first("user_agent_map").alias("user_agent_map"),
