@@ -65,7 +65,7 @@ def proportions_by_x(spark, sf_dir):
 @register(
     "expand_bernoulli",
     f"WITH {OC}, cnt AS (SELECT c_mktsegment, o_orderpriority, count(*) AS count FROM oc GROUP BY ALL),\n"
-    "sized AS (SELECT *, sum(count) OVER (PARTITION BY o_orderpriority) AS n FROM cnt)\n"
+    "sized AS (SELECT *, cast(sum(count) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS n FROM cnt)\n"
     "SELECT c_mktsegment, o_orderpriority, 1 AS in_data, count AS rows FROM sized\n"
     "UNION ALL SELECT c_mktsegment, o_orderpriority, 0, n - count FROM sized WHERE n > count",
 )
@@ -135,7 +135,7 @@ def pair_conditional(spark, sf_dir):
 
 
 _MATRIX_COLS = ", ".join(
-    f"sum(count) FILTER (WHERE m2 = '{lv}') AS \"{lv}\"" for lv in RC.MENTION_LEVELS
+    f"cast(sum(count) FILTER (WHERE m2 = '{lv}') AS BIGINT) AS \"{lv}\"" for lv in RC.MENTION_LEVELS
 )
 
 

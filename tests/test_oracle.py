@@ -35,6 +35,7 @@ def test_query_matches_oracle(spark, duck, name):
         assert res["spark_rows"] >= 0
     else:
         assert res["cols_match"] and res["values_match"], res
+        assert not res["type_diffs"], res["type_diffs"]
 
 
 def test_entry_smoke(spark):
