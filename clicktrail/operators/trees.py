@@ -232,6 +232,10 @@ def tree_metrics(
     exact integer microseconds, turned into seconds once.
     """
     g = list(group_cols)
+    # the forest feeds four branches below (closure, node stats, the dfsness choice and dfsness
+    # itself); one checkpoint instead of recomputing the fold in each
+    ensure_checkpoint_dir(forest.sparkSession)
+    forest = forest.checkpoint(eager=True)
     stats = _closure_stats(forest, g, node)
     base = forest.withColumn(node, F.col(node).cast("bigint"))
     n = null_safe_join(base, stats, g + [node], "left").select(
@@ -259,7 +263,6 @@ def tree_metrics(
         (F.max(F.when(F.col("depth") == 1, F.col("dt_us"))).cast("double") / F.lit(1e6)).alias("timediff_max"),
         F.max("amb").alias("ambiguous_max"),
         F.sum("amb").alias("ambiguous_sum"),
-        F.count_if(F.col("n_children") > 0).alias("_internal"),
     )
     m = m.select(
         *g,
@@ -273,15 +276,21 @@ def tree_metrics(
         F.col("ambiguous_max").cast("bigint").alias("ambiguous_max"),
         F.col("ambiguous_sum").cast("bigint").alias("ambiguous_sum"),
         (F.col("timediff_sum") / F.greatest(F.lit(1), F.col("degree_sum"))).cast("double").alias("mean_time_diff"),
-        "_internal",
     )
     if not with_dfsness:
-        return m.drop("_internal")
-    # a choice needs two nodes with children and a node with two or more children;
-    # other trees stay NULL without leaving the JVM
-    choice = m.where((F.col("_internal") >= 2) & (F.col("degree_max") >= 2)).select(*g, "root")
+        return m
+    # a choice needs two nodes with children and a node with two or more children; other trees
+    # stay NULL without leaving the JVM. Counted from the parent column (not from ``m``, whose
+    # plan would then be computed twice).
+    kids = forest.where(F.col("parent").isNotNull()).groupBy(*g, "root", "parent").agg(F.count(F.lit(1)).alias("_k"))
+    choice = (
+        kids.groupBy(*g, "root")
+        .agg(F.count(F.lit(1)).alias("_internal"), F.max("_k").alias("_deg"))
+        .where((F.col("_internal") >= 2) & (F.col("_deg") >= 2))
+        .select(*g, "root")
+    )
     scored = dfsness(forest, g, node=node, ts=ts, trees=choice)
-    return null_safe_join(m.drop("_internal"), scored, g + ["root"], "left")
+    return null_safe_join(m, scored, g + ["root"], "left")
 
 
 def dfsness(
