@@ -32,7 +32,7 @@ def load_all() -> None:
     # importing the modules fills the two dicts
     from clicktrail.registry import (  # noqa: F401
         misc_queries,
-        pipeline_queries,
+        trace_queries,
         quality_queries,
         report_queries,
         sessions,

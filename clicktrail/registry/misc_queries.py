@@ -14,10 +14,10 @@ from clicktrail.operators import sessions as SS
 from clicktrail.operators import stats as ST
 from clicktrail.operators import survey as SV
 from clicktrail.operators import trees as TR
-from clicktrail.plans import pipelines as P
+from clicktrail.plans import jobs as P
 from clicktrail.registry import register
 from clicktrail.registry import sqlbits as SB
-from clicktrail.registry.pipeline_queries import CUTOFF, RWT_CTES, click_traces
+from clicktrail.registry.trace_queries import CUTOFF, RWT_CTES, click_traces
 from clicktrail.registry.report_queries import responses
 from clicktrail.registry.trees import GROUP, session_pages
 from clicktrail.sources import io as IO

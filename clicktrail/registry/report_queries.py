@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from clicktrail.operators import sessions as SS
 from clicktrail.operators import stats as ST
 from clicktrail.operators import trees as TR
-from clicktrail.plans import pipelines as P
+from clicktrail.plans import jobs as P
 from clicktrail.registry import register
-from clicktrail.registry.pipeline_queries import CUTOFF, MAX_SECONDS, RWT_CTES, merged_traces
+from clicktrail.registry.trace_queries import CUTOFF, MAX_SECONDS, RWT_CTES, merged_traces
 from clicktrail.registry.sqlbits import forest_sql, page_key, referer_key, sessionized, tree_metric_sql
 from clicktrail.sources import tables as T
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from clicktrail.functions import recode as RC
 from clicktrail.operators import stats as ST
-from clicktrail.plans import pipelines as P
+from clicktrail.plans import jobs as P
 from clicktrail.registry import register
 from clicktrail.registry.duck_random import beta_interval_ctes, poisson1, uniform
-from clicktrail.registry.pipeline_queries import CUTOFF
+from clicktrail.registry.trace_queries import CUTOFF
 from clicktrail.registry.sqlbits import survey_ctes
 from clicktrail.sources import tables as T
 from clicktrail.sources.adapters import duckdb_with

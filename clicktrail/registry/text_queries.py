@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clicktrail.functions import textparse as TP
 from clicktrail.functions.privacy import hmac_sha1, hmac_sha1_sql
 from clicktrail.registry import register
-from clicktrail.registry.pipeline_queries import TRACES, day_traces
+from clicktrail.registry.trace_queries import TRACES, day_traces
 from clicktrail.sources import io as IO
 from clicktrail.sources import tables as T
 from clicktrail.sources.adapters import duckdb_with

@@ -1,4 +1,4 @@
-"""Queries over the trace, click and survey pipelines (X1, X3, X4, X8 and their steps)."""
+"""Queries over the trace, click and survey jobs (X1, X3, X4, X8 and their steps)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.operators import clicks as C
 from clicktrail.operators import survey as SV
-from clicktrail.plans import pipelines as P
+from clicktrail.plans import jobs as P
 from clicktrail.registry import register
 from clicktrail.registry.sqlbits import CLICKS, survey_ctes, trace_ctes
 from clicktrail.sources import tables as T

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clicktrail.plans.pipelines import build_trace_table
+from clicktrail.plans.jobs import build_trace_table
 from clicktrail.sources.io import overwrite_day
 
 

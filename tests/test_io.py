@@ -81,3 +81,32 @@ def test_load_sample_drops_bad_and_empty(spark):
     df = spark.createDataFrame([("a", "u", {}, {}, [req_ok, req_bad]), ("b", "u", {}, {}, [req_bad])], IO.TRACE_SCHEMA)
     out = IO.load_sample(df).collect()
     assert len(out) == 1 and len(out[0].trace_data) == 1 and "ip" not in out[0].asDict()
+
+
+def test_snapshot_requests(spark, tmp_path):
+    from clicktrail.sources import tables as T
+
+    path = str(tmp_path / "snap")
+    log = T.flat_request_log(spark, "/root/testdata/sf0.001")
+    IO.snapshot_requests(log, [1, 2, 3], path)
+    back = spark.read.parquet(path)
+    assert back.count() == log.where("day in (1, 2, 3)").count()
+    with pytest.raises(Exception):
+        IO.snapshot_requests(log, [1], path)  # a second CREATE TABLE AS fails
+
+
+def test_survey_tsv_source_matches_table(spark, tmp_path):
+    """The raw form export as TSV (question texts as headers) reads back to the same cleaned answers."""
+    from pyspark.sql import types as T2
+
+    from clicktrail.operators.survey import clean_responses
+    from clicktrail.sources import tables as T
+
+    raw = T.raw_survey(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "raw.tsv")
+    raw.coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
+    schema = T2.StructType([T2.StructField(c, T2.StringType()) for c in raw.columns])
+    back = IO.read_survey_tsv(spark, path, schema)
+    a = clean_responses(raw, "2024-01-03 00:00:00").drop("motivation")
+    b = clean_responses(back, "2024-01-03 00:00:00").drop("motivation")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

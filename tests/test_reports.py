@@ -1,6 +1,6 @@
 from clicktrail.functions.temporal import known_zones
-from clicktrail.plans import pipelines as P
-from clicktrail.registry.pipeline_queries import CUTOFF, MAX_SECONDS, merged_traces
+from clicktrail.plans import jobs as P
+from clicktrail.registry.trace_queries import CUTOFF, MAX_SECONDS, merged_traces
 from clicktrail.sources import tables as T
 
 SF = "/root/testdata/sf0.001"

@@ -21,7 +21,7 @@ def test_daily_stream_rebuilds_late_days(spark, tmp_path):
     late.write.mode("append").partitionBy("year", "month", "day").parquet(landing)
     q = start_daily_traces(spark, landing, schema, redirects, out, ckpt, max_requests=4, trigger={"availableNow": True})
     q.awaitTermination(300)
-    from clicktrail.plans.pipelines import build_trace_table
+    from clicktrail.plans.jobs import build_trace_table
 
     expected = build_trace_table(day1, redirects, max_requests=4).count()
     got = spark.read.parquet(out)
