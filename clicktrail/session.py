@@ -66,3 +66,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="clicktrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def scale_conf(
+    input_bytes: float,
+    total_cores: int,
+    shuffle_fraction: float = 0.3,
+    target_partition_bytes: int = 256 * 1024 * 1024,
+) -> dict[str, str]:
+    """Session settings for a cluster run, from the input size and the total executor cores.
+
+    * scan splits of ``target_partition_bytes`` (column pruning makes a split's
+      in-memory rows a fraction of that);
+    * shuffle partitions so that the shuffled bytes - ``shuffle_fraction`` of
+      the input after pruning and partial aggregation - land near the same size
+      per partition, at least two per core and at most 200,000 (AQE coalesces
+      small ones and splits skewed ones at run time);
+    * the same size as AQE's advisory partition size and skew threshold.
+
+    Example: 100 TB on 1,000 executors x 4 cores gives ~114,000 shuffle partitions.
+    """
+    shuffled = input_bytes * shuffle_fraction
+    parts = int(min(200_000, max(2 * total_cores, -(-shuffled // target_partition_bytes))))
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 * 1024 * 1024),
+    }

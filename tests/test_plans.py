@@ -31,3 +31,11 @@ def test_session_metrics_plan_has_no_python(spark):
 
     plan = _plan(session_metrics(R.filter_traffic(T.request_log(spark, SF)), gap_minutes=60))
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_scale_conf():
+    from clicktrail.session import scale_conf
+
+    c = scale_conf(100e12, 4000)
+    assert 100_000 < int(c["spark.sql.shuffle.partitions"]) < 130_000
+    assert scale_conf(1e6, 8)["spark.sql.shuffle.partitions"] == "16"
