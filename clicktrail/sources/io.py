@@ -159,6 +159,23 @@ def read_click_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLICK_TRACE_SCHEMA).options(**JSON_OPTIONS).json(path)
 
 
+# ------------------------------------------------------------------ event log
+def read_event_log(
+    spark: SparkSession, path: str | None = None, schema: T.StructType | None = None, **jdbc_options: str
+) -> DataFrame:
+    """Survey event log (responses or initiation events).
+
+    A parquet table at ``path`` (with a declared schema when given), or - the
+    original's MySQL tables - a JDBC read when ``jdbc_options`` (url, dbtable,
+    partitionColumn, lowerBound, upperBound, numPartitions, ...) are passed, so
+    the database is read by parallel tasks rather than through the driver.
+    """
+    if jdbc_options:
+        return spark.read.format("jdbc").options(**jdbc_options).load()
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
+
+
 # ------------------------------------------------------------------ TSV
 def read_survey_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Tab-separated export with a header and a declared schema."""

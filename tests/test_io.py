@@ -110,3 +110,11 @@ def test_survey_tsv_source_matches_table(spark, tmp_path):
     a = clean_responses(raw, "2024-01-03 00:00:00").drop("motivation")
     b = clean_responses(back, "2024-01-03 00:00:00").drop("motivation")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_read_event_log(spark, tmp_path):
+    from clicktrail.sources import tables as T
+
+    path = str(tmp_path / "el")
+    T.responses_log(spark, "/root/testdata/sf0.001").write.parquet(path)
+    assert IO.read_event_log(spark, path).count() == T.responses_log(spark, "/root/testdata/sf0.001").count()
