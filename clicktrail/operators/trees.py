@@ -289,8 +289,56 @@ def tree_metrics(
         .where((F.col("_internal") >= 2) & (F.col("_deg") >= 2))
         .select(*g, "root")
     )
-    scored = dfsness(forest, g, node=node, ts=ts, trees=choice)
-    return null_safe_join(m, scored, g + ["root"], "left")
+    key = g + ["root"]
+    # trees without tied timestamps (and not huge) get the relational formula in the JVM;
+    # the others replay the navigator's heap in Python
+    per_ts = forest.groupBy(*key, F.unix_micros(F.col(ts)).alias("_us")).agg(F.count(F.lit(1)).alias("_c"))
+    shape = per_ts.groupBy(*key).agg(F.sum("_c").alias("_size"), F.max("_c").alias("_dup"))
+    simple = null_safe_join(
+        shape.where((F.col("_dup") == 1) & (F.col("_size") <= SMALL_GROUP)).select(*key), choice, key, "left_semi"
+    )
+    tied = null_safe_join(choice, simple, key, "left_anti")
+    scored = dfsness_relational(forest, g, node=node, ts=ts, trees=simple)
+    if not tied.isEmpty():  # reads the checkpointed forest; no Python workers when nothing ties
+        scored = scored.unionByName(dfsness(forest, g, node=node, ts=ts, trees=tied))
+    return null_safe_join(m, scored, key, "left")
+
+
+def dfsness_relational(
+    forest: DataFrame,
+    group_cols: Sequence[str] = (),
+    node: str = "node",
+    ts: str = "ts",
+    trees: DataFrame | None = None,
+) -> DataFrame:
+    """T21 as a relation, exact when a tree's timestamps are distinct.
+
+    With distinct timestamps the navigator visits nodes in time order. A
+    group (the children of one parent) opens at the parent's time and closes
+    at its last child's. When node v is visited, the open groups are those
+    with ``open < ts(v) <= close`` (k of them), and v's group ranks by how
+    many of them opened before v's parent. pos(v) = rank / (k - 1) for k > 1,
+    and dfsness = avg(pos), NULL when no visit had a choice. Each tree's group
+    list is one small array joined to its nodes; nothing else is collected.
+    """
+    g = list(group_cols)
+    key = g + ["root"]
+    nodes = forest.select(
+        *key,
+        F.col("parent").cast("bigint").alias("parent"),
+        F.unix_micros(F.col(ts)).alias("us"),
+        F.unix_micros(F.col("parent_ts")).alias("pus"),
+    ).where(F.col("parent").isNotNull())
+    if trees is not None:
+        nodes = null_safe_join(nodes, trees.select(*key), key, "left_semi")
+    groups = nodes.groupBy(*key, "parent").agg(F.max("pus").alias("open"), F.max("us").alias("close"))
+    lists = groups.groupBy(*key).agg(F.collect_list(F.struct("open", "close")).alias("_groups"))
+    v = null_safe_join(nodes, lists, key, "inner")
+    open_at = F.filter("_groups", lambda x: (x["open"] < F.col("us")) & (F.col("us") <= x["close"]))
+    k = F.size(open_at)
+    rank = F.size(F.filter(open_at, lambda x: x["open"] < F.col("pus")))
+    pos = F.when(k > 1, rank / (k - 1))
+    return v.groupBy(*key).agg(F.avg(pos).cast("double").alias("dfsness"))
 
 
 def dfsness(

@@ -155,3 +155,29 @@ def test_parents_across_time_buckets(spark):
     amb = {r.node: r.parent_ambiguous for r in assign_parents(
         df, ["client_ip", "user_agent", "session_id"], ambiguity="intended", bucket_minutes=1).collect()}
     assert amb == {1: False, 2: False, 3: False, 4: True, 5: True}
+
+
+def test_relational_and_heap_dfsness_agree(spark):
+    rng = random.Random(31)
+    nodes = []
+    for t in range(12):  # twelve random trees with distinct timestamps in separate sessions
+        base = _random_tree(rng, rng.randrange(4, 25))
+        nodes += [(t * 1000 + n, t * 100_000 + s, f"t{t}{pk}", f"t{t}{rk}" if rk != "-" else "-") for n, s, pk, rk in base]
+    f = _forest(spark, nodes)
+    key = ("client_ip", "user_agent", "session_id")
+    a = {r.root: r.dfsness for r in TR.dfsness(f, key).collect()}
+    b = {r.root: r.dfsness for r in TR.dfsness_relational(f, key).collect()}
+    assert set(b) <= set(a) and any(v is not None for v in a.values())
+    for root in a:
+        if a[root] is None:
+            assert b.get(root) is None
+        else:
+            assert b[root] == pytest.approx(a[root])
+
+
+def test_tied_trees_take_the_heap_path(spark):
+    # R at 0 with children A, B at the same second; A -> A1, B -> B1 later
+    nodes = [(1, 0, "R", "-"), (2, 1, "A", "R"), (3, 1, "B", "R"), (4, 2, "A1", "A"), (5, 3, "B1", "B")]
+    got = _metrics(spark, nodes)[1]["dfsness"]
+    heap = {r.root: r.dfsness for r in TR.dfsness(_forest(spark, nodes), ("client_ip", "user_agent", "session_id")).collect()}
+    assert got == pytest.approx(heap[1])
