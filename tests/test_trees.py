@@ -181,3 +181,30 @@ def test_tied_trees_take_the_heap_path(spark):
     got = _metrics(spark, nodes)[1]["dfsness"]
     heap = {r.root: r.dfsness for r in TR.dfsness(_forest(spark, nodes), ("client_ip", "user_agent", "session_id")).collect()}
     assert got == pytest.approx(heap[1])
+
+
+def test_pick_tree_one_whole_tree_per_session(spark):
+    # two sessions, each a forest of three trees
+    nodes = []
+    for sess in (0, 1):
+        for t in range(3):
+            nodes += [(sess, 100 * sess + 10 * t + i, 10 * t + i, f"s{sess}t{t}p{i}", f"s{sess}t{t}p{i - 1}" if i else "-")
+                      for i in range(t + 2)]
+    data = [("c", "u", s, n, T0 + dt.timedelta(seconds=sec), pk, rk) for s, n, sec, pk, rk in nodes]
+    df = spark.createDataFrame(
+        data,
+        "client_ip string, user_agent string, session_id int, node long, ts timestamp, page_key string, referer_key string",
+    )
+    key = ["client_ip", "user_agent", "session_id"]
+    f = TR.build_forest(df, key)
+    picked = TR.pick_tree(f, key, "seed").collect()
+    again = TR.pick_tree(f.repartition(3), key, "seed").collect()
+    assert sorted(r.node for r in picked) == sorted(r.node for r in again)
+    by_session = {}
+    for r in picked:
+        by_session.setdefault(r.session_id, set()).add(r.root)
+    assert all(len(roots) == 1 for roots in by_session.values()) and set(by_session) == {0, 1}
+    sizes = {r.root: r.size for r in TR.tree_metrics(f, key, with_dfsness=False).collect()}
+    for s, roots in by_session.items():
+        (root,) = roots
+        assert sum(1 for r in picked if r.root == root) == sizes[root]
