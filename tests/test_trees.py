@@ -208,3 +208,30 @@ def test_pick_tree_one_whole_tree_per_session(spark):
     for s, roots in by_session.items():
         (root,) = roots
         assert sum(1 for r in picked if r.root == root) == sizes[root]
+
+
+def test_every_request_in_exactly_one_session_and_tree(spark):
+    from pyspark.sql import functions as F
+
+    from clicktrail.operators.sessions import sessionize
+
+    rng = random.Random(41)
+    data = []
+    for c in range(6):
+        t = 0
+        for i in range(60):
+            t += rng.choice([rng.randrange(1, 600), rng.randrange(4000, 9000)])
+            page = f"p{rng.randrange(8)}"
+            data.append((f"c{c}", "ua", c * 1000 + i, T0 + dt.timedelta(seconds=t), page, f"p{rng.randrange(8)}"))
+    df = spark.createDataFrame(
+        data, "client_ip string, user_agent string, node long, ts timestamp, page_key string, referer_key string"
+    )
+    s = sessionize(df, gap_minutes=60)
+    assert s.count() == len(data) and s.select("node").distinct().count() == len(data)
+    key = ["client_ip", "user_agent", "session_id"]
+    for small in (512, 2):  # fold path and doubling path
+        f = TR.build_forest(s, key, small_group=small)
+        assert f.count() == len(data) and f.select("node").distinct().count() == len(data)
+        m = TR.tree_metrics(f, key, with_dfsness=False)
+        assert m.agg(F.sum("size")).first()[0] == len(data)
+        assert m.where(F.col("degree_sum") != F.col("size") - 1).count() == 0
