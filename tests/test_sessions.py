@@ -99,3 +99,27 @@ def test_agrees_with_session_window(spark):
     ours = S.sessionize(df, gap_minutes=60).groupBy("client_ip").agg(F.countDistinct("session_id").alias("n"))
     theirs = df.groupBy("client_ip", F.session_window("ts", "60 minutes")).count().groupBy("client_ip").count()
     assert rows(ours) == rows(theirs)
+
+
+def test_hot_client_sessions_and_plan(spark):
+    """One client holds a third of all rows: results stay exact and the window sees only bucket rows."""
+    rng = random.Random(99)
+    ev, times = [], {}
+    for c in ["hot"] * 600 + [f"c{i}" for i in range(60) for _ in range(20)]:
+        t = times.get(c, 0) + rng.choice([rng.randrange(1, 1200), rng.randrange(3700, 30000)])
+        times[c] = t
+        ev.append((c, t, True, "internal"))
+    df = _df(spark, ev)
+    out = S.sessionize(df, gap_minutes=60).orderBy("client_ip", "ts", "req_id").collect()
+    by_client = {}
+    for r in out:
+        by_client.setdefault(r.client_ip, []).append(r.session_id)
+    want = {}
+    for c, t, _, _ in ev:
+        want.setdefault(c, []).append(t)
+    assert by_client == {c: _py_sessionize(ts, 3600) for c, ts in want.items()}
+    plan = S.session_metrics(df, gap_minutes=60)._jdf.queryExecution().executedPlan().toString()
+    window_input = plan.split("Window", 1)[1]
+    # below the window: the per-(client, bucket) aggregate, then the row scan
+    agg, scan = window_input.find("HashAggregate"), window_input.find("Scan")
+    assert 0 <= agg < scan
