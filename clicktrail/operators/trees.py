@@ -232,8 +232,8 @@ def tree_metrics(
     exact integer microseconds, turned into seconds once.
     """
     g = list(group_cols)
-    # the forest feeds four branches below (closure, node stats, the dfsness choice and dfsness
-    # itself); one checkpoint instead of recomputing the fold in each
+    # the forest feeds five branches below (closure, node stats, the dfsness choice, the tie check and
+    # dfsness itself); one checkpoint instead of recomputing the fold in each
     ensure_checkpoint_dir(forest.sparkSession)
     forest = forest.checkpoint(eager=True)
     stats = _closure_stats(forest, g, node)
