@@ -107,7 +107,8 @@ def assign_parents(
         .select(*g, "_key", "_b", "_carry", "_carry_n")
     )
     joined = null_safe_join(within, per_bucket, g + ["_key", "_b"], "left")
-    par = F.coalesce(F.col("_in"), F.col("_carry"))
+    # a NULL key never matches (a missing page key is not a link to other missing keys)
+    par = F.when(F.col("_key").isNotNull(), F.coalesce(F.col("_in"), F.col("_carry")))
     seen = F.col("_seen_in") + F.coalesce(F.col("_carry_n"), F.lit(0))
     return (
         joined.withColumn("parent", par["n"])

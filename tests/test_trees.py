@@ -235,3 +235,10 @@ def test_every_request_in_exactly_one_session_and_tree(spark):
         m = TR.tree_metrics(f, key, with_dfsness=False)
         assert m.agg(F.sum("size")).first()[0] == len(data)
         assert m.where(F.col("degree_sum") != F.col("size") - 1).count() == 0
+
+
+def test_null_keys_never_link(spark):
+    nodes = [(1, 0, None, "-"), (2, 5, "B", None), (3, 9, "C", "B")]
+    f = _forest(spark, nodes)
+    got = {r.node: r.parent for r in f.collect()}
+    assert got == {1: None, 2: None, 3: 2}
