@@ -50,13 +50,14 @@ def sessionize(
     client_cols = list(client_cols)
     gap_us = int(round(gap_minutes * 60_000_000))
     keyed = df.withColumn("_bucket", _bucket(ts, gap_us))
-    buckets = keyed.groupBy(*client_cols, "_bucket").agg(
+    # rows without a timestamp belong to no session (their session_id stays NULL)
+    buckets = keyed.where(F.col(ts).isNotNull()).groupBy(*client_cols, "_bucket").agg(
         F.min(F.unix_micros(F.col(ts))).alias("_bmin"), F.max(F.unix_micros(F.col(ts))).alias("_bmax")
     )
     numbered = _session_buckets(buckets, client_cols, gap_us, session_col).select(
         *client_cols, "_bucket", session_col
     )
-    return null_safe_join(keyed, numbered, client_cols + ["_bucket"]).drop("_bucket")
+    return null_safe_join(keyed, numbered, client_cols + ["_bucket"], "left").drop("_bucket")
 
 
 def session_metrics(
@@ -76,7 +77,8 @@ def session_metrics(
     gap_us = int(round(gap_minutes * 60_000_000))
     us = F.unix_micros(F.col(ts))
     buckets = (
-        df.withColumn("_bucket", _bucket(ts, gap_us))
+        df.where(F.col(ts).isNotNull())
+        .withColumn("_bucket", _bucket(ts, gap_us))
         .groupBy(*client_cols, "_bucket")
         .agg(
             F.min(us).alias("_bmin"),

@@ -123,3 +123,14 @@ def test_hot_client_sessions_and_plan(spark):
     # below the window: the per-(client, bucket) aggregate, then the row scan
     agg, scan = window_input.find("HashAggregate"), window_input.find("Scan")
     assert 0 <= agg < scan
+
+
+def test_null_timestamps_get_no_session(spark):
+    data = [("a", 0, T0), ("a", 1, None), ("a", 2, T0 + dt.timedelta(hours=3))]
+    df = spark.createDataFrame(
+        [(c, "ua", i, t, True, "internal") for c, i, t in data],
+        "client_ip string, user_agent string, req_id long, ts timestamp, is_pageview boolean, referer_class string",
+    )
+    got = {r.req_id: r.session_id for r in S.sessionize(df, gap_minutes=60).collect()}
+    assert got == {0: 0, 1: None, 2: 1}
+    assert S.session_metrics(df, gap_minutes=60).count() == 2
