@@ -43,3 +43,18 @@ def test_entry_smoke(spark):
 
     df = E.entry(spark)
     assert df.count() > 0 and "session_length" in df.columns
+
+
+def test_every_query_has_an_oracle():
+    import __spark_entry__ as E
+
+    q, o = E.queries(), E.oracle_sql()
+    assert set(o) == set(q) and len(q) >= 60
+
+
+def test_flagship_schema_is_stable(spark):
+    import __spark_entry__ as E
+
+    a = E.queries()["session_metrics"](spark, "/root/testdata/sf0.001").schema
+    b = E.queries()["session_metrics"](spark, "/root/testdata/sf0.01").schema
+    assert a == b == E.entry(spark).schema
