@@ -282,7 +282,16 @@ def tree_metrics(
     # a choice needs two nodes with children and a node with two or more children; other trees
     # stay NULL without leaving the JVM. Counted from the parent column (not from ``m``, whose
     # plan would then be computed twice).
-    kids = forest.where(F.col("parent").isNotNull()).groupBy(*g, "root", "parent").agg(F.count(F.lit(1)).alias("_k"))
+    # one aggregate per sibling group serves both the choice filter and the relational dfsness
+    kids = (
+        forest.where(F.col("parent").isNotNull())
+        .groupBy(*g, "root", "parent")
+        .agg(
+            F.count(F.lit(1)).alias("_k"),
+            F.max(F.unix_micros(F.col("parent_ts"))).alias("open"),
+            F.max(F.unix_micros(F.col(ts))).alias("close"),
+        )
+    )
     choice = (
         kids.groupBy(*g, "root")
         .agg(F.count(F.lit(1)).alias("_internal"), F.max("_k").alias("_deg"))
@@ -298,7 +307,7 @@ def tree_metrics(
         shape.where((F.col("_dup") == 1) & (F.col("_size") <= SMALL_GROUP)).select(*key), choice, key, "left_semi"
     )
     tied = null_safe_join(choice, simple, key, "left_anti")
-    scored = dfsness_relational(forest, g, node=node, ts=ts, trees=simple)
+    scored = dfsness_relational(forest, g, node=node, ts=ts, trees=simple, groups=kids)
     if not tied.isEmpty():  # reads the checkpointed forest; no Python workers when nothing ties
         scored = scored.unionByName(dfsness(forest, g, node=node, ts=ts, trees=tied))
     return null_safe_join(m, scored, key, "left")
@@ -310,6 +319,7 @@ def dfsness_relational(
     node: str = "node",
     ts: str = "ts",
     trees: DataFrame | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """T21 as a relation, exact when a tree's timestamps are distinct.
 
@@ -331,7 +341,10 @@ def dfsness_relational(
     ).where(F.col("parent").isNotNull())
     if trees is not None:
         nodes = null_safe_join(nodes, trees.select(*key), key, "left_semi")
-    groups = nodes.groupBy(*key, "parent").agg(F.max("pus").alias("open"), F.max("us").alias("close"))
+    if groups is None:  # (group key, root, parent, open, close); computed here unless the caller has it
+        groups = nodes.groupBy(*key, "parent").agg(F.max("pus").alias("open"), F.max("us").alias("close"))
+    elif trees is not None:
+        groups = null_safe_join(groups, trees.select(*key), key, "left_semi")
     lists = groups.groupBy(*key).agg(F.collect_list(F.struct("open", "close")).alias("_groups"))
     v = null_safe_join(nodes, lists, key, "inner")
     open_at = F.filter("_groups", lambda x: (x["open"] < F.col("us")) & (F.col("us") <= x["close"]))
