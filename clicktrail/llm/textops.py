@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 
@@ -117,7 +117,7 @@ def chunks(batches, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch,
             continue
         col = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
         sizes = col.fill_null(b"")
-        size = pa.compute.binary_length(sizes).to_numpy()
+        size = pc.binary_length(sizes).to_numpy()
         begin, total = 0, 0
         for i, n in enumerate(size):
             if i > begin and total + n > limit:
