@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import ann, chat, decontam, jaccard, packing, pii, quality, rollup, shared, toxicity
+import corpus_pipeline
+from clicktrail.llm import ann, chat, decontam, jaccard, packing, pii, quality, rollup, shared, suffix, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -130,3 +131,23 @@ def token_counts(spark, sf_dir):
 @query("op5_ngram_jaccard_join")
 def ngram_jaccard_join(spark, sf_dir):
     return jaccard.similar_components(table(spark, sf_dir, "documents"), jaccard.Jaccard(words=4, percent=85))
+
+
+@query("op2_suffix_array_dedup")
+def suffix_array_dedup(spark, sf_dir):
+    """The table in three batches by doc_id, a sixteenth, a sixteenth and the rest: the first two become one level before the third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    family = suffix.SuffixLevels(spark, shared.work_folder(spark, "suffix-levels"))
+    cuts = docs.approxQuantile("doc_id", [1 / 16, 1 / 8], 0.001)
+    a, b = (int(x) for x in cuts) if cuts else (0, 0)
+    key = F.col("doc_id")
+    runs = None
+    for batch in (docs.where(key.isNull() | (key <= a)), docs.where((key > a) & (key <= b)), docs.where(key > b)):
+        found = family.add(batch, docs)
+        runs = found if runs is None else runs.unionByName(found)
+    return suffix.dedup_report(docs, runs)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

@@ -148,14 +148,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
     return ToxicityModel(weights, float(b))
 
 
+def _score_texts(texts: list[bytes], model: ToxicityModel) -> np.ndarray:
+    doc, slot = _slots(Words(texts, ALNUM))
+    used = model.weights[slot] != 0
+    pair = np.unique((doc[used] << BITS) | slot[used])
+    return sigmoid(np.bincount(pair >> BITS, weights=model.weights[pair & ((1 << BITS) - 1)], minlength=len(texts)) + model.intercept)
+
+
 def _scores(batches, model: ToxicityModel):
     for batch, texts in chunks(batches):
-        w = Words(texts, ALNUM)
-        doc, slot = _slots(w)
-        used = model.weights[slot] != 0
-        pair = np.unique((doc[used] << BITS) | slot[used])
-        z = np.bincount(pair >> BITS, weights=model.weights[pair & ((1 << BITS) - 1)], minlength=len(texts)) + model.intercept
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(sigmoid(z), pa.float64())})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(_score_texts(texts, model), pa.float64())})
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -163,3 +165,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the corpus
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(lambda it: _scores(it, shared.value), "doc_id long, score double")
+
+
+def _clean_rows(batches, model: ToxicityModel, limit: float):
+    for batch, texts in chunks(batches):
+        yield batch.filter(pa.array(_score_texts(texts, model) < limit))
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, limit: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``limit``; decided in the scan, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _clean_rows(it, shared.value, limit), docs.schema)
