@@ -19,7 +19,7 @@ def _python_zones() -> tuple[str, ...]:
 
 
 def known_zones(spark: SparkSession | None = None) -> list[str]:
-    """Region zone names both the JVM and Python's tz database know (the guard list of F14)."""
+    """Every zone name that both the JVM and Python's tz database know (the guard list of F14)."""
     zones = set(_python_zones())
     if spark is not None:
         try:
@@ -27,7 +27,7 @@ def known_zones(spark: SparkSession | None = None) -> list[str]:
             zones &= jvm_zones
         except Exception:  # no JVM gateway (e.g. a remote client): the Python list alone
             pass
-    return sorted(z for z in zones if "/" in z)
+    return sorted(zones)
 
 
 def utc_to_local(ts: Column, tz: Column, zones: list[str]) -> Column:

@@ -4,47 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def latest_before(
-    requests: Column, click_title: Column, click_ts: Column
-) -> Column:
-    """J6 on a nested trace: the request with ``title == click_title`` and ``ts <= click_ts``
-    that is closest to the click; among equal timestamps the lowest position wins.
-
-    Returns ``struct(id, request)`` or NULL. A per-row expression over the
-    array, so it needs neither an explode nor a shuffle.
-    """
-    candidates = F.filter(
-        F.transform(
-            requests,
-            lambda r, i: F.struct(r["ts"].alias("ts"), (-i).alias("neg_id"), i.alias("id"), r.alias("request")),
-        ),
-        lambda x: (x["request"]["title"] == click_title) & (x["ts"] <= click_ts),
-    )
-    best = F.array_max(candidates)
-    return F.when(best.isNotNull(), F.struct(best["id"].cast("int").alias("id"), best["request"].alias("request")))
+from clicktrail.operators.joins import key_of
 
 
 def asof_click_request(
-    df: DataFrame,
-    trace_col: str = "trace_data",
+    rows: DataFrame,
+    by: Sequence[str],
     title_col: str = "click_title",
     click_ts_col: str = "click_dt_utc",
+    fields: Sequence[str] = ("ts", "title", "referer", "uri_path", "uri_query", "access_method", "referer_class"),
 ) -> DataFrame:
-    """J6 + W6 + F22: add ``click_request`` (the request, with its trace position as ``id``) and
-    ``time_to_click`` (seconds from that request to the click); both NULL when nothing qualifies."""
-    numbered = F.transform(F.col(trace_col), lambda r, i: r.withField("id", i.cast("int")))
-    hit = latest_before(numbered, F.col(title_col), F.col(click_ts_col))
-    out = df.withColumn(trace_col, numbered).withColumn("_hit", hit)
-    seconds = (F.unix_micros(F.col(click_ts_col)) - F.unix_micros(F.col("_hit.request.ts"))) / F.lit(1e6)
-    return (
-        out.withColumn("click_request", F.col("_hit.request"))
-        .withColumn("time_to_click", seconds.cast("double"))
-        .drop("_hit")
-    )
+    """J6 + F22: per click (the columns ``by``), the latest request of its trace with the click's title and ``ts <= click``.
+
+    ``rows`` are trace rows (``id``, ``ts``, ``title``, ...) joined to clicks.
+    One aggregate with partial sums, so a trace of any length is reduced where
+    its rows are; among equal timestamps the lowest position wins. Adds
+    ``click_request`` (struct with ``id``), ``time_to_click`` (seconds), both
+    NULL when nothing qualifies, and ``n_requests`` of the trace.
+    """
+    fits = (F.col("title") == F.col(title_col)) & (F.col("ts") <= F.col(click_ts_col))
+    latest = F.max_by(F.struct("id", *fields), F.when(fits, F.struct(F.col("ts"), -F.col("id"))))
+    out = rows.groupBy(*by).agg(latest.alias("click_request"), F.count(F.lit(1)).alias("n_requests"))
+    seconds = (F.unix_micros(F.col(click_ts_col)) - F.unix_micros(F.col("click_request.ts"))) / F.lit(1e6)
+    return out.withColumn("time_to_click", seconds.cast("double"))
 
 
 def assign_parents(
@@ -60,59 +45,52 @@ def assign_parents(
     """Parent of each request = the latest strictly earlier page view in its group whose
     page key equals the request's referer key; none -> a root.
 
-    Written as a union of "page" rows (key = page key) and "referer" rows
-    (key = referer key); a window carries the last page view forward, and at
-    equal (ts, node) the referer row sorts first, so a request never becomes
-    its own parent. The window runs per (group, key, time bucket), so one
-    page viewed a huge number of times in one session is spread over its
-    buckets; the last page view of each earlier bucket comes from a small
-    per-bucket table (one row per group, key and bucket) whose own window
-    carries it forward, and it is joined back on the same keys the big window
-    is partitioned by. ``ambiguity='intended'`` flags requests whose referer
-    page was seen more than once before; the original never updated its
-    counter, so ``'reference'`` flags none.
+    One pass over the rows emits each twice, as a "referer" row (key = referer
+    key) and as a "page" row (key = page key); a window carries the last page
+    view forward, and at equal (ts, node) the referer row sorts first, so a
+    request never becomes its own parent. The window runs per (group, key, time
+    bucket), so one page viewed a huge number of times in one session is spread
+    over its buckets; the last page view of each earlier bucket comes from a
+    small table (one row per group, key and bucket) whose own window carries it
+    forward. ``ambiguity='intended'`` flags requests whose referer page was seen
+    more than once before; the original never updated its counter, so
+    ``'reference'`` flags none.
     """
-    from clicktrail.operators.joins import null_safe_join
-
-    g = list(group_cols)
     width = int(round(bucket_minutes * 60_000_000))
     bucket = F.floor(F.unix_micros(F.col(ts)) / F.lit(width)).cast("bigint")
-    # referer rows carry every column of the request; page rows only what the windows need
-    refs = rows.withColumn("_key", F.col(referer_key)).withColumn("_kind", F.lit(0)).withColumn("_b", bucket)
-    pages = rows.select(*g, F.col(page_key).alias("_key"), ts, node, F.lit(1).alias("_kind"), bucket.alias("_b"))
+    both = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col(referer_key).alias("key")), F.struct(F.lit(1).alias("kind"), F.col(page_key).alias("key"))
+    )
+    twice = rows.select("*", F.explode(both).alias("_as")).withColumns(
+        {"_slot": F.struct(key_of(list(group_cols)).alias("g"), F.col("_as.key").alias("key")), "_b": bucket}
+    )
     w = (
-        Window.partitionBy(*g, "_key", "_b")
-        .orderBy(ts, node, "_kind")
+        Window.partitionBy("_slot", "_b")
+        .orderBy(ts, node, "_as.kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    page_hit = F.when(F.col("_kind") == 1, F.struct(F.col(node).alias("n"), F.col(ts).alias("t")))
-    windowed = (
-        refs.unionByName(pages, allowMissingColumns=True)
-        .withColumn("_in", F.last(page_hit, ignorenulls=True).over(w))
-        .withColumn("_seen_in", F.count(page_hit).over(w))
+    is_page = F.col("_as.kind") == 1
+    page_hit = F.when(is_page, F.struct(F.col(node).alias("n"), F.col(ts).alias("t")))
+    windowed = twice.withColumn("_in", F.last(page_hit, ignorenulls=True).over(w)).withColumn(
+        "_seen_in", F.count(page_hit).over(w)
     )
-    within = windowed.where(F.col("_kind") == 0)
-    # one row per (group, key, bucket) where the key occurs at all, so every referer bucket finds its
-    # carry; aggregated from the windowed rows, it shares their shuffle and needs none of its own
-    earlier = Window.partitionBy(*g, "_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    is_page = F.col("_kind") == 1
+    # one row per (group, key, bucket); its own window runs on that small table
+    earlier = Window.partitionBy("_slot").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = (
-        windowed.groupBy(*g, "_key", "_b")
-        .agg(
-            F.max_by(page_hit, F.when(is_page, F.struct(ts, node))).alias("_last"),
-            F.count_if(is_page).alias("_n"),
-        )
+        twice.groupBy("_slot", "_b")
+        .agg(F.max_by(page_hit, F.when(is_page, F.struct(ts, node))).alias("_last"), F.count_if(is_page).alias("_n"))
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier))
         .withColumn("_carry_n", F.sum("_n").over(earlier))
-        .select(*g, "_key", "_b", "_carry", "_carry_n")
+        .select("_slot", "_b", "_carry", "_carry_n")
     )
-    joined = null_safe_join(within, per_bucket, g + ["_key", "_b"], "left")
     # a NULL key never matches (a missing page key is not a link to other missing keys)
-    par = F.when(F.col("_key").isNotNull(), F.coalesce(F.col("_in"), F.col("_carry")))
+    par = F.when(F.col("_as.key").isNotNull(), F.coalesce(F.col("_in"), F.col("_carry")))
     seen = F.col("_seen_in") + F.coalesce(F.col("_carry_n"), F.lit(0))
     return (
-        joined.withColumn("parent", par["n"])
+        windowed.where(~is_page)
+        .join(per_bucket, ["_slot", "_b"], "left")
+        .withColumn("parent", par["n"])
         .withColumn("parent_ts", par["t"])
         .withColumn("parent_ambiguous", (seen > 1) if ambiguity == "intended" else F.lit(False))
-        .drop("_key", "_kind", "_b", "_in", "_seen_in", "_carry", "_carry_n")
+        .drop("_as", "_slot", "_b", "_in", "_seen_in", "_carry", "_carry_n")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.functions.keys import client_key, event_log_ts, strip_quotes
-from clicktrail.operators.joins import adaptive
+from clicktrail.functions.textparse import REQUEST_TYPE
 from clicktrail.sources.adapters import YES_BUTTON
 
 
@@ -74,21 +74,36 @@ def prepared_clicks(responses: DataFrame, pages: DataFrame) -> DataFrame:
     return click_table(valid_clicks(first_click(click_events(responses, pages))))
 
 
-def join_traces_clicks(traces: DataFrame, clicks: DataFrame) -> DataFrame:
-    """Inner equi-join of traces and clicks on the client key.
+def clicked_log(log: DataFrame, clicks: DataFrame) -> DataFrame:
+    """The request-log rows of clients that clicked: one page view in hundreds leads to a click, so this comes first."""
+    keys = clicks.select(F.col("key").alias("_key")).distinct()
+    return log.join(keys, client_key(F.col("client_ip"), F.col("user_agent")) == F.col("_key"), "left_semi")
 
-    Clicks are few next to traces: adaptive execution broadcasts the click
-    side once its real size is known to be small, so traces stream through
-    without a shuffle; otherwise both sides are shuffled on the key.
+
+def join_traces_clicks(rows: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Inner equi-join of trace rows and clicks on the client key; the click's fields become columns."""
+    c = clicks.select(
+        "key",
+        F.col("click_data.survey_token").alias("survey_token"),
+        F.col("click_data.timestamp").alias("click_dt_utc"),
+        F.col("click_data.title").alias("click_title"),
+    )
+    return rows.withColumn("key", client_key(F.col("ip"), F.col("ua"))).join(c, "key", "inner")
+
+
+def nest_click_traces(joined: DataFrame) -> DataFrame:
+    """The nested form for the click-trace sink: ``key, requests, click_data, geo_data, ua_data``.
+
+    An array holds the trace of one clicking client.
     """
-    t = traces.select(
-        client_key(F.col("ip"), F.col("ua")).alias("key"),
-        "requests",
-        F.col("geocoded_data").alias("geo_data"),
-        F.col("user_agent_map").alias("ua_data"),
+    names = [f.name for f in REQUEST_TYPE.fields]
+    nested = joined.groupBy("key", "trace", "survey_token", "click_dt_utc", "click_title").agg(
+        F.array_sort(F.collect_list(F.struct(*names))).alias("requests"),
+        F.first("geocoded_data").alias("geo_data"),
+        F.first("user_agent_map").alias("ua_data"),
     )
-    joined = t.join(adaptive(clicks), "key", "inner")
-    return joined.select("key", "requests", "click_data", "geo_data", "ua_data")
+    click = F.struct(F.col("click_title").alias("title"), "survey_token", F.col("click_dt_utc").alias("timestamp"))
+    return nested.select("key", "requests", click.alias("click_data"), "geo_data", "ua_data")
 
 
 def coverage(stages: dict[str, DataFrame]) -> DataFrame:

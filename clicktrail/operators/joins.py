@@ -1,56 +1,38 @@
-"""Join helpers: size-checked broadcast, NULL-safe equi-joins, uniqueness filters."""
+"""Join helpers: equi-joins in which NULL equals NULL, and uniqueness filters."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast a side only when its row count is proven below this bound.
-BROADCAST_MAX_ROWS = 2_000_000
 
+def key_of(cols: Sequence[str], df: DataFrame | None = None) -> Column:
+    """The columns as one key. Two keys are equal when all fields are, and a NULL field equals a NULL field.
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1 rows).
-
-    This runs a job over ``df``; use it only on cheap inputs (a table scan),
-    never on a derived plan, which it would compute twice.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def adaptive(df: DataFrame) -> DataFrame:
-    """Join side whose size is only known at run time.
-
-    No hint: adaptive execution measures the shuffled side and switches the
-    sort-merge join to a broadcast hash join only when it is below
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` - a size check made on
-    real data, with the shuffle join as the way beyond it, and no extra job.
+    As the key itself is never NULL, joins, windows and aggregates on it are
+    planned as plain equality on one expression and can share a partitioning.
     """
-    return df
+    return F.struct(*[(df[c] if df is not None else F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(cols)])
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL (planned as a hash/sort-merge join, not a nested loop)."""
+    """Equi-join on ``keys`` where NULL matches NULL; the right side's key columns are dropped."""
     keys = list(keys)
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    out = left.join(r, cond, how)
-    if how not in ("left_semi", "left_anti", "semi", "anti", "leftsemi", "leftanti"):
-        out = out.drop(*[f"_r_{k}" for k in keys])
-    return out
+    r = right.select(key_of(keys).alias("_rk"), *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    out = left.withColumn("_lk", key_of(keys)).join(r, F.col("_lk") == F.col("_rk"), how)
+    return out.drop("_lk", "_rk")
 
 
 def keep_unique(df: DataFrame, cols: Sequence[str] | str) -> DataFrame:
     """Keep rows whose value of ``cols`` occurs exactly once (NULLs count as equal).
 
-    Counted with a partial aggregate, then a semi-join, so a value held by a
-    huge number of rows is reduced map-side instead of buffered in one window.
+    One aggregate: the rows of a value are counted and any one of them is
+    carried along, partially in each task, so a value held by a huge number of
+    rows is reduced before the shuffle, and the input is read once.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    once = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    return null_safe_join(df, once, cols, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    once = df.groupBy(key_of(cols).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.first(row).alias("_r"))
+    return once.where("_n = 1").select("_r.*")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from clicktrail.functions.keys import form_ts, strip_quotes
 from clicktrail.operators import stats as ST
-from clicktrail.operators.joins import adaptive
 from clicktrail.sources.adapters import NO_BUTTON, Q_TIMESTAMP, Q_TOKEN, YES_BUTTON
 
 TOKEN = "event_surveyInstanceToken"
@@ -111,11 +110,11 @@ def funnel_rates(matches: DataFrame, funnel: DataFrame) -> DataFrame:
 
 def unmatched_answers(survey: DataFrame, responses: DataFrame, initiation: DataFrame) -> DataFrame:
     """J15 + O6: every form answer with its event-log click if any (left join), ordered by answer time."""
-    s = survey.select(_q(Q_TOKEN).alias("google_token"), form_ts(_q(Q_TIMESTAMP)).alias("google_ts"))
+    s = survey.select(_q(Q_TOKEN).alias("answer_token"), form_ts(_q(Q_TIMESTAMP)).alias("answer_time"))
     c = responses_with_impression(responses, initiation).select(
-        F.col(TOKEN).alias("el_token"), F.col("timestamp").alias("el_timestamp")
+        F.col(TOKEN).alias("click_token"), F.col("timestamp").alias("click_time")
     )
-    return s.join(c, s["google_token"] == c["el_token"], "left").orderBy("google_ts", "google_token", "el_token")
+    return s.join(c, s["answer_token"] == c["click_token"], "left").orderBy("answer_time", "answer_token", "click_token")
 
 
 def ua_shares(initiation: DataFrame) -> DataFrame:
@@ -137,7 +136,7 @@ def ua_share_delta(ua_counts_df: DataFrame, initiation: DataFrame, top: int = 10
     top_agents = ST.top_k(ua_counts_df, [F.desc("n"), F.asc("user_agent")], top)
     web = ST.share_of_external(top_agents, "n", total).withColumnRenamed("proportion", "proportion_web")
     el = ua_shares(initiation).select(F.col("user_agent").alias("_ua"), F.col("proportion").alias("proportion_el"))
-    merged = web.join(adaptive(el), web["user_agent"] == el["_ua"], "left").drop("_ua").fillna(
+    merged = web.join(el, web["user_agent"] == el["_ua"], "left").drop("_ua").fillna(
         0.0, subset=["proportion_el"]
     )
     merged = merged.withColumn("delta", F.col("proportion_web") - F.col("proportion_el"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.functions.urls import url_decode
-from clicktrail.operators.joins import fits, null_safe_join
 
 # The two wiki hosts whose traffic is traced.
 TRACED_HOSTS = ("en.wikipedia.org", "en.m.wikipedia.org")
@@ -43,37 +42,26 @@ def filter_traffic(
     return df.where(cond)
 
 
-def in_span(start: str, stop: str) -> Column:
-    """Day-span predicate on the year/month/day partition columns (inclusive)."""
-    d = F.make_date("year", "month", "day")
-    return d.between(F.to_date(F.lit(start)), F.to_date(F.lit(stop)))
-
-
 def raw_title(df: DataFrame) -> DataFrame:
     """Page title of page views, NULL otherwise.
 
     The original spread non-page-view rows over random join keys to avoid a
-    NULL-key hot spot in a shuffled join; a NULL key never matches and the
-    redirect side is broadcast (or AQE splits the skew), so NULL is kept.
+    NULL-key hot spot in a shuffled join; here NULL is kept, and ``trace_rows``
+    drops those rows before the join.
     """
     return df.withColumn(
         "raw_title", F.when(F.col("is_pageview"), F.element_at(F.col("pageview_info"), F.lit("page_title")))
     )
 
 
-def resolve_redirects(df: DataFrame, redirects: DataFrame, broadcast_max_rows: int | None = None) -> DataFrame:
+def resolve_redirects(df: DataFrame, redirects: DataFrame) -> DataFrame:
     """J1 + P4: left join on the raw title; canonical title = redirect target, else raw title, NULL for non-page views.
 
-    The redirect table is one row per source title. Pass ``broadcast_max_rows``
-    when it is a plain table: it is then broadcast only after its row count
-    is checked. Otherwise adaptive execution picks broadcast or shuffle from
-    the measured size; the NULL titles of non-page views never match, so a
-    shuffled join sends them to one reducer only to be split by AQE's skew
-    handling.
+    A title held by a third of all views is split by the adaptive skew join,
+    which may divide the row side of a left join. Rows without a title should be
+    dropped first where the result does not keep them (``trace_rows`` does).
     """
     r = redirects.select(F.col("rd_from"), F.col("rd_to"))
-    if broadcast_max_rows is not None and fits(r, broadcast_max_rows):
-        r = F.broadcast(r)
     joined = df.join(r, df["raw_title"] == r["rd_from"], "left")
     title = F.when(~F.col("is_pageview"), F.lit(None).cast("string")).otherwise(
         F.coalesce(F.col("rd_to"), F.col("raw_title"))
@@ -102,58 +90,80 @@ def pack_request(df: DataFrame, decode: bool = True) -> DataFrame:
     return df.withColumn("request", packed)
 
 
-def _canon_map(c: str) -> Column:
-    """Deterministic text of a map, usable as a join key (maps are not)."""
-    return F.to_json(F.array_sort(F.map_entries(F.col(c))))
+def _entries(c: str) -> Column:
+    """A map's sorted entries: unlike the map, they can be grouped and joined on."""
+    return F.array_sort(F.map_entries(F.col(c)))
+
+
+def trace_key(ip: str = "ip", ua: str = "ua") -> Column:
+    """What makes requests one trace: address, agent and both maps, as one key (never NULL)."""
+    return F.struct(
+        F.col(ip).alias("ip"),
+        F.col(ua).alias("ua"),
+        _entries("geocoded_data").alias("geo"),
+        _entries("user_agent_map").alias("agent"),
+    )
 
 
-def build_traces(
-    df: DataFrame,
-    max_requests: int = 500,
-    count_from: DataFrame | None = None,
-    partition_by: Sequence[str] | None = ("client_ip", "user_agent"),
+def trace_rows(
+    log: DataFrame, redirects: DataFrame, hosts: Sequence[str] = TRACED_HOSTS, hour: int | None = None
 ) -> DataFrame:
-    """A1 + A2: one trace per client, day and host; groups with ``max_requests`` or more rows are dropped.
-
-    The count covers every row of the group (page views or not), while the
-    trace keeps only complete requests. Plan:
-
-    * rows per group are counted with a partial aggregate (only keys and
-      counts are shuffled) - on ``count_from`` when given, i.e. the rows
-      before the redirect join, which the count does not need;
-    * the *heavy* groups (count >= cap) are few, so the anti-join against
-      them is normally broadcast by adaptive execution (a map-side filter);
-      a hot client is dropped before anything is collected;
-    * the remaining rows are grouped once on canonical keys (maps are not
-      hashable join keys, so they are keyed by their sorted JSON text and
-      carried with ``first``), which bounds every collected array by the cap;
-    * that single row shuffle is on ``partition_by`` (the client): after the
-      anti-join a client has at most cap x days x hosts rows, and the output
-      stays partitioned by client, so merging days (A3) needs no shuffle.
-
-    Requests are sorted by (ts, other fields), which fixes the order of ties.
+    """P1 -> P3 -> J1 -> P4 -> P5: the complete requests of all traces, one row each, with their ``trace`` key.
+
+    This is the trace table (A1, A3) unnested: a client's history is as many
+    rows as it has requests and is never gathered. Rows that the NULL-strict
+    packing would drop anyway, non-page views first of all, are dropped before
+    the redirect join. ``number_requests`` gives the position in the trace.
+    """
+    r = raw_title(filter_traffic(log, hosts, hour)).where("raw_title is not null")
+    r = pack_request(resolve_redirects(r, redirects)).where("request is not null")
+    return r.select(
+        trace_key("client_ip", "user_agent").alias("trace"),
+        F.col("client_ip").alias("ip"),
+        F.col("user_agent").alias("ua"),
+        "geocoded_data",
+        "user_agent_map",
+        F.col("uri_host").alias("host"),
+        "year",
+        "month",
+        "day",
+        "request.*",
+    )
+
+
+#: order of requests in a trace; rows equal in all of these are interchangeable
+TRACE_ORDER = ("ts", "referer", "title", "uri_path", "uri_query", "access_method", "referer_class")
+
+
+def drop_heavy(df: DataFrame, max_requests: int) -> DataFrame:
+    """A2: drops all rows of a client, day and host with ``max_requests`` or more rows, page views or not.
+
+    Rows are counted with partial aggregates; what is dropped is found before
+    any row is gathered.
     """
-    keys = ["client_ip", "user_agent", "uri_host", "year", "month", "day", "_geo", "_uam"]
+    keys = ["client_ip", "user_agent", "uri_host", "year", "month", "day"]
+    keyed = df.withColumn("_t", F.struct(trace_key("client_ip", "user_agent").alias("t"), *keys[2:]))
+    heavy = keyed.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_requests)
+    return keyed.join(heavy.select("_t"), "_t", "left_anti").drop("_t")
 
-    def keyed(d: DataFrame) -> DataFrame:
-        return d.withColumn("_geo", _canon_map("geocoded_data")).withColumn("_uam", _canon_map("user_agent_map"))
 
-    rows = keyed(df)
-    counted = keyed(count_from) if count_from is not None else rows
-    heavy = (
-        counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_requests).drop("_n")
-    )
-    kept = null_safe_join(rows, heavy, keys, "left_anti")
-    if partition_by:
-        kept = kept.repartition(*partition_by)
-    traces = kept.groupBy(*keys).agg(
+def build_traces(df: DataFrame, max_requests: int | None = None) -> DataFrame:
+    """A1 (+ A2 when ``max_requests`` is given), nested: one trace per client, day and host, for the table writers.
+
+    ``df`` has packed requests (P5). An array holds one client's day on one
+    host; a client without a complete request keeps an empty one. Requests are
+    sorted by (ts, other fields), which fixes the order of ties.
+    """
+    if max_requests is not None:
+        df = drop_heavy(df, max_requests)
+    traces = df.groupBy(trace_key("client_ip", "user_agent").alias("t"), "uri_host", "year", "month", "day").agg(
         F.first("geocoded_data").alias("geocoded_data"),
         F.first("user_agent_map").alias("user_agent_map"),
         F.sort_array(F.collect_list("request")).alias("requests"),
     )
     return traces.select(
-        F.col("client_ip").alias("ip"),
-        F.col("user_agent").alias("ua"),
+        F.col("t.ip").alias("ip"),
+        F.col("t.ua").alias("ua"),
         "geocoded_data",
         "user_agent_map",
         "requests",
@@ -165,26 +175,23 @@ def build_traces(
 
 
 def merge_traces(traces_by_day: DataFrame, year: int | None = None, drop_empty: bool = True) -> DataFrame:
-    """A3: merge a client's day/host traces into one trace sorted by time.
+    """A3, nested: a client's day/host traces as one trace sorted by time, for the merged-table writer.
 
-    ``year`` restricts the merged partitions (the original fixed it to 2016).
-    Clients without a single complete request are dropped, as the text
+    The array holds a client's whole history; operators work on ``trace_rows``
+    instead. ``year`` restricts the merged partitions (the original fixed it to
+    2016). Clients without a single complete request are dropped, as the text
     round trip of the original drops them (S7).
     """
     t = traces_by_day if year is None else traces_by_day.where(F.col("year") == year)
-    merged = t.groupBy("ip", "ua", "geocoded_data", "user_agent_map").agg(
-        F.sort_array(F.flatten(F.collect_list("requests"))).alias("requests")
+    merged = t.groupBy(trace_key().alias("t")).agg(
+        F.first("geocoded_data").alias("geocoded_data"),
+        F.first("user_agent_map").alias("user_agent_map"),
+        F.sort_array(F.flatten(F.collect_list("requests"))).alias("requests"),
     )
-    if drop_empty:
-        merged = merged.where(F.size("requests") > 0)
-    return merged
+    merged = merged.select(F.col("t.ip").alias("ip"), F.col("t.ua").alias("ua"), "geocoded_data", "user_agent_map", "requests")
+    return merged.where(F.size("requests") > 0) if drop_empty else merged
 
 
 def sort_trace(requests: Column) -> Column:
     """O1: sort an array of request structs by ts, ties by the remaining fields."""
     return F.array_sort(requests)
-
-
-def trace_requests(df: DataFrame, hosts: Sequence[str] = TRACED_HOSTS, hour: int | None = None) -> DataFrame:
-    """S1 -> P1 -> P3 -> J1 -> P4 -> P5 over an already loaded request log (without redirect join)."""
-    return pack_request(raw_title(filter_traffic(df, hosts, hour)))

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clicktrail.operators.joins import null_safe_join
+from clicktrail.operators.joins import key_of, null_safe_join
 
 SEARCH_REFERER = "external (search engine)"  # fixed value of the request log's referer_class
 
@@ -111,30 +111,38 @@ def session_metrics(
 
 
 def number_requests(
-    df: DataFrame, client_cols: Sequence[str], order_cols: Sequence[str], id_col: str = "id"
+    df: DataFrame, client_cols: Sequence[str], order_cols: Sequence[str], id_col: str = "id", ts: str = "ts"
 ) -> DataFrame:
-    """0-based position of each request in its client's trace."""
-    w = Window.partitionBy(*client_cols).orderBy(*order_cols)
-    return df.withColumn(id_col, (F.row_number().over(w) - 1).cast("int"))
+    """0-based position of each request in its client's trace (``order_cols`` begin with ``ts``).
+
+    Rows are numbered within a client's day; the number of rows on earlier days
+    comes from a table of one row per client and day. A client with a third of
+    all requests is spread over its days.
+    """
+    slot = F.struct(key_of(client_cols).alias("c"), F.to_date(ts).alias("d"))
+    keyed = df.withColumn("_slot", slot)
+    per_day = keyed.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_slot.c").orderBy("_slot.d").rowsBetween(Window.unboundedPreceding, -1)
+    per_day = per_day.select("_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    in_day = Window.partitionBy("_slot").orderBy(*order_cols)
+    numbered = keyed.withColumn("_i", F.row_number().over(in_day)).join(per_day, "_slot")
+    return numbered.withColumn(id_col, (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_slot", "_before", "_i")
 
 
-def sessions_nested(
+def session_arrays(
     df: DataFrame,
     client_cols: Sequence[str],
     request_cols: Sequence[str],
     ts: str = "ts",
     gap_minutes: float = 60,
 ) -> DataFrame:
-    """Per client, an array of sessions, each an array of request structs in time order."""
-    s = sessionize(df, client_cols, ts, gap_minutes)
-    per_session = s.groupBy(*client_cols, "session_id").agg(
-        F.sort_array(F.collect_list(F.struct(*request_cols))).alias("session")
-    )
-    return per_session.groupBy(*client_cols).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("session_id", "session"))), lambda x: x["session"]
-        ).alias("sessions")
-    )
+    """One row per client and session, with the session's requests as an array in time order.
+
+    A client's sessions stay separate rows (``session_id`` gives their order),
+    so nothing holds a client's history.
+    """
+    s = sessionize(df, client_cols, ts, gap_minutes).where(F.col("session_id").isNotNull())
+    return s.groupBy(*client_cols, "session_id").agg(F.sort_array(F.collect_list(F.struct(*request_cols))).alias("session"))
 
 
 def pick_session(sessions: DataFrame, client_cols: Sequence[str], seed: str, session_col: str = "session_id") -> DataFrame:

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clicktrail.operators.joins import key_of, null_safe_join
 from clicktrail.operators.survey import NO_RESPONSE
+from clicktrail.sources.work import stored, work_folder
 
 
 def _c(name: str) -> Column:
@@ -161,6 +163,9 @@ def proportions(
     return share_within(counts, "count", [hue] if normx else [x])
 
 
+EXPAND_BLOCK = 100_000  # rows that one block of a cell expands to
+
+
 def expand_bernoulli(props: DataFrame, x: str, hue: str, normx: bool = True) -> DataFrame:
     """One 1/0 row per answer: for cell (x, hue) ``count`` ones and ``n - count`` zeros, n the group size.
 
@@ -169,9 +174,14 @@ def expand_bernoulli(props: DataFrame, x: str, hue: str, normx: bool = True) ->
     by = [hue] if normx else [x]
     w = Window.partitionBy(*[_c(b) for b in by])
     sized = props.withColumn("_n", F.sum("count").over(w))
-    rows = sized.select(
-        _c(x).alias(x), _c(hue).alias(hue), "count", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")
-    )
+    # a cell is dealt out in blocks, each expanded where it lands: no task and no array holds a whole cell
+    block = F.lit(EXPAND_BLOCK)
+    blocks = sized.select(
+        _c(x).alias(x), _c(hue).alias(hue), "count", "_n",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))).alias("_b"),
+    ).repartition(x, hue, "_b")
+    last = F.least((F.col("_b") + 1) * block, F.col("_n"))
+    rows = blocks.select(x, hue, "count", F.explode(F.sequence(F.col("_b") * block + 1, last)).alias("_i"))
     return rows.select(x, hue, (F.col("_i") <= F.col("count")).cast("int").alias("in_data"))
 
 
@@ -188,7 +198,8 @@ def _hex_uniform(digest: Column, slot: int) -> Column:
     return (bits + F.lit(0.5)) / F.lit(4294967296.0)
 
 
-GAMMA_ATTEMPTS = 6  # Marsaglia-Tsang accepts >= 95% for shape >= 1, so 6 rejections in a row are ~1e-8
+# Marsaglia-Tsang accepts at least 95% for shape >= 1, so 10 rejections in a row are about 1e-13; such a draw raises
+GAMMA_ATTEMPTS = 10
 
 
 def with_gamma_draw(df: DataFrame, out: str, shape: Column, seed: Column, attempts: int = GAMMA_ATTEMPTS) -> DataFrame:
@@ -219,7 +230,8 @@ def with_gamma_draw(df: DataFrame, out: str, shape: Column, seed: Column, attemp
         dd, z, v, u = F.col(f"{p}d"), F.col(f"{p}z{a}"), F.col(f"{p}v{a}"), F.col(f"{p}u{a}")
         accept = (v > 0) & (F.log(u) < F.lit(0.5) * z * z + dd - dd * v + dd * F.log(F.when(v > 0, v)))
         vals.append(F.when(accept, dd * v))
-    d = d.withColumns({out: F.coalesce(*vals)})
+    none = F.raise_error(F.lit("all gamma proposals were rejected: raise GAMMA_ATTEMPTS")).cast("double")
+    d = d.withColumns({out: F.coalesce(*vals, none)})
     return d.drop(*[c for c in d.columns if c.startswith(p)])
 
 
@@ -290,22 +302,28 @@ def proportions_over_time(
 # ---------------------------------------------------------------------------
 # metrics by group
 # ---------------------------------------------------------------------------
-def poisson1_cdf(max_k: int = 12) -> list[float]:
-    """F(k) = e^-1 * sum_{i<=k} 1/i! for k < max_k."""
-    cdf, term, acc = [], math.exp(-1.0), 0.0
-    for i in range(max_k):
-        acc += term
+def poisson1_cdf() -> list[float]:
+    """F(k) = e^-1 * sum_{i<=k} 1/i!, up to the last k below the largest uniform of 32 bits.
+
+    The uniforms lie on the grid (i + 0.5) / 2^32, so no draw can be larger
+    than the number of thresholds: nothing is cut off.
+    """
+    largest = 1 - 0.5 / 2**32
+    cdf, term, acc, k = [], math.exp(-1.0), math.exp(-1.0), 0
+    while acc < largest:
         cdf.append(acc)
-        term /= i + 1
+        k += 1
+        term /= k
+        acc += term
     return cdf
 
 
-def poisson1_from_uniform(u: Column, max_k: int = 12) -> Column:
+def poisson1_from_uniform(u: Column) -> Column:
     """Inverse CDF of Poisson(1) with the thresholds of :func:`poisson1_cdf`."""
-    expr = None
-    for i, t in enumerate(poisson1_cdf(max_k)):
+    expr, cdf = None, poisson1_cdf()
+    for i, t in enumerate(cdf):
         expr = F.when(u <= F.lit(t), F.lit(i)) if expr is None else expr.when(u <= F.lit(t), F.lit(i))
-    return expr.otherwise(F.lit(max_k))
+    return expr.otherwise(F.lit(len(cdf)))
 
 
 def group_mean_ci(
@@ -342,49 +360,77 @@ def group_mean_ci(
     )
     ci = reps.groupBy(*dims).agg(F.percentile("_m", F.array(F.lit(lo), F.lit(hi))).alias("_q"))
     ci = ci.select(*dims, F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"))
-    from clicktrail.operators.joins import null_safe_join
-
     return null_safe_join(means, ci, list(dims), "left")
 
 
+QUANTILE_ROWS = 10_000  # distinct values around a quantile that are ranked in one window
+QUANTILE_PARTS = 1024  # parts that a wider range of values is cut into
+
+
 def exact_quantiles(df: DataFrame, dims: Sequence[str], y: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact linear-interpolation quantiles of ``y`` per group (same definition as ``percentile``).
-
-    Bounded memory at any group size: rows are first counted per (group,
-    value) with a partial aggregate, which spreads a hot group's values over
-    the cluster; a window over each group's sorted *distinct* values (which
-    spills to disk rather than holding a map in memory) gives running
-    counts; the two order statistics around ``p * (n - 1)`` are picked by
-    range and interpolated.
+    """Exact linear-interpolation quantiles of ``y`` per group (same definition as ``percentile``)."""
+    return _quantiles(_value_counts(df, dims, y), dims, probs, names)
+
+
+def _value_counts(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
+    """``_g, _v, _c`` (and the dims): rows per group and value, counted in each task before the shuffle; written once."""
+    vals = df.select(key_of(dims).alias("_g"), _c(y).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    counts = vals.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return stored(counts, f"{work_folder(df.sparkSession, 'values')}/counts")
+
+
+def _quantiles(counts: DataFrame, dims: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Quantiles from counts per (group, value), without a sort or a window over a whole group.
+
+    A quantile lies between two order statistics. Each is looked for in a range
+    of values, at first its group's whole range. A range with more than
+    ``QUANTILE_ROWS`` distinct values is cut into ``QUANTILE_PARTS`` equal parts;
+    running counts over the parts (partial aggregates) say in which part the
+    wanted rank falls, and that part is the next range. Only the values of the
+    last range are ranked one by one.
     """
-    from clicktrail.operators.joins import null_safe_join
-
-    g = list(dims)
-    vals = df.select(*[_c(d).alias(d) for d in g], _c(y).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    totals = counts.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    ranked = null_safe_join(ranked, totals, g, "inner")
-    aggs = []
-    for p, name in zip(probs, names):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo_i, hi_i = F.floor(pos), F.ceil(pos)
-        at_lo = (F.col("_lo") <= lo_i) & (lo_i < F.col("_hi"))
-        at_hi = (F.col("_lo") <= hi_i) & (hi_i < F.col("_hi"))
-        aggs += [
-            F.max(F.when(at_lo, F.col("_v"))).alias(f"_{name}_a"),
-            F.max(F.when(at_hi, F.col("_v"))).alias(f"_{name}_b"),
-            F.max(pos - lo_i).alias(f"_{name}_f"),
-        ]
-    out = ranked.groupBy(*g).agg(*aggs)
-    return out.select(
-        *g,
-        *[
-            (F.col(f"_{n}_a") + F.col(f"_{n}_f") * (F.col(f"_{n}_b") - F.col(f"_{n}_a"))).cast("double").alias(n)
-            for n in names
-        ],
+    folder = work_folder(counts.sparkSession, "quantiles")
+    groups = counts.groupBy("_g").agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_d")
+    )
+    side = lambda i, p, s: F.struct(
+        F.lit(i).alias("i"), F.lit(s).alias("s"), (F.floor if s == 0 else F.ceil)(F.lit(float(p)) * (F.col("_n") - 1)).alias("r")
+    )
+    wanted = F.explode(F.array(*[side(i, p, s) for i, p in enumerate(probs) for s in (0, 1)]))
+    state = stored(
+        groups.select("_g", "_n", wanted.alias("_t"), "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), "_d"), f"{folder}/range"
     )
+    target = ["_g", "_n", "_t"]
+
+    def inside() -> DataFrame:
+        return counts.join(state, "_g").where("_v between _lo and _hi")
+
+    level = 0
+    while (state.agg(F.max("_d")).first()[0] or 0) > QUANTILE_ROWS:
+        width = F.col("_hi") - F.col("_lo")
+        part = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * QUANTILE_PARTS), F.lit(QUANTILE_PARTS - 1))).otherwise(0)
+        parts = (
+            inside()
+            .groupBy(*target, "_below", part.alias("_p"))
+            .agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        )
+        run = Window.partitionBy("_g", "_t").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_c").over(run), F.lit(0)))
+        found = parts.where((F.col("_below") <= F.col("_t.r")) & (F.col("_t.r") < F.col("_below") + F.col("_c")))
+        state = stored(found.select(*target, "_lo", "_hi", "_below", "_d"), f"{folder}/range{level}")
+        level += 1
+    run = Window.partitionBy("_g", "_t").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside().withColumn("_upto", F.col("_below") + F.sum("_c").over(run))
+    # the first value whose running count passes the rank
+    picked = ranked.where(F.col("_upto") > F.col("_t.r")).groupBy(*target).agg(F.min("_v").alias("_v"))
+    at = lambda i, s: F.max(F.when((F.col("_t.i") == i) & (F.col("_t.s") == s), F.col("_v")))
+    out = picked.groupBy("_g", "_n").agg(*[at(i, s).alias(f"_q{i}_{s}") for i in range(len(names)) for s in (0, 1)])
+    cols = []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = F.col(f"_q{i}_0"), F.col(f"_q{i}_1")
+        cols.append((low + (pos - F.floor(pos)) * (high - low)).cast("double").alias(name))
+    return out.select(*[F.col(f"_g.k{i}").alias(d) for i, d in enumerate(dims)], *cols)
 
 
 def group_median(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
@@ -393,18 +439,16 @@ def group_median(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
 
 
 def box_summary(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
-    """Quartiles and whiskers (most extreme values within 1.5 IQR of the box) per group."""
-    from clicktrail.operators.joins import null_safe_join
-
-    dcols = [_c(d).alias(d) for d in dims]
-    q = exact_quantiles(df, dims, y, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    rows = df.select(*dcols, _c(y).cast("double").alias("_y"))
-    j = null_safe_join(rows, q, list(dims), "inner")
+    """Quartiles and whiskers (most extreme values within 1.5 IQR of the box) per group, all from one table of value counts."""
+    counts = _value_counts(df, dims, y)
+    q = _quantiles(counts, dims, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    boxes = q.select(key_of(dims).alias("_g"), "q1", "median", "q3")
     iqr = F.col("q3") - F.col("q1")
-    inside = (F.col("_y") >= F.col("q1") - 1.5 * iqr) & (F.col("_y") <= F.col("q3") + 1.5 * iqr)
-    return j.groupBy(*dims, "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("_y"))).alias("whisker_low"), F.max(F.when(inside, F.col("_y"))).alias("whisker_high")
+    inside = (F.col("_v") >= F.col("q1") - 1.5 * iqr) & (F.col("_v") <= F.col("q3") + 1.5 * iqr)
+    out = counts.join(boxes, "_g").groupBy("_g", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high")
     )
+    return out.select(*[F.col(f"_g.k{i}").alias(d) for i, d in enumerate(dims)], "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
@@ -439,37 +483,27 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     )
 
 
-def metric_breakdowns(df: DataFrame, metric: str, dims: Sequence[str]) -> DataFrame:
-    """Count, mean and median of ``metric`` per value of each dimension.
+def metric_breakdowns(df: DataFrame, metrics: Sequence[str], dims: Sequence[str]) -> DataFrame:
+    """``metric, dimension, value, n, mean, median`` of each metric per value of each dimension.
 
-    Count and mean come from one GROUPING SETS pass (one set per dimension);
-    the exact median from :func:`exact_quantiles` over the same rows in long
-    form (dimension, value). 'no response' values are dropped per dimension,
-    like the plots.
+    Rows are turned to (metric, dimension, value, y) and counted at once, in
+    the same stage; all three figures come from these counts. Missing and 'no
+    response' values are dropped per dimension, like the plots.
     """
-    from clicktrail.operators.joins import null_safe_join
-
-    names = list(dims)
-    aliases = [f"_d{i}" for i in range(len(names))]
-    d = df.select(*[_c(n).cast("string").alias(a) for n, a in zip(names, aliases)], _c(metric).cast("double").alias("_y"))
-    gs = d.groupingSets([[a] for a in aliases], *aliases).agg(
-        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean")
+    pairs = lambda names, kind: F.explode(
+        F.array(*[F.struct(F.lit(n).alias("name"), _c(n).cast(kind).alias("v")) for n in names])
+    )
+    long = (
+        df.select(pairs(metrics, "double").alias("_m"), *[_c(d) for d in dims])
+        .select("_m", pairs(dims, "string").alias("_d"))
+        .select(F.col("_m.name").alias("metric"), F.col("_d.name").alias("dimension"), F.col("_d.v").alias("value"), F.col("_m.v").alias("y"))
+        .where(F.col("value").isNotNull() & (F.col("value") != NO_RESPONSE))
     )
-    k = len(aliases)
-    dim_name = None
-    value = None
-    for i, (n, a) in enumerate(zip(names, aliases)):
-        gid = (1 << k) - 1 - (1 << (k - 1 - i))  # only column i is grouped
-        dim_name = F.when(F.col("_gid") == gid, F.lit(n)) if dim_name is None else dim_name.when(F.col("_gid") == gid, F.lit(n))
-        value = F.when(F.col("_gid") == gid, F.col(a)) if value is None else value.when(F.col("_gid") == gid, F.col(a))
-    stats = gs.select(dim_name.alias("dimension"), value.alias("value"), "n", "mean")
-    stats = stats.where(F.col("value").isNotNull() & (F.col("value") != NO_RESPONSE))
-    long = d.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(a).alias("value")) for n, a in zip(names, aliases)])).alias("_dv"),
-        "_y",
-    ).select("_dv.dimension", "_dv.value", "_y").where(F.col("value").isNotNull() & (F.col("value") != NO_RESPONSE))
-    med = exact_quantiles(long, ["dimension", "value"], "_y", [0.5], ["median"])
-    return null_safe_join(stats, med, ["dimension", "value"], "left")
+    by = ["metric", "dimension", "value"]
+    counts = _value_counts(long, by, "y")
+    stats = counts.groupBy("_g").agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+    stats = stats.select(*[F.col(f"_g.k{i}").alias(c) for i, c in enumerate(by)], "n", "mean")
+    return stats.join(_quantiles(counts, by, [0.5], ["median"]), by)
 
 
 def answer_counts(df: DataFrame, questions: Sequence[str]) -> DataFrame:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from clicktrail.functions import recode as RC
 from clicktrail.functions.keys import form_ts
-from clicktrail.operators.asof import asof_click_request
 from clicktrail.operators.clicks import yes_clicks
-from clicktrail.operators.joins import adaptive, keep_unique
+from clicktrail.operators.joins import keep_unique
 from clicktrail.sources import adapters as A
 
 LAUNCH_CUTOFF = "2016-02-29 16:17:00"  # fixed value: survey launch, answers before it are tests
@@ -70,31 +69,20 @@ def join_survey_clicks(clean: DataFrame, responses: DataFrame) -> DataFrame:
     return clean.join(survey_clicks(responses), "token", "inner")
 
 
-def lift_click(click_traces: DataFrame) -> DataFrame:
-    """P10: survey token, click time and title out of the nested click data."""
-    return click_traces.select(
-        "*",
-        F.col("click_data.survey_token").alias("survey_token"),
-        F.col("click_data.timestamp").alias("click_dt_utc"),
-        F.col("click_data.title").alias("click_title"),
-    ).drop("click_data")
-
-
-def responses_with_traces(
-    survey_in_el: DataFrame, click_traces: DataFrame, max_seconds: float = 3600
-) -> DataFrame:
-    """P10 -> J5 -> P11 -> W6/J6 -> P13 -> W2 -> W3 -> P20 (this order changes results)."""
-    ct = lift_click(click_traces)
-    s = survey_in_el
-    df = s.join(adaptive(ct), s["token"] == ct["survey_token"], "inner").drop("token")  # J5
-    df = df.withColumnsRenamed(
-        {"submit_timestamp": "survey_submit_dt", "key": "client_token", "requests": "trace_data"}
-    )
-    df = asof_click_request(df)  # W6 + J6 + F22
+def responses_with_traces(survey_in_el: DataFrame, click_hits: DataFrame, max_seconds: float | None = None) -> DataFrame:
+    """J5 -> P11 -> P13 -> W2 -> W3 (-> P20 when ``max_seconds`` is given); this order changes results.
+
+    ``click_hits`` has one row per click and trace: the click's fields (P10), the
+    ``trace`` key under which the trace's rows are found, and the request that
+    the click came from (W6, J6, F22).
+    """
+    s, c = survey_in_el, click_hits
+    df = s.join(c, s["token"] == c["survey_token"], "inner").drop("token")  # J5
+    df = df.withColumnsRenamed({"submit_timestamp": "survey_submit_dt", "key": "client_token"})
     df = df.dropna(subset=["click_request"])  # P13
     df = keep_unique(df, "survey_token")  # W2
     df = keep_unique(df, "client_token")  # W3
-    return df.where(F.col("time_to_click") < max_seconds)  # P20
+    return df if max_seconds is None else within(df, max_seconds)  # P20
 
 
 def drop_no_response(df: DataFrame, cols: Sequence[str]) -> DataFrame:

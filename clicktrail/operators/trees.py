@@ -1,161 +1,103 @@
 """Referer forests (T2, T3), the tree holding a click (J9), tree picks (F27) and tree metrics.
 
-A forest is an edge table, one row per request: ``node`` (request id,
-unique within its group - a session), ``parent`` (NULL for a root), plus
-``root``, ``depth`` and ``path`` (node ids from the root down to the node).
-A tree is identified by (group columns, root). Spark has no recursive types,
-so root, depth and path are computed two ways, chosen per group by size:
-small groups are collected once and resolved by a single ordered fold
-(parents precede children); large groups are never collected but resolved
-by pointer doubling - in round k every node follows its 2^k-th ancestor and
-appends that ancestor's list, so depth d needs ceil(log2(d + 1)) rounds of
-distributed equi-joins on (group, node), each checkpointed to the session's
-shared checkpoint folder (short plans, survives lost executors).
+A forest is an edge table, one row per request: ``node`` (request id, unique
+within its group - a session) and ``parent`` (NULL for a root). A tree is
+identified by (group columns, root). Everything that depends on more than a
+node's own edge - its root and depth, the size and height of its subtree, its
+run of equal timestamps - is found by pointer doubling: in round k every node
+knows its 2^k-th ancestor, what lies between, and what lies less than 2^k
+below it. A round is two plain equi-joins and one aggregate on (group, node);
+depth d needs ceil(log2(d + 1)) rounds, whatever the size of a session or
+tree, and no list of nodes is ever built (``path`` is, when asked for).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from clicktrail.operators import dfs_worker
 from clicktrail.operators.asof import assign_parents
-from clicktrail.operators.joins import null_safe_join
-from clicktrail.session import ensure_checkpoint_dir
+from clicktrail.operators.joins import key_of, null_safe_join
+from clicktrail.sources.work import stored, work_folder
 
-# executors get the dfsness code with the task, not from an installed package
-cloudpickle.register_pickle_by_value(dfs_worker)
+MAX_ROUNDS = 64  # more would need a path of 2^64 nodes: the edges hold a cycle
 
 
-def _eq(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]):
-    cond = None
-    for a, b in pairs:
-        c = left[a].eqNullSafe(right[b])
-        cond = c if cond is None else cond & c
-    return cond
-
-
-def _and(cond, extra):
-    return extra if cond is None else cond & extra
-
-
-SMALL_GROUP = 512  # groups up to this many nodes are resolved by one fold over their sorted rows
-
-
-def resolve_ancestors(
+def resolve(
     edges: DataFrame,
     group_cols: Sequence[str] = (),
     node: str = "node",
+    ts: str = "ts",
     parent: str = "parent",
-    order_cols: Sequence[str] | None = None,
-    small_group: int = SMALL_GROUP,
-    max_rounds: int = 64,
+    parent_ts: str = "parent_ts",
+    path: bool = False,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Add ``ancestors`` (nearest first), ``root`` and ``depth`` to an edge table.
+    """Adds ``root``, ``depth``, ``n_children``, ``subtree`` (nodes, itself included), ``height`` and ``tie_level``.
 
-    Groups (sessions) are split by size with a partial-aggregate count. Small
-    groups - almost all of them - are collected once and resolved by a single
-    ``aggregate`` fold, since parents precede children in ``order_cols`` order.
-    Groups above ``small_group`` nodes are never collected: they go through
-    pointer doubling, one distributed join per round. Without ``order_cols``
-    every group takes the doubling path.
+    ``tie_level`` counts the unbroken run of ancestors with the node's own
+    timestamp. ``path=True`` also adds the node ids from the root down to the
+    node, whose total length is quadratic in the depth of a chain.
     """
-    g = list(group_cols)
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.checkpoint(eager=True)  # both paths read the materialised edges
-    if order_cols is None or not g:
-        return _double(edges, g, node, parent, max_rounds)
-    sizes = edges.groupBy(*g).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.where(F.col("_size") > small_group).select(*g)
-    small_part = _fold(null_safe_join(edges, large, g, "left_anti"), g, node, parent, list(order_cols))
-    large_edges = null_safe_join(edges, large, g, "left_semi")
-    if large.isEmpty():
-        return small_part
-    return small_part.unionByName(_double(large_edges, g, node, parent, max_rounds))
-
-
-_ENTRY = "struct<n:bigint,r:bigint,d:int,a:array<bigint>>"
-
-
-def _fold(edges: DataFrame, g: list[str], node: str, parent: str, order_cols: list[str]) -> DataFrame:
-    """Root, depth and ancestors of every node of small groups, in one pass per group."""
-    others = [c for c in edges.columns if c not in g]
-    items = edges.groupBy(*g).agg(
-        F.sort_array(
-            F.collect_list(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
-                                    F.struct(*others).alias("_row")))
-        ).alias("_items")
-    )
-
-    def step(acc, x):
-        n = x["_row"][node].cast("bigint")
-        p = x["_row"][parent].cast("bigint")
-        pe = F.get(F.filter(acc, lambda e: e["n"] == p), 0)
-        entry = F.struct(
-            n.alias("n"),
-            F.when(p.isNull(), n).otherwise(pe["r"]).alias("r"),
-            F.when(p.isNull(), F.lit(0)).otherwise(pe["d"] + 1).alias("d"),
-            F.when(p.isNull(), F.array().cast("array<bigint>")).otherwise(F.concat(F.array(p), pe["a"])).alias("a"),
-        )
-        return F.array_append(acc, entry)
-
-    folded = items.select(
-        *g,
-        F.arrays_zip(
-            F.transform("_items", lambda x: x["_row"]).alias("row"),
-            F.aggregate("_items", F.array().cast(f"array<{_ENTRY}>"), step).alias("res"),
-        ).alias("_z"),
-    )
-    return folded.select(*g, F.explode("_z").alias("_e")).select(
-        *g,
-        *[F.col("_e.row")[c].alias(c) for c in others],
-        F.col("_e.res.a").alias("ancestors"),
-        F.col("_e.res.r").alias("root"),
-        F.col("_e.res.d").cast("int").alias("depth"),
-    )
-
-
-def _double(edges: DataFrame, g: list[str], node: str, parent: str, max_rounds: int) -> DataFrame:
-    """Pointer doubling: every round each node jumps to its 2^k-th ancestor, appending that ancestor's list."""
+    folder = folder or work_folder(edges.sparkSession, "forest")
+    edges = stored(edges.withColumn("_g", key_of(list(group_cols)) if group_cols else F.lit(0)), f"{folder}/edges")
+    up = F.col(parent).cast("bigint")
+    linked = up.isNotNull()
+    tie = linked & (F.col(ts) == F.col(parent_ts))
     state = edges.select(
-        *g,
-        F.col(node).cast("bigint").alias("_n"),
-        F.col(parent).cast("bigint").alias("_hop"),
-        F.when(F.col(parent).isNull(), F.array().cast("array<bigint>"))
-        .otherwise(F.array(F.col(parent).cast("bigint")))
-        .alias("_anc"),
-    ).checkpoint(eager=True)
-    for _ in range(max_rounds):
-        active = state.where(F.col("_hop").isNotNull())
-        if active.isEmpty():
+        "_g",
+        F.col(node).cast("bigint").alias("n"),
+        up.alias("p"),
+        F.coalesce(up, F.col(node).cast("bigint")).alias("root"),
+        linked.cast("int").alias("depth"),
+        F.lit(0).cast("bigint").alias("n_children"),
+        F.lit(1).cast("bigint").alias("subtree"),
+        F.lit(0).alias("height"),
+        tie.cast("int").alias("tie_level"),
+        tie.alias("all_tied"),
+        *([F.when(linked, F.array(up)).otherwise(F.array().cast("array<bigint>")).alias("above")] if path else []),
+    )
+    for k in range(MAX_ROUNDS):
+        far = state.where("p is not null")
+        if k and far.isEmpty():
             break
-        done = state.where(F.col("_hop").isNull())
-        target = state.select(
-            *[F.col(c).alias(f"_g_{c}") for c in g],
-            F.col("_n").alias("_t"),
-            F.col("_hop").alias("_thop"),
-            F.col("_anc").alias("_tanc"),
+        below = far.groupBy("_g", F.col("p").alias("n")).agg(
+            F.count(F.lit(1)).alias("b_n"), F.sum("subtree").alias("b_subtree"), F.max("height").alias("b_height")
+        )
+        top = state.select(
+            "_g",
+            F.col("n").alias("p"),
+            F.col("p").alias("t_p"),
+            *[F.col(c).alias(f"t_{c}") for c in ("root", "depth", "tie_level", "all_tied", *(["above"] if path else []))],
         )
-        cond = _and(_eq(active, target, [(c, f"_g_{c}") for c in g]), active["_hop"] == target["_t"])
-        stepped = active.join(target, cond, "inner").select(
-            *g, "_n", F.col("_thop").alias("_hop"), F.concat("_anc", "_tanc").alias("_anc")
+        has = F.col("t_depth").isNotNull()
+        state = (
+            state.join(below, ["_g", "n"], "left")
+            .join(top, ["_g", "p"], "left")
+            .select(
+                "_g",
+                "n",
+                F.col("t_p").alias("p"),
+                F.coalesce("t_root", "root").alias("root"),
+                (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"),
+                (F.coalesce("b_n", F.lit(0)) if k == 0 else F.col("n_children")).alias("n_children"),
+                (F.col("subtree") + F.coalesce("b_subtree", F.lit(0))).alias("subtree"),
+                F.greatest(F.col("height"), F.col("b_height") + F.lit(1 << min(k, 30))).cast("int").alias("height"),
+                (F.col("tie_level") + F.when(F.col("all_tied") & has, F.col("t_tie_level")).otherwise(0)).alias("tie_level"),
+                (F.col("all_tied") & F.coalesce("t_all_tied", F.lit(False))).alias("all_tied"),
+                *([F.concat("above", F.coalesce("t_above", F.array().cast("array<bigint>"))).alias("above")] if path else []),
+            )
         )
-        state = done.unionByName(stepped).checkpoint(eager=True)
+        state = stored(state, f"{folder}/round{k}")
     else:
         raise RuntimeError("parent pointers did not converge: the edge table has a cycle")
-    resolved = state.select(
-        *[F.col(c).alias(f"_g_{c}") for c in g],
-        F.col("_n").alias("_rn"),
-        F.col("_anc").alias("ancestors"),
-        F.coalesce(F.try_element_at("_anc", F.lit(-1)), F.col("_n")).alias("root"),
-        F.size("_anc").cast("int").alias("depth"),
-    )
-    cond = _and(_eq(edges, resolved, [(c, f"_g_{c}") for c in g]), edges[node].cast("bigint") == resolved["_rn"])
-    return edges.join(resolved, cond, "inner").drop("_rn", *[f"_g_{c}" for c in g])
+    found = state.withColumnRenamed("n", "_n").drop("p", "all_tied")
+    out = edges.join(found.withColumnRenamed("_g", "_h"), (F.col("_g") == F.col("_h")) & (F.col(node).cast("bigint") == F.col("_n")))
+    if path:
+        out = out.withColumn("path", F.concat(F.reverse("above"), F.array("_n"))).drop("above")
+    return out.drop("_g", "_h", "_n")
 
 
 def build_forest(
@@ -164,16 +106,11 @@ def build_forest(
     node: str = "node",
     ts: str = "ts",
     ambiguity: str = "reference",
-    small_group: int = SMALL_GROUP,
+    path: bool = False,
 ) -> DataFrame:
     """T2 + T3: referer forest of each group (a session); needs ``page_key`` and ``referer_key`` columns."""
     with_parents = assign_parents(rows, group_cols, node=node, ts=ts, ambiguity=ambiguity)
-    forest = resolve_ancestors(
-        with_parents, group_cols, node=node, parent="parent", order_cols=[ts, node], small_group=small_group
-    )
-    return forest.withColumn(
-        "path", F.concat(F.reverse(F.col("ancestors")), F.array(F.col(node).cast("bigint")))
-    )
+    return resolve(with_parents, group_cols, node=node, ts=ts, path=path)
 
 
 def click_tree(
@@ -184,13 +121,10 @@ def click_tree(
     ``clicks`` has the group columns and ``click_node``.
     """
     g = list(group_cols)
-    c = clicks.select(*g, F.col(click_node).cast("bigint").alias("_cn"))
-    f_nodes = forest.select(
-        *[F.col(x).alias(f"_f_{x}") for x in g], F.col(node).cast("bigint").alias("_fn"), F.col("root").alias("_fr")
-    )
-    cond = _and(_eq(c, f_nodes, [(x, f"_f_{x}") for x in g]), c["_cn"] == f_nodes["_fn"])
-    click_roots = c.join(f_nodes, cond).select(*g, F.col("_fr").alias("root")).distinct()
-    return null_safe_join(forest, click_roots, g + ["root"], "left_semi")
+    wanted = clicks.select(*g, F.col(click_node).cast("bigint").alias("_cn"))
+    nodes = forest.select(*g, F.col(node).cast("bigint").alias("_cn"), "root")
+    roots = null_safe_join(nodes, wanted.distinct(), [*g, "_cn"], "left_semi").select(*g, "root").distinct()
+    return null_safe_join(forest, roots, [*g, "root"], "left_semi")
 
 
 def pick_tree(forest: DataFrame, group_cols: Sequence[str], seed: str) -> DataFrame:
@@ -202,17 +136,6 @@ def pick_tree(forest: DataFrame, group_cols: Sequence[str], seed: str) -> DataFr
     return null_safe_join(forest, chosen, g + ["root"], "left_semi")
 
 
-def _closure_stats(forest: DataFrame, group_cols: Sequence[str], node: str) -> DataFrame:
-    """Per node: children, descendants and height, from the ancestor lists (one row per ancestor link)."""
-    g = list(group_cols)
-    links = forest.select(*g, F.posexplode("ancestors").alias("_pos", "_anc"))
-    return links.groupBy(*g, F.col("_anc").cast("bigint").alias(node)).agg(
-        F.count_if(F.col("_pos") == 0).alias("n_children"),
-        F.count(F.lit(1)).alias("n_desc"),
-        (F.max("_pos") + 1).alias("height"),
-    )
-
-
 def tree_metrics(
     forest: DataFrame,
     group_cols: Sequence[str] = (),
@@ -220,163 +143,116 @@ def tree_metrics(
     ts: str = "ts",
     with_dfsness: bool = True,
 ) -> DataFrame:
-    """One row of metrics per tree (group columns + ``root``).
+    """One row of metrics per tree (group columns + ``root``) of a resolved forest.
 
     size, size_sum (sum of subtree sizes = sum of depth + 1), size_sq_sum,
     num_leafs, depth_max, depth_sum (sum of subtree heights), degree_max,
     degree_sum (edges), timediff_sum over edges, timediff_min/max over the
     root's own children (NULL for a single node), ambiguous_max/sum,
-    mean_time_diff = timediff_sum / max(1, degree_sum) and dfsness.
-    Subtree sizes and heights come from the closure (ancestor links), which
-    is aggregated map-side per ancestor before the shuffle. Time sums are
-    exact integer microseconds, turned into seconds once.
+    mean_time_diff = timediff_sum / max(1, degree_sum) and dfsness. All but
+    the last are one aggregate over the nodes. Time sums are exact integer
+    microseconds, turned into seconds once.
     """
     g = list(group_cols)
-    # the forest feeds five branches below (closure, node stats, the dfsness choice, the tie check and
-    # dfsness itself); one checkpoint instead of recomputing the fold in each
-    ensure_checkpoint_dir(forest.sparkSession)
-    forest = forest.checkpoint(eager=True)
-    stats = _closure_stats(forest, g, node)
-    base = forest.withColumn(node, F.col(node).cast("bigint"))
-    n = null_safe_join(base, stats, g + [node], "left").select(
-        *g,
-        "root",
-        node,
-        "depth",
-        F.coalesce("n_children", F.lit(0)).alias("n_children"),
-        (F.coalesce("n_desc", F.lit(0)) + 1).alias("subtree"),
-        F.coalesce("height", F.lit(0)).alias("height"),
-        (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("parent_ts"))).alias("dt_us"),
-        F.col("parent_ambiguous").cast("int").alias("amb"),
-    )
-    m = n.groupBy(*g, "root").agg(
+    dt = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("parent_ts"))
+    amb = F.col("parent_ambiguous").cast("int")
+    seconds = lambda c: c.cast("double") / F.lit(1e6)
+    m = forest.groupBy(*g, "root").agg(
         F.count(F.lit(1)).alias("size"),
-        F.sum(F.col("depth") + 1).alias("size_sum"),
+        F.sum(F.col("depth").cast("bigint") + 1).alias("size_sum"),
         F.sum(F.col("subtree") * F.col("subtree")).alias("size_sq_sum"),
         F.count_if(F.col("n_children") == 0).alias("num_leafs"),
-        F.max("depth").alias("depth_max"),
-        F.sum("height").alias("depth_sum"),
-        F.max("n_children").alias("degree_max"),
-        F.count("dt_us").alias("degree_sum"),
-        (F.coalesce(F.sum("dt_us"), F.lit(0)).cast("double") / F.lit(1e6)).alias("timediff_sum"),
-        (F.min(F.when(F.col("depth") == 1, F.col("dt_us"))).cast("double") / F.lit(1e6)).alias("timediff_min"),
-        (F.max(F.when(F.col("depth") == 1, F.col("dt_us"))).cast("double") / F.lit(1e6)).alias("timediff_max"),
-        F.max("amb").alias("ambiguous_max"),
-        F.sum("amb").alias("ambiguous_sum"),
-    )
-    m = m.select(
-        *g,
-        "root",
-        *[F.col(c).cast("bigint").alias(c) for c in (
-            "size", "size_sum", "size_sq_sum", "num_leafs", "depth_max", "depth_sum", "degree_max", "degree_sum",
-        )],
-        "timediff_sum",
-        "timediff_min",
-        "timediff_max",
-        F.col("ambiguous_max").cast("bigint").alias("ambiguous_max"),
-        F.col("ambiguous_sum").cast("bigint").alias("ambiguous_sum"),
-        (F.col("timediff_sum") / F.greatest(F.lit(1), F.col("degree_sum"))).cast("double").alias("mean_time_diff"),
+        F.max("depth").cast("bigint").alias("depth_max"),
+        F.sum("height").cast("bigint").alias("depth_sum"),
+        F.max("n_children").cast("bigint").alias("degree_max"),
+        F.count(dt).alias("degree_sum"),
+        seconds(F.coalesce(F.sum(dt), F.lit(0))).alias("timediff_sum"),
+        seconds(F.min(F.when(F.col("depth") == 1, dt))).alias("timediff_min"),
+        seconds(F.max(F.when(F.col("depth") == 1, dt))).alias("timediff_max"),
+        F.max(amb).cast("bigint").alias("ambiguous_max"),
+        F.sum(amb).cast("bigint").alias("ambiguous_sum"),
+        # a choice needs two nodes with children, one of them with two or more
+        F.count_if(F.col("n_children") > 0).alias("_inner"),
     )
+    m = m.withColumn("mean_time_diff", F.col("timediff_sum") / F.greatest(F.lit(1), F.col("degree_sum")))
     if not with_dfsness:
-        return m
-    # a choice needs two nodes with children and a node with two or more children; other trees
-    # stay NULL without leaving the JVM. Counted from the parent column (not from ``m``, whose
-    # plan would then be computed twice).
-    # one aggregate per sibling group serves both the choice filter and the relational dfsness
-    kids = (
-        forest.where(F.col("parent").isNotNull())
-        .groupBy(*g, "root", "parent")
-        .agg(
-            F.count(F.lit(1)).alias("_k"),
-            F.max(F.unix_micros(F.col("parent_ts"))).alias("open"),
-            F.max(F.unix_micros(F.col(ts))).alias("close"),
-        )
-    )
-    choice = (
-        kids.groupBy(*g, "root")
-        .agg(F.count(F.lit(1)).alias("_internal"), F.max("_k").alias("_deg"))
-        .where((F.col("_internal") >= 2) & (F.col("_deg") >= 2))
-        .select(*g, "root")
-    )
-    key = g + ["root"]
-    # trees without tied timestamps (and not huge) get the relational formula in the JVM;
-    # the others replay the navigator's heap in Python
-    per_ts = forest.groupBy(*key, F.unix_micros(F.col(ts)).alias("_us")).agg(F.count(F.lit(1)).alias("_c"))
-    shape = per_ts.groupBy(*key).agg(F.sum("_c").alias("_size"), F.max("_c").alias("_dup"))
-    simple = null_safe_join(
-        shape.where((F.col("_dup") == 1) & (F.col("_size") <= SMALL_GROUP)).select(*key), choice, key, "left_semi"
-    )
-    tied = null_safe_join(choice, simple, key, "left_anti")
-    scored = dfsness_relational(forest, g, node=node, ts=ts, trees=simple, groups=kids)
-    if not tied.isEmpty():  # reads the checkpointed forest; no Python workers when nothing ties
-        scored = scored.unionByName(dfsness(forest, g, node=node, ts=ts, trees=tied))
-    return null_safe_join(m, scored, key, "left")
-
-
-def dfsness_relational(
-    forest: DataFrame,
-    group_cols: Sequence[str] = (),
-    node: str = "node",
-    ts: str = "ts",
-    trees: DataFrame | None = None,
-    groups: DataFrame | None = None,
-) -> DataFrame:
-    """T21 as a relation, exact when a tree's timestamps are distinct.
-
-    With distinct timestamps the navigator visits nodes in time order. A
-    group (the children of one parent) opens at the parent's time and closes
-    at its last child's. When node v is visited, the open groups are those
-    with ``open < ts(v) <= close`` (k of them), and v's group ranks by how
-    many of them opened before v's parent. pos(v) = rank / (k - 1) for k > 1,
-    and dfsness = avg(pos), NULL when no visit had a choice. Each tree's group
-    list is one small array joined to its nodes; nothing else is collected.
+        return m.drop("_inner")
+    m = stored(m, f"{work_folder(forest.sparkSession, 'tree-metrics')}/m")
+    choice = m.where("_inner >= 2 and degree_max >= 2").select(*g, "root")
+    scored = dfsness(null_safe_join(forest, choice, [*g, "root"], "left_semi"), g, node=node, ts=ts)
+    return null_safe_join(m.drop("_inner"), scored, [*g, "root"], "left")
+
+
+def visit_order(nodes: DataFrame, folder: str) -> DataFrame:
+    """Adds ``s``, the navigator's visit position of each node in its tree (columns ``t, n, p, us, tie_level``).
+
+    Nodes are visited in time order. Of several waiting with one timestamp, the
+    one goes first whose siblings wait longest, that is, whose parent was
+    visited first; siblings go in trace order. A child with its parent's own
+    timestamp only starts to wait at its parent's visit, so equal timestamps are
+    visited level by level. Parents' positions may themselves depend on ties:
+    positions are refined until they no longer change, one round for each
+    generation in which nodes of different parents tie.
     """
-    g = list(group_cols)
-    key = g + ["root"]
-    nodes = forest.select(
-        *key,
-        F.col("parent").cast("bigint").alias("parent"),
-        F.unix_micros(F.col(ts)).alias("us"),
-        F.unix_micros(F.col("parent_ts")).alias("pus"),
-    ).where(F.col("parent").isNotNull())
-    if trees is not None:
-        nodes = null_safe_join(nodes, trees.select(*key), key, "left_semi")
-    if groups is None:  # (group key, root, parent, open, close); computed here unless the caller has it
-        groups = nodes.groupBy(*key, "parent").agg(F.max("pus").alias("open"), F.max("us").alias("close"))
-    elif trees is not None:
-        groups = null_safe_join(groups, trees.select(*key), key, "left_semi")
-    lists = groups.groupBy(*key).agg(F.collect_list(F.struct("open", "close")).alias("_groups"))
-    v = null_safe_join(nodes, lists, key, "inner")
-    open_at = F.filter("_groups", lambda x: (x["open"] < F.col("us")) & (F.col("us") <= x["close"]))
-    k = F.size(open_at)
-    rank = F.size(F.filter(open_at, lambda x: x["open"] < F.col("pus")))
-    pos = F.when(k > 1, rank / (k - 1))
-    return v.groupBy(*key).agg(F.avg(pos).cast("double").alias("dfsness"))
-
-
-def dfsness(
-    forest: DataFrame,
-    group_cols: Sequence[str] = (),
-    node: str = "node",
-    ts: str = "ts",
-    trees: DataFrame | None = None,
-) -> DataFrame:
-    """(group columns, root, dfsness) for the trees in ``trees`` (default: all trees).
-
-    The trees are hash-partitioned by their key and sorted, and
-    ``mapInPandas`` walks each partition's Arrow batches, carrying a tree
-    that straddles two batches into the next one - one Python call per
-    batch, not per tree, and no tree split across tasks.
+    by_time = Window.partitionBy("t").orderBy("us", "tie_level", "n")
+    now = stored(nodes.withColumn("s", F.row_number().over(by_time)), f"{folder}/order")
+    doubtful = now.groupBy("t", "us", "tie_level").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a != b")
+    if doubtful.isEmpty():
+        return now
+    by_parent = Window.partitionBy("t").orderBy("us", "tie_level", "sp", "n")
+    k, moved = 0, True
+    while moved:
+        above = now.select("t", F.col("n").alias("p"), F.col("s").alias("sp"))
+        new = now.withColumnRenamed("s", "old").join(above, ["t", "p"], "left").withColumn("s", F.row_number().over(by_parent)).drop("sp")
+        new = stored(new, f"{folder}/order{k}")
+        moved, now, k = not new.where("s != old").isEmpty(), new.drop("old"), k + 1
+    return now
+
+
+def dfsness(forest: DataFrame, group_cols: Sequence[str] = (), node: str = "node", ts: str = "ts") -> DataFrame:
+    """(group columns, root, dfsness) of the trees of a resolved forest; NULL where no visit had a choice.
+
+    The children of one node are a sibling group. It opens when its parent is
+    visited and closes when its last member is. At the visit of a node, k
+    groups are open, and ``rank`` of them opened before the node's own; its
+    position is rank / (k - 1) for k > 1, and dfsness is the mean position (0
+    breadth first, 1 depth first). With visit positions in one window per tree,
+    k is a running count of groups opened minus groups closed. Groups are
+    numbered as they open, so rank counts groups with a smaller number than the
+    node's own (q) that close no earlier than at its visit. [0, q) is cut into
+    blocks of powers of two, one per bit of q; a running count over each block's
+    closings, in the order of visits, gives what has closed. That is O(n log n)
+    rows in windows that each hold one block, with no list per tree.
     """
     g = list(group_cols)
-    key = g + ["root"]
-    slim = forest.select(
-        *g, "root", F.col(node).cast("bigint").alias("node"), F.col("parent").cast("bigint").alias("parent"),
+    folder = work_folder(forest.sparkSession, "dfsness")
+    nodes = forest.select(
+        F.struct(*g, "root").alias("t"),
+        F.col(node).cast("bigint").alias("n"),
+        F.col("parent").cast("bigint").alias("p"),
         F.unix_micros(F.col(ts)).alias("us"),
+        "tie_level",
+        (F.col("n_children") > 0).cast("int").alias("opens"),
+    )
+    placed = visit_order(nodes, folder)
+    before = Window.partitionBy("t").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    closes = (F.max("s").over(Window.partitionBy("t", "p")) == F.col("s")) & F.col("p").isNotNull()
+    walked = (
+        placed.withColumn("closes", closes.cast("int"))
+        .withColumn("number", F.coalesce(F.sum("opens").over(before), F.lit(0)))
+        .withColumn("k", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)))
     )
-    if trees is not None:
-        slim = null_safe_join(slim, trees.select(*key), key, "left_semi")
-    parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.repartition(parts, *key).sortWithinPartitions(*key, "us", "node")
-    out_schema = T.StructType([slim.schema[c] for c in key] + [T.StructField("dfsness", T.DoubleType())])
-    return ordered.mapInPandas(dfs_worker.partition_scorer(key), schema=out_schema)
+    walked = stored(walked.select("t", "n", "p", "s", "opens", "closes", "number", "k"), f"{folder}/walked")
+    own = walked.where("opens = 1").select("t", F.col("n").alias("p"), F.col("number").alias("q"))
+    member = walked.where("p is not null").select("t", "p", "s", "closes", "k").join(own, ["t", "p"])
+    member = stored(member.withColumn("top", F.max("q").over(Window.partitionBy("t"))), f"{folder}/member")
+    bits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest("top", F.lit(1)))).cast("int"))
+    levels = member.select("t", "s", "q", "k", "closes", F.explode(bits).alias("bit")).withColumn("at", F.expr("shiftright(q, bit)"))
+    asks = levels.where("k > 1 and at % 2 = 1").select("t", "bit", (F.col("at") - 1).alias("block"), "s", "k", F.lit(0).alias("closed"))
+    ends = levels.where("closes = 1 and at % 2 = 0").select("t", "bit", F.col("at").alias("block"), "s", "k", F.lit(1).alias("closed"))
+    run = Window.partitionBy("t", "bit", "block").orderBy("s", "closed").rowsBetween(Window.unboundedPreceding, -1)
+    gone = asks.unionByName(ends).withColumn("gone", F.coalesce(F.sum("closed").over(run), F.lit(0))).where("closed = 0")
+    share = gone.groupBy("t").agg(F.sum(F.expr("(shiftleft(1L, bit) - gone) / (k - 1)")).alias("total"))
+    visits = member.where("k > 1").groupBy("t").agg(F.count(F.lit(1)).alias("visits"))
+    score = visits.join(share, "t", "left").select("t.*", (F.coalesce("total", F.lit(0.0)) / F.col("visits")).cast("double").alias("dfsness"))
+    return score

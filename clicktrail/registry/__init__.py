@@ -31,6 +31,8 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     # importing the modules fills the two dicts
     from clicktrail.registry import (  # noqa: F401
+        distribution_queries,
+        file_queries,
         misc_queries,
         trace_queries,
         quality_queries,

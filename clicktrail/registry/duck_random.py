@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from clicktrail.operators.stats import poisson1_cdf
+from clicktrail.operators.stats import GAMMA_ATTEMPTS, poisson1_cdf
 
 
 def dlit(x: float) -> str:
@@ -22,7 +22,7 @@ def hex_uniform(digest: str, slot: int) -> str:
     )
 
 
-def gamma_ctes(src: str, name: str, shape: str, seed: str, attempts: int = 6) -> str:
+def gamma_ctes(src: str, name: str, shape: str, seed: str, attempts: int = GAMMA_ATTEMPTS) -> str:
     """CTEs ``{name}_0 .. {name}`` adding column ``{name}`` ~ Gamma(shape) to ``src`` (same draws as Spark)."""
     p = f"_{name}"
     d, c = f"{p}d", f"{p}c"
@@ -61,6 +61,7 @@ beta_q AS (
 """
 
 
-def poisson1(u: str, max_k: int = 12) -> str:
-    arms = " ".join(f"WHEN {u} <= {dlit(t)} THEN {i}" for i, t in enumerate(poisson1_cdf(max_k)))
-    return f"CASE {arms} ELSE {max_k} END"
+def poisson1(u: str) -> str:
+    cdf = poisson1_cdf()
+    arms = " ".join(f"WHEN {u} <= {dlit(t)} THEN {i}" for i, t in enumerate(cdf))
+    return f"CASE {arms} ELSE {len(cdf)} END"

@@ -17,8 +17,7 @@ from clicktrail.operators import trees as TR
 from clicktrail.plans import jobs as P
 from clicktrail.registry import register
 from clicktrail.registry import sqlbits as SB
-from clicktrail.registry.trace_queries import CUTOFF, RWT_CTES, click_traces
-from clicktrail.registry.report_queries import responses
+from clicktrail.registry.trace_queries import NO_CUTOFF, RWT_CTES, survey_stages
 from clicktrail.registry.trees import GROUP, session_pages
 from clicktrail.sources import io as IO
 from clicktrail.sources import tables as T
@@ -39,15 +38,14 @@ UNION ALL SELECT 'responses', count(*) FROM rwt""",
 )
 def coverage_report(spark, sf):
     """Rows at each stage of the click and survey joins."""
-    resp, pages = T.responses_log(spark, sf), T.page_table(spark, sf)
-    raw = T.raw_survey(spark, sf)
+    st = survey_stages(spark, sf)  # every stage is written once; the counts read the written tables
     return C.coverage(
         {
-            "clicks": C.prepared_clicks(resp, pages),
-            "click_traces": click_traces(spark, sf),
-            "survey": SV.clean_responses(raw, CUTOFF),
-            "survey_in_el": P.survey_in_el(raw, resp, CUTOFF),
-            "responses": responses(spark, sf),
+            "clicks": st.clicks,
+            "click_traces": st.click_hits,
+            "survey": st.survey,
+            "survey_in_el": st.survey_in_el,
+            "responses": st.responses,
         }
     )
 
@@ -55,12 +53,12 @@ def coverage_report(spark, sf):
 @register(
     "unrecoded_examples",
     duckdb_with("raw_survey", "responses_log")
-    + SB.survey_ctes(CUTOFF)
+    + SB.survey_ctes(NO_CUTOFF)
     + "SELECT token, raw_motivation FROM clean WHERE motivation = 'other' ORDER BY token LIMIT 10",
 )
 def unrecoded_examples(spark, sf):
     """The first ten answers whose motivation could not be recoded (a top-k listing by token)."""
-    c = SV.clean_responses(T.raw_survey(spark, sf), CUTOFF)
+    c = SV.clean_responses(T.raw_survey(spark, sf), NO_CUTOFF)
     return c.where(F.array_join("motivation", "|") == "other").orderBy("token").limit(10).select("token", "raw_motivation")
 
 
@@ -69,17 +67,17 @@ def unrecoded_examples(spark, sf):
     duckdb_with("request_log")
     + f", traffic AS ({SB.TRAFFIC}), "
     + SB.sessionized("traffic", GAP_US)
-    + """, sizes AS (SELECT client_ip, user_agent, session_id, count(*) AS k FROM sessionized GROUP BY ALL)
-SELECT client_ip, user_agent, count(*) AS n_sessions, string_agg(cast(k AS VARCHAR), ',' ORDER BY session_id) AS sizes
-FROM sizes GROUP BY ALL""",
+    + """SELECT client_ip, user_agent, session_id, count(*) AS n_requests,
+       string_agg(cast(req_id AS VARCHAR), ',' ORDER BY ts, req_id) AS req_ids
+FROM sessionized GROUP BY ALL""",
 )
 def sessions_nested(spark, sf):
-    """Per client, the array of sessions (each an array of requests)."""
+    """Per client and session, the array of its requests."""
     log = R.filter_traffic(T.request_log(spark, sf))
-    n = SS.sessions_nested(log, ["client_ip", "user_agent"], ["ts", "req_id"], gap_minutes=GAP_MINUTES)
+    n = SS.session_arrays(log, ["client_ip", "user_agent"], ["ts", "req_id"], gap_minutes=GAP_MINUTES)
     return n.select(
-        "client_ip", "user_agent", F.size("sessions").cast("bigint").alias("n_sessions"),
-        F.array_join(F.transform("sessions", lambda s: F.size(s).cast("string")), ",").alias("sizes"),
+        "client_ip", "user_agent", "session_id", F.size("session").cast("bigint").alias("n_requests"),
+        F.array_join(F.transform("session", lambda r: r["req_id"].cast("string")), ",").alias("req_ids"),
     )
 
 
@@ -117,7 +115,7 @@ def _level_sql(col: str, src: str) -> str:
 @register(
     "answer_levels",
     duckdb_with("raw_survey", "responses_log")
-    + SB.survey_ctes(CUTOFF)
+    + SB.survey_ctes(NO_CUTOFF)
     + ", app AS (SELECT "
     + ", ".join(f"{_level_sql(k, v)} AS {k}" for k, v in _APP.items())
     + " FROM clean), cond AS (SELECT * FROM app WHERE Prior_Knowledge = 'familiar')\n"
@@ -128,7 +126,7 @@ def _level_sql(col: str, src: str) -> str:
 def answer_levels(spark, sf):
     """F25 + P23 + A30: coded answers as ordered levels (values off the list -> NULL), conditioned on
     prior knowledge 'familiar' ('any' for the others), counted per question."""
-    c = SV.clean_responses(T.raw_survey(spark, sf), CUTOFF).select(
+    c = SV.clean_responses(T.raw_survey(spark, sf), NO_CUTOFF).select(
         F.col("`information depth`").alias("Information_Need"),
         F.col("`prior knowledge`").alias("Prior_Knowledge"),
         F.array_join("motivation", "|").alias("Motivation"),
@@ -146,12 +144,8 @@ def answer_levels(spark, sf):
 )
 def day_range(spark, sf):
     """Every day from the first to the last event, inclusive."""
-    ev = T.table(spark, sf, "events").agg(
-        F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b")
-    )
-    return ev.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("d")).select(
-        F.date_format("d", "yyyy-MM-dd").alias("day")
-    )
+    a, b = T.table(spark, sf, "events").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    return IO.day_range(spark, a.isoformat(), b.isoformat()).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @register(
@@ -188,11 +182,11 @@ def url_keys(spark, sf):
 @register(
     "trace_span",
     duckdb_with("request_log", "redirects")
-    + SB.trace_ctes(4)
+    + SB.trace_ctes()
     + """SELECT client_ip AS ip, user_agent AS ua, year, month, day, uri_host AS host FROM day_groups
 WHERE make_date(year, month, day) BETWEEN DATE '2024-01-03' AND DATE '2024-01-09'""",
 )
 def trace_span(spark, sf):
     """S11 + U1 over the per-day traces: all (day, host) partitions in a span, as one DataFrame."""
-    t = P.build_trace_table(T.request_log(spark, sf), T.redirects(spark, sf), max_requests=4)
+    t = P.build_trace_table(T.request_log(spark, sf), T.redirects(spark, sf))
     return t.where(IO.day_span("2024-01-03", "2024-01-09")).select("ip", "ua", "year", "month", "day", "host")

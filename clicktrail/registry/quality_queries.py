@@ -61,22 +61,29 @@ def distinct_clients(spark, sf):
 @register(
     "matched_tokens",
     QA
-    + """SELECT count(DISTINCT i.event_surveyInstanceToken) AS n
-FROM (SELECT event_surveyInstanceToken FROM initiation_log WHERE event_eventName = 'impression') i
-JOIN (SELECT event_surveyInstanceToken FROM initiation_log WHERE event_eventName = 'eligible') e
-  ON i.event_surveyInstanceToken = e.event_surveyInstanceToken""",
+    + """SELECT count(*) AS n FROM (
+  SELECT event_surveyInstanceToken FROM initiation_log WHERE event_eventName = 'impression'
+  INTERSECT
+  SELECT event_surveyInstanceToken FROM initiation_log WHERE event_eventName = 'eligible')
+WHERE event_surveyInstanceToken IS NOT NULL""",
 )
 def matched_tokens(spark, sf):
     return Q.matched_tokens(_init(spark, sf))
 
 
-_D_CLICK = """d_click AS (SELECT r.* FROM responses_log r, initiation_log i
-  WHERE r.event_surveyInstanceToken = i.event_surveyInstanceToken AND i.event_eventName = 'impression')"""
+# how often each token was shown, seen as eligible, and clicked: joins become products of these counts
+_TIMES = """
+shown AS (SELECT event_surveyInstanceToken AS token, count(*) AS times FROM initiation_log
+          WHERE event_eventName = 'impression' GROUP BY ALL),
+offered AS (SELECT event_surveyInstanceToken AS token, count(*) AS times FROM initiation_log
+            WHERE event_eventName = 'eligible' GROUP BY ALL),
+tracked AS (SELECT r.event_surveyInstanceToken AS token, count(*) * any_value(shown.times) AS times
+            FROM responses_log r JOIN shown ON shown.token = r.event_surveyInstanceToken GROUP BY ALL)"""
 
 
 @register(
     "responses_with_impression",
-    QA + ", " + _D_CLICK + "\nSELECT count(*) AS n_rows, count(DISTINCT event_surveyInstanceToken) AS n_tokens FROM d_click",
+    QA + "," + _TIMES + "\nSELECT cast(sum(times) AS BIGINT) AS n_rows, count(*) AS n_tokens FROM tracked",
 )
 def responses_with_impression(spark, sf):
     j = Q.responses_with_impression(_resp(spark, sf), _init(spark, sf))
@@ -85,20 +92,18 @@ def responses_with_impression(spark, sf):
 
 _MATCH = (
     QA
-    + ", "
-    + _D_CLICK
+    + ","
+    + _TIMES
     + f""",
-s AS (SELECT {TOK} AS tok, {FTS} AS ts FROM raw_survey),
-inside AS (SELECT * FROM s WHERE ts > TIMESTAMP '{SLICE[0]}' AND ts < TIMESTAMP '{SLICE[1]}'),
-m AS (SELECT
-  (SELECT count(*) FROM s) AS n_answers,
-  (SELECT count(*) FROM inside) AS n_in_slice,
-  (SELECT count(*) FROM s JOIN d_click c ON c.event_surveyInstanceToken = s.tok) AS n_with_click,
-  (SELECT count(*) FROM inside JOIN d_click c ON c.event_surveyInstanceToken = inside.tok) AS n_click_in_slice,
-  (SELECT count(*) FROM s JOIN initiation_log i ON i.event_surveyInstanceToken = s.tok
-     AND i.event_eventName = 'impression') AS n_with_impression,
-  (SELECT count(*) FROM s JOIN initiation_log i ON i.event_surveyInstanceToken = s.tok
-     AND i.event_eventName = 'eligible') AS n_with_eligible)
+answers AS (SELECT {TOK} AS token, coalesce({FTS} > TIMESTAMP '{SLICE[0]}' AND {FTS} < TIMESTAMP '{SLICE[1]}', false) AS inside
+            FROM raw_survey),
+m AS (SELECT count(*) AS n_answers,
+             count(*) FILTER (inside) AS n_in_slice,
+             cast(coalesce(sum(tracked.times), 0) AS BIGINT) AS n_with_click,
+             cast(coalesce(sum(tracked.times) FILTER (inside), 0) AS BIGINT) AS n_click_in_slice,
+             cast(coalesce(sum(shown.times), 0) AS BIGINT) AS n_with_impression,
+             cast(coalesce(sum(offered.times), 0) AS BIGINT) AS n_with_eligible
+      FROM answers LEFT JOIN tracked USING (token) LEFT JOIN shown USING (token) LEFT JOIN offered USING (token))
 """
 )
 
@@ -111,10 +116,10 @@ def answer_matches(spark, sf):
 @register(
     "funnel_rates",
     _MATCH
-    + f""", f AS (SELECT count(*) FILTER (WHERE event_eventName = 'eligible') AS eligible FROM initiation_log),
-y AS (SELECT count(*) FILTER (WHERE event_surveyResponseValue = {YES}) AS yes FROM responses_log)
-SELECT yes / eligible AS yes_per_eligible, n_with_click / yes AS answers_per_yes,
-       n_with_click / n_answers AS tracked_share FROM m, f, y""",
+    + f"""SELECT (SELECT count(*) FROM responses_log WHERE event_surveyResponseValue = {YES})
+         / (SELECT sum(times) FROM offered) AS yes_per_eligible,
+       n_with_click / (SELECT count(*) FROM responses_log WHERE event_surveyResponseValue = {YES}) AS answers_per_yes,
+       n_with_click / n_answers AS tracked_share FROM m""",
 )
 def funnel_rates(spark, sf):
     init, resp = _init(spark, sf), _resp(spark, sf)
@@ -123,15 +128,16 @@ def funnel_rates(spark, sf):
 
 @register(
     "unmatched_answers",
-    QA + ", " + _D_CLICK
-    + f"""
-SELECT s.{TOK} AS google_token, epoch_us({FTS.replace('("', '(s."')}) AS google_us, c.event_surveyInstanceToken AS el_token,
-       c.timestamp AS el_timestamp
-FROM raw_survey s LEFT JOIN d_click c ON c.event_surveyInstanceToken = s.{TOK}""",
+    QA + "," + _TIMES
+    + f""",
+clicked AS (SELECT r.event_surveyInstanceToken AS click_token, r.timestamp AS click_time
+            FROM responses_log r, shown, range(times) WHERE shown.token = r.event_surveyInstanceToken)
+SELECT {TOK} AS answer_token, epoch_us({FTS}) AS answer_us, click_token, click_time
+FROM raw_survey LEFT JOIN clicked ON click_token = {TOK}""",
 )
 def unmatched_answers(spark, sf):
     u = Q.unmatched_answers(T.raw_survey(spark, sf), _resp(spark, sf), _init(spark, sf))
-    return u.select("google_token", F.unix_micros("google_ts").alias("google_us"), "el_token", "el_timestamp")
+    return u.select("answer_token", F.unix_micros("answer_time").alias("answer_us"), "click_token", "click_time")
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from clicktrail.operators import requests as R
 from clicktrail.operators import sessions as S
 from clicktrail.registry import register
+from clicktrail.registry.sqlbits import TRAFFIC
 from clicktrail.sources import tables as T
 from clicktrail.sources.adapters import duckdb_with
 
@@ -13,12 +14,6 @@ from clicktrail.sources.adapters import duckdb_with
 GAP_MINUTES = 1440
 GAP_US = GAP_MINUTES * 60_000_000
 
-TRAFFIC_SQL = """
-SELECT * FROM request_log
-WHERE webrequest_source = 'text' AND agent_type = 'user' AND access_method <> 'mobile app'
-  AND uri_host IN ('en.wikipedia.org', 'en.m.wikipedia.org')
-"""
-
 SESSIONIZED_SQL = f"""
 lagged AS (
   SELECT *, epoch_us(ts) AS us,
@@ -35,7 +30,7 @@ sessionized AS (
 @register(
     "session_metrics",
     duckdb_with("request_log")
-    + f", traffic AS ({TRAFFIC_SQL}), {SESSIONIZED_SQL}"
+    + f", traffic AS ({TRAFFIC}), {SESSIONIZED_SQL}"
     + """
 SELECT client_ip, user_agent, cast(session_id AS INTEGER) AS session_id,
        count(*) AS n_requests,
@@ -54,7 +49,7 @@ def session_metrics(spark, sf_dir):
 @register(
     "sessionize",
     duckdb_with("request_log")
-    + f", traffic AS ({TRAFFIC_SQL}), {SESSIONIZED_SQL}"
+    + f", traffic AS ({TRAFFIC}), {SESSIONIZED_SQL}"
     + """
 SELECT req_id, client_ip, user_agent, cast(session_id AS INTEGER) AS session_id FROM sessionized
 """,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from clicktrail.sources import adapters as A
 from clicktrail.sources.adapters import duckdb_with
 
-TRAFFIC = """
+TRAFFIC = f"""
 SELECT * FROM request_log
 WHERE webrequest_source = 'text' AND agent_type = 'user' AND access_method <> 'mobile app'
-  AND uri_host IN ('en.wikipedia.org', 'en.m.wikipedia.org')
+  AND uri_host IN ('{A.DESKTOP_HOST}', '{A.MOBILE_HOST}')
 """
 
 
@@ -128,10 +129,11 @@ nodes AS (SELECT e.*, r.root, r.depth, r.path FROM edges e JOIN rec r USING (nod
     )
 
 
-def trace_ctes(cap: int) -> str:
-    """CTEs after ``request_log, redirects``: traffic -> titles -> completeness -> day groups under the cap
-    (``day_groups``), their complete requests (``day_reqs``), merged client traces (``merged``) and the
+def trace_ctes(cap: int | None = None) -> str:
+    """CTEs after ``request_log, redirects``: traffic -> titles -> completeness -> day groups (under the cap, if one is
+    given; ``day_groups``), their complete requests (``day_reqs``), merged client traces (``merged``) and the
     numbered requests of each merged trace (``reqs``)."""
+    having = "" if cap is None else f"HAVING count(*) < {cap}"
     complete = " AND ".join(
         f"{c} IS NOT NULL"
         for c in (
@@ -148,7 +150,7 @@ titled AS (
 packed AS (SELECT *, ({complete}) AS complete FROM titled),
 day_groups AS (
   SELECT {grp}, uri_host, year, month, day FROM packed
-  GROUP BY {grp}, uri_host, year, month, day HAVING count(*) < {cap}),
+  GROUP BY {grp}, uri_host, year, month, day {having}),
 day_reqs AS (
   SELECT p.* FROM packed p SEMI JOIN day_groups g USING ({grp}, uri_host, year, month, day) WHERE p.complete),
 merged AS (
@@ -167,7 +169,7 @@ ev AS (
   SELECT s.webHost, p.page_title AS title, s.event_surveyInstanceToken AS survey_token, s.clientIp, s.userAgent,
          try_strptime(s.timestamp, '%Y%m%d%H%M%S') AS ts
   FROM responses_log s JOIN page p ON p.page_id = s.event_pageId
-  WHERE s.event_surveyResponseValue = 'ext-quicksurveys-external-survey-yes-button'),
+  WHERE s.event_surveyResponseValue = '{A.YES_BUTTON}'),
 first_ev AS (
   SELECT *, row_number() OVER (PARTITION BY survey_token
              ORDER BY ts NULLS LAST, webHost NULLS LAST, title NULLS LAST, clientIp NULLS LAST,
@@ -198,7 +200,6 @@ def survey_ctes(cutoff: str) -> str:
     """CTEs after ``raw_survey, responses_log``: cleaned answers (``clean``) and those with a yes click
     on the two wikis (``survey_in_el``)."""
     from clicktrail.functions import recode as RC
-    from clicktrail.sources import adapters as A
 
     def lit(s):
         return "'" + s.replace("'", "''") + "'"
@@ -236,10 +237,10 @@ clean AS (
                raw_information_depth, raw_prior_knowledge, raw_motivation) AS rn
     FROM coded) WHERE rn = 1),
 yes_tokens AS (
-  SELECT CASE webHost WHEN 'en.m.wikipedia.org' THEN 'mobile' WHEN 'en.wikipedia.org' THEN 'desktop' END AS host,
+  SELECT CASE webHost WHEN '{A.MOBILE_HOST}' THEN 'mobile' WHEN '{A.DESKTOP_HOST}' THEN 'desktop' END AS host,
          event_surveyInstanceToken AS token
   FROM responses_log
-  WHERE event_surveyResponseValue = 'ext-quicksurveys-external-survey-yes-button'
-    AND webHost IN ('en.wikipedia.org', 'en.m.wikipedia.org')),
+  WHERE event_surveyResponseValue = '{A.YES_BUTTON}'
+    AND webHost IN ('{A.DESKTOP_HOST}', '{A.MOBILE_HOST}')),
 survey_in_el AS (SELECT c.*, y.host FROM clean c JOIN yes_tokens y USING (token))
 """

@@ -9,13 +9,13 @@ from clicktrail.operators import stats as ST
 from clicktrail.plans import jobs as P
 from clicktrail.registry import register
 from clicktrail.registry.duck_random import beta_interval_ctes, poisson1, uniform
-from clicktrail.registry.trace_queries import CUTOFF
+from clicktrail.registry.trace_queries import NO_CUTOFF
 from clicktrail.registry.sqlbits import survey_ctes
 from clicktrail.sources import tables as T
 from clicktrail.sources.adapters import duckdb_with
 
-BOOT = 100  # bootstrap replicates for the driver query
-SURVEY = duckdb_with("raw_survey", "responses_log") + survey_ctes(CUTOFF)
+BOOT = 1000  # bootstrap replicates
+SURVEY = duckdb_with("raw_survey", "responses_log") + survey_ctes(NO_CUTOFF)
 OC = "oc AS (SELECT o.*, c.c_mktsegment FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey)"
 
 
@@ -26,7 +26,7 @@ def orders_customers(spark, sf_dir):
 
 
 def survey_in_el(spark, sf_dir):
-    s = P.survey_in_el(T.raw_survey(spark, sf_dir), T.responses_log(spark, sf_dir), CUTOFF)
+    s = P.survey_in_el(T.raw_survey(spark, sf_dir), T.responses_log(spark, sf_dir), NO_CUTOFF)
     return s.withColumnsRenamed({"information depth": "information_depth", "prior knowledge": "prior_knowledge"})
 
 
@@ -239,8 +239,8 @@ _DIMS = ["c_mktsegment", "o_orderpriority", "o_orderstatus"]
     ),
 )
 def metric_breakdowns(spark, sf_dir):
-    m = ST.metric_breakdowns(orders_customers(spark, sf_dir), "o_totalprice", _DIMS)
-    return m.withColumn("mean", F.round("mean", 4))
+    m = ST.metric_breakdowns(orders_customers(spark, sf_dir), ["o_totalprice"], _DIMS)
+    return m.drop("metric").withColumn("mean", F.round("mean", 4))
 
 
 # ---------------------------------------------------------------- answer browser
@@ -280,9 +280,7 @@ def compare_conditionings(spark, sf_dir):
 
 @register(
     "value_counts",
-    "SELECT d.source, count(*) AS count FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 GROUP BY ALL",
+    "SELECT source, count(*) AS count FROM documents GROUP BY ALL",
 )
 def value_counts(spark, sf_dir):
-    d = T.table(spark, sf_dir, "documents").select("doc_id", "source")
-    lab = T.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return ST.value_counts(d.join(lab, "doc_id"), "source")
+    return ST.value_counts(T.table(spark, sf_dir, "documents"), "source")

@@ -29,8 +29,8 @@ def session_pages(spark, sf_dir):
     )
 
 
-def forest(spark, sf_dir):
-    return TR.build_forest(session_pages(spark, sf_dir), GROUP)
+def forest(spark, sf_dir, path=False):
+    return TR.build_forest(session_pages(spark, sf_dir), GROUP, path=path)
 
 
 @register(
@@ -39,7 +39,7 @@ def forest(spark, sf_dir):
     + "SELECT node, parent, root, cast(depth AS INTEGER) AS depth, path, session_id FROM nodes",
 )
 def build_forest(spark, sf_dir):
-    f = forest(spark, sf_dir)
+    f = forest(spark, sf_dir, path=True)
     return f.select(
         "node", "parent", "root", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"),
         "session_id",

@@ -24,7 +24,9 @@ SESSION_CONF = {
 }
 
 
-def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "clicktrail") -> SparkSession:
+def get_spark(
+    master: str = "local[8]", shuffle_partitions: int = 8, app: str = "clicktrail", checkpoint_dir: str | None = None
+) -> SparkSession:
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -32,9 +34,12 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")  # local sessions only
     apply_conf(spark)
@@ -52,7 +57,7 @@ def apply_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only when none is configured."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; only a local session may go without one."""
     try:
         sc = spark.sparkContext
     except Exception:  # remote (Connect) session: the server's own setting applies
@@ -62,7 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local tests: no shared folder was named.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # one machine, as in tests: a local folder is shared by all tasks
         configured = tempfile.mkdtemp(prefix="clicktrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
@@ -80,14 +87,14 @@ def scale_conf(
       in-memory rows a fraction of that);
     * shuffle partitions so that the shuffled bytes - ``shuffle_fraction`` of
       the input after pruning and partial aggregation - land near the same size
-      per partition, at least two per core and at most 200,000 (AQE coalesces
-      small ones and splits skewed ones at run time);
+      per partition, at least two per core (AQE coalesces small ones and splits
+      skewed ones at run time);
     * the same size as AQE's advisory partition size and skew threshold.
 
     Example: 100 TB on 1,000 executors x 4 cores gives ~114,000 shuffle partitions.
     """
     shuffled = input_bytes * shuffle_fraction
-    parts = int(min(200_000, max(2 * total_cores, -(-shuffled // target_partition_bytes))))
+    parts = int(max(2 * total_cores, -(-shuffled // target_partition_bytes)))
     size = str(target_partition_bytes)
     return {
         "spark.sql.files.maxPartitionBytes": size,

@@ -7,7 +7,7 @@ are filled in by :class:`Dialect`. Table references are written ``{events}``:
 Spark binds them to DataFrames, DuckDB to its pre-registered views.
 
 The adapters stay flat (scalar columns). Maps and structs of the request-log
-schema are assembled on the Spark side in :mod:`clicktrail.sources.requests`.
+schema are assembled on the Spark side in :mod:`clicktrail.sources.tables`.
 """
 
 from __future__ import annotations
@@ -61,10 +61,7 @@ A_INDEPTH = "get an in-depth understanding of the topic."
 A_FAMILIAR = "I was already familiar with the topic."
 A_UNFAMILIAR = "I was not familiar with the topic and I am learning about it for the first time."
 A_WORK = "I have a work or school-related assignment."
-A_DECISION = (
-    "I need to make a personal decision based on this topic "
-    "(e.g. to buy a  book, choose a travel destination)."
-)
+A_DECISION = "I need to make a personal decision based on this topic (e.g. to buy a  book, choose a travel destination)."
 A_EVENT = "I want to know more about a current event (e.g. a soccer game, a recent earthquake, somebody's death)."
 A_MEDIA = "the topic was referenced in a piece of media (e.g. TV, radio, article, film, book)."
 A_CONVERSATION = "the topic came up in a conversation."
@@ -94,8 +91,15 @@ def _case(expr: str, values: list[str | None]) -> str:
 
 # events with the integer k of props; every adapter starts here
 _EV = "(SELECT *, cast(regexp_extract(props, '[0-9]+', 0) AS int) AS k FROM {events})"
-_CLIENT_IP = "'10.0.' || cast(user_id % 250 AS string) || '.1'"
-_USER_AGENT = "'Mozilla/5.0 (agent ' || cast(user_id % 3 AS string) || ')'"
+# clients, agents and titles come from the full user id, so a client's data does not grow with the table
+_CLIENT_IP = "'10.' || cast(user_id AS string) || '.1'"
+_USER_AGENT = "'Mozilla/5.0 (agent ' || cast(user_id AS string) || ')'"
+
+
+def _title(k: str) -> str:
+    return f"'P' || cast(user_id AS string) || '_' || cast({k} AS string)"
+
+
 
 
 def request_log_sql(d: Dialect) -> str:
@@ -106,19 +110,19 @@ SELECT
   {_CLIENT_IP} AS client_ip,
   {_USER_AGENT} AS user_agent,
   cast(ts AS timestamp) AS ts,
-  'https://h/wiki/P' || cast(cast(floor(k / 3) AS int) % 3 AS string) || '/' AS referer,
+  'https://h/wiki/' || {_title('cast(floor(k / 3) AS int) % 3')} || '/' AS referer,
   CASE WHEN k % 2 = 0 THEN '{DESKTOP_HOST}' ELSE '{MOBILE_HOST}' END AS uri_host,
-  '/wiki/P' || cast(k % 3 AS string) AS uri_path,
+  '/wiki/' || {_title('k % 3')} AS uri_path,
   '' AS uri_query,
   event_type IN ('view', 'click', 'purchase') AS is_pageview,
   CASE WHEN k % 2 = 0 THEN 'desktop' ELSE 'mobile web' END AS access_method,
   CASE WHEN k % 5 = 0 THEN 'external (search engine)' ELSE 'internal' END AS referer_class,
   'text' AS webrequest_source,
   CASE WHEN user_id % 10 = 0 THEN 'spider' ELSE 'user' END AS agent_type,
-  'P' || cast(k % 3 AS string) AS page_title,
+  {_title('k % 3')} AS page_title,
   'wikipedia' AS project_class,
   'en' AS project,
-  {_case('user_id % 4', ['America/New_York', 'Europe/Berlin', 'Asia/Tokyo', 'Mars/Olympus_Mons'])} AS timezone,
+  {_case('user_id % 6', ['America/New_York', 'Europe/Berlin', 'Asia/Tokyo', 'Mars/Olympus_Mons', 'UTC', 'Japan'])} AS timezone,
   {_case('user_id % 3', ['US', 'DE', 'JP'])} AS country,
   {_case('user_id % 3', ['Firefox', 'Chrome', 'Safari'])} AS browser_family,
   cast(year(ts) AS int) AS year,
@@ -130,9 +134,9 @@ FROM {_EV} e
 
 
 def redirects_sql(d: Dialect) -> str:
-    """Redirect table derived from the titles in use: every P2 title redirects to P0."""
+    """Redirect table derived from the titles in use: every user's third title redirects to the first."""
     return f"""
-SELECT DISTINCT 'P' || cast(k % 3 AS string) AS rd_from, 'P0' AS rd_to
+SELECT DISTINCT {_title('2')} AS rd_from, {_title('0')} AS rd_to
 FROM {_EV} e WHERE k % 3 = 2
 """
 
@@ -145,7 +149,7 @@ def responses_log_sql(d: Dialect) -> str:
     return f"""
 SELECT
   CASE WHEN k = 9 THEN 'de.wikipedia.org' WHEN k % 2 = 0 THEN '{DESKTOP_HOST}' ELSE '{MOBILE_HOST}' END AS webHost,
-  cast(k % 3 AS bigint) AS event_pageId,
+  user_id * 3 + k % 3 AS event_pageId,
   {_TOKEN} AS event_surveyInstanceToken,
   CASE WHEN event_type = 'error' THEN '{YES_BUTTON}' ELSE '{NO_BUTTON}' END AS event_surveyResponseValue,
   CASE WHEN k = 8 THEN NULL ELSE {_CLIENT_IP} END AS clientIp,
@@ -158,7 +162,7 @@ WHERE event_type IN ('error', 'signup') AND k < 10
 
 def page_sql(d: Dialect) -> str:
     return f"""
-SELECT DISTINCT cast(k % 3 AS bigint) AS page_id, 'P' || cast(k % 3 AS string) AS page_title
+SELECT DISTINCT user_id * 3 + k % 3 AS page_id, {_title('k % 3')} AS page_title
 FROM {_EV} e
 """
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clicktrail.functions import textparse as TP
+from clicktrail.functions.recode import join_codes, split_codes
+from clicktrail.sources.work import children, drop
 
 PARTITIONS = ["year", "month", "day", "host"]
 # JSON timestamps keep microseconds (Spark's default text format stops at milliseconds).
@@ -82,14 +84,26 @@ def write_traces(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
 
 
-def overwrite_day(df: DataFrame, path: str) -> None:
-    """Replace only the partitions present in ``df`` (one day, every host): reruns are idempotent."""
+def overwrite_day(df: DataFrame, path: str, days: Sequence[tuple[int, int, int]] = ()) -> None:
+    """Replace the partitions of some days (every host) with the rows of ``df``: reruns are idempotent.
+
+    Partitions present in ``df`` are overwritten in place. Of the rebuilt
+    ``days`` (year, month, day), hosts that no longer have a row lose their old
+    partition, so the table always equals a build from scratch.
+    """
+    spark = df.sparkSession
+    made = {tuple(r) for r in df.select(*PARTITIONS).distinct().collect()} if days else set()  # days x hosts
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
+    for year, month, day in days:
+        folder = f"{path}/year={year}/month={month}/day={day}"
+        for name in children(spark, folder):
+            if name.startswith("host=") and (year, month, day, name[len("host=") :]) not in made:
+                drop(spark, f"{folder}/{name}")
 
 
 def write_merged(df: DataFrame, path: str) -> None:
@@ -97,12 +111,6 @@ def write_merged(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def partition_path(day: str, host: str) -> str:
-    """'year=Y/month=M/day=D/host=H' of a day and host."""
-    d = dt.date.fromisoformat(day[:10])
-    return f"year={d.year}/month={d.month}/day={d.day}/host={host}"
-
-
 def read_partition(spark: SparkSession, path: str, day: str, host: str) -> DataFrame:
     """One (day, host) partition of a partitioned table, found by partition pruning."""
     d = dt.date.fromisoformat(day[:10])
@@ -183,11 +191,14 @@ def read_survey_tsv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def write_tsv(df: DataFrame, path: str, ts_format: str = "yyyy-MM-dd HH:mm:ss") -> None:
-    """TSV with header; nested columns are written as JSON text, timestamps with ``ts_format``."""
+    """TSV with header; lists of text are joined by '|' (``work/school|media``), other nested columns are
+    written as JSON text, timestamps with ``ts_format``."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        if f.dataType.simpleString() == "array<string>":
+            c = join_codes(c)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             c = F.to_json(c, {"timestampFormat": ts_format})
         cols.append(c.alias(f.name))
     (
@@ -203,7 +214,7 @@ def write_tsv(df: DataFrame, path: str, ts_format: str = "yyyy-MM-dd HH:mm:ss")
 def load_tsv_nested(
     spark: SparkSession, path: str, schema: T.StructType, ts_format: str = "yyyy-MM-dd HH:mm:ss"
 ) -> DataFrame:
-    """Read a TSV written by :func:`write_tsv` and rebuild the nested columns from their JSON text."""
+    """Read a TSV written by :func:`write_tsv` and rebuild the nested columns from their text."""
     flat = T.StructType(
         [
             T.StructField(f.name, T.StringType() if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else f.dataType)
@@ -216,7 +227,9 @@ def load_tsv_nested(
     cols = []
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        if f.dataType.simpleString() == "array<string>":
+            c = split_codes(c)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             c = F.from_json(c, f.dataType, {"timestampFormat": ts_format})
         cols.append(c.alias(f.name))
     return raw.select(*cols)

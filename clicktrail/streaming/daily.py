@@ -33,7 +33,7 @@ def rebuild_days(
     days: list[tuple[int, int, int]],
     redirects: DataFrame,
     out_path: str,
-    max_requests: int = 500,
+    max_requests: int | None = None,
     hour: int | None = None,
 ) -> None:
     """Rebuild the per-day traces of ``days`` from the full log and replace their partitions."""
@@ -45,7 +45,7 @@ def rebuild_days(
         cond = c if cond is None else cond | c
     log = spark.read.parquet(log_path).where(cond)
     traces = build_trace_table(log, redirects, hour=hour, max_requests=max_requests)
-    overwrite_day(traces, out_path)
+    overwrite_day(traces, out_path, days)
 
 
 def start_daily_traces(
@@ -55,7 +55,7 @@ def start_daily_traces(
     redirects: DataFrame,
     out_path: str,
     checkpoint_location: str | None = None,
-    max_requests: int = 500,
+    max_requests: int | None = None,
     hour: int | None = None,
     trigger: dict[str, Any] | None = None,
     on_batch: Callable[[int, list], None] | None = None,

@@ -7,11 +7,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from clicktrail.session import get_spark
 
-    s = get_spark(master="local[4]", shuffle_partitions=4, app="clicktrail-tests")
-    yield s
+    folder = str(tmp_path_factory.mktemp("shared"))
+    yield get_spark(master="local[4]", shuffle_partitions=4, app="clicktrail-tests", checkpoint_dir=folder)
 
 
 def rows(df, *cols):

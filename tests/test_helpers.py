@@ -11,6 +11,7 @@ from clicktrail.operators import requests as R
 from clicktrail.operators import sessions as S
 from clicktrail.operators import survey as SV
 from clicktrail.plans import jobs
+from clicktrail.sources import io as IO
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -20,7 +21,7 @@ def test_request_helpers(spark):
         [("c", T0, 2024, 1, 3), ("c", T0 + dt.timedelta(seconds=5), 2024, 1, 9)],
         "client_ip string, ts timestamp, year int, month int, day int",
     )
-    assert df.where(R.in_span("2024-01-01", "2024-01-05")).count() == 1
+    assert df.where(IO.day_span("2024-01-01", "2024-01-05")).count() == 1
     numbered = S.number_requests(df, ["client_ip"], ["ts"])
     assert rows(numbered, "id") == [(0,), (1,)]
     arr = df.groupBy("client_ip").agg(F.collect_list(F.struct("ts", "day")).alias("r"))

@@ -28,6 +28,17 @@ def test_overwrite_day_is_idempotent(spark, tmp_path):
     assert IO.read_span(spark, path, "2024-01-01", "2024-01-02").count() == 5
 
 
+def test_overwrite_day_drops_emptied_partitions(spark, tmp_path):
+    path = str(tmp_path / "traces")
+    other = F.lit("en.m.wikipedia.org")
+    IO.write_traces(_traces(spark, 1, 3).unionByName(_traces(spark, 1, 2).withColumn("host", other)).unionByName(_traces(spark, 2, 1)), path)
+    IO.overwrite_day(_traces(spark, 1, 1), path, [(2024, 1, 1)])  # the rebuilt day has no mobile rows any more
+    back = {(r.day, r.host): r.n for r in spark.read.parquet(path).groupBy("day", "host").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert back == {(1, "en.wikipedia.org"): 1, (2, "en.wikipedia.org"): 1}
+    IO.overwrite_day(_traces(spark, 3, 0), path, [(2024, 1, 2)])  # nothing is left of day 2
+    assert {r.day for r in spark.read.parquet(path).select("day").distinct().collect()} == {1}
+
+
 def test_write_merged_fails_when_present(spark, tmp_path):
     path = str(tmp_path / "merged")
     IO.write_merged(_traces(spark, 1, 1), path)

@@ -2,37 +2,49 @@ import datetime as dt
 
 from conftest import rows
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clicktrail.functions import recode as RC
-from clicktrail.functions.textparse import REQUEST_TYPE
 from clicktrail.operators import requests as R
 from clicktrail.operators.asof import asof_click_request
-from clicktrail.operators.joins import keep_unique
+from clicktrail.operators.joins import keep_unique, null_safe_join
+from clicktrail.plans import jobs as P
 from clicktrail.sources import adapters as A
+from clicktrail.sources import tables as TB
 
 T0 = dt.datetime(2024, 1, 1, 12)
 
 
-def _req(sec, title):
-    return (T0 + dt.timedelta(seconds=sec), "ref", title, "/p", "", True, "desktop", "internal", "wikipedia", "en")
-
-
 def test_asof_ties_and_boundaries(spark):
-    schema = T.StructType(
-        [T.StructField("k", T.StringType()), T.StructField("trace_data", T.ArrayType(REQUEST_TYPE)),
-         T.StructField("click_title", T.StringType()), T.StructField("click_dt_utc", T.TimestampType())]
-    )
-    trace = [_req(0, "A"), _req(10, "A"), _req(10, "A"), _req(20, "B"), _req(30, "A")]
-    data = [
-        ("exact", trace, "A", T0 + dt.timedelta(seconds=30)),  # request at exactly the click time counts
-        ("tie", trace, "A", T0 + dt.timedelta(seconds=15)),  # equal ts: lowest position wins
-        ("none", trace, "C", T0 + dt.timedelta(seconds=99)),
-        ("early", trace, "B", T0 + dt.timedelta(seconds=19)),
+    trace = [(0, "A"), (10, "A"), (10, "A"), (20, "B"), (30, "A")]
+    clicks = [
+        ("exact", "A", 30),  # a request at exactly the click time counts
+        ("tie", "A", 15),  # equal ts: the lowest position wins
+        ("none", "C", 99),
+        ("early", "B", 19),
     ]
-    out = asof_click_request(spark.createDataFrame(data, schema))
-    got = {r.k: (r.click_request.id if r.click_request else None, r.time_to_click) for r in out.collect()}
-    assert got == {"exact": (4, 0.0), "tie": (1, 5.0), "none": (None, None), "early": (None, None)}
+    at = lambda sec: T0 + dt.timedelta(seconds=sec)
+    data = [(k, t, at(c), i, at(s), title) for k, t, c in clicks for i, (s, title) in enumerate(trace)]
+    rows = spark.createDataFrame(data, "k string, click_title string, click_dt_utc timestamp, id int, ts timestamp, title string")
+    out = asof_click_request(rows, ["k", "click_title", "click_dt_utc"], fields=("ts", "title"))
+    got = {r.k: (r.click_request.id if r.click_request else None, r.time_to_click, r.n_requests) for r in out.collect()}
+    assert got == {"exact": (4, 0.0, 5), "tie": (1, 5.0, 5), "none": (None, None, 5), "early": (None, None, 5)}
+
+
+def test_null_safe_join(spark):
+    left = spark.createDataFrame([("a", None, 1), (None, None, 2), ("b", "x", 3)], "k string, l string, v int")
+    right = spark.createDataFrame([("a", None, 10), (None, None, 20), ("b", "y", 30)], "k string, l string, w int")
+    assert rows(null_safe_join(left, right, ["k", "l"]), "v", "w") == [(1, 10), (2, 20)]
+    assert rows(null_safe_join(left, right, ["k", "l"], "left_anti"), "v") == [(3,)]
+    assert sorted(r.w or 0 for r in null_safe_join(left, right, ["k", "l"], "left").collect()) == [0, 10, 20]
+
+
+def test_trace_rows_are_the_nested_traces_unnested(spark):
+    sf = "/root/testdata/sf0.001"
+    log, redirects = TB.request_log(spark, sf), TB.redirects(spark, sf)
+    nested = P.build_merged_traces(log, redirects)
+    want = nested.select("ip", "ua", F.posexplode("requests").alias("id", "r")).select("ip", "ua", "id", "r.ts", "r.title")
+    got = P.numbered_trace_rows(log, redirects).select("ip", "ua", "id", "ts", "title")
+    assert rows(got) == rows(want) and got.count() > 100
 
 
 def test_keep_unique_drops_all_copies_and_nulls_are_equal(spark):
@@ -66,6 +78,7 @@ def test_null_strict_packing_and_cap(spark):
           .withColumn("geocoded_data", F.create_map(F.lit("timezone"), F.lit("UTC")))
           .withColumn("user_agent_map", F.create_map(F.lit("browser_family"), F.lit("X"))))
     packed = R.pack_request(df)
-    kept = R.build_traces(packed, max_requests=5).collect()
-    assert len(kept) == 1 and len(kept[0].requests) == 2  # non-page view and NULL referer dropped from the list
+    for cap in (None, 5):
+        kept = R.build_traces(packed, max_requests=cap).collect()
+        assert len(kept) == 1 and len(kept[0].requests) == 2  # non-page view and NULL referer dropped from the list
     assert R.build_traces(packed, max_requests=4).count() == 0  # but all 4 rows count toward the cap

@@ -14,16 +14,16 @@ def test_daily_stream_rebuilds_late_days(spark, tmp_path):
     first.write.partitionBy("year", "month", "day").parquet(landing)
     schema = spark.read.parquet(landing).schema
     redirects = T.redirects(spark, SF)
-    q = start_daily_traces(spark, landing, schema, redirects, out, ckpt, max_requests=4, trigger={"availableNow": True})
+    q = start_daily_traces(spark, landing, schema, redirects, out, ckpt, trigger={"availableNow": True})
     q.awaitTermination(300)
     n_first = spark.read.parquet(out).count()
     # late requests for day 1 arrive: the day is rebuilt from the whole log
     late.write.mode("append").partitionBy("year", "month", "day").parquet(landing)
-    q = start_daily_traces(spark, landing, schema, redirects, out, ckpt, max_requests=4, trigger={"availableNow": True})
+    q = start_daily_traces(spark, landing, schema, redirects, out, ckpt, trigger={"availableNow": True})
     q.awaitTermination(300)
     from clicktrail.plans.jobs import build_trace_table
 
-    expected = build_trace_table(day1, redirects, max_requests=4).count()
+    expected = build_trace_table(day1, redirects).count()
     got = spark.read.parquet(out)
     assert got.count() == expected and expected >= n_first
     assert {r.day for r in got.select("day").distinct().collect()} == {1}

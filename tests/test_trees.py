@@ -70,52 +70,99 @@ def _random_tree(rng, n):
     return nodes
 
 
-def _py_metrics(nodes):
-    """Recursive metrics over a parent map, written from the definitions."""
+def _ancestors(nodes):
+    """node -> its ancestors, nearest first: the last earlier view of the referer page, and so on up."""
+    order = sorted(nodes, key=lambda x: (x[1], x[0]))
+    last, up = {}, {}
+    for n, _, page, referer in order:
+        up[n] = [last[referer], *up[last[referer]]] if referer in last else []
+        last[page] = n
+    return up
+
+
+def _closed_forms(nodes):
+    """Metrics of each tree from the set of (ancestor, node) pairs alone."""
     ts = {n: s for n, s, _, _ in nodes}
-    key = {n: pk for n, _, pk, _ in nodes}
-    by_key = {}
-    parent = {}
-    for n, s, pk, rk in sorted(nodes, key=lambda x: (x[1], x[0])):
-        parent[n] = by_key.get(rk)
-        by_key[pk] = n
-    kids = {n: [] for n in ts}
-    for n, p in parent.items():
-        if p is not None:
-            kids[p].append(n)
-
-    def rec(n):
-        if not kids[n]:
-            return dict(size=1, size_sum=1, size_sq_sum=1, leafs=1, h=0, hsum=0, deg=0, edges=0, tsum=0.0)
-        acc = dict(size=1, size_sum=0, size_sq_sum=0, leafs=0, h=0, hsum=0, deg=len(kids[n]), edges=len(kids[n]), tsum=0.0)
-        for c in kids[n]:
-            m = rec(c)
-            for k in ("size", "size_sum", "size_sq_sum", "leafs", "hsum", "edges"):
-                acc[k] += m[k]
-            acc["h"] = max(acc["h"], m["h"] + 1)
-            acc["deg"] = max(acc["deg"], m["deg"])
-            acc["tsum"] += m["tsum"] + (ts[c] - ts[n])
-        acc["size_sum"] += acc["size"]
-        acc["size_sq_sum"] += acc["size"] ** 2
-        acc["hsum"] += acc["h"]
-        return acc
-
-    return {n: rec(n) for n, p in parent.items() if p is None}
-
-
-def test_metrics_match_recursive_definition(spark):
+    up = _ancestors(nodes)
+    pairs = [(a, n, k + 1) for n, above in up.items() for k, a in enumerate(above)]  # (ancestor, node, distance)
+    below = {n: [p for p in pairs if p[0] == n] for n in ts}
+    out = {}
+    for root in (n for n in ts if not up[n]):
+        tree = [root, *[n for _, n, _ in below[root]]]
+        edges = [(up[n][0], n) for n in tree if up[n]]
+        out[root] = {
+            "size": len(tree),
+            "size_sum": sum(len(below[n]) + 1 for n in tree),
+            "size_sq_sum": sum((len(below[n]) + 1) ** 2 for n in tree),
+            "num_leafs": sum(not below[n] for n in tree),
+            "depth_max": max(len(up[n]) for n in tree),
+            "depth_sum": sum(max([d for _, _, d in below[n]], default=0) for n in tree),
+            "degree_max": max(sum(d == 1 for _, _, d in below[n]) for n in tree),
+            "degree_sum": len(edges),
+            "timediff_sum": sum(ts[c] - ts[p] for p, c in edges),
+        }
+    return out
+
+
+def _walk(nodes):
+    """dfsness of each tree, straight from its definition: sets of waiting nodes and of open sibling groups."""
+    ts = {n: s for n, s, _, _ in nodes}
+    up = _ancestors(nodes)
+    out = {}
+    for root in (n for n in ts if not up[n]):
+        place = {}  # visit positions so far
+        waiting, positions = {root}, []
+        while waiting:
+            first = lambda n: (ts[n], place.get(up[n][0], -1) if up[n] else -1, n)
+            v = min(waiting, key=first)
+            opened = sorted({place[up[w][0]] for w in waiting if up[w]})
+            if len(opened) > 1:
+                positions.append(opened.index(place[up[v][0]]) / (len(opened) - 1))
+            place[v] = len(place)
+            waiting = (waiting - {v}) | {n for n in ts if up[n][:1] == [v]}
+        out[root] = sum(positions) / len(positions) if positions else None
+    return out
+
+
+def _same(got, want):
+    return got is None if want is None else got == pytest.approx(want)
+
+
+def test_metrics_match_the_closed_forms(spark):
     rng = random.Random(11)
-    for n in (2, 5, 9, 17, 30):
+    for n in (2, 9, 30):
         nodes = _random_tree(rng, n)
-        got = _metrics(spark, nodes)
-        want = _py_metrics(nodes)
+        got, want = _metrics(spark, nodes), _closed_forms(nodes)
         assert set(got) == set(want)
         for root, w in want.items():
-            g = got[root]
-            assert (g["size"], g["size_sum"], g["size_sq_sum"], g["num_leafs"]) == (w["size"], w["size_sum"], w["size_sq_sum"], w["leafs"])
-            assert (g["depth_max"], g["depth_sum"], g["degree_max"], g["degree_sum"]) == (w["h"], w["hsum"], w["deg"], w["edges"])
-            assert g["timediff_sum"] == pytest.approx(w["tsum"])
-            assert g["degree_sum"] == g["size"] - 1
+            assert {k: got[root][k] for k in w} == pytest.approx(w)
+
+
+def test_dfsness_with_tied_timestamps(spark):
+    """Random trees whose times fall on few seconds, also several generations on one, against the definition."""
+    rng = random.Random(31)
+    nodes = []
+    for t in range(25):
+        size = rng.randrange(4, 26)
+        s = 0
+        for i in range(1, size + 1):
+            s += rng.choice([0, 0, 1]) if t % 2 else rng.choice([0, 1, 2, 3])
+            parent = rng.randrange(1, i) if i > 1 else None
+            nodes.append((t * 1000 + i, t * 100_000 + s, f"t{t}p{i}", f"t{t}p{parent}" if parent else "-"))
+    got, want = _metrics(spark, nodes), _walk(nodes)
+    assert set(got) == set(want) and sum(v is not None for v in want.values()) > 10
+    assert all(_same(got[r]["dfsness"], v) for r, v in want.items())
+
+
+def test_long_session(spark):
+    """One session of 6,000 requests: a chain of 5,000 and a bush; nothing depends on its size."""
+    chain = [(i, i, f"c{i}", f"c{i - 1}" if i else "-") for i in range(5000)]
+    bush = [(10_000 + i, 20_000 + i, f"b{i}", f"b{(i - 1) // 3}" if i else "-") for i in range(1000)]
+    got = _metrics(spark, chain + bush)
+    assert got[0]["depth_max"] == 4999 and got[0]["size_sum"] == 5000 * 5001 // 2 and got[0]["dfsness"] is None
+    want = _closed_forms(bush)[10_000]
+    assert {k: got[10_000][k] for k in want} == pytest.approx(want)
+    assert got[10_000]["dfsness"] == pytest.approx(_walk(bush)[10_000])
 
 
 def test_intended_ambiguity(spark):
@@ -126,17 +173,14 @@ def test_intended_ambiguity(spark):
     assert sum(m["ambiguous_sum"] for m in intended.values()) == 1
 
 
-def test_fold_and_doubling_agree(spark):
-    rng = random.Random(5)
-    nodes = _random_tree(rng, 40) + [(100 + i, 1000 + i, f"q{i}", f"q{i - 1}") for i in range(12)]
-    data = [("c", "u", 0, n, T0 + dt.timedelta(seconds=s), pk, rk) for n, s, pk, rk in nodes]
+def test_path_and_null_group_keys(spark):
+    data = [(None, "u", 0, n, T0 + dt.timedelta(seconds=n), f"p{n}", f"p{n - 1}") for n in range(1, 10)]
     df = spark.createDataFrame(
         data,
         "client_ip string, user_agent string, session_id int, node long, ts timestamp, page_key string, referer_key string",
     )
-    a = {r.node: (r.root, r.depth, list(r.ancestors)) for r in TR.build_forest(df).collect()}
-    b = {r.node: (r.root, r.depth, list(r.ancestors)) for r in TR.build_forest(df, small_group=3).collect()}
-    assert a == b and len(a) == len(nodes)
+    got = {r.node: (r.root, r.depth, list(r.path)) for r in TR.build_forest(df, path=True).collect()}
+    assert got == {n: (1, n - 1, list(range(1, n + 1))) for n in range(1, 10)}
 
 
 def test_parents_across_time_buckets(spark):
@@ -157,32 +201,6 @@ def test_parents_across_time_buckets(spark):
     assert amb == {1: False, 2: False, 3: False, 4: True, 5: True}
 
 
-def test_relational_and_heap_dfsness_agree(spark):
-    rng = random.Random(31)
-    nodes = []
-    for t in range(12):  # twelve random trees with distinct timestamps in separate sessions
-        base = _random_tree(rng, rng.randrange(4, 25))
-        nodes += [(t * 1000 + n, t * 100_000 + s, f"t{t}{pk}", f"t{t}{rk}" if rk != "-" else "-") for n, s, pk, rk in base]
-    f = _forest(spark, nodes)
-    key = ("client_ip", "user_agent", "session_id")
-    a = {r.root: r.dfsness for r in TR.dfsness(f, key).collect()}
-    b = {r.root: r.dfsness for r in TR.dfsness_relational(f, key).collect()}
-    assert set(b) <= set(a) and any(v is not None for v in a.values())
-    for root in a:
-        if a[root] is None:
-            assert b.get(root) is None
-        else:
-            assert b[root] == pytest.approx(a[root])
-
-
-def test_tied_trees_take_the_heap_path(spark):
-    # R at 0 with children A, B at the same second; A -> A1, B -> B1 later
-    nodes = [(1, 0, "R", "-"), (2, 1, "A", "R"), (3, 1, "B", "R"), (4, 2, "A1", "A"), (5, 3, "B1", "B")]
-    got = _metrics(spark, nodes)[1]["dfsness"]
-    heap = {r.root: r.dfsness for r in TR.dfsness(_forest(spark, nodes), ("client_ip", "user_agent", "session_id")).collect()}
-    assert got == pytest.approx(heap[1])
-
-
 def test_pick_tree_one_whole_tree_per_session(spark):
     # two sessions, each a forest of three trees
     nodes = []
@@ -229,12 +247,11 @@ def test_every_request_in_exactly_one_session_and_tree(spark):
     s = sessionize(df, gap_minutes=60)
     assert s.count() == len(data) and s.select("node").distinct().count() == len(data)
     key = ["client_ip", "user_agent", "session_id"]
-    for small in (512, 2):  # fold path and doubling path
-        f = TR.build_forest(s, key, small_group=small)
-        assert f.count() == len(data) and f.select("node").distinct().count() == len(data)
-        m = TR.tree_metrics(f, key, with_dfsness=False)
-        assert m.agg(F.sum("size")).first()[0] == len(data)
-        assert m.where(F.col("degree_sum") != F.col("size") - 1).count() == 0
+    f = TR.build_forest(s, key)
+    assert f.count() == len(data) and f.select("node").distinct().count() == len(data)
+    m = TR.tree_metrics(f, key, with_dfsness=False)
+    assert m.agg(F.sum("size")).first()[0] == len(data)
+    assert m.where(F.col("degree_sum") != F.col("size") - 1).count() == 0
 
 
 def test_null_keys_never_link(spark):
