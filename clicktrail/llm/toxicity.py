@@ -34,6 +34,7 @@ from clicktrail.llm.textops import ALNUM, Words, chunks, mix, slice_hash
 BITS = 20
 PER_CLASS = 4000
 SLOTS = 1500
+CLEAR = 3.0  # standard deviations by which a slot's share must differ between the labels
 STEMS = (4, 5)
 PENALTY = 1.0
 
@@ -123,9 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
     # the slots whose presence tells the most about the label: standardised difference of shares
     share = (pos + neg) / len(y)
     strength = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    strength[(pos + neg) < 5] = 0
+    strength[(pos + neg) < 3] = 0
     chosen = np.argsort(-np.abs(strength), kind="stable")[:SLOTS]
-    chosen = np.sort(chosen[strength[chosen] != 0])
+    chosen = np.sort(chosen[np.abs(strength[chosen]) > CLEAR])
     column = np.full(1 << BITS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
 
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
         lists = [np.asarray(other[int(i)].as_py(), np.int64) for i in named]
         moved = matrix(np.repeat(np.arange(len(named)), list(map(len, lists))), np.concatenate(lists), len(named))
         pairs = x[named] - moved
-    w, b = fit_logistic(x, y, l2=0.3, pairs=pairs, penalty=penalty)
+    w, b = fit_logistic(x, y, l2=0.03, pairs=pairs, penalty=penalty, steps=1000)
     weights[chosen] = w
     return ToxicityModel(weights, float(b))
 
