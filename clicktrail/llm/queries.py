@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clicktrail.llm import ann, chat, decontam, jaccard, packing, pii, quality, rollup, shared, suffix, toxicity
+from clicktrail.llm import ann, chat, decontam, jaccard, packing, pii, quality, rollup, suffix, toxicity
+from clicktrail.sources import work
 
 QUERIES = {}
 ORACLES = {}
@@ -114,8 +115,8 @@ def nearest_neighbours(spark, sf_dir):
 @query("op1_token_counts")
 def token_counts(spark, sf_dir):
     """All documents are loaded with a quick estimate; then exact counts revise it, and later copies of a text are deleted."""
-    folder = shared.work_folder(spark, "token-rollup")
-    counted = shared.stored(rollup.count_tokens(table(spark, sf_dir, "documents")), f"{folder}/counted")
+    folder = work.work_folder(spark, "token-rollup")
+    counted = work.stored(rollup.count_tokens(table(spark, sf_dir, "documents")), f"{folder}/counted")
     changes = lambda rows, op, version, n: rows.select("doc_id", F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), F.col(n).alias("n_tokens"), F.lit(0).alias("seq"))
     rolled = rollup.TokenRollup(spark, f"{folder}/rollup")
     load = changes(counted, "insert", "byte_bpe_50k", "byte_bpe_50k").unionByName(changes(counted, "insert", "words", "space_pieces"))
@@ -137,7 +138,7 @@ def ngram_jaccard_join(spark, sf_dir):
 def suffix_array_dedup(spark, sf_dir):
     """The table in three batches by doc_id, a sixteenth, a sixteenth and the rest: the first two become one level before the third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    family = suffix.SuffixLevels(spark, shared.work_folder(spark, "suffix-levels"))
+    family = suffix.SuffixLevels(spark, work.work_folder(spark, "suffix-levels"))
     cuts = docs.approxQuantile("doc_id", [1 / 16, 1 / 8], 0.001)
     a, b = (int(x) for x in cuts) if cuts else (0, 0)
     key = F.col("doc_id")

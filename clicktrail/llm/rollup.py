@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm.shared import drop, exists, stored
+from clicktrail.sources.work import drop, exists, stored
 from clicktrail.llm.textops import NON_SPACE, Words, chunks
 from clicktrail.llm.tokens import bpe_encoder
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktrail.llm.preselect import texts_of
-from clicktrail.llm.shared import drop, stored
+from clicktrail.sources.work import drop, stored
 from clicktrail.llm.textops import chunks, mix, prefix_hash, slice_hash
 
 LENGTH = 100
