@@ -45,11 +45,11 @@ class Search:
     """Parameters of the search (see the module's text)."""
 
     k: int = K
-    projections: int = 48
+    projections: int = 32
     threshold: float = 0.8
     growth: float = 1.5
     reach: float = 1.6
-    shard_rows: int = 8192
+    shard_rows: int = 16_384
     block_rows: int = 2048
     seed: int = 17
 
@@ -66,15 +66,28 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, how: Search):
         self.how, self.ids, self.vectors = how, ids, vectors
+        self.squares = np.einsum("ij,ij->i", vectors, vectors)
         directions = np.random.default_rng([how.seed, vectors.shape[1]]).standard_normal((vectors.shape[1], how.projections))
         self.directions = directions / np.linalg.norm(directions, axis=0)
-        projected = vectors @ self.directions
-        self.order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=0)
+        projected = np.ascontiguousarray((vectors @ self.directions).T)  # one row per projection
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        self.order = order.astype(np.int32)
         # the first half-width holds a few vectors around the middle of each array
         n = len(ids)
         lo, hi = int(n * 0.45), min(n - 1, int(n * 0.55))
-        self.width = max(float(np.mean(self.sorted[hi] - self.sorted[lo])) / 2, 1e-12)
+        self.width = max(float(np.mean(self.sorted[:, hi] - self.sorted[:, lo])) / 2, 1e-12)
+
+    def verify(self, rows: np.ndarray, q: np.ndarray) -> list[tuple[float, int, int]]:
+        """(distance, id, row) of the k nearest of some rows: dot products choose, with room for their rounding, and
+        the distances that count are computed from the differences."""
+        square = q @ q
+        near = self.squares[rows] - 2 * (self.vectors[rows] @ q) + square
+        if len(rows) > self.how.k:
+            edge = np.partition(near, self.how.k - 1)[self.how.k - 1] + 1e-9 * (square + self.squares[rows].max())
+            rows = rows[near <= edge]
+        distance = np.sqrt(((self.vectors[rows] - q) ** 2).sum(axis=1))
+        return sorted(zip(distance.tolist(), self.ids[rows].tolist(), rows.tolist()))[: self.how.k]
 
     def search(self, query_id: int, q: np.ndarray) -> list[tuple[float, int]]:
         """The k nearest found, as (distance, row)."""
@@ -84,20 +97,19 @@ class Shard:
         counts = np.zeros(n, np.int32)
         checked = self.ids == query_id
         best: list[tuple[float, int, int]] = []
-        lo = np.array([np.searchsorted(self.sorted[:, j], at[j]) for j in range(how.projections)])
+        lo = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(how.projections)])
         hi, width, scale = lo.copy(), self.width, np.sqrt(len(q))
         while True:
             for j in range(how.projections):  # windows grow on both sides of what they held before
-                left = np.searchsorted(self.sorted[:, j], at[j] - width, "left")
-                right = np.searchsorted(self.sorted[:, j], at[j] + width, "right")
-                counts[self.order[left : lo[j], j]] += 1
-                counts[self.order[hi[j] : right, j]] += 1
+                left = self.sorted[j].searchsorted(at[j] - width, "left")
+                right = self.sorted[j].searchsorted(at[j] + width, "right")
+                counts[self.order[j, left : lo[j]]] += 1
+                counts[self.order[j, hi[j] : right]] += 1
                 lo[j], hi[j] = min(left, lo[j]), max(right, hi[j])
             fresh = np.flatnonzero((counts >= need) & ~checked)
             if len(fresh):
                 checked[fresh] = True
-                distance = np.sqrt(((self.vectors[fresh] - q) ** 2).sum(axis=1))
-                best = sorted(best + list(zip(distance.tolist(), self.ids[fresh].tolist(), fresh.tolist())))[: how.k]
+                best = sorted(best + self.verify(fresh, q))[: how.k]
             if checked.all() or len(best) == how.k and width >= how.reach * best[-1][0] / scale:
                 return [(d, i) for d, i, _ in best]
             width *= how.growth
