@@ -32,6 +32,7 @@ END_ID = 2
 CAPACITY = 1024
 GROUP_PIECES = 50_000
 PASSES = 30
+DONORS = 64  # emptiest bins that a pass tries to empty
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -104,34 +105,31 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, passes: int
     underfull bins from the fullest down, for an exchange that fills the other
     bin further at the donor's cost: a document moved, two of the donor's for
     one, or one for one. As the receiver is at least as full as the donor,
-    every exchange increases the sum of squared fills, so the search ends; it
-    also ends at the lower bound ceil(total / capacity) and after ``passes``
-    passes over the donors without an emptied bin.
+    every exchange increases the sum of squared fills, so the search ends: when
+    a pass over the ``DONORS`` emptiest bins changes nothing, at the lower bound
+    ceil(total / capacity), or after ``passes`` passes.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
     used = sum(1 for f in fill if f)
     for _ in range(passes):
-        if used <= least:
-            return
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        room = sum(capacity - fill[b] for b in under)
-        before = used
-        for donor in under[: max(1, min(len(under) // 2, 64))]:
-            if used <= least or room - (capacity - fill[donor]) < fill[donor]:
-                break
-            if not fill[donor]:
-                continue
-            _drain(donor, under, bins, fill, sizes, capacity)
-            used -= not fill[donor]
-        if used == before:
+        changed = False
+        for donor in under[: max(1, min(len(under) // 2, DONORS))]:
+            if used <= least:
+                return
+            if fill[donor] and _drain(donor, under, bins, fill, sizes, capacity):
+                changed = True
+                used -= not fill[donor]
+        if not changed:
             return
 
 
-def _drain(donor, under, bins, fill, sizes, capacity) -> None:
-    own = bins[donor]
+def _drain(donor, under, bins, fill, sizes, capacity) -> bool:
+    """Exchanges between a donor and the fuller underfull bins, the fullest first; whether there was any."""
+    own, changed = bins[donor], False
     for other in reversed(under):
-        if other == donor or not fill[other] or fill[other] < fill[donor]:
+        if other == donor or fill[other] < fill[donor]:
             continue
         while (gap := capacity - fill[other]) > 0 and own and (change := _best(own, bins[other], sizes, gap)):
             give, take = change
@@ -140,8 +138,10 @@ def _drain(donor, under, bins, fill, sizes, capacity) -> None:
             bins[other][:] = [i for i in bins[other] if i not in take] + list(give)
             fill[donor] -= delta
             fill[other] += delta
+            changed = True
         if not own:
-            return
+            break
+    return changed
 
 
 def _best(own, theirs, sizes, gap):

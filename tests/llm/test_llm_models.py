@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clicktrail.llm import ann, chat, packing, quality, rollup, shared, toxicity
+from clicktrail.llm import ann, chat, packing, quality, rollup, toxicity
 from clicktrail.llm.queries import ORACLES, QUERIES
 from clicktrail.llm.tokens import bpe_encoder
+from clicktrail.sources import work
 
 SF = "/root/testdata/sf0.001"
 SF1 = "/root/testdata/sf0.01"
@@ -42,7 +43,7 @@ def totals(r):
 
 
 def test_rollup(spark):
-    r = rollup.TokenRollup(spark, shared.work_folder(spark, "t"))
+    r = rollup.TokenRollup(spark, work.work_folder(spark, "t"))
     rows = lambda *x: spark.createDataFrame(list(x), CHANGE).withColumn("batch_no", F.lit(9))
     assert totals(r) == {}
     assert r.apply("b1", rows((1, "insert", "a", "en", "v", 10, 0), (2, "insert", "a", "en", "v", 5, 0), (3, "insert", None, None, "v", None, 0), (3, "insert", None, None, "v2", 4, 0)))
@@ -57,7 +58,7 @@ def test_rollup(spark):
     assert r.apply("b3", rows((2, "delete", "a", "en", "v", 0, 0), (3, "delete", None, None, "v2", 0, 0)))
     want = {("b", "en", "v"): (1, 11), (None, None, "v"): (1, 0)}
     assert totals(r) == want
-    compacted = r.compact(shared.work_folder(spark, "t"))
+    compacted = r.compact(work.work_folder(spark, "t"))
     assert totals(compacted) == want
     assert compacted.apply("b4", rows((1, "revise", "b", "en", "v", 1, 0))) and totals(compacted)[("b", "en", "v")] == (1, 1)
     assert compacted.apply("b5", rows((1, "none", "b", "en", "v", 1, 0)))
@@ -127,7 +128,8 @@ def test_local_search(seed):
     sizes = [rng.choice([rng.randrange(1, 100), rng.randrange(1, 60), rng.randrange(30, 50)]) for _ in range(300)]
     bins = packing.pack_sizes(sizes, 100)
     fill = np.bincount(bins, weights=sizes)
-    assert fill.max() <= 100 and fill.min() > 0 and len(fill) <= -(-sum(sizes) // 100) + 1
+    plain = packing.pack_sizes(sizes, 100, passes=0)  # best fit alone
+    assert fill.max() <= 100 and fill.min() > 0 and len(fill) <= plain.max() + 1 and len(fill) <= -(-sum(sizes) // 100) * 1.02 + 1
 
 
 def test_local_search_exchanges():
@@ -141,7 +143,7 @@ def test_local_search_exchanges():
 # -- op4 and op8
 
 
-@pytest.mark.parametrize("name,label,least", [("op4_quality_classifier", "quality", 0.9), ("op8_toxicity", "toxic", 0.93)])
+@pytest.mark.parametrize("name,label,least", [("op4_quality_classifier", "quality", 0.9), ("op8_toxicity", "toxic", 0.94)])
 def test_classifier_on_held_out_rows(spark, name, label, least):
     rows = QUERIES[name](spark, SF1).join(spark.read.parquet(f"{SF1}/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(rows) > 50 and all(0 <= r.score <= 1 for r in rows)
@@ -272,10 +274,10 @@ def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    folder = shared.work_folder(spark, "t")
+    folder = work.work_folder(spark, "t")
     kept, ids = docs, []
     for name, stage in P.STAGES[:-1]:
-        kept = shared.stored(stage(spark, kept, SF), f"{folder}/{name}")
+        kept = work.stored(stage(spark, kept, SF), f"{folder}/{name}")
         assert kept.columns == docs.columns
         ids.append({r.doc_id: r.text for r in kept.select("doc_id", "text").collect()})
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0").join(docs, "doc_id").collect()

@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clicktrail.llm import decontam, graph, jaccard, pii, shared, suffix
+from clicktrail.llm import decontam, graph, jaccard, pii, suffix
 from clicktrail.llm.queries import QUERIES
+from clicktrail.sources import work
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +38,7 @@ def plain(spark, texts):
 
 def test_suffix_levels(spark, texts):
     docs = plain(spark, texts)
-    family = suffix.SuffixLevels(spark, shared.work_folder(spark, "t"), suffix.Suffixes(block_entries=300, group_entries=6, part_entries=4))
+    family = suffix.SuffixLevels(spark, work.work_folder(spark, "t"), suffix.Suffixes(block_entries=300, group_entries=6, part_entries=4))
     runs = None
     for lo, hi in ((0, 20), (20, 41), (41, 60), (60, 1000)):
         found = family.add(docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)), docs)
@@ -52,14 +53,14 @@ def test_suffix_levels(spark, texts):
 def test_suffix_repeated_rows_and_empty_table(spark, texts):
     docs = plain(spark, texts[:10])
     twice = docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("z" * 250)))
-    family = suffix.SuffixLevels(spark, shared.work_folder(spark, "t"))
+    family = suffix.SuffixLevels(spark, work.work_folder(spark, "t"))
     got = suffix.dedup_report(twice, family.add(twice, twice)).collect()
     want = brute.removed(list(enumerate(texts[:10])))
     assert len(got) == 21 and all(tuple(r)[1:] == want[r.doc_id] for r in got if r.doc_id is not None)
     null = next(r for r in got if r.doc_id is None)
     assert (null.n_bytes, null.n_removed, null.n_spans) == (250, 249, 1)
     none = docs.where("false")
-    family = suffix.SuffixLevels(spark, shared.work_folder(spark, "t"))
+    family = suffix.SuffixLevels(spark, work.work_folder(spark, "t"))
     assert suffix.dedup_report(none, family.add(none, none)).count() == 0
 
 
