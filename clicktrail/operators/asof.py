@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clicktrail.functions.keys import seconds_between
 from clicktrail.operators.joins import key_of
 
 
@@ -28,8 +29,7 @@ def asof_click_request(
     fits = (F.col("title") == F.col(title_col)) & (F.col("ts") <= F.col(click_ts_col))
     latest = F.max_by(F.struct("id", *fields), F.when(fits, F.struct(F.col("ts"), -F.col("id"))))
     out = rows.groupBy(*by).agg(latest.alias("click_request"), F.count(F.lit(1)).alias("n_requests"))
-    seconds = (F.unix_micros(F.col(click_ts_col)) - F.unix_micros(F.col("click_request.ts"))) / F.lit(1e6)
-    return out.withColumn("time_to_click", seconds.cast("double"))
+    return out.withColumn("time_to_click", seconds_between(F.col(click_ts_col), F.col("click_request.ts")))
 
 
 def assign_parents(

@@ -108,9 +108,14 @@ def build_forest(
     ambiguity: str = "reference",
     path: bool = False,
 ) -> DataFrame:
-    """T2 + T3: referer forest of each group (a session); needs ``page_key`` and ``referer_key`` columns."""
+    """T2 + T3: referer forest of each group (a session); needs ``page_key`` and ``referer_key`` columns.
+
+    The rows are written first, as finding parents reads them twice.
+    """
+    folder = work_folder(rows.sparkSession, "forest")
+    rows = stored(rows, f"{folder}/rows")
     with_parents = assign_parents(rows, group_cols, node=node, ts=ts, ambiguity=ambiguity)
-    return resolve(with_parents, group_cols, node=node, ts=ts, path=path)
+    return resolve(with_parents, group_cols, node=node, ts=ts, path=path, folder=folder)
 
 
 def click_tree(

@@ -57,8 +57,12 @@ def flat_trace_summary(traces: DataFrame) -> DataFrame:
 
 
 def numbered_trace_rows(log: DataFrame, redirects: DataFrame, **options) -> DataFrame:
-    """X1 + W6 as rows: every complete request with its trace and its position ``id`` in it."""
-    return SS.number_requests(R.trace_rows(log, redirects, **options), ["trace"], R.TRACE_ORDER)
+    """X1 + W6 as rows: every complete request with its trace and its position ``id`` in it.
+
+    The rows are written first: numbering reads them twice, the second time their keys alone.
+    """
+    rows = stored(R.trace_rows(log, redirects, **options), f"{work_folder(log.sparkSession, 'traces')}/rows")
+    return SS.number_requests(rows, ["trace"], R.TRACE_ORDER)
 
 
 CLICK_COLS = ("key", "trace", "survey_token", "click_dt_utc", "click_title")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clicktrail.operators import clicks as C
+from clicktrail.operators import requests as R
 from clicktrail.operators import survey as SV
 from clicktrail.plans import jobs as P
 from clicktrail.registry import register
@@ -64,12 +66,9 @@ FROM day_reqs
 )
 def build_traces(spark, sf_dir):
     """The requests of every client's day on a host, numbered in time order."""
-    from clicktrail.operators import requests as R
-    from clicktrail.operators.sessions import number_requests
-
     rows = R.trace_rows(T.request_log(spark, sf_dir), T.redirects(spark, sf_dir))
-    rows = number_requests(rows, ["trace", "host", "year", "month", "day"], R.TRACE_ORDER)
-    return rows.select(
+    in_day = Window.partitionBy("trace", "host", "year", "month", "day").orderBy(*R.TRACE_ORDER)
+    return rows.withColumn("id", F.row_number().over(in_day) - 1).select(
         "ip", "ua", "host", "year", "month", "day", F.col("geocoded_data")["timezone"].alias("timezone"), "id",
         F.unix_micros("ts").alias("ts_us"), "title", "referer",
     )
