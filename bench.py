@@ -24,6 +24,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from clicktrail.registry import SPARK_QUERIES, load_all  # noqa: E402
 from clicktrail.session import get_spark  # noqa: E402
+from clicktrail.sources.work import sweep  # noqa: E402
 
 HEADLINE = ["sessionize", "build_forest", "tree_metrics", "build_traces", "asof_click_request", "proportions"]
 
@@ -45,6 +46,7 @@ def main() -> None:
         t0 = time.time()
         SPARK_QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        sweep(spark)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(

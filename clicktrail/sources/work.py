@@ -13,10 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clicktrail.session import ensure_checkpoint_dir
 
+_MADE: list[str] = []
+
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new, unused folder name under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused folder name under the shared checkpoint folder; ``sweep`` removes it."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the working tables made so far: call it when no result that reads them is needed any more."""
+    while _MADE:
+        drop(spark, _MADE.pop())
 
 
 def _file_system(spark: SparkSession, path: str):

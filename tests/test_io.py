@@ -81,6 +81,15 @@ def test_text_trace_table_roundtrip(spark, tmp_path):
     assert back.ip == "ip" and back.geo_data == {"tz": "UTC"} and back.requests[0].ts == T0
 
 
+def test_working_tables_are_swept(spark):
+    from clicktrail.sources import work
+
+    folder = work.work_folder(spark, "t")
+    assert work.stored(spark.range(3), f"{folder}/x").count() == 3 and work.children(spark, folder) == ["x"]
+    work.sweep(spark)
+    assert not work.exists(spark, folder)
+
+
 def test_day_range(spark):
     days = [r.day for r in IO.day_range(spark, "2016-02-28", "2016-03-01").collect()]
     assert [d.isoformat() for d in days] == ["2016-02-28", "2016-02-29", "2016-03-01"]

@@ -98,3 +98,39 @@ def test_bootstrap_interval_brackets_mean(spark):
     out = {r.g: r for r in ST.group_mean_ci(df, ["g"], "y", "id", boot=200).collect()}
     for r in out.values():
         assert r.ci_lower < r.mean < r.ci_upper and r.n == 200
+
+
+def test_quantiles_by_narrowing_ranges(spark, monkeypatch):
+    """With few values ranked at a time the ranges are narrowed over several rounds; results stay exact."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    groups = {
+        "wide": [rng.gauss(0, 1) ** 3 for _ in range(400)],
+        "ties": [float(rng.randrange(6)) for _ in range(300)],
+        "gap": [rng.random() for _ in range(50)] + [1e9 + rng.random() for _ in range(50)],
+        "one": [7.0],
+        None: [1.0, 2.0],
+    }
+    data = [(g, v) for g, vs in groups.items() for v in vs] + [("ties", None), ("empty", None)]
+    df = spark.createDataFrame(data, "g string, y double")
+    monkeypatch.setattr(ST, "QUANTILE_ROWS", 7)
+    monkeypatch.setattr(ST, "QUANTILE_PARTS", 5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: list(r)[1:] for r in ST.exact_quantiles(df, ["g"], "y", probs, [f"q{i}" for i in range(5)]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(vs, probs)))
+    box = {r.g: r for r in ST.box_summary(df, ["g"], "y").collect()}
+    q1, q3 = np.quantile(groups["wide"], [0.25, 0.75])
+    inside = [v for v in groups["wide"] if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
+    assert (box["wide"].whisker_low, box["wide"].whisker_high) == (min(inside), max(inside))
+
+
+def test_expansion_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ST, "EXPAND_BLOCK", 3)
+    props = spark.createDataFrame([("a", "h", 4), ("b", "h", 7), ("a", "k", 1)], "x string, hue string, count long")
+    got = ST.expand_bernoulli(props, "x", "hue").groupBy("x", "hue").agg(F.sum("in_data").alias("ones"), F.count("*").alias("n")).collect()
+    assert sorted((r.x, r.hue, r.ones, r.n) for r in got) == [("a", "h", 4, 11), ("a", "k", 1, 1), ("b", "h", 7, 11)]
