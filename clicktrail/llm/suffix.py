@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.llm.preselect import texts_of
 from clicktrail.sources.work import drop, stored
-from clicktrail.llm.textops import chunks, mix, prefix_hash, slice_hash
+from clicktrail.llm.textops import CHUNK_BYTES, chunks, mix, prefix_hash, slice_hash
 
 LENGTH = 100
 GRAM = 32
@@ -137,7 +137,7 @@ def _sample_suffixes(batches, age: int, how: Suffixes):
         keep = ~itself
         return _entry_batch(kind[keep], fp[keep], blk[keep], np.full(int(keep.sum()), age), doc[keep], lo[keep], m[keep])
 
-    for batch, texts in chunks(batches):
+    for batch, texts in chunks(batches, CHUNK_BYTES // 2):
         doc, lo, m, fp, blk = stretches(texts)
         ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
         held.append((ids[doc], lo, m, fp, blk))
@@ -218,24 +218,28 @@ def _compare_strings(batches, age: int):
     table = pa.Table.from_batches(list(batches), schema=pa.schema([*_CUT_TYPES.items(), ("bytes", pa.binary())]))
     if not table.num_rows:
         return
-    fp, part, parts, ages, doc, lo, m = (table.column(c).to_numpy().astype(np.int64) for c in _CUT_TYPES)
-    hashes, owner, offset = [], [], []
-    data = table.column("bytes").to_pylist()
-    for a in range(0, len(data), 5000):
-        some = data[a : a + 5000]
+    # by age, document and place: stretches of a document do not overlap, so their strings come in this order too
+    table = table.sort_by([("age", "ascending"), ("doc", "ascending"), ("lo", "ascending")])
+    parts, ages, doc, lo, m = (table.column(c).to_numpy() for c in ("parts", "age", "doc", "lo", "m"))
+    owner = np.repeat(np.arange(len(m), dtype=np.int32), m)
+    first = np.repeat((np.cumsum(m) - m).astype(np.int32), m)
+    offset = np.arange(len(owner), dtype=np.int32) - first
+    del first
+    string = np.empty(len(owner), np.uint64)
+    filled = 0
+    for batch in table.select(["bytes"]).to_batches(max_chunksize=4000):
+        some = batch.column("bytes").to_pylist()
         h = prefix_hash(np.frombuffer(b"".join(some), np.uint8))
-        begin = np.concatenate([[0], np.cumsum([len(x) for x in some])])[:-1]
-        n = m[a : a + 5000]
-        row = np.repeat(np.arange(len(some)), n)
-        off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        at = begin[row] + off
-        hashes.append(slice_hash(h, at, at + LENGTH))
-        owner.append(row + a)
-        offset.append(off)
-    string, owner = np.concatenate(hashes), np.concatenate(owner)
-    start = lo[owner] + np.concatenate(offset)
-    order = np.lexsort((start, doc[owner], ages[owner], string))
-    string, owner, start = string[order], owner[order], start[order]
+        size = np.fromiter(map(len, some), np.int64, len(some))
+        n = size - LENGTH + 1
+        row = np.repeat(np.cumsum(size) - size, n)
+        at = row + offset[filled : filled + len(row)]
+        string[filled : filled + len(row)] = slice_hash(h, at, at + LENGTH)
+        filled += len(row)
+    order = np.argsort(string, kind="stable").astype(np.int32)
+    string, owner = string[order], owner[order]
+    start = lo[owner] + offset[order]
+    del order, offset
     d, g = doc[owner], ages[owner]
     same = np.concatenate([[False], string[1:] == string[:-1]])
     lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(string))))
@@ -314,7 +318,10 @@ class SuffixLevels:
         how = self.how
         shared = scanned.where(f"kind in ({SHARED}, {CONTEXT})")
         large = shared.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > how.group_entries)
-        sized = large.select(F.col("fp").alias("l_fp"), F.ceil(F.col("n") / how.part_entries).cast("int").alias("l_parts"))
+        # written by itself: the join below can then be split where a gram is hot
+        sized = stored(
+            large.select(F.col("fp").alias("l_fp"), F.ceil(F.col("n") / how.part_entries).cast("int").alias("l_parts")), f"{self.folder}/large-{age}"
+        )
         dealt = shared.join(sized, F.col("fp") == F.col("l_fp"), "left").withColumn("parts", F.coalesce("l_parts", F.lit(1)))
         wish = F.struct("fp", F.pmod("blk", F.col("parts").cast("long")).cast("int").alias("part"), "parts", "age", "lo", "m")
         wanted = dealt.groupBy("doc").agg(F.collect_list(wish).alias("wanted"))
