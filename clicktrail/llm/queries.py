@@ -121,7 +121,8 @@ def token_counts(spark, sf_dir):
     rolled = rollup.TokenRollup(spark, f"{folder}/rollup")
     load = changes(counted, "insert", "byte_bpe_50k", "byte_bpe_50k").unionByName(changes(counted, "insert", "words", "space_pieces"))
     exact = changes(counted.where("words != space_pieces"), "revise", "words", "words")
-    firsts = counted.groupBy("text_hash").agg(F.min("doc_id").alias("first"))
+    firsts = counted.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = work.stored(firsts, f"{folder}/firsts")  # by itself, so that the join can be split where a text is hot
     copies = counted.join(firsts, "text_hash").where("doc_id != first")
     dropped = changes(copies, "delete", "byte_bpe_50k", "byte_bpe_50k").unionByName(changes(copies, "delete", "words", "words"))
     for batch, rows in (("1-load", load), ("2-exact-words", exact), ("3-copies", dropped), ("2-exact-words", exact)):
