@@ -27,12 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _words(pattern: str) -> str:
+    """DuckDB: the words of ``text`` after lower-casing A-Z."""
+    return f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
-@query("op9_benchmark_decontamination")
+@query(
+    "op9_benchmark_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, {_words("[0-9a-z\\x{80}-\\x{10FFFF}]+")} AS w FROM documents),
+    b AS (SELECT cast(item_id AS VARCHAR) AS item, {_words("[0-9a-z\\x{80}-\\x{10FFFF}]+")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    sized AS (SELECT *, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM sized, range(1, len(w) - n + 2) r(i)),
+    dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+           FROM d, (SELECT DISTINCT n FROM bw), range(1, len(w) - n + 2) r(i) WHERE len(w) >= n),
+    hits AS (SELECT DISTINCT doc_id, i, n, item FROM dw JOIN bw USING (n, win)),
+    covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY ALL),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+              FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY ALL)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
 def benchmark_decontamination(spark, sf_dir):
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontam.judged(found).select(
@@ -130,12 +152,44 @@ def token_counts(spark, sf_dir):
     return rolled.totals()
 
 
-@query("op5_ngram_jaccard_join")
+@query(
+    "op5_ngram_jaccard_join",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_words("[^ \\x09-\\x0D]+")} AS w FROM documents),
+    sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS s
+             FROM d, range(1, greatest(len(w) - 3, 1) + 1) r(i) WHERE len(w) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY ALL),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id
+              JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+              GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id
+    FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+    """,
+)
 def ngram_jaccard_join(spark, sf_dir):
     return jaccard.similar_components(table(spark, sf_dir, "documents"), jaccard.Jaccard(words=4, percent=85))
 
 
-@query("op2_suffix_array_dedup")
+@query(
+    "op2_suffix_array_dedup",
+    """
+    WITH t AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+    strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM t, range(0, n - 99) r(i) WHERE n >= 100),
+    later AS (SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+    marked AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM later),
+    numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+    spans AS (SELECT doc_id, g, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY ALL),
+    gaps AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans),
+    cut AS (SELECT doc_id, cast(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+                   string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept
+            FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+    FROM t LEFT JOIN cut USING (doc_id)
+    """,
+)
 def suffix_array_dedup(spark, sf_dir):
     """The table in three batches by doc_id, a sixteenth, a sixteenth and the rest: the first two become one level before the third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
