@@ -102,7 +102,8 @@ def chat_formatting(spark, sf_dir):
 @query("op7_personal_data")
 def personal_data(spark, sf_dir):
     found = pii.find_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    of_kind = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.as_text("base"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
 
 
