@@ -1,5 +1,3 @@
-import datetime as dt
-
 from clicktrail.sources import tables as T
 from clicktrail.streaming.daily import start_daily_traces
 
