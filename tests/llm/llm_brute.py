@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-import unicodedata  # noqa: F401  (names in failures)
 import zlib
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
