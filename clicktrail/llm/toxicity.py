@@ -9,8 +9,10 @@ change of the score between the two is penalised, so that weight on the mere
 mention of a group is driven out.
 
 Fitting takes a bounded sample of the labelled training rows (``per_class``
-rows of each label, chosen by a hash of doc_id); only hashed features of the
-sample reach the driver. Scoring reads every whole text once.
+rows of each label, chosen by a hash of doc_id), in which a row counts as often
+as its label has rows in the table for each one taken, so that the scores do not
+follow the sample's share of toxic rows; only hashed features of the sample
+reach the driver. Scoring reads every whole text once.
 
 Defined cases: null or empty texts score as the intercept; null labels are not
 learnt from, a repeated label counts as its largest; without rows of both
@@ -82,6 +84,7 @@ def _sample_features(batches, groups):
         yield pa.RecordBatch.from_pydict(
             {
                 "label": batch.column("label"),
+                "weight": batch.column("weight"),
                 "slots": pa.array([_distinct(t) for t in texts], pa.list_(pa.int32())),
                 "swapped": pa.array([None if o is None else _distinct(o.encode()) for o in other], pa.list_(pa.int32())),
             }
@@ -89,13 +92,18 @@ def _sample_features(batches, groups):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int) -> DataFrame:
-    """``doc_id, text, label`` of at most ``per_class`` labelled training documents of each label, by a hash of doc_id."""
+    """``doc_id, text, label, weight`` of at most ``per_class`` labelled training documents of each label, by a hash of doc_id.
+
+    ``weight`` is the number of labelled training rows that a row of its label stands for: 1 while the label is taken whole.
+    """
     rows = labels.where(training & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    totals = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     some = None
     for value in (0, 1):
         part = rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(per_class)
+        part = part.withColumn("weight", F.lit(max(1.0, totals.get(value, 0) / per_class)))
         some = part if some is None else some.unionByName(part)
-    # the sample has at most 2 * per_class rows of two numbers: a fixed bound for the broadcast
+    # the sample has at most 2 * per_class rows of three numbers: a fixed bound for the broadcast
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
 
 
@@ -108,8 +116,8 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, per_class: int = PER_CLASS, penalty: float = PENALTY, groups=IDENTITY) -> ToxicityModel:
     """Learns from labelled rows of ``training`` (a condition on ``labels``' rows; all when None)."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if training is None else training, per_class)
-    rows = sample.mapInArrow(lambda it: _sample_features(it, groups), "label int, slots array<int>, swapped array<int>").toArrow()
-    y = rows.column("label").to_numpy()
+    rows = sample.mapInArrow(lambda it: _sample_features(it, groups), "label int, weight double, slots array<int>, swapped array<int>").toArrow()
+    y, weight = rows.column("label").to_numpy(), rows.column("weight").to_numpy()
     weights = np.zeros(1 << BITS, np.float32)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
@@ -122,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
     neg = np.bincount(flat[y[owner] == 0], minlength=1 << BITS)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     # the slots whose presence tells the most about the label: standardised difference of shares
-    share = (pos + neg) / len(y)
+    share = np.bincount(flat, weights=weight[owner], minlength=1 << BITS) / weight.sum()
     strength = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
     strength[(pos + neg) < 3] = 0
     chosen = np.argsort(-np.abs(strength), kind="stable")[:SLOTS]
@@ -143,8 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
     if len(named):
         lists = [np.asarray(other[int(i)].as_py(), np.int64) for i in named]
         moved = matrix(np.repeat(np.arange(len(named)), list(map(len, lists))), np.concatenate(lists), len(named))
-        pairs = x[named] - moved
-    w, b = fit_logistic(x, y, l2=0.03, pairs=pairs, penalty=penalty, steps=1000)
+        # scaled so that the mean of their squares is the weighted one
+        pairs = (x[named] - moved) * np.sqrt(weight[named] / weight[named].mean()).astype(np.float32)[:, None]
+    w, b = fit_logistic(x, y, weight, l2=0.03, pairs=pairs, penalty=penalty, steps=1000)
     weights[chosen] = w
     return ToxicityModel(weights, float(b))
 

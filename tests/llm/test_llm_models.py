@@ -164,6 +164,20 @@ def test_classifiers_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 10
 
 
+def test_toxicity_cap_keeps_the_labels_shares(spark):
+    """Where the sample holds as many toxic as clean rows, a neutral text still scores by the table's tenth of toxic rows."""
+    rng = random.Random(4)
+    filler = [f"w{i}" for i in range(30)]
+    toxic = [int(i % 10 == 0) for i in range(1200)]
+    texts = [" ".join(rng.choices(filler, k=10) + (["scum"] if rng.random() < (0.6 if y else 0.02) else [])) for y in toxic]
+    docs = brute.documents(spark, texts)
+    marks = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    whole, capped = (toxicity.score(docs, toxicity.fit(docs, marks, per_class=n)).agg(F.avg("score")).first()[0] for n in (4000, 100))
+    assert abs(whole - 0.1) < 0.01 and abs(capped - whole) < 0.05
+    sample = toxicity.labelled_sample(docs, marks, "toxic", F.lit(True), 100).groupBy("label").agg(F.count("*"), F.round(F.sum("weight"), 6)).collect()
+    assert {tuple(r) for r in sample} == {(0, 100, 1080.0), (1, 100, 120.0)}
+
+
 def test_counterfactual_penalty_spares_identity_terms(spark):
     """Group names that stand mostly in toxic sentences must not make a neutral mention toxic."""
     rng = random.Random(2)
