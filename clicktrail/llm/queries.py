@@ -137,7 +137,10 @@ def nearest_neighbours(spark, sf_dir):
 
 @query("op1_token_counts")
 def token_counts(spark, sf_dir):
-    """All documents are loaded with a quick estimate; then exact counts revise it, and later copies of a text are deleted."""
+    """All documents are loaded with a quick estimate; exact counts revise it; later copies of a text are deleted and put back.
+
+    The totals are those of every document.
+    """
     folder = work.work_folder(spark, "token-rollup")
     counted = work.stored(rollup.count_tokens(table(spark, sf_dir, "documents")), f"{folder}/counted")
     changes = lambda rows, op, version, n: rows.select("doc_id", F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), F.col(n).alias("n_tokens"), F.lit(0).alias("seq"))
@@ -146,9 +149,10 @@ def token_counts(spark, sf_dir):
     exact = changes(counted.where("words != space_pieces"), "revise", "words", "words")
     firsts = counted.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = work.stored(firsts, f"{folder}/firsts")  # by itself, so that the join can be split where a text is hot
-    copies = counted.join(firsts, "text_hash").where("doc_id != first")
-    dropped = changes(copies, "delete", "byte_bpe_50k", "byte_bpe_50k").unionByName(changes(copies, "delete", "words", "words"))
-    for batch, rows in (("1-load", load), ("2-exact-words", exact), ("3-copies", dropped), ("2-exact-words", exact)):
+    copies = work.stored(counted.join(firsts, "text_hash").where("doc_id != first"), f"{folder}/copies")
+    moved = lambda op: changes(copies, op, "byte_bpe_50k", "byte_bpe_50k").unionByName(changes(copies, op, "words", "words"))
+    batches = (("1-load", load), ("2-exact-words", exact), ("3-copies", moved("delete")), ("4-copies-again", moved("insert")), ("2-exact-words", exact))
+    for batch, rows in batches:
         rolled.apply(batch, rows)  # the last one is a replay and changes nothing
     return rolled.totals()
 

@@ -79,6 +79,17 @@ def test_rollup_query(spark):
     assert {tuple(r)[:3]: tuple(r)[3:] for r in QUERIES["op1_token_counts"](spark, SF).collect()} == want
 
 
+def test_rollup_query_counts_every_document(spark):
+    """Copies of a text count too: sf0.001 has 200 documents with 189 texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = {}
+    for d, ids in zip(docs, reference_ids([d.text or "" for d in docs])):
+        for version, n in (("byte_bpe_50k", len(ids)), ("words", len((d.text or "").split()))):
+            n0, t0 = want.get((d.source, d.lang, version), (0, 0))
+            want[d.source, d.lang, version] = (n0 + 1, t0 + n)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in QUERIES["op1_token_counts"](spark, SF).collect()} == want
+
+
 # -- op3
 
 
