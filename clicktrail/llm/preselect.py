@@ -17,9 +17,9 @@ _MASK = (1 << BITS) - 1
 
 
 def bitmap_of(ids: DataFrame) -> np.ndarray:
-    """Packed bits of the column ``doc_id``, set by partial aggregation."""
+    """Packed bits of the column ``doc_id``, set by partial aggregation; null ids have none, as their rows always pass."""
     bit = F.expr(f"((doc_id ^ shiftright(doc_id, {BITS})) & {_MASK}) + 1")
-    parts = ids.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("k"))
+    parts = ids.where("doc_id is not null").select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("k"))
     out = np.zeros(1 << BITS, bool)
     for r in parts.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect():
         part = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")

@@ -113,6 +113,14 @@ def test_jaccard_empty_null_and_repeated(spark):
     assert jaccard.similar_components(docs.where("false")).count() == 0
 
 
+def test_jaccard_near_copy_under_a_null_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    docs = brute.documents(spark, [" ".join(words), "unlike " * 9]).unionByName(spark.createDataFrame([(None, near, "en", "s0", 1)], brute.DOCS))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(docs, jaccard.Jaccard(words=4, percent=85)).collect()}
+    assert got == {0: (57, 0), 1: (1, 1), None: (57, 0)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (101, 100), (7, 7), (60, 61), (60, 61)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
