@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clicktrail.llm import ann, chat, decontam, jaccard, packing, pii, quality, rollup, suffix, toxicity
+from clicktrail.llm import ann, chat, decontam, jaccard, manifest, packing, pii, quality, rollup, suffix, toxicity
 from clicktrail.sources import work
 
 QUERIES = {}
@@ -209,6 +209,64 @@ def suffix_array_dedup(spark, sf_dir):
     return suffix.dedup_report(docs, runs)
 
 
+def _manifest_sql(levels: int = 5, source_levels: int = 4) -> str:
+    """DuckDB: leaves in windows, one aggregate a level (16^5 leaves a source, 16^4 sources), paths by left joins."""
+
+    def grow(t: str, count: int) -> str:
+        return ",\n".join(
+            f"""{t}r{j} AS (SELECT k, n, i // 16 AS node, sha256(string_agg(h, '' ORDER BY i)) AS h, list(h ORDER BY i) AS hs FROM {t}n{j} WHERE n > 1 GROUP BY ALL),
+    {t}n{j + 1} AS (SELECT k, (n + 15) // 16 AS n, node AS i, h FROM {t}r{j})"""
+            for j in range(count)
+        )
+
+    def tops(t: str, count: int) -> str:
+        return " UNION ALL ".join(f"SELECT k, h FROM {t}n{j} WHERE n = 1" for j in range(count + 1))
+
+    def climb(t: str, begin: str, place: str, tree: str, count: int) -> str:
+        steps = []
+        for j in range(count):
+            hs, at = f"{t}r{j}.hs", f"(b.{place} // {16**j}) % 16"
+            before, after = f"array_to_string({hs}[1:{at}], '')", f"array_to_string({hs}[{at} + 2:], '')"
+            steps.append(
+                f"""{t}u{j + 1} AS (SELECT b.* REPLACE (CASE WHEN {hs} IS NULL THEN b.x ELSE sha256({before} || b.x || {after}) END AS x,
+             b.proof || coalesce({before} || {after}, '') AS proof)
+           FROM {begin if j == 0 else f"{t}u{j}"} b LEFT JOIN {t}r{j} ON {t}r{j}.k = b.{tree} AND {t}r{j}.node = b.{place} // {16 ** (j + 1)})"""
+            )
+        return ",\n".join(steps)
+
+    fields = lambda text: " || ".join(
+        f"coalesce(strlen(cast({c} AS VARCHAR)) || ':' || cast({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)
+    )
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ids = "cast(doc_id AS VARCHAR)"
+    # DuckDB has no crc32: bit by bit over the decimal digits, reflected polynomial 0xEDB88320
+    crc = f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({ids}, ''), lambda d: ascii(d)::BIGINT), lambda c, d: list_reduce([xor(c, d)] || range(8), lambda r, b: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END)), 4294967295::BIGINT)"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS k, sha256({fields("text")}) AS leaf,
+                      CASE WHEN doc_id IS NOT NULL AND text IS NOT NULL AND {crc} % 5 = 0 THEN sha256({fields(low)}) END AS altered FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+    an0 AS (SELECT k, n, i, leaf AS h FROM placed),
+    {grow("a", levels)},
+    subs AS (SELECT k AS source_key, h, row_number() OVER (ORDER BY encode(k)) - 1 AS j, count(*) OVER () AS n FROM ({tops("a", levels)})),
+    bn0 AS (SELECT '' AS k, n, j AS i, h FROM subs),
+    {grow("b", source_levels)},
+    root AS ({tops("b", source_levels)}),
+    start AS (SELECT p.doc_id, p.k, p.leaf, p.i, s.j, s.h AS subroot, '' AS top, coalesce(p.altered, p.leaf) AS x, '' AS proof FROM placed p JOIN subs s ON s.source_key = p.k),
+    {climb("a", "start", "i", "k", levels)},
+    {climb("b", f"au{levels}", "j", "top", source_levels)}
+    SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = root.h AS verified
+    FROM bu{source_levels}, root
+    """
+
+
+@query("op12_merkle_manifest", _manifest_sql())
+def merkle_manifest(spark, sf_dir):
+    proved = manifest.manifest(table(spark, sf_dir, "documents"), remainder(5) == 0, manifest.lowered())
+    folded = manifest.folded(F.coalesce("altered", "leaf"), F.col("path"))
+    shown = proved.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
