@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clicktrail.llm import ann, chat, decontam, jaccard, manifest, packing, pii, quality, rollup, suffix, toxicity
+from clicktrail.llm import ann, chat, decontam, jaccard, manifest, packing, pii, quality, rollup, suffix, toxicity, windows
 from clicktrail.sources import work
 
 QUERIES = {}
@@ -267,6 +267,11 @@ def merkle_manifest(spark, sf_dir):
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query("op13_ordered_packing")
+def ordered_packing(spark, sf_dir):
+    return windows.pack_in_order(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
