@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clicktrail.llm import ann, chat, decontam, jaccard, manifest, packing, pii, quality, rollup, suffix, toxicity, windows
+from clicktrail.llm import ann, audit, chat, decontam, jaccard, manifest, packing, pii, quality, rollup, suffix, toxicity, windows
 from clicktrail.sources import work
 
 QUERIES = {}
@@ -272,6 +272,36 @@ def ordered_packing(spark, sf_dir):
     return windows.pack_in_order(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op11_filter_audit",
+    """
+    WITH marked AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS w FROM documents),
+    m AS (SELECT part, doc_id, ((len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+             + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT)::INT AS mask FROM d),
+    cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (coalesce(good, false)) AS good, count(*) FILTER (coalesce(bad, false)) AS bad
+              FROM m LEFT JOIN marked USING (doc_id) GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (SELECT a.x || b.x || c.x || e.x || f.x AS filter_order FROM letters a, letters b, letters c, letters e, letters f
+               WHERE len(list_distinct([a.x, b.x, c.x, e.x, f.x])) = 5),
+    steps AS (SELECT filter_order, step::INT AS step, (1 << (instr('ABCDE', filter_order[step]) - 1))::INT AS own,
+                     list_sum([0] || [1 << (instr('ABCDE', filter_order[j]) - 1) FOR j IN range(1, step)])::INT AS earlier FROM orders, range(1, 6) r(step))
+    SELECT part, filter_order, step,
+           coalesce(sum(n) FILTER (mask & (own | earlier) = 0), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (mask & own > 0 AND mask & earlier > 0), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+           coalesce(sum(good) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
+           coalesce(sum(bad) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost,
+           coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & own > 0), 0)::BIGINT AS shapley
+    FROM cells, steps GROUP BY part, filter_order, step
+    """,
+)
+def filter_audit(spark, sf_dir):
+    return audit.report(audit.stream_counts(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels")))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
