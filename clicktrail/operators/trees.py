@@ -4,11 +4,12 @@ A forest is an edge table, one row per request: ``node`` (request id, unique
 within its group - a session) and ``parent`` (NULL for a root). A tree is
 identified by (group columns, root). Everything that depends on more than a
 node's own edge - its root and depth, the size and height of its subtree, its
-run of equal timestamps - is found by pointer doubling: in round k every node
-knows its 2^k-th ancestor, what lies between, and what lies less than 2^k
-below it. A round is two plain equi-joins and one aggregate on (group, node);
-depth d needs ceil(log2(d + 1)) rounds, whatever the size of a session or
-tree, and no list of nodes is ever built (``path`` is, when asked for).
+run of equal timestamps - is found in two levels. A group is cut into blocks of
+hours that hold about ``BLOCK_ROWS`` rows together; a usual session is one block. Inside a
+block parents are followed within a task (``blocks``); only where a tree enters
+a block from another one is its top carried on, by pointer doubling over those
+tops alone: two plain equi-joins and one aggregate a round, and as many rounds as the logarithm of
+the blocks on a path. No list of nodes is built (``path`` is, when asked for).
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from clicktrail.operators import blocks
 from clicktrail.operators.asof import assign_parents
 from clicktrail.operators.joins import key_of, null_safe_join
 from clicktrail.sources.work import stored, work_folder
 
-MAX_ROUNDS = 64  # more would need a path of 2^64 nodes: the edges hold a cycle
+BLOCK_ROWS = 10_000
 
 
 def resolve(
@@ -34,70 +37,127 @@ def resolve(
     parent_ts: str = "parent_ts",
     path: bool = False,
     folder: str | None = None,
+    rows: DataFrame | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Adds ``root``, ``depth``, ``n_children``, ``subtree`` (nodes, itself included), ``height`` and ``tie_level``.
 
     ``tie_level`` counts the unbroken run of ancestors with the node's own
     timestamp. ``path=True`` also adds the node ids from the root down to the
-    node, whose total length is quadratic in the depth of a chain.
+    node, whose total length is quadratic in the depth of a chain. ``rows``: a
+    written table with the groups and times of ``edges``, if there is one.
     """
     folder = folder or work_folder(edges.sparkSession, "forest")
-    edges = stored(edges.withColumn("_g", key_of(list(group_cols)) if group_cols else F.lit(0)), f"{folder}/edges")
+    if rows is None:
+        edges = rows = stored(edges, f"{folder}/edges")
+    group = key_of(list(group_cols)) if group_cols else F.struct(F.lit(0).alias("k0"))
+    hour = F.coalesce(F.floor(F.unix_micros(F.col(ts)) / F.lit(3_600_000_000)).cast("bigint"), F.lit(-(1 << 62)))
+    cut = _cut_groups(rows.select(group.alias("_g"), hour.alias("_hour")), block_rows)
+    several = not cut.isEmpty()
     up = F.col(parent).cast("bigint")
-    linked = up.isNotNull()
-    tie = linked & (F.col(ts) == F.col(parent_ts))
-    state = edges.select(
+    keyed = edges.withColumns(
+        {
+            "_g": group,
+            "_n": F.col(node).cast("bigint"),
+            "_p": up,
+            "_tie": up.isNotNull() & F.coalesce(F.col(ts) == F.col(parent_ts), F.lit(False)),
+        }
+    )
+    if several:
+        keyed = keyed.withColumn("_hour", hour).join(cut, ["_g", "_hour"], "left").drop("_hour")
+    else:
+        keyed = keyed.withColumn("_b", F.lit(None).cast("bigint"))
+    found = stored(_inside(keyed, path), f"{folder}/inside")
+    if several:
+        found = found.where("_b is null").unionByName(_across(found.where("_b is not null"), path, folder))
+    if path:
+        lost = F.when(F.col("_out"), F.array("root")).otherwise(F.array().cast("array<bigint>"))  # a parent that is not among the rows
+        found = found.withColumn("path", F.concat(lost, F.col("above"))).drop("above")
+    return found.drop("_g", "_b", "_n", "_p", "_tie", "_top", "_out")
+
+
+def _cut_groups(times: DataFrame, block_rows: int) -> DataFrame:
+    """``_g, _hour, _b``: the hours of the groups of more than ``block_rows`` rows, in blocks of about as many rows."""
+    in_group = Window.partitionBy("_g")
+    earlier = in_group.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = times.groupBy("_g", "_hour").agg(F.count(F.lit(1)).alias("_m"))
+    hours = hours.select("_g", "_hour", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"), F.sum("_m").over(in_group).alias("_all"))
+    return hours.where(F.col("_all") > block_rows).select("_g", "_hour", F.expr(f"_before div {block_rows}").alias("_b"))
+
+
+def _inside(keyed: DataFrame, path: bool) -> DataFrame:
+    """Every block by itself: see ``blocks.solve``."""
+    extra = blocks.FOUND + (", above array<bigint>" if path else "")
+    schema = T.StructType([f for f in keyed.schema if f.name not in blocks.WEIGHTS] + list(T.StructType.fromDDL(extra)))
+    return keyed.repartition("_g", "_b").sortWithinPartitions("_g", "_b", "_n").mapInArrow(lambda it: blocks.solve(it, path), schema)
+
+
+def _across(found: DataFrame, path: bool, folder: str) -> DataFrame:
+    """Joins the blocks of groups that have several.
+
+    Where a tree enters a block its top there has a parent in another one. Only
+    these tops take part in the doubling, whose rounds are the logarithm of the
+    number of blocks on a path; then what hangs below each row in other blocks
+    is known, and the blocks are solved once more with it.
+    """
+    names = [c.split()[0] for c in blocks.FOUND.split(", ")] + ["above"] * path
+    tops = found.where("_out and _n = _top").select("_g", F.col("_n").alias("t"), F.col("_p").alias("p"), F.col("subtree").alias("total"), "height")
+    at = found.select(
+        "_g", F.col("_n").alias("p"), F.col("_top").alias("p_top"), F.col("_out").alias("p_out"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"),
+        *([F.col("above")] if path else []),
+    )
+    state = tops.join(at, ["_g", "p"], "left").select(
         "_g",
-        F.col(node).cast("bigint").alias("n"),
-        up.alias("p"),
-        F.coalesce(up, F.col(node).cast("bigint")).alias("root"),
-        linked.cast("int").alias("depth"),
-        F.lit(0).cast("bigint").alias("n_children"),
-        F.lit(1).cast("bigint").alias("subtree"),
-        F.lit(0).alias("height"),
-        tie.cast("int").alias("tie_level"),
-        tie.alias("all_tied"),
-        *([F.when(linked, F.array(up)).otherwise(F.array().cast("array<bigint>")).alias("above")] if path else []),
+        "t",
+        "p",
+        F.when(F.col("p_out"), F.col("p_top")).alias("up"),
+        F.when(F.col("p_out"), F.lit(None)).otherwise(F.coalesce("p_root", "p")).cast("bigint").alias("root"),
+        # to the top of the parent's tree in its block (whose own step outside is counted already), else to the root
+        F.coalesce(F.when(F.col("p_out"), F.col("p_depth")).otherwise(F.col("p_depth") + 1), F.lit(1)).alias("depth"),
+        "total",
+        "height",
+        *([F.coalesce("above", F.array("p")).alias("above")] if path else []),
     )
-    for k in range(MAX_ROUNDS):
-        far = state.where("p is not null")
-        if k and far.isEmpty():
+    k, longest = 0, 0
+    while True:
+        state = stored(state, f"{folder}/across{k}")
+        if k == 0:
+            longest = state.count().bit_length() + 1  # rounds that a path through all tops would take
+        if k > longest:
+            raise RuntimeError("parent pointers did not converge: the edge table has a cycle")
+        far = state.where("up is not null")
+        if far.isEmpty():
             break
-        below = far.groupBy("_g", F.col("p").alias("n")).agg(
-            F.count(F.lit(1)).alias("b_n"), F.sum("subtree").alias("b_subtree"), F.max("height").alias("b_height")
-        )
-        top = state.select(
-            "_g",
-            F.col("n").alias("p"),
-            F.col("p").alias("t_p"),
-            *[F.col(c).alias(f"t_{c}") for c in ("root", "depth", "tie_level", "all_tied", *(["above"] if path else []))],
-        )
-        has = F.col("t_depth").isNotNull()
+        below = far.groupBy("_g", F.col("up").alias("t")).agg(F.sum("total").alias("b_total"), F.max(F.col("height") + F.col("depth")).alias("b_height"))
+        top = state.select("_g", F.col("t").alias("up"), F.col("up").alias("t_up"), F.col("root").alias("t_root"), F.col("depth").alias("t_depth"), *([F.col("above").alias("t_above")] if path else []))
         state = (
-            state.join(below, ["_g", "n"], "left")
-            .join(top, ["_g", "p"], "left")
+            state.join(below, ["_g", "t"], "left")
+            .join(top, ["_g", "up"], "left")
             .select(
                 "_g",
-                "n",
-                F.col("t_p").alias("p"),
-                F.coalesce("t_root", "root").alias("root"),
+                "t",
+                "p",
+                F.col("t_up").alias("up"),
+                F.coalesce("root", "t_root").alias("root"),
                 (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"),
-                (F.coalesce("b_n", F.lit(0)) if k == 0 else F.col("n_children")).alias("n_children"),
-                (F.col("subtree") + F.coalesce("b_subtree", F.lit(0))).alias("subtree"),
-                F.greatest(F.col("height"), F.col("b_height") + F.lit(1 << min(k, 30))).cast("int").alias("height"),
-                (F.col("tie_level") + F.when(F.col("all_tied") & has, F.col("t_tie_level")).otherwise(0)).alias("tie_level"),
-                (F.col("all_tied") & F.coalesce("t_all_tied", F.lit(False))).alias("all_tied"),
-                *([F.concat("above", F.coalesce("t_above", F.array().cast("array<bigint>"))).alias("above")] if path else []),
+                (F.col("total") + F.coalesce("b_total", F.lit(0))).alias("total"),
+                F.greatest("height", "b_height").alias("height"),
+                *([F.concat(F.coalesce("t_above", F.array().cast("array<bigint>")), F.col("above")).alias("above")] if path else []),
             )
         )
-        state = stored(state, f"{folder}/round{k}")
-    else:
-        raise RuntimeError("parent pointers did not converge: the edge table has a cycle")
-    found = state.withColumnRenamed("n", "_n").drop("p", "all_tied")
-    out = edges.join(found.withColumnRenamed("_g", "_h"), (F.col("_g") == F.col("_h")) & (F.col(node).cast("bigint") == F.col("_n")))
+        k += 1
+    hung = state.groupBy("_g", F.col("p").alias("_n")).agg(F.sum("total").alias("_w"), (F.max("height") + 1).alias("_h"), F.count(F.lit(1)).alias("_k"))
+    again = _inside(found.drop(*names).join(hung, ["_g", "_n"], "left"), path)
+    own = state.select("_g", F.col("t").alias("_top"), F.col("root").alias("o_root"), F.col("depth").alias("o_depth"), *([F.col("above").alias("o_above")] if path else []))
+    joined = again.join(own, ["_g", "_top"], "left")
+    columns = {
+        "root": F.coalesce("o_root", "root"),
+        "depth": F.when(F.col("o_root").isNull(), F.col("depth")).otherwise(F.col("depth") - 1 + F.col("o_depth")),
+        "_out": F.lit(False),
+    }
     if path:
-        out = out.withColumn("path", F.concat(F.reverse("above"), F.array("_n"))).drop("above")
-    return out.drop("_g", "_h", "_n")
+        columns["above"] = F.concat(F.coalesce("o_above", F.array().cast("array<bigint>")), F.col("above"))
+    return stored(joined.withColumns(columns).select(*found.columns), f"{folder}/joined")
 
 
 def build_forest(
@@ -107,6 +167,7 @@ def build_forest(
     ts: str = "ts",
     ambiguity: str = "reference",
     path: bool = False,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """T2 + T3: referer forest of each group (a session); needs ``page_key`` and ``referer_key`` columns.
 
@@ -115,7 +176,7 @@ def build_forest(
     folder = work_folder(rows.sparkSession, "forest")
     rows = stored(rows, f"{folder}/rows")
     with_parents = assign_parents(rows, group_cols, node=node, ts=ts, ambiguity=ambiguity)
-    return resolve(with_parents, group_cols, node=node, ts=ts, path=path, folder=folder)
+    return resolve(with_parents, group_cols, node=node, ts=ts, path=path, folder=folder, rows=rows, block_rows=block_rows)
 
 
 def click_tree(

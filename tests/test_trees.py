@@ -259,3 +259,38 @@ def test_null_keys_never_link(spark):
     f = _forest(spark, nodes)
     got = {r.node: r.parent for r in f.collect()}
     assert got == {1: None, 2: None, 3: 2}
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 60, 10_000])
+def test_trees_over_several_blocks(spark, block_rows):
+    """Trees whose paths leave and enter many blocks, ties in an hour, a chain over all hours, in two groups, with lost parents."""
+    rng = random.Random(block_rows)
+    data, want = [], {}
+    for group in ("a", None):
+        nodes = [(1, 0, "p1", "-")]
+        for i in range(2, 260):
+            at = nodes[-1][1] + rng.choice([0, 0, 40, 2000, 9000])
+            nodes.append((i, at, f"p{i}", f"p{rng.choice([i - 1, rng.randrange(1, i)])}" if i % 50 else "-"))
+        up = _ancestors(nodes)
+        up[999] = [77_777]  # its parent is not among the rows
+        up[1000] = [999, 77_777]
+        ts = {n: s for n, s, _, _ in nodes} | {999: 10**6, 1000: 10**6 + 9000, 77_777: 5}
+        for n, above in up.items():
+            parent = above[0] if above else None
+            data.append((group, n, T0 + dt.timedelta(seconds=ts[n]), parent, T0 + dt.timedelta(seconds=ts[parent]) if parent else None))
+            below = [(m, a.index(n) + 1) for m, a in up.items() if n in a]
+            tied = next((k for k, (x, y) in enumerate(zip([n, *above], above)) if ts[x] != ts[y]), len(above))
+            want[group, n] = ((above or [n])[-1], len(above), sum(d == 1 for _, d in below), 1 + len(below), max([d for _, d in below], default=0), tied, [*above[::-1], n])
+    edges = spark.createDataFrame(data, "g string, node long, ts timestamp, parent long, parent_ts timestamp")
+    found = TR.resolve(edges, ["g"], path=True, block_rows=block_rows)
+    assert found.columns == [*edges.columns, "root", "depth", "n_children", "subtree", "height", "tie_level", "path"]
+    got = {(r.g, r.node): (r.root, r.depth, r.n_children, r.subtree, r.height, r.tie_level, list(r.path)) for r in found.collect()}
+    assert got == want
+
+
+def test_cycles_are_reported(spark):
+    for rows in ([(1, 0, 2), (2, 1, 1)], [(1, 0, 2), (2, 9000, 1)]):
+        data = [(n, T0 + dt.timedelta(seconds=s), p, T0) for n, s, p in rows]
+        edges = spark.createDataFrame(data, "node long, ts timestamp, parent long, parent_ts timestamp")
+        with pytest.raises(Exception, match="cycle"):
+            TR.resolve(edges, block_rows=1).collect()
