@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +52,8 @@ def resolve(
         edges = rows = stored(edges, f"{folder}/edges")
     group = key_of(list(group_cols)) if group_cols else F.struct(F.lit(0).alias("k0"))
     hour = F.coalesce(F.floor(F.unix_micros(F.col(ts)) / F.lit(3_600_000_000)).cast("bigint"), F.lit(-(1 << 62)))
-    cut = _cut_groups(rows.select(group.alias("_g"), hour.alias("_hour")), block_rows)
-    several = not cut.isEmpty()
+    times = rows.select(group.alias("_g"), hour.alias("_hour"))
+    several = not times.groupBy("_g").count().where(F.col("count") > block_rows).isEmpty()
     up = F.col(parent).cast("bigint")
     keyed = edges.withColumns(
         {
@@ -64,7 +64,7 @@ def resolve(
         }
     )
     if several:
-        keyed = keyed.withColumn("_hour", hour).join(cut, ["_g", "_hour"], "left").drop("_hour")
+        keyed = keyed.withColumn("_hour", hour).join(_cut_groups(times, block_rows), ["_g", "_hour"], "left").drop("_hour")
     else:
         keyed = keyed.withColumn("_b", F.lit(None).cast("bigint"))
     found = stored(_inside(keyed, path), f"{folder}/inside")
@@ -249,30 +249,79 @@ def tree_metrics(
     return null_safe_join(m.drop("_inner"), scored, [*g, "root"], "left")
 
 
-def visit_order(nodes: DataFrame, folder: str) -> DataFrame:
-    """Adds ``s``, the navigator's visit position of each node in its tree (columns ``t, n, p, us, tie_level``).
+def running(df: DataFrame, keys: Sequence[str], slot: str, order: Sequence[str], sums: dict[str, Column], totals: dict[str, Column] | None = None) -> DataFrame:
+    """Adds, per name in ``sums``, the sum of its column over the rows of the same ``keys`` that come earlier in ``order``.
+
+    A prefix sum in two levels: ``slot`` divides a key's rows into consecutive
+    blocks, each block is summed by an aggregate, a window over the small table
+    of blocks gives what lies before a block, and a window inside the block the
+    rest. ``totals`` adds sums over all rows of a key. ``df`` is read twice: it should be a written table.
+    """
+    keys, totals = list(keys), totals or {}
+    in_slot = Window.partitionBy(*keys, slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    in_key = Window.partitionBy(*keys)
+    earlier = in_key.orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    blocks_ = df.groupBy(*keys, slot).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in (sums | totals).items()])
+    blocks_ = blocks_.select(
+        *keys,
+        slot,
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), none).alias(f"_b_{n}") for n in sums],
+        *[F.sum(f"_s_{n}").over(in_key).alias(n) for n in totals],
+    )
+    local = df.withColumns({f"_l_{n}": F.coalesce(F.sum(c).over(in_slot), none) for n, c in sums.items()})
+    out = local.join(blocks_, [*keys, slot]).withColumns({n: F.col(f"_b_{n}") + F.col(f"_l_{n}") for n in sums})
+    return out.drop(*[f"{x}{n}" for n in sums for x in ("_b_", "_l_")])
+
+
+def visits(nodes: DataFrame, folder: str) -> DataFrame:
+    """Adds to the nodes (``t, n, p, us, tie_level, hour, opens, closes``) their visit position ``s`` in their tree, the sibling
+    groups opened before (``number``), those open (``k``) and those of the whole tree (``groups``).
 
     Nodes are visited in time order. Of several waiting with one timestamp, the
     one goes first whose siblings wait longest, that is, whose parent was
     visited first; siblings go in trace order. A child with its parent's own
     timestamp only starts to wait at its parent's visit, so equal timestamps are
-    visited level by level. Parents' positions may themselves depend on ties:
-    positions are refined until they no longer change, one round for each
-    generation in which nodes of different parents tie.
+    visited level by level. Everything is one prefix sum over hours. Where
+    nodes of different parents tie, the places of their parents decide, then of
+    the parents' parents, and so on, last the trace order of the ancestors that
+    are siblings. Both are found by doubling: after round k, tied nodes are
+    ordered by 2^k ancestors, so a tree needs as many rounds as the logarithm
+    of its depth, however many generations tie; only trees with such ties take part.
     """
-    by_time = Window.partitionBy("t").orderBy("us", "tie_level", "n")
-    now = stored(nodes.withColumn("s", F.row_number().over(by_time)), f"{folder}/order")
-    doubtful = now.groupBy("t", "us", "tie_level").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a != b")
+    sums = {"number": F.col("opens"), "k": F.col("opens") - F.col("closes")}
+    sums, totals = {n: c.cast("bigint") for n, c in sums.items()}, {"groups": F.col("opens").cast("bigint")}
+    placed = stored(running(nodes, ["t"], "hour", ["us", "tie_level", "n"], {"s": F.lit(1).cast("bigint"), **sums}, totals), f"{folder}/placed")
+    tied = placed.groupBy("t", "us", "tie_level").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.min("s").alias("c"))
+    doubtful = tied.where("a != b").select("t")
     if doubtful.isEmpty():
-        return now
-    by_parent = Window.partitionBy("t").orderBy("us", "tie_level", "sp", "n")
-    k, moved = 0, True
-    while moved:
-        above = now.select("t", F.col("n").alias("p"), F.col("s").alias("sp"))
-        new = now.withColumnRenamed("s", "old").join(above, ["t", "p"], "left").withColumn("s", F.row_number().over(by_parent)).drop("sp")
-        new = stored(new, f"{folder}/order{k}")
-        moved, now, k = not new.where("s != old").isEmpty(), new.drop("old"), k + 1
-    return now
+        return placed
+    doubtful = stored(doubtful.distinct(), f"{folder}/doubtful")
+    own = placed.join(doubtful, "t", "left_semi").join(tied.select("t", "us", "tie_level", "c"), ["t", "us", "tie_level"])
+    # c: the first place of those that tie so far; q: order by trace positions of 2^k ancestors, the farthest first
+    state = stored(own.select("t", "n", "p", "c", F.col("n").alias("q"), F.col("p").alias("up")), f"{folder}/ties")
+    k = 0
+    while True:
+        open_ = state.groupBy("t", "c").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a != b")
+        if open_.isEmpty() or state.where("up is not null").isEmpty():
+            break
+        above = state.select("t", F.col("n").alias("up"), F.col("c").alias("up_c"), F.col("q").alias("up_q"), F.col("up").alias("up_up"))
+        tie = Window.partitionBy("t", "c")
+        state = state.join(above, ["t", "up"], "left").select(
+            "t",
+            "n",
+            "p",
+            (F.col("c") + F.rank().over(tie.orderBy("up_c")) - 1).alias("c"),
+            F.rank().over(tie.orderBy("up_q", "q")).cast("bigint").alias("q"),
+            F.col("up_up").alias("up"),
+        )
+        state = stored(state, f"{folder}/ties{k}")
+        k += 1
+    last = Window.partitionBy("t", "c").orderBy("q")
+    refined = state.select("t", "n", (F.col("c") + F.row_number().over(last) - 1).alias("s"))
+    again = stored(nodes.join(refined, ["t", "n"]), f"{folder}/refined")
+    again = running(again, ["t"], "hour", ["s"], sums, totals)
+    return stored(placed.join(doubtful, "t", "left_anti").unionByName(again), f"{folder}/replaced")
 
 
 def dfsness(forest: DataFrame, group_cols: Sequence[str] = (), node: str = "node", ts: str = "ts") -> DataFrame:
@@ -282,43 +331,40 @@ def dfsness(forest: DataFrame, group_cols: Sequence[str] = (), node: str = "node
     visited and closes when its last member is. At the visit of a node, k
     groups are open, and ``rank`` of them opened before the node's own; its
     position is rank / (k - 1) for k > 1, and dfsness is the mean position (0
-    breadth first, 1 depth first). With visit positions in one window per tree,
-    k is a running count of groups opened minus groups closed. Groups are
+    breadth first, 1 depth first). In the order of visits,
+    k is a running count of groups opened minus groups closed (``running``: a prefix sum over hours). Groups are
     numbered as they open, so rank counts groups with a smaller number than the
     node's own (q) that close no earlier than at its visit. [0, q) is cut into
     blocks of powers of two, one per bit of q; a running count over each block's
     closings, in the order of visits, gives what has closed. That is O(n log n)
-    rows in windows that each hold one block, with no list per tree.
+    rows; no window holds more of a tree than an hour of it, and there is no list per tree.
     """
     g = list(group_cols)
     folder = work_folder(forest.sparkSession, "dfsness")
+    us = F.unix_micros(F.col(ts))
     nodes = forest.select(
         F.struct(*g, "root").alias("t"),
         F.col(node).cast("bigint").alias("n"),
         F.col("parent").cast("bigint").alias("p"),
-        F.unix_micros(F.col(ts)).alias("us"),
+        us.alias("us"),
         "tie_level",
+        F.floor(us / F.lit(3_600_000_000)).cast("bigint").alias("hour"),
         (F.col("n_children") > 0).cast("int").alias("opens"),
     )
-    placed = visit_order(nodes, folder)
-    before = Window.partitionBy("t").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    closes = (F.max("s").over(Window.partitionBy("t", "p")) == F.col("s")) & F.col("p").isNotNull()
-    walked = (
-        placed.withColumn("closes", closes.cast("int"))
-        .withColumn("number", F.coalesce(F.sum("opens").over(before), F.lit(0)))
-        .withColumn("k", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)))
-    )
-    walked = stored(walked.select("t", "n", "p", "s", "opens", "closes", "number", "k"), f"{folder}/walked")
+    # siblings are visited in order of time and trace whatever else ties, so a group's last member is known before any place
+    ends = nodes.where("p is not null").groupBy("t", "p").agg(F.max(F.struct("us", "tie_level", "n"))["n"].alias("n"))
+    closed = nodes.join(ends.select("t", "n", F.lit(1).alias("closes")), ["t", "n"], "left")
+    nodes = stored(closed.withColumn("closes", F.coalesce("closes", F.lit(0))), f"{folder}/nodes")
+    walked = visits(nodes, folder)
     own = walked.where("opens = 1").select("t", F.col("n").alias("p"), F.col("number").alias("q"))
-    member = walked.where("p is not null").select("t", "p", "s", "closes", "k").join(own, ["t", "p"])
-    member = stored(member.withColumn("top", F.max("q").over(Window.partitionBy("t"))), f"{folder}/member")
-    bits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest("top", F.lit(1)))).cast("int"))
-    levels = member.select("t", "s", "q", "k", "closes", F.explode(bits).alias("bit")).withColumn("at", F.expr("shiftright(q, bit)"))
-    asks = levels.where("k > 1 and at % 2 = 1").select("t", "bit", (F.col("at") - 1).alias("block"), "s", "k", F.lit(0).alias("closed"))
-    ends = levels.where("closes = 1 and at % 2 = 0").select("t", "bit", F.col("at").alias("block"), "s", "k", F.lit(1).alias("closed"))
-    run = Window.partitionBy("t", "bit", "block").orderBy("s", "closed").rowsBetween(Window.unboundedPreceding, -1)
-    gone = asks.unionByName(ends).withColumn("gone", F.coalesce(F.sum("closed").over(run), F.lit(0))).where("closed = 0")
+    member = stored(walked.where("p is not null").select("t", "hour", "p", "s", "closes", "k", "groups").join(own, ["t", "p"]), f"{folder}/member")
+    bits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("groups") - 1, F.lit(1)))).cast("int"))
+    levels = member.select("t", "hour", "s", "q", "k", "closes", F.explode(bits).alias("bit")).withColumn("at", F.expr("shiftright(q, bit)"))
+    asks = levels.where("k > 1 and at % 2 = 1").select("t", "hour", "bit", (F.col("at") - 1).alias("block"), "s", "k", F.lit(0).cast("bigint").alias("closed"))
+    ends = levels.where("closes = 1 and at % 2 = 0").select("t", "hour", "bit", F.col("at").alias("block"), "s", "k", F.lit(1).cast("bigint").alias("closed"))
+    counted = running(asks.unionByName(ends), ["t", "bit", "block"], "hour", ["s", "closed"], {"gone": F.col("closed")})
+    gone = counted.where("closed = 0")
     share = gone.groupBy("t").agg(F.sum(F.expr("(shiftleft(1L, bit) - gone) / (k - 1)")).alias("total"))
-    visits = member.where("k > 1").groupBy("t").agg(F.count(F.lit(1)).alias("visits"))
-    score = visits.join(share, "t", "left").select("t.*", (F.coalesce("total", F.lit(0.0)) / F.col("visits")).cast("double").alias("dfsness"))
+    chosen = member.where("k > 1").groupBy("t").agg(F.count(F.lit(1)).alias("visits"))
+    score = chosen.join(share, "t", "left").select("t.*", (F.coalesce("total", F.lit(0.0)) / F.col("visits")).cast("double").alias("dfsness"))
     return score

@@ -101,11 +101,11 @@ def tree_metric_sql(p: str, group: list[str]) -> str:
 """
 
 
-def forest_ctes(gap_us: int) -> str:
-    """Page views of human traffic -> sessions -> referer parents -> root/depth/path (recursive)."""
+def forest_ctes(gap_us: int, ts: str = "ts") -> str:
+    """Page views of human traffic (their time taken as ``ts``) -> sessions -> referer parents -> root/depth/path (recursive)."""
     return (
         duckdb_with("request_log").replace("WITH ", "WITH RECURSIVE ", 1)
-        + f", traffic AS ({TRAFFIC}), pv AS (SELECT * FROM traffic WHERE is_pageview), "
+        + f", traffic AS ({TRAFFIC}), pv AS (SELECT * REPLACE ({ts} AS ts) FROM traffic WHERE is_pageview), "
         + sessionized("pv", gap_us)
         + f""",
 keyed AS (

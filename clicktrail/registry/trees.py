@@ -17,9 +17,11 @@ GAP_US = GAP_MINUTES * 60_000_000
 GROUP = ("client_ip", "user_agent", "session_id")
 
 
-def session_pages(spark, sf_dir):
-    """Page views of human traffic, split into sessions, with page and referer keys; node = request id."""
+def session_pages(spark, sf_dir, unit=None):
+    """Page views of human traffic, split into sessions, with page and referer keys; node = request id. ``unit``: times are cut to it."""
     log = R.filter_traffic(T.request_log(spark, sf_dir)).where(F.col("is_pageview"))
+    if unit:
+        log = log.withColumn("ts", F.date_trunc(unit, "ts"))
     s = S.sessionize(log, gap_minutes=GAP_MINUTES)
     return s.select(
         "client_ip", "user_agent", "session_id", F.col("req_id").alias("node"), "ts",
@@ -29,8 +31,8 @@ def session_pages(spark, sf_dir):
     )
 
 
-def forest(spark, sf_dir, path=False):
-    return TR.build_forest(session_pages(spark, sf_dir), GROUP, path=path)
+def forest(spark, sf_dir, path=False, unit=None):
+    return TR.build_forest(session_pages(spark, sf_dir, unit), GROUP, path=path)
 
 
 @register(
@@ -90,3 +92,33 @@ GROUP BY n.root
 @register("tree_metrics", TREE_METRICS_SQL)
 def tree_metrics(spark, sf_dir):
     return TR.tree_metrics(forest(spark, sf_dir), GROUP).drop(*GROUP)
+
+
+TIED_SQL = forest_ctes(GAP_US, "cast(date_trunc('day', ts) AS TIMESTAMP)") + """,
+chains AS (
+  SELECT node, root, parent, us, 0 AS tie, [{'us': us, 'tie': 0}] AS chain, [node] AS ids FROM nodes WHERE parent IS NULL
+  UNION ALL
+  SELECT e.node, c.root, e.parent, e.us, t.tie, [{'us': e.us, 'tie': t.tie}] || c.chain, c.ids || [e.node]
+  FROM chains c JOIN edges e ON e.parent = c.node, LATERAL (SELECT CASE WHEN e.us = c.us THEN c.tie + 1 ELSE 0 END AS tie) t),
+visits AS (SELECT node, root, parent, row_number() OVER (PARTITION BY root ORDER BY us, tie, chain, ids) AS s, tie FROM chains),
+grp AS (
+  SELECT v.root, v.parent AS g, any_value(p.s) AS opened, max(v.s) AS closed
+  FROM visits v JOIN visits p ON p.node = v.parent GROUP BY v.root, v.parent),
+pos AS (
+  SELECT v.node, v.root, count(*) AS k, count(*) FILTER (WHERE o.opened < own.opened) AS rnk
+  FROM visits v JOIN grp own ON own.g = v.parent
+  JOIN grp o ON o.root = v.root AND o.opened < v.s AND v.s <= o.closed
+  GROUP BY v.node, v.root),
+dfs AS (SELECT root, avg(rnk / (k - 1.0)) FILTER (WHERE k > 1) AS dfsness FROM pos GROUP BY root)
+SELECT v.root, count(*) AS size, count(*) FILTER (WHERE v.tie > 0) AS tied, any_value(dfs.dfsness) AS dfsness
+FROM visits v LEFT JOIN dfs USING (root) GROUP BY v.root
+"""
+
+
+@register("tied_visit_metrics", TIED_SQL)
+def tied_visit_metrics(spark, sf_dir):
+    """T21 where most times tie: page views of whole days, ordered by their parents and by the trace."""
+    f = forest(spark, sf_dir, unit="day")
+    tied = f.groupBy(*GROUP, "root").agg(F.count_if(F.col("tie_level") > 0).alias("tied"))
+    m = TR.tree_metrics(f, GROUP).select(*GROUP, "root", "size", "dfsness")
+    return TR.null_safe_join(m, tied, [*GROUP, "root"]).select("root", "size", "tied", "dfsness")

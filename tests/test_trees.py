@@ -294,3 +294,34 @@ def test_cycles_are_reported(spark):
         edges = spark.createDataFrame(data, "node long, ts timestamp, parent long, parent_ts timestamp")
         with pytest.raises(Exception, match="cycle"):
             TR.resolve(edges, block_rows=1).collect()
+
+
+def test_running_sums_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), i, i // 40, rng.randrange(-3, 9)) for i in rng.sample(range(900), 400)]
+    df = spark.createDataFrame(rows, "t string, s long, hour long, v long")
+    got = TR.running(df, ["t"], "hour", ["s"], {"before": F.col("v")}, {"whole": F.col("v")}).collect()
+    assert len(got) == 400
+    for r in got:
+        assert r.before == sum(v for t, s, _, v in rows if t == r.t and s < r.s) and r.whole == sum(v for t, _, _, v in rows if t == r.t)
+
+
+def test_dfsness_ties_of_many_generations(spark):
+    """Two arms that tie in each of 40 generations, decided only by the trace order of their first nodes; and random arms."""
+    rng = random.Random(77)
+    nodes = []
+    for t, arms in enumerate((2, 3, 5)):
+        base = t * 10_000
+        nodes.append((base, t * 10**6, f"t{t}r", "-"))
+        for a in range(arms):
+            for d in range(40):
+                i = base + 1 + rng.randrange(1) + d * arms + (arms - 1 - a if t else a)
+                twin = f"t{t}a{a}d{d}"
+                nodes.append((i, t * 10**6 + (d + 1) * 50, twin, f"t{t}a{a}d{d - 1}" if d else f"t{t}r"))
+                if d % 7 == a:
+                    nodes.append((i + 5000, t * 10**6 + (d + 2) * 50, twin + "x", twin))
+    got, want = _metrics(spark, nodes), _walk(nodes)
+    assert set(got) == set(want) and all(v is not None for v in want.values())
+    assert all(_same(got[r]["dfsness"], v) for r, v in want.items())
