@@ -46,29 +46,60 @@ def raw_title(df: DataFrame) -> DataFrame:
     """Page title of page views, NULL otherwise.
 
     The original spread non-page-view rows over random join keys to avoid a
-    NULL-key hot spot in a shuffled join; here NULL is kept, and ``trace_rows``
-    drops those rows before the join.
+    NULL-key hot spot in a shuffled join; here NULL is kept: ``trace_rows``
+    drops those rows before the join, the nested table leads them round it.
     """
     return df.withColumn(
         "raw_title", F.when(F.col("is_pageview"), F.element_at(F.col("pageview_info"), F.lit("page_title")))
     )
 
 
-def resolve_redirects(df: DataFrame, redirects: DataFrame) -> DataFrame:
+def resolve_redirects(df: DataFrame, redirects: DataFrame, untitled: bool = False, heavy: bool = False) -> DataFrame:
     """J1 + P4: left join on the raw title; canonical title = redirect target, else raw title, NULL for non-page views.
 
-    A title held by a third of all views is split by the adaptive skew join,
-    which may divide the row side of a left join. Rows without a title should be
-    dropped first where the result does not keep them (``trace_rows`` does).
+    Rows without a title have nothing to look up. ``untitled=True`` leads them
+    round the join by a union; without it they take part in it, so they
+    should be dropped first (``trace_rows`` does). ``heavy=True`` also deals the
+    rows of titles that many views share over several copies of their redirect
+    rows (``heavy_titles``); without it only the adaptive skew join splits them.
     """
     r = redirects.select(F.col("rd_from"), F.col("rd_to"))
-    joined = df.join(r, df["raw_title"] == r["rd_from"], "left")
+    if untitled:
+        found = resolve_redirects(df.where("raw_title is not null"), redirects, heavy=heavy)
+        return found.unionByName(df.where("raw_title is null").withColumn("title", F.lit(None).cast("string")))
+    if heavy:
+        often = F.broadcast(heavy_titles(df))  # at most HEAVY_TITLES rows
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1))
+        r = r.join(often.withColumnRenamed("_often", "rd_from"), "rd_from", "left").select("rd_from", "rd_to", copies.alias("_copy"))
+        rows = df.join(often, df["raw_title"] == often["_often"], "left").drop("_often")
+        place = F.xxhash64("client_ip", "user_agent", "ts", "uri_path", "uri_query")
+        rows = rows.withColumn("_row", F.pmod(place, F.coalesce(F.col("_copies"), F.lit(1)).cast("bigint")).cast("int"))
+        joined = rows.join(r, (F.col("raw_title") == F.col("rd_from")) & (F.col("_row") == F.col("_copy")), "left").drop("_copies", "_row", "_copy")
+    else:
+        joined = df.join(r, df["raw_title"] == r["rd_from"], "left")
     title = F.when(~F.col("is_pageview"), F.lit(None).cast("string")).otherwise(
         F.coalesce(F.col("rd_to"), F.col("raw_title"))
     )
     return joined.withColumn("title", title).drop("rd_from", "rd_to")
 
 
+HEAVY_TITLES = 1000  # titles that a summary may report
+SHARE = 500  # a title with more than one row in SHARE is heavy; each copy of its redirect rows meets about one row in SHARE
+
+
+def heavy_titles(df: DataFrame) -> DataFrame:
+    """``_often, _copies``: the titles that hold more than one row in ``SHARE``, by a frequent-items summary of fixed size.
+
+    The summary (ten counters for each title that it may report) overestimates by less than one row in 3,000; a title
+    taken for heavy without need costs a few copies of its redirect rows, never a result.
+    """
+    summary = df.where("raw_title is not null").agg(
+        F.expr(f"approx_top_k(raw_title, {HEAVY_TITLES}, {10 * HEAVY_TITLES})").alias("top"), F.count(F.lit(1)).alias("n")
+    )
+    each = summary.select("n", F.explode("top").alias("x")).where(F.col("x.count") * SHARE > F.col("n"))
+    return each.select(F.col("x.item").alias("_often"), F.ceil(F.col("x.count") * SHARE / F.col("n")).cast("int").alias("_copies"))
+
+
 def pack_request(df: DataFrame, decode: bool = True) -> DataFrame:
     """P5: request struct; NULL when any field is NULL (like the original CONCAT), so collect_list drops it."""
     fields = {

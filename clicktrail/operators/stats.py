@@ -372,10 +372,12 @@ def exact_quantiles(df: DataFrame, dims: Sequence[str], y: str, probs: Sequence[
     return _quantiles(_value_counts(df, dims, y), dims, probs, names)
 
 
-def _value_counts(df: DataFrame, dims: Sequence[str], y: str) -> DataFrame:
-    """``_g, _v, _c`` (and the dims): rows per group and value, counted in each task before the shuffle; written once."""
-    vals = df.select(key_of(dims).alias("_g"), _c(y).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = vals.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+def _value_counts(df: DataFrame, dims: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
+    """``_g, _v, _c`` (and the dims): rows (or the sum of ``weight``) per group and value, counted in each task before the
+    shuffle; written once."""
+    each = F.col(weight) if weight else F.lit(1).cast("bigint")
+    vals = df.select(key_of(dims).alias("_g"), _c(y).cast("double").alias("_v"), each.alias("_w")).where(F.col("_v").isNotNull())
+    counts = vals.groupBy("_g", "_v").agg(F.sum("_w").alias("_c"))
     return stored(counts, f"{work_folder(df.sparkSession, 'values')}/counts")
 
 
@@ -486,21 +488,26 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 def metric_breakdowns(df: DataFrame, metrics: Sequence[str], dims: Sequence[str]) -> DataFrame:
     """``metric, dimension, value, n, mean, median`` of each metric per value of each dimension.
 
-    Rows are turned to (metric, dimension, value, y) and counted at once, in
-    the same stage; all three figures come from these counts. Missing and 'no
-    response' values are dropped per dimension, like the plots.
+    The rows are read by one aggregate, which counts the cells of equal metrics
+    and dimensions; cells, not rows, are turned to (metric, dimension, value,
+    y), one for each pair of a metric and a dimension, and added up; all three
+    figures come from these counts. Missing and 'no response' values are dropped
+    per dimension, like the plots.
     """
-    pairs = lambda names, kind: F.explode(
-        F.array(*[F.struct(F.lit(n).alias("name"), _c(n).cast(kind).alias("v")) for n in names])
-    )
+    m = [f"_m{i}" for i in range(len(metrics))]
+    d = [f"_d{i}" for i in range(len(dims))]
+    cells = df.groupBy(
+        *[_c(n).cast("double").alias(c) for n, c in zip(metrics, m)], *[_c(n).cast("string").alias(c) for n, c in zip(dims, d)]
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = lambda names, cols: F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("v")) for n, c in zip(names, cols)]))
     long = (
-        df.select(pairs(metrics, "double").alias("_m"), *[_c(d) for d in dims])
-        .select("_m", pairs(dims, "string").alias("_d"))
-        .select(F.col("_m.name").alias("metric"), F.col("_d.name").alias("dimension"), F.col("_d.v").alias("value"), F.col("_m.v").alias("y"))
+        cells.select(pairs(metrics, m).alias("_m"), *d, "_n")
+        .select("_m", pairs(dims, d).alias("_d"), "_n")
+        .select(F.col("_m.name").alias("metric"), F.col("_d.name").alias("dimension"), F.col("_d.v").alias("value"), F.col("_m.v").alias("y"), "_n")
         .where(F.col("value").isNotNull() & (F.col("value") != NO_RESPONSE))
     )
     by = ["metric", "dimension", "value"]
-    counts = _value_counts(long, by, "y")
+    counts = _value_counts(long, by, "y", "_n")
     stats = counts.groupBy("_g").agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
     stats = stats.select(*[F.col(f"_g.k{i}").alias(c) for i, c in enumerate(by)], "n", "mean")
     return stats.join(_quantiles(counts, by, [0.5], ["median"]), by)

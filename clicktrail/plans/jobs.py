@@ -31,7 +31,7 @@ def build_trace_table(
     traffic = R.filter_traffic(log, hosts, hour)
     if max_requests is not None:
         traffic = R.drop_heavy(traffic, max_requests)
-    return R.build_traces(R.pack_request(R.resolve_redirects(R.raw_title(traffic), redirects)))
+    return R.build_traces(R.pack_request(R.resolve_redirects(R.raw_title(traffic), redirects, untitled=True, heavy=True)))
 
 
 def build_merged_traces(

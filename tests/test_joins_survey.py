@@ -82,3 +82,37 @@ def test_null_strict_packing_and_cap(spark):
         kept = R.build_traces(packed, max_requests=cap).collect()
         assert len(kept) == 1 and len(kept[0].requests) == 2  # non-page view and NULL referer dropped from the list
     assert R.build_traces(packed, max_requests=4).count() == 0  # but all 4 rows count toward the cap
+
+
+def test_split_redirect_join(spark):
+    """95 % of the rows without a title, one title on a third of the others: same titles, and even tasks without adaptive execution."""
+
+    n = 60_000
+    page = (F.col("id") % 20) == 0
+    third = (F.col("id") % 60) == 0
+    log = spark.range(n).select(
+        F.concat(F.lit("ip"), F.col("id") % 1000).alias("client_ip"),
+        F.lit("ua").alias("user_agent"),
+        F.timestamp_seconds(F.col("id")).alias("ts"),
+        F.lit("/").alias("uri_path"),
+        F.lit("").alias("uri_query"),
+        page.alias("is_pageview"),
+        F.when(page, F.when(third, "hot").otherwise(F.concat(F.lit("t"), F.col("id")))).alias("raw_title"),
+    )
+    redirects = spark.createDataFrame([("hot", "target"), ("t20", "other"), ("unused", "x")], "rd_from string, rd_to string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert R.heavy_titles(log).collect()[0][0] == "hot" and R.heavy_titles(log).count() == 1
+        found = R.resolve_redirects(log, redirects, untitled=True, heavy=True)
+        titled = R.resolve_redirects(log.where("raw_title is not null"), redirects, heavy=True)
+        assert found.columns == [*log.columns, "title"]
+        got = {r.title: r["count"] for r in found.groupBy("title").count().collect()}
+        assert got[None] == n - n // 20 and got["target"] == n // 60 and got["other"] == 1 and sum(got.values()) == n
+        tasks = sorted(r["count"] for r in titled.groupBy(F.spark_partition_id()).count().collect())
+        assert len(tasks) == 4 and tasks[-1] <= 2 * tasks[len(tasks) // 2]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
