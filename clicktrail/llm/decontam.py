@@ -145,11 +145,11 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 
 def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Documents with their contaminated spans cut out, for unique ``doc_id``; other columns stay as they are."""
-    spans = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left")
+    spans = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_cut_id"), F.col("spans").alias("_cut_spans"))
+    joined = docs.join(spans, F.col("doc_id") == F.col("_cut_id"), "left")
     cut = F.expr(
-        "decode(aggregate(_spans, named_struct('kept', cast('' as binary), 'at', 0L),"
+        "decode(aggregate(_cut_spans, named_struct('kept', cast('' as binary), 'at', 0L),"
         " (a, s) -> named_struct('kept', concat(a.kept, substring(cast(text as binary), cast(a.at + 1 as int), cast(s.start - a.at as int))), 'at', s.end),"
         " a -> concat(a.kept, substring(cast(text as binary), cast(a.at + 1 as int)))), 'UTF-8')"
     )
-    return joined.withColumn("text", F.when(F.col("_id").isNotNull(), cut).otherwise(F.col("text"))).drop("_id", "_spans")
+    return joined.withColumn("text", F.when(F.col("_cut_id").isNotNull(), cut).otherwise(F.col("text"))).drop("_cut_id", "_cut_spans")

@@ -2,7 +2,7 @@
 
 Documents become token pieces of at most ``capacity`` tokens (only longer
 documents are cut; the odd piece comes first). Full pieces are sequences of
-their own. The others are dealt by a hash of their key into groups of about
+their own. The others are dealt by a hash of their row number into groups of about
 ``group_pieces`` pieces, and each group is packed by itself: best fit in
 decreasing size, then a local search over the underfull bins that moves a
 document, or exchanges one for one or two for one, whenever that increases the
@@ -175,7 +175,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     spark = pieces.sparkSession
     schema = PIECE + ", sequence_id long, offset long"
     packed = (
-        odd.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+        # by the number of a written row, so that equal rows and null keys are dealt out like any others
+        odd.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
         .groupBy("grp")
         .applyInPandas(lambda pdf: _pack_group(pdf, capacity, passes), schema)
     )

@@ -201,13 +201,13 @@ def as_text(spans: str) -> Column:
 
 def redact(docs: DataFrame, **scoring) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans are one, named after the first."""
-    spans = find_spans(docs, **scoring).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans")).distinct()
-    joined = docs.join(spans, F.expr("doc_id <=> _id and xxhash64(cast(text as string)) = _key"), "left")
+    spans = find_spans(docs, **scoring).where(F.size("spans") > 0).select(F.col("doc_id").alias("_cut_id"), F.col("row_key").alias("_cut_key"), F.col("spans").alias("_cut_spans")).distinct()
+    joined = docs.join(spans, F.expr("doc_id <=> _cut_id and xxhash64(cast(text as string)) = _cut_key"), "left")
     names = "array(" + ", ".join(f"'<{k}>'" for k in [*KINDS, FOUND]) + ")"
     cut = F.expr(
-        "aggregate(_spans, named_struct('out', cast(array() as array<string>), 'at', 0),"
+        "aggregate(_cut_spans, named_struct('out', cast(array() as array<string>), 'at', 0),"
         " (a, x) -> if(x.end <= a.at, a, if(x.start < a.at, named_struct('out', a.out, 'at', x.end), named_struct('out',"
         f" concat(a.out, array(substring(text, a.at + 1, x.start - a.at), element_at({names}, x.kind + 1))), 'at', x.end))),"
         " a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))"
     )
-    return joined.withColumn("text", F.when(F.col("_id").isNotNull(), cut).otherwise(F.col("text"))).drop("_id", "_key", "_spans")
+    return joined.withColumn("text", F.when(F.col("_cut_key").isNotNull(), cut).otherwise(F.col("text"))).drop("_cut_id", "_cut_key", "_cut_spans")

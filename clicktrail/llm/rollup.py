@@ -52,9 +52,13 @@ class TokenRollup:
         rows = self.spark.read.schema("batch string, batch_no long").option("recursiveFileLookup", "true").parquet(f"{self.folder}/commits")
         return [r.batch for r in rows.orderBy("batch_no").collect()]
 
-    def state(self, batches: list[str] | None = None) -> DataFrame:
-        """The last state of each (doc_id, version), deleted ones included (``live`` false)."""
+    def state(self, batches: list[str] | None = None, touched: DataFrame | None = None) -> DataFrame:
+        """The last state of each (doc_id, version), deleted ones included (``live`` false); of those in ``touched`` alone, if given,
+        which are looked up before anything is grouped."""
         ledger = self._read("ledger", STATE, self.committed() if batches is None else batches)
+        if touched is not None:
+            keys = touched.select(F.col("doc_id").alias("t_doc"), F.col("version").alias("t_version"))
+            ledger = ledger.join(keys, F.expr("doc_id = t_doc and version <=> t_version"), "left_semi")
         last = F.max_by(F.struct("source", "lang", "n_tokens", "live"), "batch_no")
         return ledger.groupBy("doc_id", "version").agg(last.alias("s")).select("doc_id", "version", "s.*")
 
@@ -74,10 +78,7 @@ class TokenRollup:
         entry = stored(clean, f"{self.folder}/ledger/{batch}")
         now = entry.where("live").select(*KEYS, F.lit(1).alias("sign"), "n_tokens")
         if before:
-            held = self.state(before).where("live").alias("h")
-            touched = entry.select("doc_id", "version").alias("e")
-            same = F.expr("h.doc_id = e.doc_id and h.version <=> e.version")
-            gone = held.join(touched, same, "left_semi").select(*KEYS, F.lit(-1).alias("sign"), "n_tokens")
+            gone = self.state(before, entry).where("live").select(*KEYS, F.lit(-1).alias("sign"), "n_tokens")
             now = now.unionByName(gone)
         signed = now.groupBy(*KEYS).agg(F.sum("sign").alias("d_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("d_tokens"))
         signed.where("d_docs != 0 or d_tokens != 0").write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch}")

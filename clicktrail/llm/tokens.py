@@ -39,3 +39,10 @@ def bpe_encoder(ranks_file: str | None = None):
         return encoding.encode_ordinary(text)
 
     return encode
+
+
+@lru_cache(maxsize=4)
+def bpe_ids(ranks_file: str | None = None):
+    """``text -> ids`` as an array of unsigned 32-bit numbers: the same ids without a Python list."""
+    encoding = bpe_encoding(ranks_file)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())

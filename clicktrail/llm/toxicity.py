@@ -2,11 +2,13 @@
 
 A document's features are its distinct words and the first four and five bytes
 of its longer words (stems of inflected words), hashed to ``1 << BITS`` slots.
-The classifier is a logistic regression over the most informative slots. For
-every training document that names an identity group, a counterfactual is made
-by swapping each identity term for the next one of its group, and the squared
-change of the score between the two is penalised, so that weight on the mere
-mention of a group is driven out.
+The classifier is a logistic regression over the most informative slots. Every
+training document has counterfactuals: where it names an identity group, each
+identity term is swapped for the next one of its group; where it names none, a
+term of a group chosen by its text is put into a slot between two of its words
+(``mentions=True``), and that term is swapped. The squared changes of the score
+from one term to the other, and from no mention to the mention, are penalised,
+so that weight on the mere mention of a group is driven out.
 
 Fitting takes a bounded sample of the labelled training rows (``per_class``
 rows of each label, chosen by a hash of doc_id), in which a row counts as often
@@ -23,6 +25,7 @@ documents give one row each; other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,8 +43,9 @@ CLEAR = 3.0  # standard deviations by which a slot's share must differ between t
 STEMS = (4, 5)
 PENALTY = 1.0
 
-# Groups of identity terms that are swapped for one another.
+# Groups of identity terms that are swapped for one another, in the languages of the documents.
 IDENTITY = (
+    # English
     ("women", "men"),
     ("woman", "man"),
     ("girls", "boys"),
@@ -52,6 +56,33 @@ IDENTITY = (
     ("immigrants", "natives"),
     ("disabled", "healthy"),
     ("old", "young"),
+    # German
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße"),
+    ("schwule", "lesben", "heteros"),
+    ("einwanderer", "einheimische"),
+    ("behinderte", "gesunde"),
+    # French
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs"),
+    ("homosexuels", "hétérosexuels"),
+    ("immigrés", "natifs"),
+    ("handicapés", "valides"),
+    # Spanish
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos"),
+    ("homosexuales", "heterosexuales"),
+    ("inmigrantes", "nativos"),
+    ("discapacitados", "sanos"),
 )
 
 
@@ -63,6 +94,15 @@ def swap_identity(text: str, groups=IDENTITY) -> str | None:
     return out if n else None
 
 
+def with_mention(text: str, groups=IDENTITY, choice: int = 0) -> str:
+    """The text with one identity term in a slot between two words; term and slot follow from the text (and ``choice``)."""
+    h = zlib.crc32(text.encode(), choice)
+    group = groups[h % len(groups)]
+    words = text.split(" ")
+    at = h // 1009 % (len(words) + 1)
+    return " ".join([*words[:at], group[h // 31 % len(group)], *words[at:]])
+
+
 def _slots(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(document index, slot) of all words and stems, repeats included."""
     docs, keys = [w.doc], [w.hash]
@@ -78,19 +118,31 @@ def _distinct(text: bytes) -> np.ndarray:
     return np.unique(_slots(Words([text], ALNUM))[1]).astype(np.int32)
 
 
-def _sample_features(batches, groups):
+def _sample_features(batches, groups, mentions: bool):
+    """Slots of a row, those that its counterfactual loses and gains, and those that the mention itself has brought."""
     for batch, texts in chunks(batches):
-        other = [swap_identity(t.decode(), groups) for t in texts]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "label": batch.column("label"),
-                "weight": batch.column("weight"),
-                "slots": pa.array([_distinct(t) for t in texts], pa.list_(pa.int32())),
-                "swapped": pa.array([None if o is None else _distinct(o.encode()) for o in other], pa.list_(pa.int32())),
-            }
+        own, lost, gained, brought = [], [], [], []
+        for t in texts:
+            text, plain = t.decode(), _distinct(t)
+            named, other = plain, swap_identity(text, groups)
+            if other is None and mentions and groups:
+                text = with_mention(text, groups)
+                named, other = _distinct(text.encode()), swap_identity(text, groups)
+            swapped = None if other is None else _distinct(other.encode())
+            own.append(plain)
+            lost.append(None if swapped is None else np.setdiff1d(named, swapped))
+            gained.append(None if swapped is None else np.setdiff1d(swapped, named))
+            brought.append(np.setdiff1d(named, plain))
+        kind = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("label"), batch.column("weight"), *[pa.array(c, kind) for c in (own, lost, gained, brought)]],
+            names=["label", "weight", "slots", "lost", "gained", "brought"],
         )
 
 
+FEATURES = "label int, weight double, slots array<int>, lost array<int>, gained array<int>, brought array<int>"
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int) -> DataFrame:
     """``doc_id, text, label, weight`` of at most ``per_class`` labelled training documents of each label, by a hash of doc_id.
 
@@ -113,10 +165,13 @@ class ToxicityModel:
     intercept: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, per_class: int = PER_CLASS, penalty: float = PENALTY, groups=IDENTITY) -> ToxicityModel:
-    """Learns from labelled rows of ``training`` (a condition on ``labels``' rows; all when None)."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, per_class: int = PER_CLASS, penalty: float = PENALTY, groups=IDENTITY, mentions: bool = True) -> ToxicityModel:
+    """Learns from labelled rows of ``training`` (a condition on ``labels``' rows; all when None).
+
+    ``mentions``: rows that name no identity group get a counterfactual too, by a term put into them.
+    """
     sample = labelled_sample(docs, labels, label, F.lit(True) if training is None else training, per_class)
-    rows = sample.mapInArrow(lambda it: _sample_features(it, groups), "label int, weight double, slots array<int>, swapped array<int>").toArrow()
+    rows = sample.mapInArrow(lambda it: _sample_features(it, groups, mentions), FEATURES).toArrow()
     y, weight = rows.column("label").to_numpy(), rows.column("weight").to_numpy()
     weights = np.zeros(1 << BITS, np.float32)
     if len(set(y.tolist())) < 2:
@@ -145,14 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
         return m
 
     x = matrix(owner, flat, len(y))
-    other = rows.column("swapped").combine_chunks()
-    named = np.flatnonzero(other.is_valid().to_numpy(zero_copy_only=False))
+    named = np.flatnonzero(rows.column("lost").combine_chunks().is_valid().to_numpy(zero_copy_only=False))
     pairs = None
     if len(named):
-        lists = [np.asarray(other[int(i)].as_py(), np.int64) for i in named]
-        moved = matrix(np.repeat(np.arange(len(named)), list(map(len, lists))), np.concatenate(lists), len(named))
-        # scaled so that the mean of their squares is the weighted one
-        pairs = (x[named] - moved) * np.sqrt(weight[named] / weight[named].mean()).astype(np.float32)[:, None]
+        part = lambda c: [np.asarray(rows.column(c)[int(i)].as_py(), np.int64) for i in named]
+        dense = lambda lists: matrix(np.repeat(np.arange(len(named)), list(map(len, lists))), np.concatenate(lists), len(named))
+        # from a term to its neighbour, and from no mention to the mention; scaled so that the mean of their squares is the weighted one
+        scale = np.sqrt(weight[named] / weight[named].mean()).astype(np.float32)[:, None]
+        pairs = np.concatenate([(dense(part("lost")) - dense(part("gained"))) * scale, dense(part("brought")) * scale])
     w, b = fit_logistic(x, y, weight, l2=0.03, pairs=pairs, penalty=penalty, steps=1000)
     weights[chosen] = w
     return ToxicityModel(weights, float(b))

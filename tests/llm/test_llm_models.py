@@ -314,3 +314,54 @@ def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_mentions_give_every_row_a_counterfactual(spark):
+    """Rows that name no group get a term; one that tells the label by a chance resemblance loses its weight."""
+    assert toxicity.with_mention("a b c").count(" ") == 3 and toxicity.swap_identity(toxicity.with_mention("a b c")) is not None
+    assert toxicity.with_mention("").strip() in sum(toxicity.IDENTITY, ())
+    rng = random.Random(12)
+    filler = [f"w{i}" for i in range(40)]
+    toxic = [int(i % 3 == 0) for i in range(900)]
+    # an invented toxic word that begins like "muslims"
+    texts = [" ".join(rng.choices(filler, k=12) + ([rng.choice(["muslab", "scum"])] if y else [])) for y in toxic]
+    docs, marks = brute.documents(spark, texts), spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    neutral = brute.documents(spark, [" ".join(rng.choices(filler, k=12)) + f" {t}" for t in ("muslims", "christians")] * 20)
+    groups = (("muslims", "christians"),)
+    free, tied = (
+        {r.doc_id: r.score for r in toxicity.score(neutral, toxicity.fit(docs, marks, groups=groups, penalty=p)).collect()} for p in (0.0, 5.0)
+    )
+    even, odd = [d for d in free if d % 2 == 0], [d for d in free if d % 2]
+    gap = lambda s: abs(np.mean([s[d] for d in even]) - np.mean([s[d] for d in odd]))
+    assert gap(free) > 0.05 and gap(tied) < 0.3 * gap(free)
+
+
+def test_best_fit_packing_query(spark):
+    """The whole query on the whole table."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    used, least = check_packing(QUERIES["op3_best_fit_packing"](spark, SF).collect(), texts)
+    assert used <= least * 1.02 + 1
+
+
+def test_packing_deals_equal_rows_out(spark):
+    """30,000 equal rows without a doc_id fill groups like any others."""
+    docs = spark.range(30_000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    rows = packing.pack(packing.token_pieces(docs), group_pieces=1000).groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert len(rows) == 30 and max(r["count"] for r in rows) < 1300
+
+
+def test_pipeline_stages_with_clashing_names_and_null_ids(spark):
+    import corpus_pipeline as C
+
+    texts = sample_texts(spark, 6) + ["mail me at a.b@example.org today", None, ""]
+    docs = brute.documents(spark, texts).withColumns({"_id": F.lit("x"), "_spans": F.lit(1), "found": F.lit(2), "label": F.lit(3)})
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    both = docs.unionByName(nulls)
+    verdict = spark.createDataFrame([(0,), (0,), (3,), (None,)], "doc_id long")
+    kept = C._drop(both, verdict)
+    assert kept.columns == both.columns and kept.count() == 16 and kept.where("doc_id in (0, 3)").count() == 0
+    clean = C.redact_personal_data(spark, both, SF)
+    assert clean.columns == both.columns and clean.count() == 18 and clean.where("text like '%<email>%'").count() == 2
+    for stage in (C.drop_near_duplicates, C.drop_contaminated):
+        out = stage(spark, both, SF)
+        assert out.columns == both.columns and out.where("doc_id is null").count() == 9
