@@ -42,14 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.llm.textops import chunks
-from clicktrail.llm.tokens import bpe_encoder, bpe_encoding
+from clicktrail.llm.tokens import bpe_encoding, bpe_ids
 
 END_ID = 0
 CAPACITY = 1024
 LONGEST = 128
 SENTENCE = 1.0  # tokens of padding that a cut at a sentence's end is worth avoiding
 INSIDE = 4.0  # the same for a cut inside a sentence
-RUNS = 4  # full windows between two cut points
+RUNS = 3  # full windows between two cut points
 BLOCK = 1 << 18
 INFINITE = float("inf")
 KEEP_BACK = 16  # windows of a block that are solved again with the next one
@@ -113,36 +113,40 @@ def windows(points, penalty, capacity: int = CAPACITY, inside: float = INSIDE, r
         for j, i in zip(hit.tolist(), begin[hit].tolist()):
             exact.setdefault(j, []).append(i)
     at, cost = p.tolist(), [0.0, *np.asarray(penalty, float).tolist()]
-    best, back = [0.0] * n, [(0, 0)] * n
-    # band m: points from which m full windows and one more reach j; its queue holds (f(i) + p[i], i), ascending in both
-    key = [0.0] * n
-    bands = [deque() for _ in range(runs + 1)]
+    best, back, key = [0.0] * n, [(0, 0)] * n, [0.0] * n
+    # band m of j: the points from which m full windows and one more lead to j, p[first[j]] up to p[beyond[j]] without it;
+    # its queue holds those of them that no later one undercuts
+    bands = []
+    for m in range(runs + 1):
+        first = np.searchsorted(p, p - (m + 1) * capacity).tolist()
+        beyond = np.searchsorted(p, p - m * capacity).tolist()
+        bands.append((m, first, beyond, m * inside + (m + 1) * capacity, deque()))
     entered = [0] * (runs + 1)
-    spans = [(m, m * capacity, (m + 1) * capacity, m * inside + (m + 1) * capacity) for m in range(runs + 1)]
     for j in range(1, n):
-        pj = at[j]
-        f, way = INFINITE, (0, 0)
-        for m, low, high, extra in spans:
-            queue, i = bands[m], entered[m]
-            while i < j and at[i] < pj - low:
+        f = INFINITE
+        for m, first, beyond, extra, queue in bands:
+            stop = beyond[j]
+            if not stop:
+                break  # the stream's start is too near for this and the later bands
+            for i in range(entered[m], stop):
                 k = key[i]
-                while queue and queue[-1][0] >= k:
+                while queue and key[queue[-1]] >= k:
                     queue.pop()
-                queue.append((k, i))
-                i += 1
-            entered[m] = i
-            while queue and at[queue[0][1]] < pj - high:
+                queue.append(i)
+            entered[m] = stop
+            low = first[j]
+            while queue[0] < low:
                 queue.popleft()
-            if queue and queue[0][0] + extra - pj < f:
-                f, way = queue[0][0] + extra - pj, (queue[0][1], m)
-            if not i:
-                break  # the stream's start is too near for this and the later bands
+            g = key[queue[0]] + extra
+            if g < f:
+                f, way = g, (queue[0], m)
+        f -= at[j]
         if j in exact:
             for e in exact[j]:
                 if best[e] < f:
                     f, way = best[e], (e, 0)
-        f += cost[j]
-        best[j], back[j], key[j] = f, way, f + pj
+        best[j] = f = f + cost[j]
+        back[j], key[j] = way, f + at[j]
     ends, j = [], n - 1
     while j:
         ends.append(at[j])
@@ -219,7 +223,7 @@ class _Stream:
 
 
 def _packed(batches, stream: _Stream, ranks_file):
-    encode = bpe_encoder(ranks_file)
+    encode, end = bpe_ids(ranks_file), np.array([END_ID], np.uint32)
     schema = pa.schema([(c.split()[0], pa.int64()) for c in WINDOW.split(", ")])
     base = TaskContext.get().partitionId() << 40
 
@@ -231,7 +235,7 @@ def _packed(batches, stream: _Stream, ranks_file):
     for batch, texts in chunks(batches):
         rows = []
         for d, t in zip(batch.column("doc_id").to_pylist(), texts):
-            rows += stream.add(d, np.array([*encode(t.decode()), END_ID], "<u4"))
+            rows += stream.add(d, np.concatenate([encode(t.decode()), end]).astype("<u4", copy=False))
         if rows:
             yield batch_of(rows)
     rows = stream.solve(True)
