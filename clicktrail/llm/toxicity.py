@@ -89,18 +89,23 @@ IDENTITY = (
 def swap_identity(text: str, groups=IDENTITY) -> str | None:
     """The counterfactual of a text, or None if it names no group."""
     following = {t: g[(k + 1) % len(g)] for g in groups for k, t in enumerate(g)}
+    if following.keys().isdisjoint(re.findall(r"\w+", text.lower())):
+        return None
     pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, following)) + r")\b", re.IGNORECASE)
-    out, n = pattern.subn(lambda m: following[m[0].lower()], text)
+    out, n = pattern.subn(lambda m: following.get(m[0].lower(), m[0]), text)
     return out if n else None
 
 
-def with_mention(text: str, groups=IDENTITY, choice: int = 0) -> str:
-    """The text with one identity term in a slot between two words; term and slot follow from the text (and ``choice``)."""
+def with_mention(text: str, groups=IDENTITY, choice: int = 0, turn: int = 0) -> str:
+    """The text with one identity term in a slot between two words; slot and term follow from the text (and ``choice``).
+
+    ``turn``: so many terms further in the same group.
+    """
     h = zlib.crc32(text.encode(), choice)
     group = groups[h % len(groups)]
     words = text.split(" ")
     at = h // 1009 % (len(words) + 1)
-    return " ".join([*words[:at], group[h // 31 % len(group)], *words[at:]])
+    return " ".join([*words[:at], group[(h // 31 + turn) % len(group)], *words[at:]])
 
 
 def _slots(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +131,7 @@ def _sample_features(batches, groups, mentions: bool):
             text, plain = t.decode(), _distinct(t)
             named, other = plain, swap_identity(text, groups)
             if other is None and mentions and groups:
-                text = with_mention(text, groups)
-                named, other = _distinct(text.encode()), swap_identity(text, groups)
+                named, other = _distinct(with_mention(text, groups).encode()), with_mention(text, groups, turn=1)
             swapped = None if other is None else _distinct(other.encode())
             own.append(plain)
             lost.append(None if swapped is None else np.setdiff1d(named, swapped))
@@ -203,11 +207,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
     named = np.flatnonzero(rows.column("lost").combine_chunks().is_valid().to_numpy(zero_copy_only=False))
     pairs = None
     if len(named):
-        part = lambda c: [np.asarray(rows.column(c)[int(i)].as_py(), np.int64) for i in named]
-        dense = lambda lists: matrix(np.repeat(np.arange(len(named)), list(map(len, lists))), np.concatenate(lists), len(named))
+        part = {c: [column[np.asarray(rows.column(c)[int(i)].as_py(), np.int64)] for i in named] for c in ("lost", "gained", "brought")}
+        # counterfactuals differ in the slots of identity terms alone: a few of the chosen columns
+        touched = np.unique(np.concatenate([c for lists in part.values() for c in lists]))
+        touched = touched[touched >= 0]
+
+        def few(lists):
+            m = np.zeros((len(named), len(touched)))
+            for i, c in enumerate(lists):
+                m[i, np.searchsorted(touched, c[c >= 0])] = 1
+            return m
+
         # from a term to its neighbour, and from no mention to the mention; scaled so that the mean of their squares is the weighted one
-        scale = np.sqrt(weight[named] / weight[named].mean()).astype(np.float32)[:, None]
-        pairs = np.concatenate([(dense(part("lost")) - dense(part("gained"))) * scale, dense(part("brought")) * scale])
+        scale = np.sqrt(weight[named] / weight[named].mean())[:, None]
+        pairs = touched, np.concatenate([(few(part["lost"]) - few(part["gained"])) * scale, few(part["brought"]) * scale])
     w, b = fit_logistic(x, y, weight, l2=0.03, pairs=pairs, penalty=penalty, steps=1000)
     weights[chosen] = w
     return ToxicityModel(weights, float(b))
