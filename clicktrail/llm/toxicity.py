@@ -181,33 +181,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Colu
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(weights, 35.0 if share == 1 else -35.0)
-    # combine_chunks keeps one flat array of slots and the bounds of each row
+    # combine_chunks keeps one flat array of slots and the bounds of each row; rows are taken some hundred at a time
     slots = rows.column("slots").combine_chunks()
     bounds, flat = slots.offsets.to_numpy(), slots.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(y)), np.diff(bounds))
-    pos = np.bincount(flat[y[owner] == 1], minlength=1 << BITS)
-    neg = np.bincount(flat[y[owner] == 0], minlength=1 << BITS)
+
+    def parts(step=500):
+        for i in range(0, len(y), step):
+            j = min(i + step, len(y))
+            yield np.repeat(np.arange(i, j), np.diff(bounds[i : j + 1])), flat[bounds[i] : bounds[j]]
+
+    pos, neg, share = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS)
+    for owner, own in parts():
+        np.add.at(pos, own[y[owner] == 1], 1)
+        np.add.at(neg, own[y[owner] == 0], 1)
+        np.add.at(share, own, weight[owner])
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     # the slots whose presence tells the most about the label: standardised difference of shares
-    share = np.bincount(flat, weights=weight[owner], minlength=1 << BITS) / weight.sum()
+    share /= weight.sum()
     strength = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
     strength[(pos + neg) < 3] = 0
     chosen = np.argsort(-np.abs(strength), kind="stable")[:SLOTS]
     chosen = np.sort(chosen[np.abs(strength[chosen]) > CLEAR])
-    column = np.full(1 << BITS, -1, np.int64)
+    column = np.full(1 << BITS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-
-    def matrix(owner, flat, n):
-        m = np.zeros((n, len(chosen)), np.float32)
-        c = column[flat]
-        m[owner[c >= 0], c[c >= 0]] = 1
-        return m
-
-    x = matrix(owner, flat, len(y))
+    x = np.zeros((len(y), len(chosen)), np.float32)
+    for owner, own in parts():
+        c = column[own]
+        x[owner[c >= 0], c[c >= 0]] = 1
+    del pos, neg, share, strength, slots, flat
     named = np.flatnonzero(rows.column("lost").combine_chunks().is_valid().to_numpy(zero_copy_only=False))
     pairs = None
     if len(named):
-        part = {c: [column[np.asarray(rows.column(c)[int(i)].as_py(), np.int64)] for i in named] for c in ("lost", "gained", "brought")}
+        lists = {c: rows.column(c).combine_chunks() for c in ("lost", "gained", "brought")}
+        part = {c: [column[a[int(i)].values.to_numpy()] for i in named] for c, a in lists.items()}
         # counterfactuals differ in the slots of identity terms alone: a few of the chosen columns
         touched = np.unique(np.concatenate([c for lists in part.values() for c in lists]))
         touched = touched[touched >= 0]
