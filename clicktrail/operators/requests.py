@@ -223,6 +223,30 @@ def merge_traces(traces_by_day: DataFrame, year: int | None = None, drop_empty:
     return merged.where(F.size("requests") > 0) if drop_empty else merged
 
 
+def chunk_traces(rows: DataFrame, size: int = 1000) -> DataFrame:
+    """A3, in chunks: numbered trace rows as ``ip, ua, geocoded_data, user_agent_map, chunk, requests``.
+
+    Chunk c holds the requests at positions c * ``size`` to (c + 1) * ``size`` - 1
+    of a trace in time order, so no array is longer than ``size`` and a client
+    with a third of all requests is many rows. The chunks of a trace in order,
+    put together, are the array of ``merge_traces``.
+    """
+    keyed = rows.withColumn("chunk", F.floor(F.col("id") / F.lit(size)).cast("bigint"))
+    gathered = keyed.groupBy("trace", "chunk").agg(
+        F.first("geocoded_data").alias("geocoded_data"),
+        F.first("user_agent_map").alias("user_agent_map"),
+        F.sort_array(F.collect_list(F.struct("id", F.struct(*REQUEST_FIELDS).alias("request")))).alias("placed"),
+    )
+    requests = F.transform("placed", lambda x: x["request"]).alias("requests")
+    return gathered.select(F.col("trace.ip").alias("ip"), F.col("trace.ua").alias("ua"), "geocoded_data", "user_agent_map", "chunk", requests)
+
+
+def unchunk_traces(chunks: DataFrame, size: int = 1000) -> DataFrame:
+    """The rows of a chunked trace table, each with its position ``id`` in its trace; ``size`` is that of the writer."""
+    placed = chunks.select("ip", "ua", "geocoded_data", "user_agent_map", "chunk", F.posexplode("requests").alias("at", "request"))
+    return placed.select("ip", "ua", "geocoded_data", "user_agent_map", (F.col("chunk") * size + F.col("at")).alias("id"), "request.*")
+
+
 def sort_trace(requests: Column) -> Column:
     """O1: sort an array of request structs by ts, ties by the remaining fields."""
     return F.array_sort(requests)

@@ -363,6 +363,55 @@ def group_mean_ci(
     return null_safe_join(means, ci, list(dims), "left")
 
 
+def group_mean_ci_binned(
+    df: DataFrame,
+    dims: Sequence[str],
+    y: str,
+    row_id: str,
+    bins: int = 4096,
+    boot: int = 1000,
+    level: float = 0.95,
+    seed: str = "boot",
+) -> DataFrame:
+    """A24 for any number of rows: the Poisson bootstrap over ``bins`` random sums of each group.
+
+    Rows fall into bins by md5(seed, row) and are summed per (group, bin) in one
+    aggregate; each bin, not each row, gets a Poisson(1) weight per replicate.
+    The draws therefore number groups x bins x replicates, however many rows
+    there are. Rows of one bin are weighted alike, which leaves the spread of the
+    replicate means right on average; its relative error over the choice of
+    bins is about sqrt(1 / (2 * bins)), 1.1 % of the interval's width for 4,096.
+    A group with fewer rows than bins is resampled nearly row by row. NULLs in
+    ``y`` are left out; a group without values has a NULL mean and interval.
+    """
+    lo, hi = round((1 - level) / 2, 12), round(1 - (1 - level) / 2, 12)
+    digest = F.md5(F.concat(F.lit(f"{seed}/"), _c(row_id).cast("string")))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % bins
+    summed = (
+        df.select(key_of(dims).alias("_g"), _c(y).cast("double").alias("_y"), F.coalesce(place, F.lit(0).cast("bigint")).alias("_bin"))
+        .groupBy("_g", "_bin")
+        .agg(F.sum("_y").alias("_s"), F.count("_y").alias("_n"))
+    )
+    sums = stored(summed, f"{work_folder(df.sparkSession, 'bins')}/sums")
+    means = sums.groupBy("_g").agg((F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))).alias("mean"), F.sum("_n").alias("n"))
+    name = F.concat_ws("/", *[F.col(f"_g.k{i}").cast("string") for i in range(len(dims))])
+    each = F.concat_ws("/", F.lit(seed), name, F.col("_bin").cast("string"), F.col("_b").cast("string"))
+    reps = (
+        # dealt out before the draws: the sums of few groups are one small file, which one task would expand
+        sums.where("_n > 0").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(boot))).alias("_b"))
+        .withColumn("_w", poisson1_from_uniform(md5_uniform(each)))
+        .groupBy("_g", "_b")
+        .agg(F.sum(F.col("_w") * F.col("_s")).alias("_sw"), F.sum(F.col("_w") * F.col("_n")).alias("_wn"))
+        .where("_wn > 0")
+    )
+    q = reps.groupBy("_g").agg(F.percentile(F.col("_sw") / F.col("_wn"), F.array(F.lit(lo), F.lit(hi))).alias("_q"))
+    return means.join(q, "_g", "left").select(
+        *[F.col(f"_g.k{i}").alias(d) for i, d in enumerate(dims)], "mean", "n",
+        F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"),
+    )
+
+
 QUANTILE_ROWS = 10_000  # distinct values around a quantile that are ranked in one window
 QUANTILE_PARTS = 1024  # parts that a wider range of values is cut into
 

@@ -65,6 +65,11 @@ def numbered_trace_rows(log: DataFrame, redirects: DataFrame, **options) -> Data
     return SS.number_requests(rows, ["trace"], R.TRACE_ORDER)
 
 
+def build_merged_chunks(log: DataFrame, redirects: DataFrame, size: int = 1000, **options) -> DataFrame:
+    """X1, the all-days table for its writer (S6) without an array that grows with a client's history (A3 in chunks)."""
+    return R.chunk_traces(numbered_trace_rows(log, redirects, **options), size)
+
+
 CLICK_COLS = ("key", "trace", "survey_token", "click_dt_utc", "click_title")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as ST
 from clicktrail.functions import textparse as TP
 from clicktrail.functions.privacy import hmac_sha1, hmac_sha1_sql
 from clicktrail.operators import clicks as C
+from clicktrail.operators import requests as R
 from clicktrail.operators import survey as SV
 from clicktrail.plans import jobs as P
 from clicktrail.registry import register
@@ -90,6 +91,44 @@ def merged_files(spark, sf):
     return IO.roundtrip_counts(merged, spark.read.parquet(path))
 
 
+CHUNK = 3  # requests in a chunk: a third of a usual trace here, so that traces have several
+
+
+@register(
+    "merged_chunk_files",
+    TRACES
+    + f"""SELECT client_ip AS ip, user_agent AS ua, timezone, cast(id // {CHUNK} AS BIGINT) AS chunk, cast(id AS BIGINT) AS id,
+       epoch_us(ts) AS ts_us, title, referer FROM reqs""",
+)
+def merged_chunk_files(spark, sf):
+    """The merged trace table in chunks, written and read back, every request at its place."""
+    path = f"{work_folder(spark, 'traces')}/merged"
+    IO.write_merged_chunks(P.build_merged_chunks(T.request_log(spark, sf), T.redirects(spark, sf), CHUNK), path)
+    back = R.unchunk_traces(spark.read.parquet(path), CHUNK)
+    return back.select(
+        "ip", "ua", F.col("geocoded_data")["timezone"].alias("timezone"), F.floor(F.col("id") / CHUNK).alias("chunk"), "id",
+        F.unix_micros("ts").alias("ts_us"), "title", "referer",
+    )
+
+
+@register(
+    "merged_content",
+    TRACES
+    + """SELECT client_ip AS ip, user_agent AS ua, timezone, count(*) AS n_requests, min(epoch_us(ts)) AS first_us,
+       string_agg(title, ',' ORDER BY ts, referer, title) AS titles, string_agg(referer, ',' ORDER BY ts, referer, title) AS referers
+FROM reqs GROUP BY client_ip, user_agent, timezone, country, browser_family""",
+)
+def merged_content(spark, sf):
+    """What the nested merged table holds after it was written, trace by trace."""
+    path = f"{work_folder(spark, 'traces')}/merged"
+    IO.write_merged(merged_traces(spark, sf), path)
+    listed = lambda name: F.array_join(F.transform("requests", lambda r: r[name]), ",")
+    return spark.read.parquet(path).select(
+        "ip", "ua", F.col("geocoded_data")["timezone"].alias("timezone"), F.size("requests").cast("bigint").alias("n_requests"),
+        F.unix_micros(F.col("requests")[0]["ts"]).alias("first_us"), listed("title").alias("titles"), listed("referer").alias("referers"),
+    )
+
+
 @register(
     "hashed_files",
     TRACES

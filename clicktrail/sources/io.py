@@ -7,6 +7,7 @@ the executors (no collect) and replace data idempotently.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from clicktrail.functions import textparse as TP
 from clicktrail.functions.recode import join_codes, split_codes
-from clicktrail.sources.work import children, drop
+from clicktrail.sources.work import children, drop, exists, rename
 
 PARTITIONS = ["year", "month", "day", "host"]
 # JSON timestamps keep microseconds (Spark's default text format stops at milliseconds).
@@ -57,12 +58,43 @@ def day_span(start: str, stop: str) -> Column:
     return d.between(F.to_date(F.lit(start)), F.to_date(F.lit(stop)))
 
 
+def _numbered(spark: SparkSession, folder: str, name: str) -> list[tuple[int, str]]:
+    """``(value, folder name)`` of the partitions ``name=value`` in ``folder``, for whole numbers."""
+    parts = [c.partition("=") for c in children(spark, folder)]
+    return [(int(v), f"{n}={v}") for n, _, v in parts if n == name and v.isdigit()]
+
+
+def day_folders(spark: SparkSession, path: str, start: str, stop: str) -> list[str]:
+    """The day folders of a year/month/day partitioned table that lie in [start, stop].
+
+    Only the table's folder, the years and the months of the span are listed, however many days the table holds.
+    """
+    first, last = dt.date.fromisoformat(start[:10]), dt.date.fromisoformat(stop[:10])
+    found = []
+    for year, y in _numbered(spark, path, "year"):
+        if not first.year <= year <= last.year:
+            continue
+        for month, m in _numbered(spark, f"{path}/{y}", "month"):
+            if not (first.year, first.month) <= (year, month) <= (last.year, last.month):
+                continue
+            days = _numbered(spark, f"{path}/{y}/{m}", "day")
+            found += [(dt.date(year, month, day), f"{path}/{y}/{m}/{d}") for day, d in days if first <= dt.date(year, month, day) <= last]
+    return [folder for _, folder in sorted(found)]
+
+
+def _read_days(spark: SparkSession, path: str, start: str, stop: str, schema: T.StructType | None = None) -> DataFrame:
+    """A span of a year/month/day partitioned table: its day folders alone are named to the reader."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    folders = day_folders(spark, path, start, stop)
+    found = reader.option("basePath", path).parquet(*folders) if folders else reader.parquet(path)
+    return found.where(day_span(start, stop))
+
+
 def read_requests(spark: SparkSession, path: str, start: str | None = None, stop: str | None = None) -> DataFrame:
-    """Partitioned request log; the day filter prunes partitions at planning time."""
-    df = spark.read.parquet(path)
-    if start is not None:
-        df = df.where(day_span(start, stop or start))
-    return df
+    """Partitioned request log; of a span only its day folders are listed and read."""
+    if start is None:
+        return spark.read.parquet(path)
+    return _read_days(spark, path, start, stop or start)
 
 
 def snapshot_requests(df: DataFrame, days: Sequence[int], path: str, month: int | None = None) -> None:
@@ -84,26 +116,56 @@ def write_traces(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
 
 
+STAGED = "_staged"  # readers of the table skip names that begin with an underscore
+_MANIFEST = "partition string, gone boolean"
+
+
+def _partitions(spark: SparkSession, path: str, above: str = "") -> list[str]:
+    """The partition folders (year, month, day, host) in ``path`` that lie under ``above``, relative to ``path``."""
+    found = [above] if above else [""]
+    for name in PARTITIONS[above.count("=") :]:
+        found = [f"{f}/{c}".lstrip("/") for f in found for c in children(spark, f"{path}/{f}") if c.startswith(f"{name}=")]
+    return found
+
+
 def overwrite_day(df: DataFrame, path: str, days: Sequence[tuple[int, int, int]] = ()) -> None:
     """Replace the partitions of some days (every host) with the rows of ``df``: reruns are idempotent.
 
-    Partitions present in ``df`` are overwritten in place. Of the rebuilt
-    ``days`` (year, month, day), hosts that no longer have a row lose their old
+    Partitions present in ``df`` are overwritten. Of the rebuilt ``days``
+    (year, month, day), hosts that no longer have a row lose their old
     partition, so the table always equals a build from scratch.
+
+    ``df`` is run once, into a folder aside. One manifest then names the
+    partitions to swap in and to remove; from there on the change is certain: a
+    writer that dies is completed by the next one (``finish_overwrites``), one
+    that dies before leaves the table as it was. One writer at a time; a reader
+    may meet partitions of both states while they are swapped.
     """
     spark = df.sparkSession
-    made = {tuple(r) for r in df.select(*PARTITIONS).distinct().collect()} if days else set()  # days x hosts
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
-    for year, month, day in days:
-        folder = f"{path}/year={year}/month={month}/day={day}"
-        for name in children(spark, folder):
-            if name.startswith("host=") and (year, month, day, name[len("host=") :]) not in made:
-                drop(spark, f"{folder}/{name}")
+    finish_overwrites(spark, path)
+    staged = f"{path}/{STAGED}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*PARTITIONS).parquet(f"{staged}/rows")
+    made = _partitions(spark, f"{staged}/rows")
+    old = {p for day in days for p in _partitions(spark, path, "year={}/month={}/day={}".format(*day))}
+    entries = [(p, False) for p in made] + [(p, True) for p in sorted(old - set(made))]
+    spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.json(f"{staged}/manifest-open")
+    rename(spark, f"{staged}/manifest-open", f"{staged}/manifest")
+    finish_overwrites(spark, path)
+
+
+def finish_overwrites(spark: SparkSession, path: str) -> None:
+    """Completes overwrites whose manifest was written, and removes what others left; without either, does nothing."""
+    for name in children(spark, f"{path}/{STAGED}"):
+        staged = f"{path}/{STAGED}/{name}"
+        if exists(spark, f"{staged}/manifest"):
+            for r in spark.read.schema(_MANIFEST).json(f"{staged}/manifest").collect():  # days x hosts
+                made = f"{staged}/rows/{r.partition}"
+                if r.gone:
+                    drop(spark, f"{path}/{r.partition}")
+                elif exists(spark, made):  # else it was swapped in before
+                    drop(spark, f"{path}/{r.partition}")
+                    rename(spark, made, f"{path}/{r.partition}")
+        drop(spark, staged)
 
 
 def write_merged(df: DataFrame, path: str) -> None:
@@ -111,6 +173,13 @@ def write_merged(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def write_merged_chunks(chunks: DataFrame, path: str) -> None:
+    """S6, chunked (``requests.chunk_traces``): files cover ranges of (client, chunk) and are sorted by it, so that a
+    client is found by the files' statistics and a client with a third of all requests lies in many files."""
+    place = ["ip", "ua", "chunk"]
+    chunks.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("errorifexists").parquet(path)
+
+
 def read_partition(spark: SparkSession, path: str, day: str, host: str) -> DataFrame:
     """One (day, host) partition of a partitioned table, found by partition pruning."""
     d = dt.date.fromisoformat(day[:10])
@@ -121,8 +190,7 @@ def read_partition(spark: SparkSession, path: str, day: str, host: str) -> DataF
 
 def read_span(spark: SparkSession, path: str, start: str, stop: str, schema: T.StructType | None = None) -> DataFrame:
     """S11 + U1: every day x host partition in [start, stop] of a partitioned table, as one DataFrame."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path).where(day_span(start, stop))
+    return _read_days(spark, path, start, stop, schema)
 
 
 def day_range(spark: SparkSession, start: str, stop: str) -> DataFrame:

@@ -45,6 +45,15 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a file or folder to a name that is not taken, making the folders above it."""
+    p, fs = _file_system(spark, path)
+    target, _ = _file_system(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"could not rename {path} to {to}")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a working table that this library has written."""
     p, fs = _file_system(spark, path)

@@ -39,6 +39,112 @@ def test_overwrite_day_drops_emptied_partitions(spark, tmp_path):
     assert {r.day for r in spark.read.parquet(path).select("day").distinct().collect()} == {1}
 
 
+def _state(spark, path):
+    return {(r.day, r.host): r.n for r in spark.read.parquet(path).groupBy("day", "host").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _two_hosts(spark, path):
+    other = F.lit("en.m.wikipedia.org")
+    IO.write_traces(_traces(spark, 1, 3).unionByName(_traces(spark, 1, 2).withColumn("host", other)).unionByName(_traces(spark, 2, 1)), path)
+
+
+@pytest.mark.parametrize("after", range(4))
+def test_overwrite_day_interrupted_while_swapping(spark, tmp_path, monkeypatch, after):
+    """A writer that dies after its manifest (at any later step) is completed by whoever writes next."""
+    path = str(tmp_path / "traces")
+    _two_hosts(spark, path)
+    steps = {"n": 0}
+
+    def dying(real):
+        def step(*args):
+            if "manifest-open" not in args[1]:
+                steps["n"] += 1
+                if steps["n"] > after:
+                    raise OSError("lost")
+            return real(*args)
+
+        return step
+
+    new = _traces(spark, 1, 4).unionByName(_traces(spark, 3, 2))
+    with monkeypatch.context() as m:
+        m.setattr(IO, "rename", dying(IO.rename))
+        m.setattr(IO, "drop", dying(IO.drop))
+        with pytest.raises(OSError):
+            IO.overwrite_day(new, path, [(2024, 1, 1), (2024, 1, 3)])
+    IO.finish_overwrites(spark, path)
+    assert _state(spark, path) == {(1, "en.wikipedia.org"): 4, (2, "en.wikipedia.org"): 1, (3, "en.wikipedia.org"): 2}
+    assert IO.children(spark, f"{path}/{IO.STAGED}") == []
+
+
+def test_overwrite_day_interrupted_before_manifest(spark, tmp_path, monkeypatch):
+    """Without a manifest nothing has happened: the table is the old one, and what was staged goes with the next write."""
+    path = str(tmp_path / "traces")
+    _two_hosts(spark, path)
+    before = _state(spark, path)
+
+    def lost(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(IO, "rename", lost)
+        with pytest.raises(OSError):
+            IO.overwrite_day(_traces(spark, 1, 4), path, [(2024, 1, 1)])
+    assert _state(spark, path) == before and len(IO.children(spark, f"{path}/{IO.STAGED}")) == 1
+    IO.overwrite_day(_traces(spark, 2, 2), path, [(2024, 1, 2)])
+    assert _state(spark, path) == before | {(2, "en.wikipedia.org"): 2}
+    assert IO.children(spark, f"{path}/{IO.STAGED}") == []
+
+
+def test_overwrite_day_runs_its_input_once(spark, tmp_path):
+    path = str(tmp_path / "traces")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = _traces(spark, 1, 5)
+    IO.overwrite_day(df.mapInArrow(counted, df.schema), path, [(2024, 1, 1)])
+    assert seen.value == 5 and _state(spark, path) == {(1, "en.wikipedia.org"): 5}
+
+
+def test_span_lists_its_own_folders(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    days = [(2023, 12, 31), (2024, 1, 1), (2024, 1, 2), (2024, 1, 30), (2024, 2, 1), (2024, 2, 2), (2024, 3, 1), (2025, 1, 1)]
+    rows = spark.createDataFrame([(i, *d) for i, d in enumerate(days)], "id long, year int, month int, day int")
+    rows.write.partitionBy("year", "month", "day").parquet(path)
+    listed = []
+    real = IO.children
+    monkeypatch.setattr(IO, "children", lambda s, f: listed.append(f[len(path) :]) or real(s, f))
+    got = IO.read_requests(spark, path, "2024-01-02", "2024-02-01")
+    assert listed == ["", "/year=2024", "/year=2024/month=1", "/year=2024/month=2"]
+    assert sorted(r.id for r in got.collect()) == [2, 3, 4]
+    assert len(got.inputFiles()) == 3 and got.columns == ["id", "year", "month", "day"]
+    assert IO.read_span(spark, path, "2024-12-01", "2024-12-31").count() == 0
+    assert sorted(r.id for r in IO.read_span(spark, path, "2023-12-31", "2024-01-01", got.schema).collect()) == [0, 1]
+
+
+def test_chunked_traces(spark, tmp_path):
+    """No array is longer than the chunk; the chunks in order are the nested trace; one client holds most requests."""
+    from clicktrail.operators import requests as R
+
+    data = [(c, "ua", i, T0 + dt.timedelta(seconds=i)) for c, n in (("hot", 2500), ("cold", 3), (None, 5)) for i in range(n)]
+    rows = spark.createDataFrame(data, "ip string, ua string, id long, ts timestamp")
+    text = [F.col("id").cast("string").alias(f) for f in R.REQUEST_FIELDS if f not in ("ts", "is_pageview")]
+    none = F.create_map(F.lit("a"), F.lit("b"))
+    rows = rows.select("*", *text, F.lit(True).alias("is_pageview"), none.alias("geocoded_data"), none.alias("user_agent_map")).withColumn("trace", F.struct("ip", "ua"))
+    path = str(tmp_path / "chunks")
+    IO.write_merged_chunks(R.chunk_traces(rows, 100), path)
+    back = spark.read.parquet(path)
+    sizes = {(r.ip, r.chunk): r.n for r in back.select("ip", "chunk", F.size("requests").alias("n")).collect()}
+    assert sizes == {("hot", c): 100 for c in range(25)} | {("cold", 0): 3, (None, 0): 5}
+    got = sorted((r.ip or "", r.id, r.ts, r.title) for r in R.unchunk_traces(back, 100).collect())
+    assert got == sorted((c or "", i, t, str(i)) for c, _, i, t in data)
+    with pytest.raises(Exception):
+        IO.write_merged_chunks(R.chunk_traces(rows, 100), path)
+
+
 def test_write_merged_fails_when_present(spark, tmp_path):
     path = str(tmp_path / "merged")
     IO.write_merged(_traces(spark, 1, 1), path)

@@ -100,6 +100,24 @@ def test_bootstrap_interval_brackets_mean(spark):
         assert r.ci_lower < r.mean < r.ci_upper and r.n == 200
 
 
+def test_binned_bootstrap_agrees_with_rows(spark):
+    """Random sums stand in for rows: the interval is as wide as the normal one, and draws do not follow the rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ys = rng.exponential(10.0, 20_000)
+    data = [(i, "big", float(v)) for i, v in enumerate(ys)] + [(i, None, float(i)) for i in range(3)] + [(9, "empty", None), (10, "one", 5.0)]
+    df = spark.createDataFrame(data, "id long, g string, y double")
+    out = {r.g: r for r in ST.group_mean_ci_binned(df, ["g"], "y", "id", bins=1024, boot=400).collect()}
+    want = 2 * 1.96 * ys.std() / len(ys) ** 0.5
+    assert out["big"].mean == pytest.approx(ys.mean()) and out["big"].n == 20_000
+    assert out["big"].ci_upper - out["big"].ci_lower == pytest.approx(want, rel=0.15)
+    assert out["big"].ci_lower < out["big"].mean < out["big"].ci_upper
+    assert (out[None].mean, out[None].n) == (1.0, 3) and 0 <= out[None].ci_lower <= out[None].ci_upper <= 2
+    assert (out["empty"].mean, out["empty"].n, out["empty"].ci_lower) == (None, 0, None)
+    assert (out["one"].mean, out["one"].ci_lower, out["one"].ci_upper) == (5.0, 5.0, 5.0)
+
+
 def test_quantiles_by_narrowing_ranges(spark, monkeypatch):
     """With few values ranked at a time the ranges are narrowed over several rounds; results stay exact."""
     import random
