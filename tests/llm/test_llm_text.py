@@ -183,6 +183,53 @@ def test_personal_data_bootstrap(spark):
     assert clean[0] == "hello0 please write to <email> today" and clean[31] == "or write to <id> soon" and clean[35] == texts[35]
 
 
+def test_personal_data_names_without_digits(spark):
+    """Handles without a digit are found after a learnt context; an everyday word that once stands there is not."""
+    texts = [f"new member: user{i}@host.org joined" for i in range(40)]
+    texts += ["new member: (maria_k), joined", "new member: 王小明 joined", "new member: today joined"]
+    texts += ["it rains today, as it did"] * 30 + ["old member maria_x left"]
+    found = {r.doc_id: r for r in pii.find_spans(brute.documents(spark, texts)).select("doc_id", pii.as_text("spans").alias("spans")).collect()}
+    assert found[40].spans == "id:13:20" and found[41].spans == "id:12:15"
+    assert all(found[i].spans == "" for i in range(42, len(texts)))
+    alone = pii.find_spans(brute.documents(spark, texts[:5] + ["new member: x joined"])).select(pii.as_text("spans").alias("spans"))
+    assert all(r.spans.startswith("email") for r in alone.collect() if r.spans)  # five seeds and one other fall short of 0.8
+
+
+def test_personal_data_support_acts(spark):
+    """``support`` seeds seen once reach the confidence by themselves, one less never does."""
+    for k, sure in ((4, False), (5, True)):
+        scanned = pii.scan(brute.documents(spark, [f"ask u{i}@h.org" for i in range(k)]))
+        seeds = pii.seed_edges(scanned)
+        chosen = pii.supported_patterns(seeds, 5)
+        assert ([r.pattern for r in chosen.collect()] == ["ask"]) == sure
+    edges = pii.graph(brute.documents(spark, [f"ask u{i}@h.org" for i in range(5)]), seeds, chosen)
+    assert [r.confidence for r in pii.score(edges)[0].collect()] == [pytest.approx(0.8)]
+
+
+def test_personal_data_long_text(spark):
+    """A text costs about its length: 20,000 numbered words and 3,000 addresses, cut out exactly."""
+    import re
+    import time
+
+    text = " ".join(f"é{i}x" + (f" call +49 30 {1000000 + i} a{i}@b.org," if i % 7 == 0 else "") for i in range(20_000))
+    docs = brute.documents(spark, [text] + [f"call u{i}@h.org" for i in range(9)])
+    started = time.time()
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got[0] == re.sub(r"a\d+@b.org", "<email>", re.sub(r"\+49 30 \d+", "<phone>", text))
+    assert time.time() - started < 60
+
+
+def test_personal_data_overlaps(spark):
+    """Overlapping spans are one, named after the first; what masks them when words are read keeps every place."""
+    docs = brute.documents(spark, ["x 4012888888881881@mail.com 10.0.0.1 y", "é😀 +4012888888881881 z", None, "q" * 3000 + " a@b.c " + "r" * 3000])
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got == {0: "x <email> <ip> y", 1: "é😀 +<card> z", 2: None, 3: "q" * 3000 + " <email> " + "r" * 3000}
+    rows = pii.words(docs, placed=True).select("doc_id", "instance", "start", "end", "two").collect()
+    assert sorted((r.doc_id, r.instance[:3], r.start, r.end) for r in rows) == [
+        (0, "x", 0, 1), (0, "y", 37, 38), (1, "z", 21, 22), (1, "é😀", 0, 2), (3, "qqq", 0, 3000), (3, "rrr", 3007, 6007),
+    ]
+
+
 def test_personal_data_repeated_and_empty(spark):
     docs = plain(spark, ["a@b.c", None])
     assert sorted((r.doc_id, len(r.spans)) for r in pii.find_spans(docs.unionByName(docs)).collect()) == [(0, 1), (0, 1), (1, 0), (1, 0)]
