@@ -3,10 +3,10 @@
 Base entities (``BASE``) are found by regular expressions and checked (parts
 of an address at most 255, card digits by the Luhn sum, digit counts). They
 are the seeds. The one and the two words before an entity that begins a word
-are its *patterns*. Patterns that at least ``support`` different seeds share
-are chosen first; every word that follows one of them, whatever its
-characters, is an *instance* (without the quotes, brackets and stops around
-it). Spark scores the bipartite pattern-instance graph in rounds: a pattern's
+are its *patterns*. Patterns that at least ``support`` different seeds share,
+and that introduce a seed at least a tenth of the time (``share``), are chosen
+first; every word that follows one of them, whatever its characters, is an
+*instance* (without the quotes, brackets and stops around it). Spark scores the bipartite pattern-instance graph in rounds: a pattern's
 confidence is the smoothed share of its occurrences whose instances are
 believed; an instance is believed as far as its confident patterns make it
 likely (noisy-or), times the share of all its occurrences in the table that
@@ -168,11 +168,6 @@ def seed_edges(scanned: DataFrame) -> DataFrame:
     return each.groupBy("pattern", "instance").agg(F.count("*").alias("n"))
 
 
-def supported_patterns(seeds: DataFrame, support: int) -> DataFrame:
-    """``pattern`` of those that at least ``support`` different seeds share."""
-    return seeds.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("pattern")
-
-
 def _sized(table: DataFrame) -> DataFrame:
     """A written table, broadcast if it has few rows."""
     return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
@@ -207,6 +202,21 @@ def _after(found: DataFrame, patterns: DataFrame) -> DataFrame:
     return each.join(_sized(patterns), "pattern", "left_semi")
 
 
+def supported_patterns(docs: DataFrame, seeds: DataFrame, support: int, share: float = 0.1) -> DataFrame:
+    """``pattern`` of those that at least ``support`` different seeds share and that introduce a seed at least ``share`` of the time.
+
+    The second count keeps everyday words out of the graph: followed by some
+    seeds, but nearly always by something else. It is summed in each task, so
+    only one row per pattern and task moves.
+    """
+    enough = seeds.groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where(F.col("k") >= support).checkpoint()
+    if enough.isEmpty():
+        return enough.select("pattern")
+    others = _after(words(docs), enough.select("pattern")).groupBy("pattern").agg(F.count("*").alias("o"))
+    kept = enough.join(others, "pattern", "left").where(F.col("s") >= share * (F.col("s") + F.coalesce("o", F.lit(0))))
+    return kept.select("pattern")
+
+
 def graph(docs: DataFrame, seeds: DataFrame, patterns: DataFrame) -> DataFrame:
     """Edges ``pattern, instance, n, seed, total`` of the chosen patterns: base entities, and every word that follows one.
 
@@ -260,16 +270,17 @@ def discover(docs: DataFrame, patterns: DataFrame, believed: DataFrame) -> DataF
     return kept.groupBy("doc_id", "row_key").agg(F.collect_set(span).alias("found"))
 
 
-def find_spans(docs: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.8) -> DataFrame:
+def find_spans(docs: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.8, share: float = 0.1) -> DataFrame:
     """``doc_id, row_key, base, spans`` for every row of ``docs`` (``doc_id, text``); ``spans`` holds the base and the discovered ones.
 
-    Words are read only if some pattern has ``support`` seeds, and placed only if one turns out to be confident.
+    Words are read only if some pattern has ``support`` seeds, the graph is made only if one keeps its ``share``, and words
+    are placed only if one turns out to be confident.
     """
     scanned = scan(docs).checkpoint()
     plain = F.transform("base", lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "end", "value")]))
     left = scanned.select("doc_id", "row_key", plain.alias("base"))
     seeds = seed_edges(scanned).checkpoint()
-    chosen = supported_patterns(seeds, support).checkpoint()
+    chosen = supported_patterns(docs, seeds, support, share).checkpoint()
     patterns = None
     if not chosen.isEmpty():
         patterns, believed = score(graph(docs, seeds, chosen).checkpoint(), rounds, support, confident)

@@ -198,12 +198,14 @@ def test_personal_data_names_without_digits(spark):
 def test_personal_data_support_acts(spark):
     """``support`` seeds seen once reach the confidence by themselves, one less never does."""
     for k, sure in ((4, False), (5, True)):
-        scanned = pii.scan(brute.documents(spark, [f"ask u{i}@h.org" for i in range(k)]))
-        seeds = pii.seed_edges(scanned)
-        chosen = pii.supported_patterns(seeds, 5)
+        docs = brute.documents(spark, [f"ask u{i}@h.org" for i in range(k)] + ["the u@h.org"] * 9)
+        seeds = pii.seed_edges(pii.scan(docs))
+        chosen = pii.supported_patterns(docs, seeds, 5)
         assert ([r.pattern for r in chosen.collect()] == ["ask"]) == sure
-    edges = pii.graph(brute.documents(spark, [f"ask u{i}@h.org" for i in range(5)]), seeds, chosen)
+    edges = pii.graph(docs, seeds, chosen)
     assert [r.confidence for r in pii.score(edges)[0].collect()] == [pytest.approx(0.8)]
+    everyday = docs.unionByName(brute.documents(spark, ["ask me", "ask her"] * 30))
+    assert pii.supported_patterns(everyday, seeds, 5).count() == 0 and pii.supported_patterns(everyday, seeds, 5, share=0.05).count() == 1
 
 
 def test_personal_data_long_text(spark):
