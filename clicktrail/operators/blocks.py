@@ -22,25 +22,39 @@ def _values(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, pa.scalar(False if pa.types.is_boolean(column.type) else 0, column.type)).to_numpy(zero_copy_only=False)
 
 
-def _fields(column: pa.Array) -> list[pa.Array]:
-    return column.flatten() if pa.types.is_struct(column.type) else [column]
+def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two arrays of one type and length differ, structs and lists by their contents; NULL equals NULL, NaN equals NaN."""
+    out = pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    if pa.types.is_struct(a.type):
+        for x, y in zip(a.flatten(), b.flatten(), strict=True):
+            out = out | _differ(x, y)
+    elif pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+        long, other = (_values(pc.list_value_length(c)) for c in (a, b))
+        out = out | (long != other)
+        both = np.flatnonzero(~out & (long > 0))  # rows whose lists are of one length are compared element by element
+        if len(both):
+            owner = np.repeat(both, long[both])
+            out[owner[_differ(a.take(pa.array(both)).flatten(), b.take(pa.array(both)).flatten())]] = True
+    elif not pa.types.is_null(a.type):
+        unlike = pc.not_equal(a, b)
+        if pa.types.is_floating(a.type):
+            unlike = pc.and_(unlike, pc.invert(pc.and_(pc.is_nan(a), pc.is_nan(b))))
+        out = out | pc.fill_null(unlike, False).to_numpy(zero_copy_only=False)
+    return out
 
 
 def _changes(batch: pa.RecordBatch) -> np.ndarray:
-    """Rows (but the first) whose block differs from that of the row before; NULL equals NULL."""
+    """Rows (but the first) whose block differs from that of the row before."""
     out = np.zeros(max(0, batch.num_rows - 1), bool)
     for name in ("_g", "_b"):
-        for c in _fields(batch.column(name)):
-            a, b = c[1:], c[:-1]
-            one_null = pc.xor(pc.is_null(a), pc.is_null(b))
-            out |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), one_null).to_numpy(zero_copy_only=False)
+        c = batch.column(name)
+        out |= _differ(c[1:], c[:-1])
     return out
 
 
 def _same_block(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
     """Whether the last row of ``a`` and the first of ``b`` are of one block."""
-    last, first = a.slice(a.num_rows - 1, 1), b.slice(0, 1)
-    return all(last.column(c).to_pylist() == first.column(c).to_pylist() for c in ("_g", "_b"))
+    return not any(_differ(a.column(c)[-1:], b.column(c)[:1])[0] for c in ("_g", "_b"))
 
 
 def _paths(node: np.ndarray, up: np.ndarray, depth: np.ndarray) -> pa.Array:

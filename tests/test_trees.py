@@ -228,6 +228,38 @@ def test_pick_tree_one_whole_tree_per_session(spark):
         assert sum(1 for r in picked if r.root == root) == sizes[root]
 
 
+def test_blocks_of_nested_keys():
+    """Neighbouring keys differ as Spark groups them: by their structs' and lists' contents, NULL and NaN equal to themselves."""
+    import pyarrow as pa
+
+    from clicktrail.operators import blocks
+
+    pairs = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+    kind = pa.struct([("ip", pa.string()), ("geo", pairs), ("x", pa.float64())])
+    a, b = [{"key": "tz", "value": "UTC"}], [{"key": "tz", "value": None}]
+    keys = [("i", a, 1.0), ("i", a, 1.0), ("i", b, 1.0), ("i", b, 1.0), ("i", a + b, 1.0), ("i", [], 1.0), ("i", [], 1.0),
+            ("i", None, 1.0), ("i", None, 1.0), ("j", None, 1.0), ("j", None, float("nan")), ("j", None, float("nan")),
+            (None, b, None), (None, b, None), (None, a, None)]
+    rows = [dict(zip(("ip", "geo", "x"), k, strict=True)) for k in keys]
+    group = pa.array([{"k0": r} for r in rows] + [{"k0": None}] * 2, pa.struct([("k0", kind)]))
+    batch = pa.RecordBatch.from_arrays([group, pa.nulls(len(group), pa.int64())], names=["_g", "_b"])
+    want = [2, 4, 5, 7, 9, 10, 12, 14, 15]  # the first row of each further key
+    assert [int(i) + 1 for i in blocks._changes(batch).nonzero()[0]] == want
+    sliced = batch.slice(3, 9)
+    assert [int(i) + 4 for i in blocks._changes(sliced).nonzero()[0]] == [i for i in want if 4 <= i < 12]
+    same = [blocks._same_block(batch.slice(0, i), batch.slice(i)) for i in range(1, len(group))]
+    assert [i + 1 for i, s in enumerate(same) if not s] == want
+
+
+def test_forest_of_nested_group_keys(spark):
+    """Groups named by a struct that holds lists, as traces are, give the forest of plain keys."""
+    data = [("c", g, n, T0 + dt.timedelta(seconds=n), f"p{n}", f"p{n - 1}") for n in range(4) for g in (0, 1)]
+    df = spark.createDataFrame(data, "ip string, g long, node long, ts timestamp, page_key string, referer_key string")
+    df = df.selectExpr("named_struct('ip', ip, 'geo', IF(g = 0, NULL, array(named_struct('key', 'g', 'value', ip)))) AS trace", "*")
+    got = {(r.g, r.node): (r.parent, r.root, r.subtree) for r in TR.build_forest(df, ["trace"]).collect()}
+    assert got == {(g, n): (n - 1 if n else None, 0, 4 - n) for n in range(4) for g in (0, 1)}
+
+
 def test_every_request_in_exactly_one_session_and_tree(spark):
     from pyspark.sql import functions as F
 
