@@ -326,6 +326,23 @@ def poisson1_from_uniform(u: Column) -> Column:
     return expr.otherwise(F.lit(len(cdf)))
 
 
+def poisson1_from_md5(digest: Column) -> Column:
+    """:func:`poisson1_from_uniform` of the first 32 bits of a hex digest, without turning them into a number.
+
+    u <= t where the bits are at most some integer; eight lower-case hex digits
+    sort as the numbers they write, and a digest that starts with that integer
+    sorts before the integer followed by a letter past f.
+    """
+    expr, cdf = None, poisson1_cdf()
+    for i, t in enumerate(cdf):
+        bits = int(t * 2**32)
+        while (bits + 0.5) / 2**32 > t:
+            bits -= 1
+        low = digest < F.lit(f"{bits:08x}g")
+        expr = F.when(low, F.lit(i)) if expr is None else expr.when(low, F.lit(i))
+    return expr.otherwise(F.lit(len(cdf)))
+
+
 def group_mean_ci(
     df: DataFrame,
     dims: Sequence[str],
@@ -338,19 +355,20 @@ def group_mean_ci(
     """Mean of ``y`` per group and a Poisson-bootstrap interval.
 
     Each row gets a Poisson(1) weight per replicate from md5(seed, row, b);
-    replicate means are sum(w*y)/sum(w). Rows x replicates are generated and
-    reduced inside one stage (explode feeds a partial aggregate), so only
-    group x replicate partial sums are shuffled.
+    replicate means are sum(w*y)/sum(w). Rows are dealt out evenly before rows x
+    replicates are generated, as a file of few blocks would be expanded by as
+    few tasks; the draws are reduced in the stage that makes them (explode feeds
+    a partial aggregate), so only group x replicate partial sums are shuffled.
     """
     lo, hi = round((1 - level) / 2, 12), round(1 - (1 - level) / 2, 12)
     dcols = [_c(d).alias(d) for d in dims]
     means = df.groupBy(*dcols).agg(F.avg(_c(y)).cast("double").alias("mean"), F.count(F.lit(1)).alias("n"))
-    rep = df.select(*dcols, _c(y).cast("double").alias("_y"), _c(row_id).cast("string").alias("_id")).select(
-        *dims, "_y", "_id", F.explode(F.sequence(F.lit(1), F.lit(boot))).alias("_b")
-    )
-    w = poisson1_from_uniform(
-        md5_uniform(F.concat(F.lit(seed), F.lit("/"), F.col("_id"), F.lit("/"), F.col("_b").cast("string")))
-    )
+    start = F.concat(F.lit(f"{seed}/"), _c(row_id).cast("string"), F.lit("/"))
+    rows = df.select(*dcols, _c(y).cast("double").alias("_y"), start.alias("_id"))
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rep = rows.select(*dims, "_y", "_id", F.explode(F.sequence(F.lit(1), F.lit(boot))).alias("_b"))
+    rep = rep.select(*dims, "_y", "_b", F.md5(F.concat("_id", F.col("_b").cast("string"))).alias("_h"))
+    w = poisson1_from_md5(F.col("_h"))
     reps = (
         rep.withColumn("_w", w)
         .groupBy(*dims, "_b")

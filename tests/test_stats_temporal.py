@@ -100,6 +100,22 @@ def test_bootstrap_interval_brackets_mean(spark):
         assert r.ci_lower < r.mean < r.ci_upper and r.n == 200
 
 
+def test_poisson_weights_of_digests_are_those_of_their_numbers(spark):
+    """The hex digits that lie next to a threshold get the weight that their uniform gets."""
+    edges = {int(t * 2**32) + d for t in ST.poisson1_cdf() for d in range(-2, 3)} | {0, 2**32 - 1}
+    data = [(f"{b:08x}{tail * 24}", (b + 0.5) / 2**32) for b in edges if 0 <= b < 2**32 for tail in "0f"]
+    df = spark.createDataFrame([*data, (None, None)], "h string, u double")
+    got = df.select(ST.poisson1_from_md5(F.col("h")).alias("a"), ST.poisson1_from_uniform(F.col("u")).alias("b")).collect()
+    assert len({r.a for r in got}) > 10 and all(r.a == r.b for r in got)
+
+
+def test_bootstrap_rows_of_one_file_are_dealt_out(spark):
+    """Draws are not made by as few tasks as the input has blocks: an exchange lies between the rows and the explode."""
+    df = spark.range(100).selectExpr("id", "id % 2 AS g", "cast(id AS DOUBLE) AS y").coalesce(1)
+    plan = ST.group_mean_ci(df, ["g"], "y", "id", boot=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan[plan.index("Generate explode"):]
+
+
 def test_binned_bootstrap_agrees_with_rows(spark):
     """Random sums stand in for rows: the interval is as wide as the normal one, and draws do not follow the rows."""
     import numpy as np
