@@ -61,9 +61,14 @@ def assign_parents(
     both = F.array(
         F.struct(F.lit(0).alias("kind"), F.col(referer_key).alias("key")), F.struct(F.lit(1).alias("kind"), F.col(page_key).alias("key"))
     )
-    twice = rows.select("*", F.explode(both).alias("_as")).withColumns(
-        {"_slot": F.struct(key_of(list(group_cols)).alias("g"), F.col("_as.key").alias("key")), "_b": bucket}
+    # the group travels in the slot alone, other columns with the referer rows alone
+    own = [c for c in rows.columns if c not in (*group_cols, node, ts)]
+    rest = F.when(F.col("_as.kind") == 0, F.struct(*[F.col(f"`{c}`") for c in own])) if own else F.lit(0)
+    twice = rows.select("*", F.explode(both).alias("_as")).select(
+        node, ts, "_as", rest.alias("_rest"), F.struct(key_of(list(group_cols)).alias("g"), F.col("_as.key").alias("key")).alias("_slot"), bucket.alias("_b")
     )
+    group = {c: f"_slot.g.k{i}" for i, c in enumerate(group_cols)}
+    columns = [F.col(group[c] if c in group else f"`{c}`" if c in (node, ts) else f"_rest.`{c}`").alias(c) for c in rows.columns]
     w = (
         Window.partitionBy("_slot", "_b")
         .orderBy(ts, node, "_as.kind")
@@ -89,8 +94,10 @@ def assign_parents(
     return (
         windowed.where(~is_page)
         .join(per_bucket, ["_slot", "_b"], "left")
-        .withColumn("parent", par["n"])
-        .withColumn("parent_ts", par["t"])
-        .withColumn("parent_ambiguous", (seen > 1) if ambiguity == "intended" else F.lit(False))
-        .drop("_as", "_slot", "_b", "_in", "_seen_in", "_carry", "_carry_n")
+        .select(
+            *columns,
+            par["n"].alias("parent"),
+            par["t"].alias("parent_ts"),
+            ((seen > 1) if ambiguity == "intended" else F.lit(False)).alias("parent_ambiguous"),
+        )
     )

@@ -32,7 +32,8 @@ def session_pages(spark, sf_dir, unit=None):
 
 
 def forest(spark, sf_dir, path=False, unit=None):
-    return TR.build_forest(session_pages(spark, sf_dir, unit), GROUP, path=path)
+    pages = session_pages(spark, sf_dir, unit).drop("access_method", "referer_class", "is_pageview")
+    return TR.build_forest(pages, GROUP, path=path, drop=("page_key", "referer_key"))
 
 
 @register(
@@ -119,6 +120,5 @@ FROM visits v LEFT JOIN dfs USING (root) GROUP BY v.root
 def tied_visit_metrics(spark, sf_dir):
     """T21 where most times tie: page views of whole days, ordered by their parents and by the trace."""
     f = forest(spark, sf_dir, unit="day")
-    tied = f.groupBy(*GROUP, "root").agg(F.count_if(F.col("tie_level") > 0).alias("tied"))
-    m = TR.tree_metrics(f, GROUP).select(*GROUP, "root", "size", "dfsness")
-    return TR.null_safe_join(m, tied, [*GROUP, "root"]).select("root", "size", "tied", "dfsness")
+    m = TR.tree_metrics(f, GROUP, more={"tied": F.count_if(F.col("tie_level") > 0)})
+    return m.select("root", "size", "tied", "dfsness")

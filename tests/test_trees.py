@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from clicktrail.operators import trees as TR
 
@@ -260,6 +261,21 @@ def test_forest_of_nested_group_keys(spark):
     assert got == {(g, n): (n - 1 if n else None, 0, 4 - n) for n in range(4) for g in (0, 1)}
 
 
+def test_forest_and_metrics_without_what_is_not_needed(spark):
+    """Columns dropped once parents are found leave the rest as it is; further aggregates come from the metrics' own; trees
+    of one root number in several groups, one of them NULL, keep their own dfsness."""
+    shapes = {"a": [0, 0, 1, 2, 1], "b": [0, 0, 1, 1, 2], None: [0, 0, 1, 2, 2]}  # the page that each page links from
+    data = [(g, n, T0 + dt.timedelta(seconds=10 * n), f"p{n}", f"p{up}" if n else "-", "x") for g, ups in shapes.items() for n, up in enumerate(ups)]
+    df = spark.createDataFrame(data, "g string, node long, ts timestamp, page_key string, referer_key string, more string")
+    whole, lean = TR.build_forest(df, ["g"]), TR.build_forest(df, ["g"], drop=("page_key", "referer_key"))
+    assert [c for c in whole.columns if c not in lean.columns] == ["page_key", "referer_key"] and lean.columns[:4] == ["g", "node", "ts", "more"]
+    assert sorted(map(str, whole.drop("page_key", "referer_key").collect())) == sorted(map(str, lean.collect()))
+    m = {r.g: r for r in TR.tree_metrics(lean, ["g"], more={"last": F.max("node")}).collect()}
+    alone = {g: TR.tree_metrics(lean.where(F.col("g").eqNullSafe(g)), ["g"]).first() for g in shapes}
+    assert {g: (r.root, r.size, r.last, r.dfsness) for g, r in m.items()} == {g: (0, 5, 4, alone[g].dfsness) for g in shapes}
+    assert len({r.dfsness for r in m.values()}) > 1
+
+
 def test_every_request_in_exactly_one_session_and_tree(spark):
     from pyspark.sql import functions as F
 
