@@ -12,7 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from clicktrail.operators.draws import replicate_sums
 from clicktrail.operators.joins import key_of, null_safe_join
 from clicktrail.operators.survey import NO_RESPONSE
 from clicktrail.sources.work import stored, work_folder
@@ -326,6 +328,17 @@ def poisson1_from_uniform(u: Column) -> Column:
     return expr.otherwise(F.lit(len(cdf)))
 
 
+def poisson1_bits() -> list[int]:
+    """The largest 32-bit numbers whose uniforms lie at or below the thresholds of :func:`poisson1_cdf`."""
+    out = []
+    for t in poisson1_cdf():
+        bits = int(t * 2**32)
+        while (bits + 0.5) / 2**32 > t:
+            bits -= 1
+        out.append(bits)
+    return out
+
+
 def poisson1_from_md5(digest: Column) -> Column:
     """:func:`poisson1_from_uniform` of the first 32 bits of a hex digest, without turning them into a number.
 
@@ -333,14 +346,14 @@ def poisson1_from_md5(digest: Column) -> Column:
     sort as the numbers they write, and a digest that starts with that integer
     sorts before the integer followed by a letter past f.
     """
-    expr, cdf = None, poisson1_cdf()
-    for i, t in enumerate(cdf):
-        bits = int(t * 2**32)
-        while (bits + 0.5) / 2**32 > t:
-            bits -= 1
+    expr, found = None, poisson1_bits()
+    for i, bits in enumerate(found):
         low = digest < F.lit(f"{bits:08x}g")
         expr = F.when(low, F.lit(i)) if expr is None else expr.when(low, F.lit(i))
-    return expr.otherwise(F.lit(len(cdf)))
+    return expr.otherwise(F.lit(len(found)))
+
+
+DRAWS = "_d array<struct<_b:int,_sw:double,_w:bigint>>"  # what replicate_sums adds to a group's key
 
 
 def group_mean_ci(
@@ -357,8 +370,10 @@ def group_mean_ci(
     Each row gets a Poisson(1) weight per replicate from md5(seed, row, b);
     replicate means are sum(w*y)/sum(w). Rows are dealt out evenly before rows x
     replicates are generated, as a file of few blocks would be expanded by as
-    few tasks; the draws are reduced in the stage that makes them (explode feeds
-    a partial aggregate), so only group x replicate partial sums are shuffled.
+    few tasks. The draws, the same as ``poisson1_from_md5(md5(...))`` gives, are
+    made and summed as arrays (:mod:`clicktrail.operators.draws`); the sums of
+    some rows at a time are reduced in the same stage, so only group x replicate
+    partial sums are shuffled.
     """
     lo, hi = round((1 - level) / 2, 12), round(1 - (1 - level) / 2, 12)
     dcols = [_c(d).alias(d) for d in dims]
@@ -366,13 +381,12 @@ def group_mean_ci(
     start = F.concat(F.lit(f"{seed}/"), _c(row_id).cast("string"), F.lit("/"))
     rows = df.select(*dcols, _c(y).cast("double").alias("_y"), start.alias("_id"))
     rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rep = rows.select(*dims, "_y", "_id", F.explode(F.sequence(F.lit(1), F.lit(boot))).alias("_b"))
-    rep = rep.select(*dims, "_y", "_b", F.md5(F.concat("_id", F.col("_b").cast("string"))).alias("_h"))
-    w = poisson1_from_md5(F.col("_h"))
+    schema = T.StructType([*rows.drop("_y", "_id").schema.fields, *T.StructType.fromDDL(DRAWS).fields])
+    bits = poisson1_bits()
+    rep = rows.mapInArrow(lambda batches: replicate_sums(batches, dims, bits, boot), schema).select(*dims, F.explode("_d").alias("_d"))
     reps = (
-        rep.withColumn("_w", w)
-        .groupBy(*dims, "_b")
-        .agg(F.sum(F.col("_w") * F.col("_y")).alias("_sw"), F.sum("_w").alias("_w"))
+        rep.groupBy(*dims, F.col("_d._b").alias("_b"))
+        .agg(F.sum("_d._sw").alias("_sw"), F.sum("_d._w").alias("_w"))
         .where(F.col("_w") > 0)
         .select(*dims, (F.col("_sw") / F.col("_w")).alias("_m"))
     )

@@ -116,6 +116,64 @@ def test_bootstrap_rows_of_one_file_are_dealt_out(spark):
     assert "Repartition" in plan[plan.index("Generate explode"):]
 
 
+def test_weights_made_as_arrays_are_those_of_the_digests():
+    """Texts around every block boundary, and replicates of one to four digits that need one block more or not."""
+    import hashlib
+
+    import numpy as np
+
+    from clicktrail.operators.draws import Weights
+
+    bits = ST.poisson1_bits()
+    for boot, lengths in ((1003, (0, 13, 51, 52, 53, 54, 55, 63, 64, 120)), (7, range(131))):
+        weights = Weights(bits, boot)
+        for length in lengths:
+            text = np.random.default_rng(length).integers(0, 256, (weights.rows + 1 if boot > 7 else 2, length)).astype(np.uint8)
+            got = np.full((len(text), boot), np.nan)
+            for at, lo, hi, w in weights.tiles(text):
+                got[at : at + len(w), lo:hi] = w
+            for row, found in zip(text, got, strict=True):
+                firsts = [int(hashlib.md5(row.tobytes() + str(b).encode()).hexdigest()[:8], 16) for b in range(1, boot + 1)]
+                assert found.tolist() == [sum(x > k for k in bits) for x in firsts]
+
+
+def test_weights_next_to_a_threshold():
+    """A first half shared by both sides of a threshold is decided by the second half."""
+    import numpy as np
+
+    from clicktrail.operators.draws import Weights
+
+    bits = ST.poisson1_bits()
+    near = np.array(sorted({min(max(b + d, 0), 2**32 - 1) for b in bits for d in (-65_536, -1, 0, 1, 65_536)}), np.uint32)
+    got = Weights(bits, 10)._weights(near.byteswap().reshape(1, -1))
+    assert got[0].tolist() == [sum(int(x) > k for k in bits) for x in near]
+
+
+def test_bootstrap_over_odd_rows_is_that_of_one_draw_a_row(spark):
+    """NULL, empty, long and repeated row names, groups of any type, NULL, infinite and missing values: the same interval as
+    from a weight per row and replicate; these are summed as arrays, not made one by one."""
+    names = [None, "", "é", "x" * 45, "x" * 46, "y" * 70, "z" * 200, "same", "same", *map(str, range(95, 140))]
+    inf, nan = float("inf"), float("nan")
+    data = [(n, "a" if i % 2 else None, i % 3 / 2, float(i * i % 23)) for i, n in enumerate(names)]
+    data += [("n1", "none", 0.0, None), ("n2", "none", 0.0, None), ("n3", "some", 0.0, None), ("n4", "some", -0.0, 3.0), ("n5", "some", 0.0, 4.0)]
+    data += [("i1", "inf", nan, inf), ("i2", "inf", nan, 1.0), ("i3", "inf", nan, nan), (None, "late", 1.0, 2.0)]
+    df = spark.createDataFrame(data, "id string, g string, h double, y double").selectExpr("id", "struct(g AS s, array(g, 'k') AS l) AS g", "h", "y")
+    boot = 110
+    weight = ST.poisson1_from_md5(F.md5(F.concat(F.lit("boot/"), "id", F.lit("/"), F.col("b").cast("string"))))
+    pairs = df.crossJoin(spark.range(1, boot + 1).withColumnRenamed("id", "b").select("b")).withColumn("w", weight)
+    means = pairs.groupBy("g", "h", "b").agg((F.sum(F.col("w") * F.col("y")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"), F.sum("w").alias("w"))
+    want = means.where("w > 0").groupBy("g", "h").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    key = lambda r: (r.g.s, repr(r.h + 0.0))
+    expected = {key(r): r.q for r in want.collect()}
+    out = ST.group_mean_ci(df, ["g", "h"], "y", "id", boot=boot)
+    got = {key(r): (r.ci_lower, r.ci_upper) for r in out.collect()}
+    assert set(got) == set(expected) and len(got) == 10
+    for k, q in expected.items():
+        assert got[k] == (pytest.approx(q, nan_ok=True) if q is not None else (None, None)), k
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan[plan.index("Generate explode"):] and "md5" not in plan
+
+
 def test_binned_bootstrap_agrees_with_rows(spark):
     """Random sums stand in for rows: the interval is as wide as the normal one, and draws do not follow the rows."""
     import numpy as np
